@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, sharding, simhash
+from . import chat, katz, media, mixing, packing, quality, sharding, simhash, urls, wordpieces
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,16 +21,44 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.interleave(_read(spark, sf_dir, "documents"), 24).drop("source")
 
 
+def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(_read(spark, sf_dir, "pages"))
+
+
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.repair(_read(spark, sf_dir, "conversations"))
+
+
+def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordpieces.count(_read(spark, sf_dir, "documents"))
+
+
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_features(_read(spark, sf_dir, "documents"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_read(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.scores(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_sharding, op8_mixing)}
+    return {f.__name__: f for f in (op1_simhash, op2_sharding, op3_urls, op4_chat, op5_tokens, op6_media, op7_packing, op8_mixing, op9_quality, op10_katz)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mixing": OP8}
+    return {"op3_urls": urls.sql(), "op8_mixing": OP8}
 
 
 OP8 = r"""
