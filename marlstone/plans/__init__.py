@@ -1 +1,15 @@
+"""Queries over the driver's tables, one module per family of operators."""
 
+from __future__ import annotations
+
+from . import expressions, matching
+
+MODULES = (expressions, matching)
+
+
+def queries():
+    return {k: f for m in MODULES for k, f in m.plans.queries.items()}
+
+
+def oracle_sql():
+    return {k: s for m in MODULES for k, s in m.plans.sql.items()}
