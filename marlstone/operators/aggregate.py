@@ -82,6 +82,11 @@ def weighted_correlation(x: Column, y: Column, w: Column) -> Column:
     return F.try_divide(cov, F.sqrt((F.sum(w * x * x) / s - mx * mx) * (F.sum(w * y * y) / s - my * my)))
 
 
+def correlation(x: Column | str, y: Column | str) -> Column:
+    """Pearson's; null where a side does not vary (the built-in one fails then under ANSI rules)."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def spearman(df: DataFrame, by: Sequence[str], x: str, y: str, w: Column | None = None) -> DataFrame:
     """Rank correlation per group over complete pairs: average ranks, weighted Pearson of them."""
     pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
@@ -128,7 +133,7 @@ def pair_correlations(df: DataFrame, row: str, columns: Sequence[str], least: in
     tall = df.select(row, F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for a, b in pairs])).alias("s")).select(row, "s.*").where("x is not null and y is not null")
     s = spearman(tall, ["a", "b"], "x", "y").drop("n")
     varied = (F.count(F.lit(1)) >= least) & (F.count_distinct("x") > 1) & (F.count_distinct("y") > 1)
-    return tall.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.when(varied, F.corr("x", "y")).alias("pearson")).join(s, ["a", "b"])
+    return tall.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.when(varied, correlation("x", "y")).alias("pearson")).join(s, ["a", "b"])
 
 
 def unit_distribution(df: DataFrame, unit: str, value: str) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import expressions, matching
+from . import aggregates, document_plans, endpoint_plans, expressions, flow_plans, matching, split_plans, windows
 
-MODULES = (expressions, matching)
+MODULES = (aggregates, document_plans, endpoint_plans, expressions, flow_plans, matching, split_plans, windows)
 
 
 def queries():
