@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import aggregates, document_plans, endpoint_plans, expressions, flow_plans, matching, split_plans, windows
+from . import aggregates, curation_plans, document_plans, endpoint_plans, expressions, flow_plans, matching, split_plans, windows
 
-MODULES = (aggregates, document_plans, endpoint_plans, expressions, flow_plans, matching, split_plans, windows)
+MODULES = (curation_plans, aggregates, document_plans, endpoint_plans, expressions, flow_plans, matching, split_plans, windows)
 
 
 def queries():

@@ -44,10 +44,10 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None
 
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """Rows that parse, and the lines that don't, as (path, line)."""
-    bad = "__bad"
-    raw = spark.read.schema(T.StructType.fromDDL(schema).add(bad, T.StringType())).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", bad).json(path)
-    raw = raw.withColumn("__path", F.input_file_name())
-    return raw.where(F.col(bad).isNull()).drop(bad, "__path"), raw.where(F.col(bad).isNotNull()).select(F.col("__path").alias("path"), F.col(bad).alias("line"))
+    kinds = T.StructType.fromDDL(schema)
+    raw = spark.read.text(path).select(F.input_file_name().alias("path"), F.col("value").alias("line")).where("trim(line) <> ''")
+    raw = raw.withColumn("r", F.from_json("line", T.StructType(list(kinds.fields)).add("__bad", T.StringType()), {"columnNameOfCorruptRecord": "__bad"}))
+    return raw.where("r.__bad is null").select(*[F.col(f"r.{c}") for c in kinds.names]), raw.where("r.__bad is not null").select("path", "line")
 
 
 ARTIFACT = "status string, outputs array<struct<study_folder string, file_type string, chunk_id string, extracted_data map<string, struct<records array<map<string, string>>>>>>"
