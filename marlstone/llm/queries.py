@@ -58,7 +58,23 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_urls": urls.sql(), "op8_mixing": OP8}
+    return {"op2_sharding": OP2, "op3_urls": urls.sql(), "op8_mixing": OP8}
+
+
+#: CRC-32 by its table of 256 values, which the query derives, over the UTF-8 bytes.
+OP2 = r"""
+WITH t AS MATERIALIZED (SELECT (SELECT list(list_reduce(range(8), lambda v, k: CASE WHEN v & 1 = 1 THEN xor(3988292384, v >> 1) ELSE v >> 1 END, n) ORDER BY n) FROM range(256) r(n)) AS tbl),
+b AS (
+  SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS k, coalesce(octet_length(encode(text)), 0)::BIGINT + 8 AS size,
+         list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda p: ('0x' || p)::BIGINT) AS bytes,
+         ('0x' || substr(md5('shard|' || coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS h
+  FROM documents),
+c AS (SELECT doc_id, k, size, h, xor(list_reduce(bytes, lambda v, x: xor(v >> 8, tbl[(xor(v, x) & 255) + 1]), 4294967295::BIGINT), 4294967295)::BIGINT AS text_crc32 FROM b, t),
+r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY h, doc_id NULLS FIRST, size, text_crc32) - 1 AS rank, count(*) OVER (PARTITION BY k) AS n FROM c),
+l AS (SELECT *, row_number() OVER (ORDER BY (2 * rank + 1) / (2 * n), k, rank) - 1 AS place, count(*) OVER () AS everything FROM r),
+s AS (SELECT *, (place * 24) // everything AS shard FROM l)
+SELECT doc_id, size, text_crc32, 'rows' AS law, shard::INT AS shard, place - (shard * everything + 23) // 24 AS slot, NULL::INT AS grown_shard FROM s
+"""
 
 
 OP8 = r"""
