@@ -8,12 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MISSING = ("", "na", "n/a", "nan", "none", "null", "not reported", "unknown")
+#: Texts that mean "missing", texts that mean "true", a number, what parts two numbers of a cell.
+MISSING = ("", "na", "n/a", "nan", "none", "null", "not applicable")
 TRUTHY = ("1", "true", "t", "yes", "y")
-NUMBER = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
+NUMBER = r"[-+]?(?:\d+(?:\.\d+)?|\.\d+)(?:[eE][-+]?\d+)?"
+PARTING = r"\s*(?:–|-|—|to|±|\+/-|\+⁄-)\s*"
+UNCERTAIN = r"±|\+/-|\+⁄-"
 
 
 def folded(c: Column) -> Column:
@@ -63,26 +66,41 @@ def mean_of(a: Column) -> Column:
     return F.when(F.size(a) > 0, F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a))
 
 
+def _leading(parts: Column) -> Column:
+    """The first number of each part that has one."""
+    found = F.transform(parts, lambda x: F.nullif(F.regexp_extract(x, f"({NUMBER})", 1), F.lit("")).cast("double"))
+    return F.filter(found, lambda x: x.isNotNull())
+
+
 def coerce_number(c: Column) -> Column:
-    """A full number as it is; a list (`;`, `,`) as its items' mean; `a-b` as the midpoint; else null."""
-    text = F.regexp_replace(F.trim(c), "[–—]", "-")
-    ranged = F.regexp_extract(text, rf"^({NUMBER})\s*-\s*({NUMBER})", 1), F.regexp_extract(text, rf"^({NUMBER})\s*-\s*({NUMBER})", 2)
-    parts = F.filter(F.transform(F.split(text, "[;,]"), lambda x: F.trim(x).try_cast("double")), lambda x: x.isNotNull())
-    return F.when(text.rlike(f"^{NUMBER}$"), text.try_cast("double")).when(F.size(parts) >= 2, mean_of(parts)).when(
-        ranged[0] != "", (ranged[0].try_cast("double") + ranged[1].try_cast("double")) / 2
-    )
+    """One number of a cell. A bare number is itself. A `;` or `,` list, none of whose items is a range, has the mean of
+    its numbers if there are two at least. Else the text is cut at range and uncertainty signs: the mean of the first two
+    parts' numbers, or the only one."""
+    text = F.trim(c)
+    listed = F.filter(F.transform(F.split(text, "[;,]"), lambda x: F.trim(x)), lambda x: x != "")
+    of_list = F.when(~F.exists(listed, lambda x: x.rlike(PARTING)), _leading(listed))
+    cut = _leading(F.split(text, PARTING))
+    return F.when(text.rlike(f"^{NUMBER}$"), text.try_cast("double")).when(text.rlike("[;,]") & (F.size(of_list) >= 2), mean_of(of_list)).otherwise(mean_of(F.slice(cut, 1, 2)))
 
 
 def classify_value(c: Column) -> Column:
-    """Struct(kind, centre): uncertainty (reported centre), range (midpoint), list (no centre), single, none."""
-    text = F.regexp_replace(F.trim(c), "[–—]", "-")
-    two = rf"^({NUMBER})\s*-\s*({NUMBER})$"
-    plus = rf"^({NUMBER})\s*(?:±|\+/-)\s*{NUMBER}"
+    """Struct(kind, centre) of a reported cell.
+
+    uncertainty: the first number; list (two numbers at least): none; range: the midpoint; single; else none. A text with
+    one number and words is single, one with several and a dash or `to` between them a range of the first two."""
+    text = F.trim(c)
+    ranged = rf"(?i)^({NUMBER})\s*(?:–|-|—|to)\s*({NUMBER})$"
     found = numbers(text)
-    kind = F.when(text.isNull() | (F.size(found) == 0), "none").when(text.rlike(plus), "uncertainty").when(text.rlike(two), "range").when(text.rlike("[;,]") & (F.size(found) > 1), "list").when(F.size(found) == 1, "single").otherwise("none")
-    low, high = (F.regexp_extract(text, two, i).try_cast("double") for i in (1, 2))
-    centre = F.when(kind == "uncertainty", F.regexp_extract(text, plus, 1).try_cast("double")).when(kind == "range", (low + high) / 2).when(kind == "single", F.try_element_at(found, F.lit(1)))
-    return F.struct(kind.alias("kind"), centre.alias("centre"))
+    parts = F.filter(F.transform(F.split(text, "&&|[;,]"), lambda x: F.trim(x)), lambda x: x != "")
+    n_listed = F.aggregate(parts, F.lit(0), lambda n, x: n + F.when(x.rlike(ranged), 2).when(x.rlike(NUMBER), 1).otherwise(0))
+    listed = text.rlike("&&|[;,]")
+    first = F.try_element_at(found, F.lit(1))
+    two = F.when(text.rlike(ranged), F.array(*[F.regexp_extract(text, ranged, i).try_cast("double") for i in (1, 2)])).otherwise(F.slice(found, 1, 2))
+    kind = (
+        F.when(is_missing(text), "none").when(text.rlike(UNCERTAIN) & (F.size(found) > 0), "uncertainty").when(listed & (n_listed >= 2), "list").when(listed & (n_listed == 1), "single")
+        .when(text.rlike(ranged), "range").when(F.size(found) == 1, "single").when((F.size(found) >= 2) & text.rlike(r"(?i)–|-|—|\bto\b"), "range").otherwise("none")
+    )
+    return F.struct(kind.alias("kind"), F.when(kind.isin("uncertainty", "single"), first).when(kind == "range", mean_of(two)).alias("centre"))
 
 
 def endpoints(c: Column) -> Column:
@@ -227,19 +245,35 @@ def ordered_tokens(tokens: Column, rank: Mapping[str, int], other: int) -> Colum
     return F.transform(F.array_sort(ranked), lambda s: s.t)
 
 
-def bounded_fraction(values: Column, coherence: float = 0.25, name: str = "fraction") -> Column:
+#: How far several reported fractions may spread relative to their mean, how far a total may pass 1.
+SPREAD, TOTAL_SLACK = 0.10, 1e-3
+
+
+def bounded_fraction(values: Column, coherence: float = SPREAD, name: str = "fraction", percent: Column | None = None) -> Column:
     """Struct(value, note) of several reported fractions.
 
-    Values above 1 are percents; what is then outside 0..1 voids the cell. Several values have a mean only if
-    their spread relative to it is within `coherence`.
-    """
-    scaled = F.transform(values, lambda v: F.when(v > 1, v / 100).otherwise(v))
+    Values above 1 are percents (all of them, where `percent` holds); what is then outside 0..1 voids the cell. Several
+    values have a mean only if their spread relative to it is within `coherence`."""
+    whole = F.lit(False) if percent is None else percent
+    scaled = F.transform(values, lambda v: F.when(whole | (v > 1), v / 100).otherwise(v))
     outside = F.exists(scaled, lambda v: (v < 0) | (v > 1))
-    mean = mean_of(scaled)
-    spread = (F.array_max(scaled) - F.array_min(scaled)) / F.abs(mean)
-    wide = (F.size(scaled) > 1) & F.coalesce(spread > coherence, F.lit(False))
+    mean, spread = mean_of(scaled), F.array_max(scaled) - F.array_min(scaled)
+    wide = (F.size(scaled) > 1) & F.when(F.abs(mean) <= 1e-12, spread > 1e-12).otherwise(F.try_divide(spread, F.abs(mean)) > coherence)
     empty = values.isNull() | (F.size(values) == 0)
-    return F.struct(F.when(~empty & ~outside & ~wide, mean).alias("value"), F.when(empty, F.lit(None).cast("string")).when(outside, f"{name} outside 0..1").when(wide, f"{name} values disagree").alias("note"))
+    note = F.when(empty, F.lit(None).cast("string")).when(outside, f"{name} outside 0..1").when(wide, f"{name} values disagree")
+    return F.struct(F.when(~empty & ~outside & ~wide, mean).alias("value"), note.alias("note"))
+
+
+def elemental_fractions(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Arrays of reported element contents as fractions, with `element_note`. One value above 1 makes the whole row a table
+    of percents; a row whose fractions add up to more than 1 has none."""
+    percent = F.exists(F.flatten(F.array(*[F.coalesce(F.col(c), F.array().cast("array<double>")) for c in columns])), lambda v: v > 1)
+    out = df.withColumn("__percent", percent).withColumns({f"__b_{c}": bounded_fraction(F.col(c), name=c, percent=F.col("__percent")) for c in columns})
+    notes = F.concat_ws("; ", *[F.col(f"__b_{c}.note") for c in columns])
+    total = sum((F.coalesce(F.col(f"__b_{c}.value"), F.lit(0.0)) for c in columns), F.lit(0.0))
+    over = (notes == "") & (total > 1 + TOTAL_SLACK)
+    out = out.withColumn("element_note", F.when(over, "total above 1").when(notes != "", notes)).withColumn("__over", over)
+    return out.withColumns({c: F.when(~F.col("__over"), F.col(f"__b_{c}.value")) for c in columns}).drop("__percent", "__over", *[f"__b_{c}" for c in columns])
 
 
 def closest_pair_value(keys: Column, values: Column, wanted: float) -> Column:

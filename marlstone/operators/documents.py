@@ -64,10 +64,9 @@ def duplicate_content(df: DataFrame, text: str, by: Sequence[str] = ()) -> DataF
     return each.groupBy(*by).agg(F.sum("__n").alias("rows"), F.count(F.lit(1)).alias("different"), F.sum(F.col("__n") - 1).alias("copies"))
 
 
-def token_counts(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, token, n): multiset of the ASCII letter and number tokens in lower case."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(r"([a-z]+|[0-9]+)"), F.lit(1))
-    return df.select(key, F.explode(found).alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("n"))
+def token_counts(df: DataFrame, key: str, text: str, tokens: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(key, token, n): multiset of a text's tokens, those of tables unless others are asked for."""
+    return df.select(key, F.explode((tokens or table_tokens)(F.col(text))).alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("n"))
 
 
 def containment(small: DataFrame, large: DataFrame, small_key: str, large_key: str, least: float = 0.95, tokens: int = 40, margin: float = 0.10) -> DataFrame:
@@ -98,33 +97,59 @@ def containment(small: DataFrame, large: DataFrame, small_key: str, large_key: s
     return top.where((F.col("score") >= least) & (F.col("score") - F.coalesce("__next", F.lit(0.0)) >= margin)).select(small_key, large_key, "score")
 
 
-def fuzzy_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, block: Sequence[str], text: str, least: float = 0.85, margin: float = 0.03, sure: float = 0.95, rounds: int = 20) -> DataFrame:
+def content_tokens(c: Column) -> Column:
+    """Words and single marks, in lower case."""
+    return F.regexp_extract_all(F.lower(c), F.lit(r"(?U)(\w+|[^\w\s])"), F.lit(1))
+
+
+def table_tokens(c: Column) -> Column:
+    """Letter runs, and numbers in plain form: no plus, no idle zeros."""
+    found = F.regexp_extract_all(F.lower(c), F.lit(r"([a-z]+|[-+]?\d+(?:\.\d+)?)"), F.lit(1))
+
+    def plain(t: Column) -> Column:
+        n = F.regexp_replace(F.regexp_replace(t, r"^\+", ""), r"^(-?)0+([0-9])", "$1$2")
+        n = F.when(n.contains("."), F.regexp_replace(n, r"\.?0+$", "")).otherwise(n)
+        return F.when(n.isin("-0", "-", ""), "0").otherwise(n)
+
+    return F.transform(found, lambda t: F.when(t.rlike("[0-9]"), plain(t)).otherwise(t))
+
+
+#: Fixed values of the matcher: similarity, tokens, margin, score that needs no margin.
+LEAST, TOKENS, MARGIN, SURE = 0.82, 20, 0.03, 0.95
+
+
+def fuzzy_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, block: Sequence[str], text: str, least: float = LEAST, tokens: int = TOKENS, margin: float = MARGIN, sure: float = SURE, rounds: int = 50) -> DataFrame:
     """One-to-one fuzzy matches within blocks: (left_id, right_id, score), by rounds of reciprocal bests.
 
-    A pair is scored by a sequence matcher only if the bound from lengths and that from character counts allow `least`;
-    both bounds are native. A match needs to be each side's best, and the left side's next best `margin` behind unless
-    the score is `sure`. Matched rows leave, and rounds go on until nothing changes."""
-    keys = list(block)
-    l = left.select(left_id, *keys, F.col(text).alias("__a"))
-    r = right.select(right_id, *keys, F.col(text).alias("__b"))
-    la, lb = F.length("__a"), F.length("__b")
-    pairs = l.join(r, keys).where(2 * F.least(la, lb) >= least * (la + lb))
-    letters = [*"etaoinshrdlu "]
-    count = lambda c, x: F.length(c) - F.length(F.replace(c, F.lit(x)))
-    apart = sum((F.abs(count(F.col("__a"), x) - count(F.col("__b"), x)) for x in letters), F.lit(0))
-    pairs = pairs.where(la + lb - apart >= least * (la + lb))
+    The score is a sequence matcher's on tokens. It is taken only of pairs whose lengths and common token multiset allow
+    least - margin (the multiset's Dice score bounds it from above); such pairs are found by a left text's rarest tokens,
+    of which they share one of the first few. A match is each side's best (ties by id), at least `least`, and `margin`
+    ahead of either side's next best unless it is `sure`. Matched rows leave, and rounds go on until none matches."""
+    keys, low = list(block), least - margin
+    side = lambda d, i, n: d.select(i, *keys, content_tokens(F.col(text)).alias(n)).withColumn(f"{n}n", F.size(n)).where(F.col(f"{n}n") >= tokens)
+    l, r = side(left, left_id, "__a"), side(right, right_id, "__b")
+    bag = lambda d, i, n: d.select(i, *keys, f"{n}n", F.explode(n).alias("t")).groupBy(i, *keys, f"{n}n", "t").agg(F.count(F.lit(1)).alias(f"{n}k"))
+    a, b = bag(l, left_id, "__a"), bag(r, right_id, "__b")
+    common = b.groupBy("t").agg(F.count(F.lit(1)).alias("__df"))
+    ranked = a.join(common, "t", "left").withColumn("__df", F.coalesce("__df", F.lit(0)))
+    before = F.sum("__ak").over(Window.partitionBy(left_id).orderBy("__df", "t").rowsBetween(Window.unboundedPreceding, -1))
+    probes = ranked.withColumn("__before", F.coalesce(before, F.lit(0))).where(F.col("__before") <= (1 - low / (2 - low)) * F.col("__an") + 1e-9)
+    total = F.col("__an") + F.col("__bn")
+    pairs = probes.select(left_id, *keys, "__an", "t").join(b.select(right_id, *keys, "__bn", "t"), [*keys, "t"]).where(2 * F.least("__an", "__bn") >= low * total).select(left_id, right_id).distinct()
+    shared = pairs.join(a.select(left_id, "__an", "t", "__ak"), left_id).join(b.select(right_id, "__bn", "t", "__bk"), [right_id, "t"])
+    shared = shared.groupBy(left_id, right_id).agg(F.sum(F.least("__ak", "__bk")).alias("__o"), F.max(total).alias("__t")).where(2 * F.col("__o") >= low * F.col("__t"))
+    texts = shared.select(left_id, right_id).join(l.select(left_id, "__a"), left_id).join(r.select(right_id, "__b"), right_id)
 
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a, b)], dtype=float)
+        return pd.Series([SequenceMatcher(None, list(x), list(y), autojunk=False).ratio() for x, y in zip(a, b)], dtype=float)
 
-    scored = cut(pairs.select(left_id, right_id, ratio("__a", "__b").alias("score")).where(F.col("score") >= least), "scored")
-    done = None
+    scored, done = cut(texts.select(left_id, right_id, ratio("__a", "__b").alias("score")), "scored"), None
     for i in range(rounds):
         wl, wr = Window.partitionBy(left_id).orderBy(F.desc("score"), right_id), Window.partitionBy(right_id).orderBy(F.desc("score"), left_id)
-        best = scored.withColumns({"__l": F.row_number().over(wl), "__next": F.lead("score").over(wl), "__r": F.row_number().over(wr)})
-        found = best.where((F.col("__l") == 1) & (F.col("__r") == 1) & ((F.col("score") >= sure) | (F.col("score") - F.coalesce("__next", F.lit(0.0)) >= margin))).select(left_id, right_id, "score")
-        found = cut(found, f"found{i}")
+        best = scored.withColumns({"__l": F.row_number().over(wl), "__ln": F.lead("score").over(wl), "__r": F.row_number().over(wr), "__rn": F.lead("score").over(wr)})
+        clear = F.col("score") - F.greatest(F.coalesce("__ln", F.lit(0.0)), F.coalesce("__rn", F.lit(0.0))) >= margin
+        found = cut(best.where((F.col("__l") == 1) & (F.col("__r") == 1) & (F.col("score") >= least) & ((F.col("score") >= sure) | clear)).select(left_id, right_id, "score"), f"found{i}")
         if found.isEmpty():
             break
         done = found if done is None else done.unionByName(found)

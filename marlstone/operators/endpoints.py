@@ -11,8 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: R2 that a fit needs, R2 band within which priority decides, the reference dose and its tolerance, instability limit.
-FIT_R2, R2_BAND, DOSE, DOSE_TOLERANCE, UNSTABLE = 0.90, 0.02, 25.0, 5.0, 0.35
+#: R2 that a fit needs, R2 band within which priority decides, the reference dose and its tolerance, the
+#: change of log10 Kd that a change of removal by STEP may cause, the detection limit of 10 ng/L.
+FIT_R2, R2_BAND, DOSE, DOSE_TOLERANCE, UNSTABLE, STEP, FLOOR = 0.90, 0.02, 25.0, 5.0, 0.35, 0.01, 1e-5
 
 
 def positive(c: Column) -> Column:
@@ -78,6 +79,12 @@ def kd_at(ces: Sequence[float], qm: Column, kl: Column) -> dict[str, Column]:
     return {f"kd_at_{c:g}": F.when((qm > 0) & (kl > 0), q_langmuir(F.lit(c), qm, kl) / c) for c in ces}
 
 
+def risk(ce: Column, c0: Column) -> Column:
+    """The one reason, first of three, why an endpoint is risky; null if none."""
+    removal = 1 - F.try_divide(ce, c0)
+    return F.when(ce <= FLOOR, "Ce <= 10 ng/L").when(removal >= 1 - STEP, "apparent removal >= 99%").when(removal <= STEP, "apparent removal <= 1%")
+
+
 def candidate(source: str, rank: int, fitted: bool, kd: Column, ce: Column, c0: Column, r2: Column, risks: Sequence[Column]) -> Column:
     """A complete bundle as a struct, null if incomplete: 0 < Ce < C0, Kd > 0, R2 good enough for fits."""
     ok = (kd > 0) & (ce > 0) & (ce < c0)
@@ -99,11 +106,21 @@ def select_candidate(candidates: Sequence[Column]) -> Column:
 
 def unstable(f: Column, up: bool) -> Column:
     """Whether one percent of removal more (or less) moves log10 Kd by more than the limit; null where f is not usable."""
-    g = F.when((f > 0) & (f < 1), f + (0.01 if up else -0.01))
+    g = F.when((f > 0) & (f < 1), f + (STEP if up else -STEP))
     odds = lambda x: log10(F.when(x < 1, x / (1 - x)))
     return F.when((f > 0) & (f < 1), F.coalesce(F.abs(odds(g) - odds(f)) > UNSTABLE, F.lit(True)))
 
 
+def unstable_freundlich(f: Column, exponent: Column) -> tuple[Column, Column]:
+    """(spike, dip) of Kd = KF Ce^(exponent - 1): one percent of removal more moves log10 Kd by more than the limit. An
+    exponent below 1 gives spikes, above 1 dips; without a usable exponent there are neither."""
+    usable = (exponent > 0) & (exponent != 1)
+    inside = (f >= 0) & (f < 1 - STEP)
+    moved = F.abs((1 - exponent) * F.log10(F.when(inside, (1 - f) / (1 - f - STEP)))) > UNSTABLE
+    bad = F.when(f + STEP >= 1, True).when(inside, moved).otherwise(False)
+    return F.coalesce(usable & (exponent < 1) & bad, F.lit(False)), F.coalesce(usable & (exponent > 1) & bad, F.lit(False))
+
+
 def block_reasons(conditions: dict[str, Column]) -> Column:
     """Labels of the conditions that hold, in order; an empty array means ready."""
     return F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), label) for label, c in conditions.items()]))

@@ -12,6 +12,10 @@ plans = Registry()
 query = plans.query
 
 
+#: Table tokens: letter runs, and numbers in plain form.
+_TOKENS = """SELECT k, token, count(*) AS n FROM (SELECT k, CASE WHEN regexp_matches(t, '[0-9]') THEN (CASE WHEN n IN ('-0', '-', '') THEN '0' ELSE n END) ELSE t END AS token FROM (SELECT k, t, CASE WHEN contains(m, '.') THEN regexp_replace(m, '\\.?0+$', '') ELSE m END AS n FROM (SELECT k, t, regexp_replace(regexp_replace(t, '^\\+', ''), '^(-?)0+([0-9])', '\\1\\2') AS m FROM (SELECT {k} AS k, unnest(regexp_extract_all(lower(text), '[a-z]+|[-+]?[0-9]+(?:\\.[0-9]+)?')) AS t FROM {t})))) GROUP BY ALL"""
+
+
 @query("""WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, '<h1>([^<]*)</h1>', 1)) AS h FROM pages), t AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN '## 2.1 Methods:' WHEN 1 THEN '**Abstract**' WHEN 2 THEN 'III. Results and discussion.' ELSE h END AS h FROM h)
  SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'methods' WHEN 1 THEN 'abstract' WHEN 2 THEN 'results and discussion' ELSE regexp_replace(lower(regexp_replace(trim(h), '[*_]', '', 'g')), '[\\s.:]+$', '') END AS heading, CASE page_id % 4 WHEN 0 THEN 'methods' WHEN 1 THEN 'abstract' WHEN 2 THEN 'results' END AS label FROM t WHERE page_id % 4 <> 3""")
 def heading_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,15 +39,12 @@ def duplicate_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.duplicate_content(table(spark, sf_dir, "documents"), "text", ["source"])
 
 
-@query("""SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+|[0-9]+')) AS token FROM documents) GROUP BY ALL""")
+@query(f"""SELECT k AS doc_id, token, n FROM ({_TOKENS.format(k="doc_id", t="documents")})""")
 def token_multisets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K5: token counts of every whole text."""
     return D.token_counts(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-_TOKENS = "SELECT k, token, count(*) AS n FROM (SELECT {k} AS k, unnest(regexp_extract_all(lower(text), '[a-z]+|[0-9]+')) AS token FROM {t}) GROUP BY ALL"
-
-
 @query(f"""WITH s AS ({_TOKENS.format(k="item_id", t="benchmark")}), l AS ({_TOKENS.format(k="doc_id", t="documents")}), ss AS (SELECT k, sum(n) AS t FROM s GROUP BY 1), ls AS (SELECT k, sum(n) AS t FROM l GROUP BY 1),
  p AS (SELECT s.k AS a, l.k AS b, sum(least(s.n, l.n)) AS o FROM s JOIN l USING (token) GROUP BY ALL), q AS (SELECT a, b, o / least(ss.t, ls.t) AS score FROM p JOIN ss ON ss.k = a JOIN ls ON ls.k = b WHERE ss.t >= 40 AND ls.t >= 40),
  r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS i, lead(score) OVER (PARTITION BY a ORDER BY score DESC, b) AS nx FROM q WHERE a <> b) SELECT a AS item_id, b AS doc_id, round(score, 9) AS score FROM r WHERE i = 1 AND score >= 0.95 AND score - coalesce(CASE WHEN nx >= 0.85 THEN nx END, 0) >= 0.1""")
@@ -94,7 +95,7 @@ def table_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.width_problems(t, "page_id", "line", "row").select("page_id", "line", "width", "usual")
 
 
-@query("""WITH a AS (SELECT doc_id AS k, unnest(regexp_extract_all(lower(text), '[a-z]+|[0-9]+')) AS token FROM documents), r AS (SELECT k, token, count(*) AS n FROM a GROUP BY ALL) SELECT k AS doc_id, sum(n - n // 2)::BIGINT AS missing, count(*) AS tokens FROM r GROUP BY 1""")
+@query(f"""WITH r AS ({_TOKENS.format(k="doc_id", t="documents")}) SELECT k AS doc_id, sum(n - n // 2)::BIGINT AS missing, count(*) AS tokens FROM r GROUP BY 1""")
 def missing_token_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens that a candidate with half of each count lacks."""
     r = D.token_counts(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -117,11 +118,10 @@ def table_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def fuzzy_chunk_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Headings of pages with even and odd ids (two versions) matched one to one within a language."""
-    h = F.regexp_extract("html", "<h1>([^<]*)</h1>", 1)
-    p = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", 'lang="(\\w+)"', 1).alias("lang"), h.alias("h"))
-    left, right = p.where("page_id % 2 = 0").withColumnRenamed("page_id", "old_id"), p.where("page_id % 2 = 1").withColumnRenamed("page_id", "new_id")
-    return D.fuzzy_pairs(left, right, "old_id", "new_id", ["lang"], "h", 0.6)
+    """Documents with even and odd ids (two versions) matched one to one within a language."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    left, right = d.where("doc_id % 2 = 0").withColumnRenamed("doc_id", "old_id"), d.where("doc_id % 2 = 1").withColumnRenamed("doc_id", "new_id")
+    return D.fuzzy_pairs(left, right, "old_id", "new_id", ["lang"], "text").withColumn("score", F.round("score", 9))
 
 
 @query()

@@ -75,8 +75,8 @@ def endpoint_freundlich(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH a AS (SELECT *, c0 * (1 - f) AS ce1, 1000 * f / (d * (1 - f)) AS kd1, c0 - q * d / 1000 AS ce2, 1 + kl * (d / 1000 * qm - c0) AS b FROM ({_A})), l AS (SELECT *, {_LANGMUIR} AS ce3 FROM a),
- s AS (SELECT l_orderkey, l_linenumber, list_filter([CASE WHEN f > 0 AND d > 0 AND ce1 > 0 AND ce1 < c0 THEN {{'a': (f > 0.95)::INT + (f < 0.05)::INT, 'b': 0, 'o': 0, 's': 'removal', 'kd': kd1}} END, CASE WHEN ce2 > 0 AND ce2 < c0 AND q > 0 THEN {{'a': (ce2 < 0.05 * c0)::INT, 'b': 0, 'o': 1, 's': 'uptake', 'kd': q / ce2}} END,
- CASE WHEN ce3 > 0 AND ce3 < c0 AND r2l >= 0.9 THEN {{'a': 0, 'b': 1, 'o': 2, 's': 'Langmuir', 'kd': qm * kl / (1 + kl * ce3)}} END], lambda x: x IS NOT NULL) AS c FROM l)
+ s AS (SELECT l_orderkey, l_linenumber, list_filter([CASE WHEN f > 0 AND d > 0 AND ce1 > 0 AND ce1 < c0 THEN {{'a': (ce1 <= 1e-5 OR 1 - ce1 / c0 >= 0.99 OR 1 - ce1 / c0 <= 0.01)::INT, 'b': 0, 'o': 0, 's': 'removal', 'kd': kd1}} END, CASE WHEN ce2 > 0 AND ce2 < c0 AND q > 0 THEN {{'a': (ce2 <= 1e-5 OR 1 - ce2 / c0 >= 0.99 OR 1 - ce2 / c0 <= 0.01)::INT, 'b': 0, 'o': 1, 's': 'uptake', 'kd': q / ce2}} END,
+ CASE WHEN ce3 > 0 AND ce3 < c0 AND r2l >= 0.9 THEN {{'a': (ce3 <= 1e-5 OR 1 - ce3 / c0 >= 0.99 OR 1 - ce3 / c0 <= 0.01)::INT, 'b': 1, 'o': 2, 's': 'Langmuir', 'kd': qm * kl / (1 + kl * ce3)}} END], lambda x: x IS NOT NULL) AS c FROM l)
  SELECT l_orderkey, l_linenumber, list_sort(c)[1].s AS source, round(list_sort(c)[1].kd, 7) AS kd FROM s""")
 def endpoint_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The complete bundle of least risk, direct before fitted, then by rank."""
@@ -84,9 +84,9 @@ def endpoint_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _rows(spark, sf_dir).withColumns({"ce1": E.ce_from_removal(c("f"), c("c0")), "ce2": E.ce_from_uptake(c("c0"), c("q"), c("d")), "ce3": E.ce_langmuir(c("c0"), c("d"), c("qm"), c("kl"))})
     none = F.lit(None).cast("double")
     chosen = E.select_candidate([
-        E.candidate("removal", 0, False, E.kd_from_removal(c("f"), c("d")), c("ce1"), c("c0"), none, [c("f") > 0.95, c("f") < 0.05]),
-        E.candidate("uptake", 1, False, E.kd_from_uptake(c("q"), c("ce2")), c("ce2"), c("c0"), none, [c("ce2") < 0.05 * c("c0")]),
-        E.candidate("Langmuir", 2, True, E.q_langmuir(c("ce3"), c("qm"), c("kl")) / c("ce3"), c("ce3"), c("c0"), c("r2l"), []),
+        E.candidate("removal", 0, False, E.kd_from_removal(c("f"), c("d")), c("ce1"), c("c0"), none, [E.risk(c("ce1"), c("c0")).isNotNull()]),
+        E.candidate("uptake", 1, False, E.kd_from_uptake(c("q"), c("ce2")), c("ce2"), c("c0"), none, [E.risk(c("ce2"), c("c0")).isNotNull()]),
+        E.candidate("Langmuir", 2, True, E.q_langmuir(c("ce3"), c("qm"), c("kl")) / c("ce3"), c("ce3"), c("c0"), c("r2l"), [E.risk(c("ce3"), c("c0")).isNotNull()]),
     ])
     return d.withColumn("s", chosen).select("l_orderkey", "l_linenumber", c("s.source").alias("source"), _r("s.kd", 7).alias("kd"))
 
@@ -96,7 +96,7 @@ def endpoint_select(spark: SparkSession, sf_dir: str) -> DataFrame:
  concat_ws('; ', CASE WHEN f IS NULL THEN 'no removal' END, CASE WHEN c0 < 5 THEN 'low concentration' END, CASE WHEN f > 0 AND coalesce(abs(dn - l0) > 0.35, true) THEN 'unstable' END) AS reasons,
  CASE WHEN c0 < 5 THEN 'review_required' WHEN f IS NULL OR f <= 0 THEN 'not_computable' ELSE 'clean' END AS status FROM o""")
 def endpoint_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversion instability, block reasons, record status."""
+    """I9 (mass balance), I12, I16, I17: conversion instability, block reasons, record status."""
     c = F.col
     d = _rows(spark, sf_dir).withColumns({"spike": E.unstable(c("f"), True), "dip": E.unstable(c("f"), False)})
     reasons = E.block_reasons({"no removal": c("f").isNull(), "low concentration": c("c0") < 5, "unstable": c("dip")})
@@ -121,3 +121,12 @@ def ionic_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select("p_partkey", F.array(ion(F.lit("Na"), s / 1000), ion(F.lit("Ca"), s / 4000), ion(F.when(k % 5 == 0, "Xx").otherwise("Cl"), s / 800)).alias("species"), F.when(k % 3 == 0, s / 600).alias("reported"))
     ions = spark.createDataFrame([("Na", 1), ("Ca", 2), ("Cl", -1)], "ion string, z int")
     return E.ionic_strength(p, ["p_partkey"], "species", ions, "reported").select("p_partkey", _r("strength", 9).alias("strength"), (_r("balance", 9) + 0.0).alias("balance"), "note")
+
+
+@query(f"""SELECT l_orderkey, l_linenumber, coalesce(e < 1 AND bad, false) AS spike, coalesce(e > 1 AND bad, false) AS dip FROM (SELECT l_orderkey, l_linenumber, e, CASE WHEN f + 0.01 >= 1 THEN true WHEN f >= 0 AND f < 0.99 THEN abs((1 - e) * log10((1 - f) / (1 - f - 0.01))) > 0.35 ELSE false END AS bad
+ FROM (SELECT l_orderkey, l_linenumber, least(f * 1.6, 0.985) AS f, CASE WHEN ex > 0.6 THEN ex + 0.5 ELSE ex END AS e FROM ({_A})))""")
+def freundlich_instability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I9 (Freundlich): spikes for exponents below 1, dips above."""
+    c = F.col
+    spike, dip = E.unstable_freundlich(F.least(c("f") * 1.6, F.lit(0.985)), F.when(c("ex") > 0.6, c("ex") + 0.5).otherwise(c("ex")))
+    return _rows(spark, sf_dir).select("l_orderkey", "l_linenumber", spike.alias("spike"), dip.alias("dip"))

@@ -19,7 +19,7 @@ _REPORTED_DUCK = _REPORTED.replace("AS STRING", "AS VARCHAR")
 
 
 @query(
-    """SELECT event_type, count(*) AS n, count(*) FILTER (WHERE lower(trim(v)) IN ('', 'na', 'n/a', 'nan', 'none', 'null', 'not reported', 'unknown') OR v IS NULL) AS n_missing,
+    """SELECT event_type, count(*) AS n, count(*) FILTER (WHERE lower(trim(v)) IN ('', 'na', 'n/a', 'nan', 'none', 'null', 'not applicable') OR v IS NULL) AS n_missing,
  count(*) FILTER (WHERE coalesce(lower(trim(f)) IN ('1', 'true', 't', 'yes', 'y'), false)) AS n_true
  FROM (SELECT event_type, CASE event_id % 5 WHEN 0 THEN ' N/A ' WHEN 1 THEN NULL WHEN 2 THEN 'None' ELSE props END AS v,
        CASE event_id % 4 WHEN 0 THEN 'Yes' WHEN 1 THEN '1' WHEN 2 THEN NULL ELSE 'no' END AS f FROM events) GROUP BY event_type"""
@@ -31,10 +31,10 @@ def missing_token_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN p_size::DOUBLE WHEN 1 THEN p_size + 2.0 WHEN 2 THEN p_size + 5.0 ELSE NULL END AS number FROM part"""
+    f"""SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN p_size::DOUBLE WHEN 1 THEN p_size + 2.0 WHEN 2 THEN p_size + 5.0 WHEN 3 THEN (p_size + 1) / 2.0 ELSE NULL END AS number FROM part"""
 )
 def number_coerce(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """H4: full numbers, means of lists, midpoints of ranges."""
+    """H4: full numbers, means of lists, midpoints of ranges (and of a value and its uncertainty)."""
     return table(spark, sf_dir, "part").select("p_partkey", X.coerce_number(F.expr(_REPORTED)).alias("number"))
 
 
@@ -175,12 +175,23 @@ def multi_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """SELECT p_partkey, CASE WHEN p_partkey % 4 IN (0, 3) THEN round((p_size / 100.0 + 0.3) / 2, 9) WHEN p_partkey % 4 = 1 THEN 0.5 END AS value,
- CASE WHEN p_partkey % 4 = 2 THEN 'ash outside 0..1' WHEN p_partkey % 4 IN (0, 3) AND abs(p_size / 100.0 - 0.3) / ((p_size / 100.0 + 0.3) / 2) > 0.25 THEN 'ash values disagree' END AS note FROM part"""
-    .replace("THEN round((p_size / 100.0 + 0.3) / 2, 9) WHEN", "AND abs(p_size / 100.0 - 0.3) / ((p_size / 100.0 + 0.3) / 2) <= 0.25 THEN round((p_size / 100.0 + 0.3) / 2, 9) WHEN")
+ CASE WHEN p_partkey % 4 = 2 THEN 'ash outside 0..1' WHEN p_partkey % 4 IN (0, 3) AND abs(p_size / 100.0 - 0.3) / ((p_size / 100.0 + 0.3) / 2) > 0.10 THEN 'ash values disagree' END AS note FROM part"""
+    .replace("THEN round((p_size / 100.0 + 0.3) / 2, 9) WHEN", "AND abs(p_size / 100.0 - 0.3) / ((p_size / 100.0 + 0.3) / 2) <= 0.10 THEN round((p_size / 100.0 + 0.3) / 2, 9) WHEN")
 )
 def bounded_fractions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percents scaled, values out of bounds voided, means only of coherent values."""
     k, s = F.col("p_partkey") % 4, F.col("p_size")
     values = F.when(k == 1, F.array(F.lit(50.0))).when(k == 2, F.array(F.lit(0.2), F.lit(150.0))).otherwise(F.array(s / F.lit(100.0), F.lit(0.3)))
-    d = table(spark, sf_dir, "part").select("p_partkey", X.bounded_fraction(values, 0.25, "ash").alias("b"))
+    d = table(spark, sf_dir, "part").select("p_partkey", X.bounded_fraction(values, name="ash").alias("b"))
     return d.select("p_partkey", F.round("b.value", 9).alias("value"), "b.note")
+
+
+@query(
+    """SELECT p_partkey, CASE WHEN ok THEN c END AS c, CASE WHEN ok THEN n END AS n, CASE WHEN ok THEN NULL ELSE 'total above 1' END AS element_note FROM (SELECT p_partkey, round(c, 9) AS c, round(n, 9) AS n, c + n <= 1.001 AS ok
+ FROM (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN (p_size + 2) / 100 ELSE (p_size + 2) / 60 END AS c, CASE WHEN p_partkey % 2 = 0 THEN 0.5 / 100 ELSE 0.5 END AS n FROM part WHERE p_partkey % 2 = 0 OR p_size < 58))"""
+)
+def elemental_fractions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One content above 1 makes a row percents; totals above 1 void it."""
+    s, even = F.col("p_size"), F.col("p_partkey") % 2 == 0
+    p = table(spark, sf_dir, "part").where(even | (s < 58)).select("p_partkey", F.when(even, F.array(s + F.lit(2.0))).otherwise(F.array((s + 2) / F.lit(60.0))).alias("c"), F.array(F.lit(0.5)).alias("n"))
+    return X.elemental_fractions(p, ["c", "n"]).withColumns({c: F.round(c, 9) for c in ("c", "n")})

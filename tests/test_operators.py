@@ -26,12 +26,12 @@ def one(spark, expr, **values):
     return spark.createDataFrame([tuple(values.values())], schema).select(expr.alias("x")).first()[0]
 
 
-@pytest.mark.parametrize("text,want", [("12.5", 12.5), ("1e-3", 0.001), ("2; 4", 3.0), ("1, 2, 6", 3.0), ("10-20", 15.0), ("10–20", 15.0), ("abc", None), ("", None), (None, None), ("-5", -5.0)])
+@pytest.mark.parametrize("text,want", [("12.5", 12.5), ("1e-3", 0.001), ("2; 4", 3.0), ("1, 2, 6", 3.0), ("10-20", 15.0), ("10–20", 15.0), ("abc", None), ("", None), (None, None), ("-5", -5.0), ("about 7 mg", 7.0), ("5 ± 1", 3.0), ("1-3; 9", 2.0), ("4 to 6", 5.0)])
 def test_coerce_number(spark, text, want):
     assert one(spark, X.coerce_number(F.col("v")), v=text) == want
 
 
-@pytest.mark.parametrize("text,kind,centre", [("5 ± 1", "uncertainty", 5.0), ("5 +/- 1", "uncertainty", 5.0), ("3-7", "range", 5.0), ("3; 7", "list", None), ("42", "single", 42.0), ("none", "none", None), (None, "none", None)])
+@pytest.mark.parametrize("text,kind,centre", [("5 ± 1", "uncertainty", 5.0), ("5 +/- 1", "uncertainty", 5.0), ("3-7", "range", 5.0), ("3; 7", "list", None), ("42", "single", 42.0), ("1 && 2-3", "list", None), ("5 mg", "single", 5.0), ("5 mg, x", "single", 5.0), ("2 to 4", "range", 3.0), ("5 and 6", "none", None), ("none", "none", None), (None, "none", None)])
 def test_classify_value(spark, text, kind, centre):
     assert tuple(one(spark, X.classify_value(F.col("v")), v=text)) == (kind, centre)
 
@@ -201,12 +201,28 @@ def test_documents(spark):
 
 
 def test_fuzzy_pairs(spark):
-    a = ["the quick brown fox jumps over it", "a wholly different line of text", "the quick brown fox jumped over it"]
-    b = ["the quick brown fox jumps over him", "nothing like the others at all", "a wholly different line of texts"]
+    draw = np.random.default_rng(4)
+    base = [[f"w{i}" for i in draw.integers(0, 60, 40)] for _ in range(12)]
+    near = [[*t[:10], "new", *t[12:]] for t in base[:8]]
+    a = [" ".join(t) for t in base] + ["too short"]
+    b = [" ".join(t) for t in near] + [" ".join(base[0])] + ["too short"]
     l = spark.createDataFrame([(i, 1, t) for i, t in enumerate(a)], "i int, g int, t string")
     r = spark.createDataFrame([(j, 1, t) for j, t in enumerate(b)], "j int, g int, t string")
-    got = {(x["i"], x["j"]): x["score"] for x in D.fuzzy_pairs(l, r, "i", "j", ["g"], "t", 0.8).collect()}
-    assert set(got) == {(0, 0), (1, 2)} and got[1, 2] == pytest.approx(SequenceMatcher(None, a[1], b[2], autojunk=False).ratio())
+    got = {(x["i"], x["j"]): x["score"] for x in D.fuzzy_pairs(l, r, "i", "j", ["g"], "t").collect()}
+    assert set(got) == {(0, 8)} | {(i, i) for i in range(1, 8)}
+    for (i, j), score in got.items():
+        assert score == pytest.approx(SequenceMatcher(None, a[i].split(), b[j].split(), autojunk=False).ratio())
+
+
+def test_table_tokens(spark):
+    assert one(spark, D.table_tokens(F.col("v")), v="Ab 007 +1.50 -0 0.5 3.00 é x-2") == ["ab", "7", "1.5", "0", "0.5", "3", "x", "-2"]
+
+
+def test_freundlich_flags(spark):
+    rows = [(0.995, 0.5), (0.995, 1.5), (0.98, 0.2), (0.5, 0.5), (0.98, 1.0), (None, 0.5)]
+    spike, dip = E.unstable_freundlich(F.col("f"), F.col("e"))
+    got = [tuple(r) for r in spark.createDataFrame(rows, "f double, e double").select(spike, dip).collect()]
+    assert got == [(True, False), (False, True), (False, False), (False, False), (False, False), (False, False)]
 
 
 def test_components_and_cover(spark):
