@@ -64,9 +64,10 @@ def duplicate_content(df: DataFrame, text: str, by: Sequence[str] = ()) -> DataF
     return each.groupBy(*by).agg(F.sum("__n").alias("rows"), F.count(F.lit(1)).alias("different"), F.sum(F.col("__n") - 1).alias("copies"))
 
 
-def token_counts(df: DataFrame, key: str, text: str, tokens: Callable[[Column], Column] | None = None) -> DataFrame:
-    """(key, token, n): multiset of a text's tokens, those of tables unless others are asked for."""
-    return df.select(key, F.explode((tokens or table_tokens)(F.col(text))).alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("n"))
+def token_counts(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, token, n): multiset of a text's table tokens."""
+    rows = df.select(key, F.explode(raw_table_tokens(F.col(text))).alias("t")).select(key, plain_number(F.col("t")).alias("token"))
+    return rows.groupBy(key, "token").agg(F.count(F.lit(1)).alias("n"))
 
 
 def containment(small: DataFrame, large: DataFrame, small_key: str, large_key: str, least: float = 0.95, tokens: int = 40, margin: float = 0.10) -> DataFrame:
@@ -102,16 +103,20 @@ def content_tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(r"(?U)(\w+|[^\w\s])"), F.lit(1))
 
 
-def table_tokens(c: Column) -> Column:
-    """Letter runs, and numbers in plain form: no plus, no idle zeros."""
-    found = F.regexp_extract_all(F.lower(c), F.lit(r"([a-z]+|[-+]?\d+(?:\.\d+)?)"), F.lit(1))
+def plain_number(t: Column) -> Column:
+    """A number token without plus and idle zeros; other tokens as they are."""
+    n = F.regexp_replace(F.regexp_replace(t, r"^\+", ""), r"^(-?)0+([0-9])", "$1$2")
+    n = F.when(n.contains("."), F.regexp_replace(n, r"\.?0+$", "")).otherwise(n)
+    return F.when(t.rlike("[0-9]"), F.when(n.isin("-0", "-", ""), "0").otherwise(n)).otherwise(t)
+
 
-    def plain(t: Column) -> Column:
-        n = F.regexp_replace(F.regexp_replace(t, r"^\+", ""), r"^(-?)0+([0-9])", "$1$2")
-        n = F.when(n.contains("."), F.regexp_replace(n, r"\.?0+$", "")).otherwise(n)
-        return F.when(n.isin("-0", "-", ""), "0").otherwise(n)
+def raw_table_tokens(c: Column) -> Column:
+    """Letter runs and numbers."""
+    return F.regexp_extract_all(F.lower(c), F.lit(r"([a-z]+|[-+]?\d+(?:\.\d+)?)"), F.lit(1))
 
-    return F.transform(found, lambda t: F.when(t.rlike("[0-9]"), plain(t)).otherwise(t))
+
+def table_tokens(c: Column) -> Column:
+    return F.transform(raw_table_tokens(c), lambda t: plain_number(t))
 
 
 #: Fixed values of the matcher: similarity, tokens, margin, score that needs no margin.

@@ -61,17 +61,21 @@ def q_langmuir(ce: Column, qm: Column, kl: Column) -> Column:
     return qm * kl * ce / (1 + kl * ce)
 
 
-def ce_freundlich(c0: Column, dose: Column, kf: Column, exponent: Column, steps: int = 60) -> Column:
-    """Root of Ce + (D/1000) kf Ce^exponent = C0 by bisection on (0, C0), which always holds it."""
-    over = lambda x: x + dose / 1000 * kf * F.pow(x, exponent) > c0
-    start = F.struct(F.lit(0.0).alias("lo"), c0.alias("hi"))
+def ce_freundlich(c0: Column, dose: Column, kf: Column, exponent: Column, steps: int = 10) -> Column:
+    """Root of Ce + (D/1000) kf Ce^exponent = C0, which lies in (0, C0).
 
-    def halve(s: Column, _: Column) -> Column:
-        mid = (s["lo"] + s["hi"]) / 2
-        return F.struct(F.when(over(mid), s["lo"]).otherwise(mid).alias("lo"), F.when(over(mid), mid).otherwise(s["hi"]).alias("hi"))
+    In the logarithm of Ce, the logarithm of the left side is convex with a slope between exponent and 1, so Newton's
+    steps from the right end, min(C0, (C0 / a)^(1 / exponent)), fall to the root without passing it; some six reach it."""
+    a = dose / 1000 * kf
+    start = F.least(c0, F.pow(F.try_divide(c0, a), F.try_divide(F.lit(1.0), exponent)))
+    took = lambda x: a * F.pow(x, exponent)
 
-    root = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve, lambda s: (s["lo"] + s["hi"]) / 2)
-    return F.when((c0 > 0) & (dose > 0) & (kf > 0) & (exponent > 0), root)
+    def step(x: Column, _: Column) -> Column:
+        return x * F.exp(-F.ln((x + took(x)) / c0) * (x + took(x)) / (x + exponent * took(x)))
+
+    ok = (c0 > 0) & (dose > 0) & (kf > 0) & (exponent > 0)
+    root = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.when(ok, start), lambda x, i: F.when(x > 0, step(x, i)))
+    return F.when(ok & (root > 0) & (root < c0), root)
 
 
 def kd_at(ces: Sequence[float], qm: Column, kl: Column) -> dict[str, Column]:
@@ -95,13 +99,18 @@ def candidate(source: str, rank: int, fitted: bool, kd: Column, ce: Column, c0:
 
 def select_candidate(candidates: Sequence[Column]) -> Column:
     """The bundle of least risk: fewest risk reasons, direct before fitted, then by rank. Among fits whose R2 is within
-    the band of the best one rank decides, else R2."""
-    there = F.filter(F.array(*candidates), lambda c: c.isNotNull())
-    least = F.array_min(F.transform(there, lambda c: F.struct(c["risks"].alias("a"), c["fitted"].alias("b"))))
-    same = F.filter(there, lambda c: (c["risks"] == least["a"]) & (c["fitted"] == least["b"]))
-    best = F.array_max(F.transform(same, lambda c: c["r2"]))
-    near = F.filter(same, lambda c: (least["b"] == 0) | (best - c["r2"] <= R2_BAND))
-    return F.try_element_at(F.array_sort(F.transform(near, lambda c: F.struct(c["rank"].alias("o"), c.alias("c")))), F.lit(1))["c"]
+    the band of the best one rank decides, else R2.
+
+    Pass columns that are there already (not expressions): each is looked at several times. Structs are compared
+    field by field, so all of it is generated code."""
+    def of(f, cs: Sequence[Column]) -> Column:
+        return f(*cs) if len(cs) > 1 else cs[0]
+
+    least = of(F.least, [F.when(c.isNotNull(), F.struct(c["risks"].alias("a"), c["fitted"].alias("b"))) for c in candidates])
+    same = [(c["risks"] == least["a"]) & (c["fitted"] == least["b"]) for c in candidates]
+    best = of(F.greatest, [F.when(s, c["r2"]) for c, s in zip(candidates, same)])
+    near = [F.when(s & ((least["b"] == 0) | (best - c["r2"] <= R2_BAND)), F.struct(c["rank"].alias("o"), c.alias("c"))) for c, s in zip(candidates, same)]
+    return of(F.least, near)["c"]
 
 
 def unstable(f: Column, up: bool) -> Column:

@@ -62,12 +62,9 @@ def endpoint_langmuir(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows(spark, sf_dir).select("l_orderkey", "l_linenumber", _r(ce, 7).alias("ce"), solved.alias("solved"), _r(at["kd_at_1"], 7).alias("kd_at_1"), _r(at["kd_at_0.1"], 7).alias("kd_at_01"))
 
 
-_BISECT = "list_reduce(range(1, 61), lambda s, i: CASE WHEN (s[1] + s[2]) / 2 + d / 1000 * kf * pow((s[1] + s[2]) / 2, ex) > c0 THEN [s[1], (s[1] + s[2]) / 2] ELSE [(s[1] + s[2]) / 2, s[2]] END, [0::DOUBLE, c0])"
-
-
 @query(f"SELECT l_orderkey, l_linenumber, true AS solved FROM ({_A})")
 def endpoint_freundlich(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ce on a Freundlich curve by bisection; every root solves the balance to 1e-9. Values are tested against numpy."""
+    """Ce on a Freundlich curve; every root solves the balance to 1e-9. Values are tested against numpy."""
     c = F.col
     ce = E.ce_freundlich(c("c0"), c("d"), c("kf"), c("ex"))
     d = _rows(spark, sf_dir).withColumn("ce", ce)
@@ -83,12 +80,13 @@ def endpoint_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
     d = _rows(spark, sf_dir).withColumns({"ce1": E.ce_from_removal(c("f"), c("c0")), "ce2": E.ce_from_uptake(c("c0"), c("q"), c("d")), "ce3": E.ce_langmuir(c("c0"), c("d"), c("qm"), c("kl"))})
     none = F.lit(None).cast("double")
-    chosen = E.select_candidate([
+    bundles = [
         E.candidate("removal", 0, False, E.kd_from_removal(c("f"), c("d")), c("ce1"), c("c0"), none, [E.risk(c("ce1"), c("c0")).isNotNull()]),
         E.candidate("uptake", 1, False, E.kd_from_uptake(c("q"), c("ce2")), c("ce2"), c("c0"), none, [E.risk(c("ce2"), c("c0")).isNotNull()]),
         E.candidate("Langmuir", 2, True, E.q_langmuir(c("ce3"), c("qm"), c("kl")) / c("ce3"), c("ce3"), c("c0"), c("r2l"), [E.risk(c("ce3"), c("c0")).isNotNull()]),
-    ])
-    return d.withColumn("s", chosen).select("l_orderkey", "l_linenumber", c("s.source").alias("source"), _r("s.kd", 7).alias("kd"))
+    ]
+    d = d.withColumns({f"b{i}": b for i, b in enumerate(bundles)})
+    return d.withColumn("s", E.select_candidate([c(f"b{i}") for i in range(len(bundles))])).select("l_orderkey", "l_linenumber", c("s.source").alias("source"), _r("s.kd", 7).alias("kd"))
 
 
 @query(f"""WITH o AS (SELECT l_orderkey, l_linenumber, f, c0, CASE WHEN f > 0 THEN log10(f / (1 - f)) END AS l0, CASE WHEN f > 0 AND f + 0.01 < 1 THEN log10((f + 0.01) / (1 - f - 0.01)) END AS up, CASE WHEN f > 0.01 THEN log10((f - 0.01) / (1 - f + 0.01)) END AS dn FROM ({_A}))
