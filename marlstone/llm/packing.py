@@ -32,7 +32,7 @@ from tokenizers import Tokenizer
 from .common import Scratch, cells_for, group_key, ranked, slice60
 
 LENGTH, END = 2048, 1
-_HELD = 1 << 19
+_HELD, _LONG = 1 << 19, 64
 
 
 class Encoder(dict):
@@ -51,7 +51,8 @@ class Encoder(dict):
             self.clear()
         alone = not part or part[0].isspace() or part[-1].isspace()
         found = None if alone else array.array("I", self.parts.encode_ordinary(" " + part)).tobytes()
-        self[part] = found
+        if len(part) <= _LONG:
+            self[part] = found
         return found
 
     def ids(self, text: str) -> bytes:
