@@ -186,3 +186,17 @@ def cumulative_share(df: DataFrame, value: str, tie: str, by: Sequence[str] = ()
     down = w.orderBy(F.desc(value), F.asc(tie))
     total = F.sum(value).over(w)
     return df.withColumns({"place": F.row_number().over(down), "share": F.col(value) / total, "running": F.sum(value).over(down.rowsBetween(Window.unboundedPreceding, 0)) / total})
+
+
+def metrics_by_availability(df: DataFrame, features: Sequence[str], y: str, guess: str, weight: str | None = None) -> DataFrame:
+    """(feature, present, n, mae, rmse, r2): the metrics where each feature is there and where it is not."""
+    w = F.col(weight).alias("__w") if weight else F.lit(1.0).alias("__w")
+    tall = df.select(y, guess, w, F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).isNotNull().alias("present")) for f in features])).alias("s")).select(y, guess, "__w", "s.*")
+    return tall.groupBy("feature", "present").agg(*[v.alias(k) for k, v in regression(F.col(y), F.col(guess), F.col("__w")).items()])
+
+
+def stability(df: DataFrame, config: str, run: str, feature: str) -> DataFrame:
+    """(config, feature, selected, runs, share): in how many of a configuration's runs a feature was selected."""
+    runs = df.groupBy(config).agg(F.count_distinct(run).alias("runs"))
+    each = df.groupBy(config, feature).agg(F.count_distinct(run).alias("selected"))
+    return each.join(runs, config).withColumn("share", F.col("selected") / F.col("runs"))

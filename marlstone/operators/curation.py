@@ -176,3 +176,38 @@ def screen_residuals(df: DataFrame, assignment: str, residual: str, candidates:
     tall = df.select(assignment, residual, F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in candidates])).alias("s")).select(assignment, residual, "s.*")
     each = tall.where(F.col("v").isNotNull() & F.col(residual).isNotNull()).groupBy("feature", assignment).agg(F.count(F.lit(1)).alias("n"), correlation("v", residual).alias("r")).where(F.col("n") >= least)
     return each.groupBy("feature").agg(F.count("r").alias("assignments"), F.when(F.min("r") > 0, 1).when(F.max("r") < 0, -1).otherwise(0).alias("sign"), median("r").alias("strength"))
+
+
+def convert_all(df: DataFrame, specs: Mapping[str, tuple[str, str, str | None]], molar_mass: Column | None = None) -> DataFrame:
+    """A column `<name>_std` and `<name>_reason` for each spec name -> (unit column, dimension, dimension below or None)."""
+    out = df.withColumns({f"__{c}": X.convert(F.col(c).cast("double"), F.col(u), over, under, molar_mass) for c, (u, over, under) in specs.items()})
+    out = out.withColumns({f"{c}_std": F.col(f"__{c}.value") for c in specs} | {f"{c}_reason": F.col(f"__{c}.reason") for c in specs})
+    return out.drop(*[f"__{c}" for c in specs])
+
+
+def range_context(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Ranges and lists keep their text in `<column>_context` and lose the scalar; uncertain values keep their centre."""
+    out = df.withColumns({f"__{c}": X.classify_value(F.col(c)) for c in columns})
+    wide = {c: F.col(f"__{c}.kind").isin("range", "list") for c in columns}
+    out = out.withColumns({f"{c}_context": F.when(w, F.col(c)) for c, w in wide.items()})
+    return out.withColumns({c: F.when(~w, F.col(f"__{c}.centre")) for c, w in wide.items()}).drop(*[f"__{c}" for c in columns])
+
+
+def plausible_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, slots: int = 4) -> DataFrame:
+    """Pairs of canonical ids (left.key, right.key) with equal slots whose condition tokens don't contradict.
+
+    Contradictions: one side's tokens are a strict subset of the other's; both give a value for the same subject (the text
+    before `=`) and the values differ."""
+    parts = lambda d, i, n: d.where(F.col("key").isNotNull()).select(i, F.array_join(F.slice(F.split("key", r"\|"), 1, slots - 1), "|").alias("head"), F.split(F.element_at(F.split("key", r"\|"), slots), ",").alias(n))
+    pairs = parts(left, left_id, "a").join(parts(right, right_id, "b"), "head")
+    subset = lambda x, y: (F.size(F.array_except(x, y)) == 0) & (F.size(F.array_except(y, x)) > 0)
+    subject = lambda t: F.split(t, "=")[0]
+    differ = F.exists("a", lambda s: F.exists("b", lambda t: (subject(s) == subject(t)) & (s != t) & s.contains("=") & t.contains("=")))
+    return pairs.where(~subset("a", "b") & ~subset("b", "a") & ~differ).select(left_id, right_id)
+
+
+def replace_texts(df: DataFrame, decisions: DataFrame, key: str, column: str) -> DataFrame:
+    """decisions(key, old, new): the approved old text becomes the new one wherever the row's cell holds it; `replaced` says so."""
+    d = decisions.select(F.col(key), F.col("old").alias("__old"), F.col("new").alias("__new"))
+    out = df.join(d, key, "left").withColumn("replaced", F.coalesce(F.col(column).contains(F.col("__old")), F.lit(False)))
+    return out.withColumn(column, F.when(F.col("replaced"), F.replace(F.col(column), F.col("__old"), F.col("__new"))).otherwise(F.col(column))).drop("__old", "__new")

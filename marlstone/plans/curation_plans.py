@@ -173,3 +173,50 @@ def entity_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An entity with one incomplete row fails as a whole and is listed."""
     bad = (F.col("p_size") % 7 == 0) & (F.col("p_retailprice") > 1500)
     return table(spark, sf_dir, "part").groupBy("p_brand").agg(F.count(F.lit(1)).alias("rows"), F.bool_or(bad).alias("failed"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 3 = 0 THEN l_quantity * 1000 WHEN l_partkey % 3 = 1 THEN l_quantity END AS mass_std, CASE WHEN l_partkey % 3 = 2 THEN 'unit mismatch' END AS mass_reason, round(l_discount * 24, 9) AS time_std, NULL::VARCHAR AS time_reason FROM lineitem""")
+def unit_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several columns converted by a table of specs."""
+    k = F.col("l_partkey") % 3
+    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("mass"), F.when(k == 0, "g").when(k == 1, "mg").otherwise("L").alias("mass_unit"), F.col("l_discount").alias("time"), F.lit("days").alias("time_unit"))
+    out = C.convert_all(l, {"mass": ("mass_unit", "mass", None), "time": ("time_unit", "time", None)})
+    return out.select("l_orderkey", "l_linenumber", "mass_std", "mass_reason", F.round("time_std", 9).alias("time_std"), "time_reason")
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_size::DOUBLE WHEN 3 THEN p_size::DOUBLE END AS ph, CASE p_partkey % 4 WHEN 1 THEN p_size || '-' || (p_size + 2) WHEN 2 THEN p_size || '; 9' END AS ph_context FROM part""")
+def range_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges and lists as context text, uncertain values by their centre."""
+    k, t = F.col("p_partkey") % 4, F.col("p_size").cast("string")
+    ph = F.when(k == 0, t).when(k == 1, F.concat(t, F.lit("-"), (F.col("p_size") + 2).cast("string"))).when(k == 2, F.concat(t, F.lit("; 9"))).otherwise(F.concat(t, F.lit(" ± 0.2")))
+    return C.range_context(table(spark, sf_dir, "part").select("p_partkey", ph.alias("ph")), ["ph"]).select("p_partkey", "ph", "ph_context")
+
+
+@query("""SELECT a.p_partkey AS left_id, b.p_partkey AS right_id FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey % 2 = 0 AND b.p_partkey % 2 = 1 WHERE (a.p_partkey % 3 = b.p_partkey % 3 OR (a.p_partkey % 3 = 2 AND b.p_partkey % 3 = 0) OR (a.p_partkey % 3 = 0 AND b.p_partkey % 3 = 2))""")
+def plausible_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of composite ids with equal slots whose conditions don't contradict."""
+    k, p = F.col("p_partkey") % 3, table(spark, sf_dir, "part")
+    cond = F.when(k == 0, "ph=7,dark").when(k == 1, "ph=8").otherwise("ph=7,stirred")
+    make = lambda d, n: d.select(F.col("p_partkey").alias(n), C.canonical_id(F.concat_ws("|", "p_brand", F.col("p_size").cast("string"), F.lit("w"), cond)).alias("key"))
+    return C.plausible_pairs(make(p.where("p_partkey % 2 = 0"), "left_id"), make(p.where("p_partkey % 2 = 1"), "right_id"), "left_id", "right_id")
+
+
+@query("""SELECT conv_id, turn, CASE WHEN conv_id % 2 = 0 THEN replace(text, 'the', 'THE') ELSE text END AS text, conv_id % 2 = 0 AND contains(text, 'the') AS replaced FROM conversations""")
+def text_replacements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Approved replacements wherever the text stands."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    d = c.where("conv_id % 2 = 0").select("conv_id", F.lit("the").alias("old"), F.lit("THE").alias("new")).distinct()
+    return C.replace_texts(c, d, "conv_id", "text").select("conv_id", "turn", "text", "replaced")
+
+
+@query("""SELECT feature, present, count(*) AS n, round(avg(abs(y - g)), 6) AS mae FROM (SELECT y, g, unnest(['tax', 'discount']) AS feature, unnest([l_tax > 0.01, l_discount > 0.02]) AS present FROM (SELECT l_extendedprice / 1000 AS y, l_quantity AS g, l_tax, l_discount FROM lineitem)) GROUP BY ALL""")
+def metrics_by_availability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics where a feature is present and where it is missing."""
+    l = table(spark, sf_dir, "lineitem").select((F.col("l_extendedprice") / 1000).alias("y"), F.col("l_quantity").alias("g"), F.when(F.col("l_tax") > 0.01, 1).alias("tax"), F.when(F.col("l_discount") > 0.02, 1).alias("discount"))
+    return A.metrics_by_availability(l, ["tax", "discount"], "y", "g").select("feature", "present", "n", F.round("mae", 6).alias("mae"))
+
+
+@query("""SELECT l_returnflag, l_partkey, count(DISTINCT l_suppkey) AS selected, any_value(r.runs) AS runs, round(count(DISTINCT l_suppkey) / any_value(r.runs), 9) AS share FROM lineitem JOIN (SELECT l_returnflag, count(DISTINCT l_suppkey) AS runs FROM lineitem GROUP BY 1) r USING (l_returnflag) GROUP BY ALL""")
+def feature_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In how many runs of a configuration a feature was selected; flags, suppliers and parts stand for them."""
+    return A.stability(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_suppkey", "l_partkey").withColumn("share", F.round("share", 9))

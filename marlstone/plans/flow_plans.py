@@ -79,3 +79,24 @@ def projections_and_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     writers.write_bundle(spark, f"{at}/bundle", {k: spark.read.parquet(f"{at}/{k}") for k in ("all", "open")}, {"of": "orders"})
     _, tables = writers.read_bundle(spark, f"{at}/bundle")
     return tables["all"].agg(F.lit("all").alias("part"), F.count(F.lit(1)).alias("n")).unionByName(tables["open"].agg(F.lit("open").alias("part"), F.count(F.lit(1)).alias("n")))
+
+
+@query("""SELECT s_suppkey, s_acctbal FROM supplier WHERE s_acctbal >= 0 AND s_suppkey % 5 <> 0""")
+def checked_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A4, A5: strict CSV import; rows with blank required cells or failed checks stay out. Text is escaped against formulas."""
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", readers.escaped_text(F.when(F.col("s_suppkey") % 5 != 0, F.concat(F.lit("=x"), "s_name"))).alias("s_name"), "s_acctbal")
+    at = f"{_folder(s)}/s.csv"
+    s.write.option("header", True).csv(at)
+    good, _ = readers.checked_csv(spark, at, "s_suppkey bigint, s_name string, s_acctbal double", ["s_name"], {"negative": F.col("s_acctbal").try_cast("double") >= 0, "formula": F.col("s_name").startswith("'=")})
+    return good.select("s_suppkey", "s_acctbal")
+
+
+@query("""SELECT r_regionkey AS run_id, n_nationkey::VARCHAR AS n_nationkey, n_regionkey::VARCHAR AS n_regionkey, r_name AS run_n_regionkey FROM nation JOIN region ON r_regionkey = n_regionkey WHERE r_regionkey <> 2""")
+def run_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A10: the same CSV of every finished run, with the run's metadata; clashing names get a prefix."""
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    at = _folder(n)
+    runs = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("run_id"), F.concat(F.lit(f"{at}/"), F.col("r_regionkey").cast("string")).alias("dir"), F.when(F.col("r_regionkey") == 2, "failed").otherwise("completed").alias("status"), F.col("r_name").alias("n_regionkey"))
+    for r in runs.collect():  # five runs
+        n.where(F.col("n_regionkey") == r["run_id"]).write.option("header", True).csv(f"{r['dir']}/m.csv")
+    return readers.collect_runs(spark, runs, "dir", "m.csv")
