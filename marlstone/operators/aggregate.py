@@ -185,7 +185,7 @@ def cumulative_share(df: DataFrame, value: str, tie: str, by: Sequence[str] = ()
     w = Window.partitionBy(*by)
     down = w.orderBy(F.desc(value), F.asc(tie))
     total = F.sum(value).over(w)
-    return df.withColumns({"place": F.row_number().over(down), "share": F.col(value) / total, "running": F.sum(value).over(down.rowsBetween(Window.unboundedPreceding, 0)) / total})
+    return df.withColumns({"place": F.row_number().over(down).cast("long"), "share": F.col(value) / total, "running": F.sum(value).over(down.rowsBetween(Window.unboundedPreceding, 0)) / total})
 
 
 def metrics_by_availability(df: DataFrame, features: Sequence[str], y: str, guess: str, weight: str | None = None) -> DataFrame:

@@ -107,7 +107,7 @@ def exclusion_reasons(requests: DataFrame, evidence: DataFrame, on: Sequence[str
 
 def best_matches(pairs: DataFrame, request: Sequence[str], order: Sequence[Column], most: int) -> DataFrame:
     """The first `most` pairs of each request, with their place."""
-    place = F.row_number().over(Window.partitionBy(*request).orderBy(*order))
+    place = F.row_number().over(Window.partitionBy(*request).orderBy(*order)).cast("long")
     return pairs.withColumn("place", place).where(F.col("place") <= most)
 
 

@@ -27,7 +27,7 @@ def diverse_top(df: DataFrame, by: Sequence[str], family: str, score: str, tie:
     own = df.withColumn("__family", kind)
     own = own.withColumns({"__in": F.row_number().over(Window.partitionBy(*by, "__family").orderBy(*order)), "__all": F.count(F.lit(1)).over(Window.partitionBy(*by))})
     late = (F.col("__all") > k) & (F.col("__in") > per_family)
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(late, *order))
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(late, *order)).cast("long")
     return own.withColumn("place", place).where(F.col("place") <= k).drop("__family", "__in", "__all")
 
 

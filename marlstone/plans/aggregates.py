@@ -351,4 +351,4 @@ def importance_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = (("quantity", F.col("l_quantity") / 50), ("discount", F.col("l_discount") * 10), ("tax", F.col("l_tax") * 10))
     tall = l.select(w.alias("w"), F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), v.alias("v")) for n, v in parts])).alias("s")).select("w", "s.*")
     i = tall.groupBy("feature").agg(_r(F.sum(F.col("w") * F.abs("v")) / F.sum("w")).alias("importance"))
-    return i.withColumn("place", F.rank().over(Window.orderBy(F.desc("importance"))))
+    return i.withColumn("place", F.rank().over(Window.orderBy(F.desc("importance"))).cast("long"))

@@ -82,7 +82,7 @@ def top_by_magnitude(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sort_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mixed directions with an explicit tiebreak, the first hundred (a top-k report)."""
     top = table(spark, sf_dir, "orders").select("o_orderpriority", "o_totalprice", "o_orderkey").orderBy("o_orderpriority", F.desc("o_totalprice"), "o_orderkey").limit(100)
-    return top.withColumn("place", F.row_number().over(Window.orderBy("o_orderpriority", F.desc("o_totalprice"), "o_orderkey")))  # 100 rows
+    return top.withColumn("place", F.row_number().over(Window.orderBy("o_orderpriority", F.desc("o_totalprice"), "o_orderkey")).cast("long"))  # 100 rows
 
 
 @query("""WITH e AS (SELECT c_mktsegment, list_distinct([quantile_cont(v, 0), quantile_cont(v, 0.25), quantile_cont(v, 0.5), quantile_cont(v, 0.75), quantile_cont(v, 1)]) AS e FROM (SELECT c_mktsegment, greatest(c_acctbal, 0) AS v FROM customer) GROUP BY 1)
