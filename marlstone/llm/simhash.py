@@ -5,8 +5,8 @@ XXH64 (seed 42) votes on 64 bits, and a bit is 1 if over half of the votes are.
 
 Search. All pairs of distinct fingerprints with at most `bits` differing bits are wanted. A ball of radius 4
 among 64 bits is too wide for triangle bounds: every node's boundary would hold most of the points. So the
-metric is split: of `parts` = bits // 2 + 1 bit ranges, two such fingerprints differ by at most one bit in
-one of them at least. Over each range stands a vantage-point tree with search radius 1. Its upper levels
+metric is split: of `parts` = bits // 2 + 1 (two at least) bit ranges, two such fingerprints differ by at most one bit in
+one of them at least. Over each range stands a vantage-point tree with search radius bits // parts, 1 for 4 bits. Its upper levels
 (vantage points and median distances, from a bounded sample of fingerprints) deal the fingerprints to
 shards: every fingerprint is a member of one shard; at a node, an inside point within the radius of the
 boundary also visits the outer shard, and a visitor goes on to each branch that the triangle inequality
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _ranges(bits: int) -> list[tuple[int, int]]:
-    parts = bits // 2 + 1
+    parts = max(2, bits // 2 + 1)  # 32 bits wide at most
     cuts = [64 * i // parts for i in range(parts + 1)]
     return [(a, (1 << (b - a)) - 1) for a, b in zip(cuts, cuts[1:])]
 

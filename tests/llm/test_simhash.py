@@ -76,6 +76,29 @@ def test_tree_finds_every_pair(depth):
     assert forest.settle().tolist() == plain_components([int(x) for x in fps])
 
 
+@pytest.mark.parametrize("bits", [0, 1, 2, 3, 6])
+def test_other_reaches(spark, bits):
+    draw = np.random.default_rng(bits)
+    base = draw.integers(0, 1 << 62, 60, dtype=np.int64)
+    fps = np.unique(np.concatenate([base, *[base ^ (1 << int(b)) for b in (3, 40)], base ^ (1 << 5) ^ (1 << 50)]))
+    found = simhash.links(spark.createDataFrame([(int(x),) for x in fps], "__fp long"), bits).collect()
+    root = {int(x): int(x) for x in fps}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for r in found:
+        assert (r.u ^ r.v).bit_count() <= 64
+        root[find(r.u)] = find(r.v)
+    for i, a in enumerate(map(int, fps)):
+        for b in map(int, fps[:i]):
+            if (a ^ b).bit_count() <= bits:
+                assert find(a) == find(b)
+    assert found if bits else not found
+
+
 def test_dense_ball_is_one_component():
     draw = np.random.default_rng(3)
     fps = np.unique(np.uint64(12345) ^ (np.uint64(1) << draw.integers(0, 64, 6000, dtype=np.uint64)) ^ (np.uint64(1) << draw.integers(0, 64, 6000, dtype=np.uint64)))
