@@ -228,7 +228,11 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A component whose ids are all null keeps one row for each of its different texts.
     """
-    found = near_duplicates(docs, id_col, text_col, shingle, bits)
+    return one_of_components(docs, near_duplicates(docs, id_col, text_col, shingle, bits), id_col, text_col)
+
+
+def one_of_components(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """one_of_each for components that are found already (columns as of near_duplicates)."""
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(group_key(F.col("component_id")).alias("__key"), "fingerprint").agg(F.min("text_hash").alias("__text"))
     first = kept.groupBy("__key").agg(F.min("__text").alias("__first"))
     kept = kept.join(first, "__key").where("__key = '1' or __text = __first").select("__key", "__text").distinct()
