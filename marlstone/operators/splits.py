@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .aggregate import correlation
+from .graph import cut
 
 #: Groups that a driver-side search takes at most; more raise an error rather than a silent sample.
 MOST_GROUPS = 1_000_000
@@ -225,33 +226,46 @@ def design_matrix(training: DataFrame, df: DataFrame, numeric: Sequence[str], ca
     return out.select(*df.columns)
 
 
-def density_support(training: DataFrame, query: DataFrame, key: str, features: Sequence[str], bandwidth: float | None = None, most: int = 4096) -> DataFrame:
+def density_support(training: DataFrame, query: DataFrame, key: str, features: Sequence[str], bandwidth: float | None = None, block: int = 2048) -> DataFrame:
     """(key, dissimilarity): 1 - density / largest density, Epanechnikov kernel on standardised features.
 
-    The density is that of the `most` training rows with the least hash of key, a bounded and documented sample;
-    every query row is scored. The bandwidth is Silverman's unless given (a stated difference from mean-shift rules)."""
+    The density is that of all training rows, the largest that of any training row; a denser query row has 0. Blocks of
+    query meet blocks of training, and a row's sums are added up. The bandwidth is Silverman's unless given (a stated
+    difference from mean-shift rules)."""
     stats = training.agg(*[x for c in features for x in (F.avg(c).alias(f"m{c}"), F.stddev_samp(c).alias(f"s{c}"))]).first()
     scale = {c: (stats[f"m{c}"], stats[f"s{c}"] or 1.0) for c in features}
-    z = lambda d: d.select(key, *[((F.col(c) - scale[c][0]) / scale[c][1]).alias(c) for c in features])
-    sample = z(training).dropna().orderBy(F.md5(F.col(key).cast("string"))).limit(most).toPandas()[list(features)].to_numpy()
-    n, d = max(1, len(sample)), len(features)
-    h = bandwidth or (4 / (d + 2) / n) ** (1 / (d + 4)) * 2.2
-
-    def density(x: np.ndarray) -> np.ndarray:
-        u = (((x[:, None, :] - sample[None]) / h) ** 2).sum(axis=2)
-        return np.maximum(1 - u, 0).sum(axis=1)
-
-    top = max((density(sample[i : i + 256]).max() for i in range(0, len(sample), 256)), default=0.0) or 1.0
+    z = lambda d: d.select(key, *[((F.col(c) - scale[c][0]) / scale[c][1]).alias(c) for c in features]).dropna(subset=list(features))
+    base, d = z(training), len(features)
+    n = base.count()
+    if not n:
+        return z(query).select(key, F.lit(1.0).alias("dissimilarity"))
+    h, kind = bandwidth or (4 / (d + 2) / n) ** (1 / (d + 4)) * 2.2, query.schema[key].dataType.simpleString()
+
+    def blocked(rows: DataFrame, many: int, name: str, first: Sequence[str]) -> DataFrame:
+        """Sorted, so that a row has the same place each time that its block is made."""
+        row = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(first)], F.array(*[F.col(c).cast("double") for c in features]).alias("v"))
+        return rows.groupBy(F.pmod(F.xxhash64(key, *features), F.lit(max(1, -(-many // block)))).alias(f"{name}b")).agg(F.sort_array(F.collect_list(row)).alias(f"{name}s"))
 
     def each(batches):
         import pandas as pd
 
-        for b in batches:
-            x = b[list(features)].to_numpy()
-            v = np.concatenate([density(x[i : i + 256]) for i in range(0, len(x), 256)]) if len(x) else np.zeros(0)
-            yield pd.DataFrame({key: b[key], "dissimilarity": 1 - v / top})
-
-    return z(query).dropna().mapInPandas(each, f"`{key}` {query.schema[key].dataType.simpleString()}, dissimilarity double")
+        for batch in batches:
+            for b, qs, ts in zip(batch["qb"], batch["qs"], batch["ts"]):
+                q, t = (np.array([list(r["v"]) for r in rows], np.float64) / h for rows in (qs, ts))
+                u = np.zeros((len(q), len(t)))
+                for i in range(d):
+                    u += (q[:, i, None] - t[None, :, i]) ** 2
+                yield pd.DataFrame({"b": b, "place": np.arange(len(q)), "key": [r["k0"] for r in qs], "v": np.maximum(1 - u, 0).sum(axis=1)})
+
+    def density(rows: DataFrame, many: int) -> DataFrame:
+        pairs = blocked(rows, many, "q", [key]).crossJoin(blocked(base, n, "t", []).repartition(max(1, -(-n // block))))  # block by block
+        found = pairs.select("qb", "qs", "ts").mapInPandas(each, f"b long, place long, key {kind}, v double")
+        return found.groupBy("b", "place", "key").agg(F.sum("v").alias("v")).select("key", "v")
+
+    own = cut(density(base, n), "density")
+    top = own.agg(F.max("v")).first()[0] or 1.0
+    rows = own if query is training else density(z(query), query.count())
+    return rows.select(F.col("key").alias(key), (1 - F.least(F.col("v") / top, F.lit(1.0))).alias("dissimilarity"))
 
 
 def nearest(query: DataFrame, base: DataFrame, key: str, vector: str, k: int = 1, block: int = 2048) -> DataFrame:

@@ -301,3 +301,20 @@ def test_entry_stands_without_the_corpus_subpackage(tmp_path):
     shutil.copy(here / "__spark_entry__.py", tmp_path)
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), any(k.startswith('op') and k[2].isdigit() for k in e.queries()))"], cwd=tmp_path, capture_output=True, text=True)
     assert said.stdout.split()[-1] == "False" and int(said.stdout.split()[-2]) > 100, said.stderr
+
+
+@pytest.mark.parametrize("bandwidth", [None, 0.3])
+def test_density_counts_every_training_row(spark, bandwidth):
+    n = 5000
+    x = np.random.default_rng(8).normal(size=(n, 2)) * [1, 20]
+    q = np.concatenate([x[:50], x[:1], [[9.0, 300.0]]])
+    table = lambda v: spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(v)], "k long, a double, b double")
+    z, y = x / x.std(axis=0, ddof=1), q / x.std(axis=0, ddof=1)
+    h = bandwidth or (1 / n) ** (1 / 6) * 2.2
+    plain = lambda p: np.array([np.maximum(1 - ((p[i] - z) ** 2).sum(axis=1) / h**2, 0).sum() for i in range(len(p))])
+    top = plain(z).max()
+    training = table(x)
+    for rows, points in ((table(q), y), (training, z)):
+        got = {r["k"]: r["dissimilarity"] for r in S.density_support(training, rows, "k", ["a", "b"], bandwidth).collect()}
+        assert [got[i] for i in range(len(points))] == pytest.approx(np.clip(1 - plain(points) / top, 0, 1).tolist(), abs=1e-9)
+    assert got and min(got.values()) == 0
