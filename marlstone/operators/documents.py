@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .graph import cut
+from .match import fifo_pairs
 
 
 
@@ -123,16 +124,20 @@ def table_tokens(c: Column) -> Column:
 LEAST, TOKENS, MARGIN, SURE = 0.82, 20, 0.03, 0.95
 
 
-def fuzzy_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, block: Sequence[str], text: str, least: float = LEAST, tokens: int = TOKENS, margin: float = MARGIN, sure: float = SURE, rounds: int = 50) -> DataFrame:
+def fuzzy_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, block: Sequence[str], text: str, least: float = LEAST, tokens: int = TOKENS, margin: float = MARGIN, sure: float = SURE) -> DataFrame:
     """One-to-one fuzzy matches within blocks: (left_id, right_id, score), by rounds of reciprocal bests.
 
     The score is a sequence matcher's on tokens. It is taken only of pairs whose lengths and common token multiset allow
     least - margin (the multiset's Dice score bounds it from above); such pairs are found by a left text's rarest tokens,
     of which they share one of the first few. A match is each side's best (ties by id), at least `least`, and `margin`
-    ahead of either side's next best unless it is `sure`. Matched rows leave, and rounds go on until none matches."""
+    ahead of either side's next best unless it is `sure`. Matched rows leave, and rounds go on until none matches. Equal
+    texts, which rounds would match n-th with n-th, one pair a round, are so matched beforehand."""
     keys, low = list(block), least - margin
     side = lambda d, i, n: d.select(i, *keys, content_tokens(F.col(text)).alias(n)).withColumn(f"{n}n", F.size(n)).where(F.col(f"{n}n") >= tokens)
     l, r = side(left, left_id, "__a"), side(right, right_id, "__b")
+    hashed = lambda d, n: d.withColumn("__h", F.md5(F.array_join(n, " ")))  # noqa: E731  tokens have no spaces
+    done = cut(fifo_pairs(hashed(l, "__a"), hashed(r, "__b"), [*keys, "__h"], left_id, right_id).select(left_id, right_id, F.lit(1.0).alias("score")), "equal")
+    l, r = l.join(done.select(left_id), left_id, "left_anti"), r.join(done.select(right_id), right_id, "left_anti")
     bag = lambda d, i, n: d.select(i, *keys, f"{n}n", F.explode(n).alias("t")).groupBy(i, *keys, f"{n}n", "t").agg(F.count(F.lit(1)).alias(f"{n}k"))
     a, b = bag(l, left_id, "__a"), bag(r, right_id, "__b")
     common = b.groupBy("t").agg(F.count(F.lit(1)).alias("__df"))
@@ -149,17 +154,18 @@ def fuzzy_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([SequenceMatcher(None, list(x), list(y), autojunk=False).ratio() for x, y in zip(a, b)], dtype=float)
 
-    scored, done = cut(texts.select(left_id, right_id, ratio("__a", "__b").alias("score")), "scored"), None
-    for i in range(rounds):
+    scored, i = cut(texts.select(left_id, right_id, ratio("__a", "__b").alias("score")), "scored"), 0
+    while True:
         wl, wr = Window.partitionBy(left_id).orderBy(F.desc("score"), right_id), Window.partitionBy(right_id).orderBy(F.desc("score"), left_id)
         best = scored.withColumns({"__l": F.row_number().over(wl), "__ln": F.lead("score").over(wl), "__r": F.row_number().over(wr), "__rn": F.lead("score").over(wr)})
         clear = F.col("score") - F.greatest(F.coalesce("__ln", F.lit(0.0)), F.coalesce("__rn", F.lit(0.0))) >= margin
         found = cut(best.where((F.col("__l") == 1) & (F.col("__r") == 1) & (F.col("score") >= least) & ((F.col("score") >= sure) | clear)).select(left_id, right_id, "score"), f"found{i}")
         if found.isEmpty():
-            break
-        done = found if done is None else done.unionByName(found)
+            return done
+        done, i = done.unionByName(found), i + 1
+        if i % 16 == 0:  # else a long run of rounds is a long plan
+            done = cut(done, f"done{i}")
         scored = cut(scored.join(found.select(left_id), left_id, "left_anti").join(found.select(right_id), right_id, "left_anti"), f"scored{i}")
-    return done if done is not None else scored.limit(0)
 
 
 def greedy_assignment(scores: DataFrame, group: str, left: str, right: str, score: str, threshold: float) -> DataFrame:

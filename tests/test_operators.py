@@ -214,6 +214,17 @@ def test_fuzzy_pairs(spark):
         assert score == pytest.approx(SequenceMatcher(None, a[i].split(), b[j].split(), autojunk=False).ratio())
 
 
+def test_fuzzy_pairs_of_many_copies(spark):
+    same, other = (" ".join(f"{p}{i}" for i in range(40)) for p in "uv")
+    near = other.replace("v7 ", "new ")
+    left = [(i, 1, same) for i in range(60)] + [(100 + i, 1, other) for i in range(3)] + [(i, 2, same) for i in range(200, 204)]
+    right = [(i, 1, same) for i in range(1000, 1058)] + [(1100 + i, 1, near) for i in range(4)] + [(i, 2, same) for i in range(1200, 1203)]
+    l, r = spark.createDataFrame(left, "i int, g int, t string"), spark.createDataFrame(right, "j int, g int, t string")
+    got = D.fuzzy_pairs(l, r, "i", "j", ["g"], "t").collect()
+    want = {(i, 1000 + i) for i in range(58)} | {(100 + i, 1100 + i) for i in range(3)} | {(200 + i, 1200 + i) for i in range(3)}
+    assert len(got) == len(want) and {(x["i"], x["j"]) for x in got} == want
+
+
 def test_table_tokens(spark):
     assert one(spark, D.table_tokens(F.col("v")), v="Ab 007 +1.50 -0 0.5 3.00 é x-2") == ["ab", "7", "1.5", "0", "0.5", "3", "x", "-2"]
 
