@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .graph import cut
+from .tables import cut
 from .match import fifo_pairs
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .aggregate import correlation
-from .graph import cut
+from .tables import cut
 
 #: Groups that a driver-side search takes at most; more raise an error rather than a silent sample.
 MOST_GROUPS = 1_000_000

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.udfs import with_identity_key
-from ..operators import graph
+from ..operators.tables import scratch_root
 from ..sources import readers, writers
 from ..streaming import append
 from .registry import Registry, table
@@ -19,7 +19,7 @@ query = plans.query
 
 def _folder(df: DataFrame) -> str:
     """A new folder in the session's checkpoint folder, or in this process's temporary one."""
-    return f"{graph.root(df.sparkSession)}/marlstone-{uuid.uuid4().hex}"
+    return f"{scratch_root(df.sparkSession)}/marlstone-{uuid.uuid4().hex}"
 
 
 @query("""SELECT event_id, user_id, event_type, value FROM events""")

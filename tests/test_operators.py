@@ -301,17 +301,35 @@ def test_ordered_columns(spark):
     assert shape.ordered_columns(df, ["b_*"], ["z"]).columns == ["z", "b_1", "b_2", "a"]
 
 
-def test_entry_stands_without_the_corpus_subpackage(tmp_path):
+@pytest.mark.parametrize("on_path", [False, True])
+def test_entry_stands_without_the_corpus_folders(tmp_path, on_path):
+    """A copy of the whole tree, corpus_pipeline.py included, without the two folders."""
+    import os
     import shutil
     import subprocess
     import sys
     from pathlib import Path
 
     here = Path(__file__).resolve().parent.parent
-    shutil.copytree(here / "marlstone", tmp_path / "marlstone", ignore=shutil.ignore_patterns("llm", "__pycache__"))
-    shutil.copy(here / "__spark_entry__.py", tmp_path)
-    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), any(k.startswith('op') and k[2].isdigit() for k in e.queries()))"], cwd=tmp_path, capture_output=True, text=True)
-    assert said.stdout.split()[-1] == "False" and int(said.stdout.split()[-2]) > 100, said.stderr
+    shutil.copytree(here, tmp_path / "r", ignore=shutil.ignore_patterns("llm", "__pycache__", ".git", ".pytest_cache"))
+    env = os.environ | ({"PYTHONPATH": str(here)} if on_path else {})
+    told = "import __spark_entry__ as e; print(len(e.queries()), any(k == 'pipeline' or k.startswith('op') and k[2].isdigit() for k in e.queries()))"
+    for gone in (None, tmp_path / "r" / "corpus_pipeline.py"):
+        if gone:
+            gone.unlink()
+        said = subprocess.run([sys.executable, "-c", told], cwd=tmp_path / "r", env=env, capture_output=True, text=True)
+        assert said.returncode == 0, said.stderr
+        assert said.stdout.split()[-1] == "False" and int(said.stdout.split()[-2]) > 100, said.stderr
+
+
+def test_entry_stands_without_a_library_of_the_corpus_operators(tmp_path):
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    told = "import sys; sys.modules['ahocorasick'] = None\nimport __spark_entry__ as e; print(len(e.queries()), 'op1_simhash' in e.queries())"
+    said = subprocess.run([sys.executable, "-c", told], cwd=Path(__file__).resolve().parent.parent, capture_output=True, text=True)
+    assert said.returncode == 0 and said.stdout.split()[-1] == "False" and "ahocorasick" in said.stderr, said.stderr
 
 
 @pytest.mark.parametrize("bandwidth", [None, 0.3])
