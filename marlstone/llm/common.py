@@ -1,48 +1,16 @@
-"""What the corpus operators share: scratch tables, distributed ranks, text conventions."""
+"""What the corpus operators share: text conventions, keys and hashes. Tables and ranks are the library's own."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words are maximal runs without these bytes (the white space that bytes.split() also knows).
-WORD = r"[^\x20\x09-\x0D]+"
-
-_own_root: str | None = None
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The cluster's shared folder; where none is set (tests), a temporary folder of this process."""
-    global _own_root
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found
-    if _own_root is None:
-        _own_root = tempfile.mkdtemp(prefix="marlstone-")
-        atexit.register(shutil.rmtree, _own_root, ignore_errors=True)
-    return _own_root
-
-
-class Scratch:
-    """Tables in the shared folder that cut lineage: a lost executor costs a reread, not a recomputation."""
+from ..operators.tables import Scratch, ranked
 
-    def __init__(self, spark: SparkSession):
-        self.spark, self.path = spark, f"{scratch_root(spark)}/marlstone-{uuid.uuid4().hex}"
+__all__ = ["WORD", "Scratch", "group_key", "hash60", "own_columns", "parts_for", "ranked"]
 
-    def table(self, df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
-        path, writer = f"{self.path}/{name}", df.write.option("compression", "zstd")
-        (writer.partitionBy(*by) if by else writer).parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, name: str) -> None:
-        """Frees a table that no later plan reads."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+#: Words are maximal runs without these bytes (the white space that bytes.split() also knows).
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def group_key(c: Column) -> Column:
@@ -56,42 +24,10 @@ def hash60(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
-def slice60(h: Column, n: int) -> Column:
-    """The one of n equal slices of the 60-bit range that h is in; grows with h."""
-    return F.floor(F.shiftright(h, 28).cast("double") * F.lit(float(n)) / F.lit(float(1 << 32))).cast("long")
-
-
-def ranked(df: DataFrame, group: list[str], levels: list[str], order: list[Column], pos: str, total: str, facts: DataFrame | None = None) -> DataFrame:
-    """Adds each row's position (from 0) and the row count within its group, sorted by levels, then order.
-
-    facts: a table with one row per group, whose columns are added by way of the counts.
-
-    No task holds a group: rows are counted by (group, levels) with partial sums, only these counts are
-    summed up in order, and single rows are numbered within one (group, levels) cell. The caller picks the
-    levels so that a cell is small and a level's values within the level above are few. Columns of group
-    and levels must not be null.
-    """
-    keys, n, start = [*group, *levels], "__cells_n", "__cells_start"
-    cells = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(n))
-    offsets = None
-    for depth in range(1, len(levels) + 1):
-        at = [*group, *levels[:depth]]
-        here = cells if depth == len(levels) else cells.groupBy(*at).agg(F.sum(n).alias(n))
-        up = Window.partitionBy(*at[:-1]) if len(at) > 1 else Window.partitionBy(F.lit(0))
-        here = here.withColumn(start, F.sum(n).over(up.orderBy(at[-1]).rowsBetween(Window.unboundedPreceding, -1)))
-        here = here.withColumn(start, F.coalesce(start, F.lit(0)))
-        if depth == 1:
-            here = here.withColumn(total, F.sum(n).over(up))
-            offsets = here
-        else:
-            above = offsets.select(*at[:-1], F.col(start).alias("__cells_above"), total)
-            offsets = here.join(above, at[:-1]).withColumn(start, F.col(start) + F.col("__cells_above")).drop("__cells_above")
-    if facts is not None:
-        offsets = offsets.join(facts, group)
-    row = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
-    rows = df.withColumn(pos, row.cast("long")).join(offsets.drop(n), keys)
-    return rows.withColumn(pos, F.col(pos) + F.col(start)).drop(start)
+def own_columns(df: DataFrame) -> Column:
+    """All columns of df as one struct, so that none can clash with a column that an operator adds."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
 
 
-def cells_for(rows: int, per_cell: int = 512) -> int:
-    return max(1, -(-rows // per_cell))
+def parts_for(rows: int, each: int) -> int:
+    return max(1, -(-rows // each))

@@ -8,7 +8,9 @@ by (size, hash of seed and doc_id); the expected copies are summed up along the
 (from the seed) is added, and a document is emitted once for each integer that its stretch crosses. As equal
 sizes stand together, a source's words miss its target by about one long document at most.
 
-Edge cases. Null text, or text of white space: size 0, taken 0. Null source: a source of its own, the last.
+Positions come from a range-dealt table (operators/tables.py): no task holds a source or a size.
+
+Edge cases. Very long texts are counted whole and move as a row. Null text, or text of white space: size 0, taken 0. Null source: a source of its own, the last.
 Null or repeated doc_id: every row is a document; equal rows may swap places, which changes no result.
 A source of size 0: target 0. Empty table: no rows. Other columns are ignored by `mix` and kept by `resample`.
 """
@@ -20,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch, cells_for, group_key, hash60, ranked, slice60
+from .common import WORD, Scratch, group_key, hash60, own_columns, ranked
 
 WEIGHTS = (5, 2, 1)
 
@@ -49,11 +51,10 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = 1
     return s.select("__key", "__source_size", target.alias("__target"))
 
 
-def _copies(sized: DataFrame, rows: int, seed: str, weights: Sequence[int], share: float, cap: int) -> DataFrame:
+def _copies(sized: DataFrame, scratch: Scratch, seed: str, weights: Sequence[int], share: float, cap: int) -> DataFrame:
     """sized(__id, __key, __size, __h, ...) with __source_size, __target and __copies."""
-    sized = sized.withColumn("__cell", slice60(F.col("__h"), cells_for(rows)))
-    order = [F.col("__h"), F.col("__id")]
-    mixed = ranked(sized, ["__key"], ["__size", "__cell"], order, "__pos", "__n", targets(sized, weights, share, cap))
+    per_source = lambda rows: targets(rows.select("__key", "__size"), weights, share, cap)
+    mixed = ranked(sized, ["__key"], ["__size", "__h", "__id"], "__pos", "__n", scratch, "line", per_source)
     each = F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(F.lit(0.0))
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.col("__key"))), 1, 4), 16, 10).cast("double") / 65536.0
     mixed = mixed.withColumn("__each", each).withColumn("__u", offset)
@@ -67,14 +68,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     scratch = Scratch(docs.sparkSession)
     sized = docs.select(F.col(id_col).alias("__id"), group_key(F.col(source_col)).alias("__key"), words(F.col(text_col)).alias("__size"))
     sized = scratch.table(sized.withColumn("__h", hash60(seed, F.col("__id"))), "sizes")
-    out = _copies(sized, sized.count(), seed, weights, share, cap)
+    out = _copies(sized, scratch, seed, weights, share, cap)
     return out.select(F.col("__id").alias("doc_id"), F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__copies") * F.col("__size")).alias("taken"))
 
 
 def resample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", weights: Sequence[int] = WEIGHTS, share: float = 1.5, cap: int = 2) -> DataFrame:
     """The mix itself: each row of docs as often as it is emitted, with all its columns. Rows cross one shuffle."""
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
-    sized = docs.select(row, F.col(id_col).alias("__id"), group_key(F.col(source_col)).alias("__key"), words(F.col(text_col)).alias("__size"))
+    scratch = Scratch(docs.sparkSession)
+    sized = docs.select(own_columns(docs).alias("__row"), F.col(id_col).alias("__id"), group_key(F.col(source_col)).alias("__key"), words(F.col(text_col)).alias("__size"))
     sized = sized.withColumn("__h", hash60(seed, F.col("__id")))
-    out = _copies(sized, docs.count(), seed, weights, share, cap).where("__copies > 0")
+    out = _copies(sized, scratch, seed, weights, share, cap).where("__copies > 0")
     return out.select("__row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))).alias("__i")).select("__row.*")

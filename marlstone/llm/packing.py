@@ -7,9 +7,12 @@ Sequences are numbered without gaps, longest bucket first, within a bucket by a
 
 Ids are those of the `tokenizers` library for the given file. Text is cut at single spaces, and the ids of
 each part are kept in a bounded table: BPE here never merges across " x", where x is no white space. Parts
-that stand beside other white space, and texts with a special token's string, are encoded whole.
+that stand beside other white space, and texts with a special token's string, are encoded whole; what holds a
+run of 4,096 white-space characters or more goes to `tokenizers`, as the faster library's pattern overflows its
+stack on very long ones.
 
-Edge cases. Null and empty texts: the end id alone, one piece of length 1. Null or repeated doc_id: each row
+Edge cases. Very long texts: ids of one text stand in memory at once, four bytes each; all its pieces are made.
+Null and empty texts: the end id alone, one piece of length 1. Null or repeated doc_id: each row
 is packed; equal rows share their bucket. Empty table: no rows. Other columns are ignored.
 """
 
@@ -17,6 +20,7 @@ from __future__ import annotations
 
 import array
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -29,10 +33,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from .common import Scratch, cells_for, group_key, ranked, slice60
+from .common import Scratch, group_key, ranked
 
 LENGTH, END = 2048, 1
-_HELD, _LONG = 1 << 19, 64
+_HELD, _LONG, _RUN = 1 << 19, 64, 1 << 12
+_WHITE = re.compile(rf"\s{{{_RUN}}}")
 
 
 class Encoder(dict):
@@ -46,11 +51,18 @@ class Encoder(dict):
             merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.parts = tiktoken.Encoding("parts", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})
 
+    def library(self, text: str) -> bytes:
+        return array.array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def fast(self, text: str) -> bytes:
+        """The fast library's pattern backtracks and overflows its stack on long white space."""
+        return self.library(text) if len(text) > _RUN and _WHITE.search(text) else array.array("I", self.parts.encode_ordinary(text)).tobytes()
+
     def __missing__(self, part: str) -> bytes | None:
         if len(self) >= _HELD:
             self.clear()
         alone = not part or part[0].isspace() or part[-1].isspace()
-        found = None if alone else array.array("I", self.parts.encode_ordinary(" " + part)).tobytes()
+        found = None if alone else self.fast(" " + part)
         if len(part) <= _LONG:
             self[part] = found
         return found
@@ -59,12 +71,12 @@ class Encoder(dict):
         if not text:
             return b""
         if any(s in text for s in self.specials):
-            return array.array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+            return self.library(text)
         first, *rest = text.split(" ")
         found = list(map(self.__getitem__, rest))
         if None in found or not first or first[-1].isspace():
-            return array.array("I", self.parts.encode_ordinary(text)).tobytes()
-        return array.array("I", self.parts.encode_ordinary(first)).tobytes() + b"".join(found)
+            return self.fast(text)
+        return self.fast(first) + b"".join(found)
 
 
 def cuts(n: int, most: int = LENGTH) -> list[tuple[int, int]]:
@@ -78,16 +90,18 @@ def cuts(n: int, most: int = LENGTH) -> list[tuple[int, int]]:
     return out
 
 
-def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, ranks: str | None = None, with_ids: bool = False) -> DataFrame:
-    """Per piece: doc_id, start, length, ids_crc32, doc_tokens, and on demand ids (array of int)."""
+def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, ranks: str | None = None, with_ids: bool | str = False) -> DataFrame:
+    """Per piece: doc_id, start, length, ids_crc32, doc_tokens, and on demand ids: an array of int (True), or binary,
+    little-endian unsigned ("binary": 16 bits an id if the vocabulary allows it, else 32)."""
     path, ranks = path or public_tokenizers.path("byte_bpe_50k.json"), ranks or public_tokenizers.path("byte_bpe_50k.tiktoken")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text"))
     schema = T.StructType([rows.schema["doc_id"], *[T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32", "doc_tokens")]])
     if with_ids:
-        schema = schema.add("ids", T.ArrayType(T.IntegerType()))
+        schema = schema.add("ids", T.BinaryType() if with_ids == "binary" else T.ArrayType(T.IntegerType()))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = Encoder(path, ranks), array.array("I", [END]).tobytes()
+        narrow = np.uint16 if encoder.whole.get_vocab_size() <= 1 << 16 else np.uint32
         for b in batches:
             which, out, ids = [], [], []
             for i, t in enumerate(b.column(1)):
@@ -97,20 +111,20 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
                     which.append(i)
                     out.append((start, length, zlib.crc32(own), n))
                     if with_ids:
-                        ids.append(np.frombuffer(own, np.int32))
+                        read = np.frombuffer(own, np.uint32)
+                        ids.append(read.astype(narrow).tobytes() if with_ids == "binary" else read.view(np.int32))
             if out:
                 columns = [b.column(0).take(pa.array(which)), *[pa.array(x, pa.int64()) for x in zip(*out)]]
-                yield pa.RecordBatch.from_arrays(columns + ([pa.array(ids, pa.list_(pa.int32()))] if with_ids else []), names=schema.names)
+                yield pa.RecordBatch.from_arrays(columns + ([pa.array(ids, pa.binary() if with_ids == "binary" else pa.list_(pa.int32()))] if with_ids else []), names=schema.names)
 
     return rows.mapInArrow(each, schema)
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """pieces with sequence_id and offset (0: a piece opens its sequence and fills it)."""
-    own = Scratch(docs.sparkSession).table(pieces(docs, id_col, text_col, **how), "pieces")
-    hashed = F.shiftrightunsigned(F.xxhash64(group_key(F.col("doc_id")), "start"), 4)
-    own_cells = own.withColumns({"__one": F.lit(0), "__short": -F.col("length"), "__h": hashed})
-    own_cells = own_cells.withColumn("__cell", slice60(F.col("__h"), cells_for(own.count(), 2048)))
-    order = [F.col(c) for c in ("__h", "doc_id", "start", "ids_crc32")]
-    packed = ranked(own_cells, ["__one"], ["__short", "__cell"], order, "sequence_id", "__n")
-    return packed.select(*own.columns, "sequence_id", F.lit(0).cast("long").alias("offset"))
+    scratch = Scratch(docs.sparkSession)
+    own = scratch.table(pieces(docs, id_col, text_col, **how), "pieces")
+    hashed = F.xxhash64(group_key(F.col("doc_id")), "start")
+    rows = own.withColumns({"__short": -F.col("length"), "__h": hashed})
+    rows = ranked(rows, [], ["__short", "__h", "doc_id", "start", "ids_crc32"], "sequence_id", "__n", scratch, "line")
+    return rows.select(*own.columns, "sequence_id", F.lit(0).cast("long").alias("offset"))
