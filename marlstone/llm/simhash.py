@@ -13,17 +13,26 @@ boundary also visits the outer shard, and a visitor goes on to each branch that
 leaves open. Within a shard the tree goes on, and its leaves compare full fingerprints. Every pair within
 reach meets in some leaf, whatever the vantage points are; these only decide how even the shards are.
 
+Hot shards. No tree can part fingerprints that are equal in its range, and the upper tree's size is bounded. So
+shards with more than MOST members are dealt again, by trees over three ranges of the bits outside of theirs (two
+fingerprints within reach differ by one bit at most in one of these, too), and those still as large a third time;
+by then 45 bits are used up, and 19 free bits bound what can be left. Within a shard, a leaf whose members are
+equal in the tree's range goes on with the other bits in the same way. No step is a cap: every pair still meets.
+
 Links. A shard sends no pairs on but a spanning forest of what its pairs connect, so a group of near copies
 costs as many rows as it has fingerprints. The forests' union has the components of all links.
 
-Edge cases. Null and empty texts: fingerprint 0, linked like any other. Exact copies share a fingerprint and
+Edge cases. Null and empty texts: fingerprint 0, linked like any other. Very long texts: votes are added up over
+blocks of 65,536 shingles; the text's words stand in memory once. Exact copies share a fingerprint and
 enter the search once. Null doc_id: the row has a component, whose id is the least doc_id that is not null
-(null if there is none). Repeated rows: each is returned. Empty table: no rows. Other columns are ignored.
+(null if there is none). Repeated rows: each is returned. Empty table: no rows. Other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +40,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, group_key
+from .common import Scratch, group_key, own_columns
 from .components import components
 from .words import lower_words, shingle_hashes
 
 SEED, SHINGLE, BITS = 42, 4, 4
-#: Fingerprints that the upper tree is fitted on, members that a shard shall have, and the upper tree's depth at most.
-SAMPLE, SHARD, DEPTH = 4096, 4096, 14
+#: Fingerprints that an upper tree is fitted on, members that a shard shall have, an upper tree's depth at most,
+#: members beyond which a shard is dealt again, and how often at most.
+SAMPLE, SHARD, DEPTH, MOST, LEVELS = 4096, 4096, 14, 1 << 16, 3
 LEAF = 192
 
 
@@ -62,12 +72,31 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(each, schema)
 
 
-def _ranges(bits: int) -> list[tuple[int, int]]:
+def _ranges(bits: int, width: int = 64) -> list[tuple[int, int]]:
+    """Of the `width` low bits: (shift, mask) of the ranges."""
     parts = max(2, bits // 2 + 1)  # 32 bits wide at most
-    cuts = [64 * i // parts for i in range(parts + 1)]
+    cuts = [width * i // parts for i in range(parts + 1)]
     return [(a, (1 << (b - a)) - 1) for a, b in zip(cuts, cuts[1:])]
 
 
+def _aside(fps: np.ndarray, at: tuple[int, int], width: int) -> tuple[np.ndarray, int]:
+    """The same fingerprints with a range of the low bits moved above the others, and how many low bits are left."""
+    own, one = at[1].bit_length(), np.uint64(1)
+    low, high = (one << np.uint64(at[0])) - one, np.uint64(at[0] + own)
+    free = (one << np.uint64(width)) - one if width < 64 else ~np.uint64(0)
+    x = fps & free
+    moved = (x & low) | ((x >> high if high < 64 else x & np.uint64(0)) << np.uint64(at[0])) | (_part(fps, at).astype(np.uint64) << np.uint64(width - own))
+    return (fps & ~free) | moved, width - own
+
+
+def _set_aside(fps: np.ndarray, path: tuple[int, ...], bits: int) -> tuple[np.ndarray, int]:
+    """Fingerprints with the ranges of a path of trees moved out of the low bits, and how many low bits are left."""
+    width = 64
+    for p in path:
+        fps, width = _aside(fps, _ranges(bits, width)[p], width)
+    return fps, width
+
+
 def _part(fps: np.ndarray, at: tuple[int, int]) -> np.ndarray:
     return ((fps >> np.uint64(at[0])) & np.uint64(at[1])).astype(np.uint32)
 
@@ -160,8 +189,8 @@ def _compare(fps: np.ndarray, members: np.ndarray, others: np.ndarray, bits: int
                 forest.add(a[x[apart]], b[y[apart]])
 
 
-def _search(fps: np.ndarray, member: np.ndarray, at: tuple[int, int], bits: int, radius: int) -> np.ndarray:
-    """Roots of the rows of a shard, linked where they are within `bits`."""
+def _search(fps: np.ndarray, member: np.ndarray, at: tuple[int, int], bits: int, radius: int, width: int = 64) -> np.ndarray:
+    """Roots of the rows of a shard, linked where they are within `bits`. Of each, `width` low bits are in no range so far."""
     forest, x, draw = _Forest(len(fps)), _part(fps, at), np.random.default_rng(len(fps))
     rows = np.arange(len(fps))
     stack = [(rows[member], rows[~member])]
@@ -170,44 +199,89 @@ def _search(fps: np.ndarray, member: np.ndarray, at: tuple[int, int], bits: int,
         if not len(own):
             continue
         found = _vantage(x[own], draw) if len(own) > LEAF else None
+        both = np.concatenate([own, guests])
         if found is None:
-            _compare(fps, own, guests, bits, forest)
+            if len(own) > LEAF and width - at[1].bit_length() >= 4 * (bits + 1):
+                root = forest.settle()
+                if (root[both] != root[both[0]]).any():
+                    rest, left = _aside(fps[both], at, width)
+                    for other in _ranges(bits, left):
+                        forest.add(both, both[_search(rest, np.ones(len(rest), bool), other, bits, radius, left)])
+            else:
+                _compare(fps, own, guests, bits, forest)
             continue
         v, mu = np.uint32(found[0]), found[1]
-        both, is_own = np.concatenate([own, guests]), np.arange(len(own) + len(guests)) < len(own)
+        is_own = np.arange(len(both)) < len(own)
         go_in, own_in, go_out, own_out = _branches(np.bitwise_count(x[both] ^ v).astype(np.int64), mu, is_own, radius)
         for go, still in ((go_in, own_in), (go_out, own_out)):
             stack.append((both[go & still], both[go & ~still]))
     return forest.settle()
 
 
-def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
-    """Distinct fps(__fp) -> (u, v): a set of links within `bits` that connects all that such links connect."""
-    count = fps.count()
-    depth = min(DEPTH, max(0, int(np.ceil(np.log2(max(1, count / SHARD))))))
-    sample = np.array([r[0] for r in fps.orderBy(F.xxhash64("__fp")).limit(SAMPLE).collect()], np.int64).view(np.uint64)
-    ranges = _ranges(bits)
-    radius = bits // len(ranges)
-    trees = [_upper(_part(sample, at), depth, at[1].bit_length()) for at in ranges]
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _dealer(trees: dict[tuple[int, ...], list], names: list[str], bits: int, radius: int, depth: int):
+    """Rows (fp, shards so far) -> (fp, shards and the next one, whether a member there)."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             own = b.column(0).to_numpy().view(np.uint64)
-            for i in range(0, len(own), 4096):
-                part = own[i : i + 4096]
-                for p, row, node, member in _dealt(part, trees, ranges, radius, depth):
-                    yield pa.RecordBatch.from_arrays([pa.array((node << 6) | p), pa.array(part[row].view(np.int64)), pa.array(member)], names=["shard", "fp", "member"])
+            shards = [b.column(i + 1).to_numpy() for i in range(len(names))]
+            ways = np.stack([s & 63 for s in shards], axis=1) if names else np.zeros((len(own), 0), np.int64)
+            for path, tree in trees.items():
+                here = np.flatnonzero((ways == np.array(path, np.int64)).all(axis=1))
+                for i in range(0, len(here), 4096):
+                    part = here[i : i + 4096]
+                    fps, width = _set_aside(own[part], path, bits)
+                    for p, row, node, member in _dealt(fps, tree, _ranges(bits, width), radius, depth):
+                        at = part[row]
+                        yield pa.RecordBatch.from_arrays([pa.array(own[at].view(np.int64)), *[pa.array(s[at]) for s in shards], pa.array((node << 6) | p), pa.array(member)], names=["fp", *names, f"s{len(names)}", "member"])
+
+    return each
+
 
+def _searcher(names: list[str], bits: int, radius: int):
     def search(table: pa.Table) -> pa.Table:
         own, member = table["fp"].to_numpy().view(np.uint64), table["member"].to_numpy()
         order = np.lexsort((own, ~member))  # the same rows give the same forest, however they arrive
         own, member = own[order], member[order]
-        root = _search(own, member, ranges[table["shard"][0].as_py() & 63], bits, radius)
+        *path, last = (table[n][0].as_py() & 63 for n in names)
+        fps, width = _set_aside(own, tuple(path), bits)
+        root = _search(fps, member, _ranges(bits, width)[last], bits, radius, width)
         tied = root != np.arange(len(root))
         return pa.table({"u": own[tied].view(np.int64), "v": own[root[tied]].view(np.int64)})
 
-    dealt = fps.select("__fp").mapInArrow(deal, "shard long, fp long, member boolean")
-    return dealt.groupBy("shard").applyInArrow(search, "u long, v long")
+    return search
+
+
+def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
+    """Distinct fps(__fp) -> (u, v): a set of links within `bits` that connects all that such links connect."""
+    left, largest, scratch = fps.select(F.col("__fp").alias("fp")), fps.count(), None
+    parts, out, names = len(_ranges(bits)), None, []
+    radius = bits // parts
+    for level in range(LEVELS):
+        depth = min(DEPTH, max(0, int(np.ceil(np.log2(max(1, largest / SHARD))))))
+        rows = [tuple(r) for r in left.orderBy(F.xxhash64("fp", *names)).limit(SAMPLE).collect()]
+        sample = np.array([r[0] for r in rows], np.int64).view(np.uint64)
+        ways = np.array([[s & 63 for s in r[1:]] for r in rows], np.int64).reshape(len(rows), level)
+        trees = {}
+        for path in product(range(parts), repeat=level):
+            own, width = _set_aside(sample[(ways == np.array(path, np.int64)).all(axis=1)], path, bits)
+            trees[path] = [_upper(_part(own, at), depth, at[1].bit_length()) for at in _ranges(bits, width)]
+        kinds = ", ".join(f"{n} long" for n in ["fp", *names, f"s{level}"])
+        dealt = left.mapInArrow(_dealer(trees, list(names), bits, radius, depth), f"{kinds}, member boolean")
+        names, again = [*names, f"s{level}"], None
+        if level < LEVELS - 1 and largest > MOST:
+            scratch = scratch or Scratch(fps.sparkSession)
+            sizes = dealt.where("member").groupBy(*names).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST)
+            sizes = scratch.table(sizes, f"large{level}")
+            if largest := sizes.agg(F.max("n")).first()[0]:
+                again = scratch.table(dealt.join(sizes, names, "left_semi").select("fp", *names), f"again{level}")
+                dealt = dealt.join(sizes, names, "left_anti")
+        found = dealt.groupBy(*names).applyInArrow(_searcher(list(names), bits, radius), "u long, v long")
+        out = found if out is None else out.unionByName(found)
+        if again is None:
+            break
+        left = again
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
@@ -236,5 +310,5 @@ def one_of_components(docs: DataFrame, found: DataFrame, id_col: str, text_col:
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(group_key(F.col("component_id")).alias("__key"), "fingerprint").agg(F.min("text_hash").alias("__text"))
     first = kept.groupBy("__key").agg(F.min("__text").alias("__first"))
     kept = kept.join(first, "__key").where("__key = '1' or __text = __first").select("__key", "__text").distinct()
-    rows = docs.withColumns({"__key": group_key(F.col(id_col)), "__text": F.xxhash64(F.col(text_col))}).join(kept, ["__key", "__text"])
-    return rows.dropDuplicates(["__key", "__text"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(own_columns(docs).alias("__row"), group_key(F.col(id_col)).alias("__key"), F.xxhash64(F.col(text_col)).alias("__text"))
+    return rows.join(kept, ["__key", "__text"]).dropDuplicates(["__key", "__text"]).select("__row.*")

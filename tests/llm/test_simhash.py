@@ -99,6 +99,50 @@ def test_other_reaches(spark, bits):
     assert found if bits else not found
 
 
+def hot(n, seed):
+    """Fingerprints that are equal in the first range, each with a near one."""
+    draw = np.random.default_rng(seed)
+    low = (1 << 21) - 1
+    base = (draw.integers(0, 1 << 63, n, dtype=np.uint64) & ~np.uint64(low)) | np.uint64(77)
+    flips = [base ^ np.bitwise_or.reduce(np.uint64(1) << draw.integers(21, 64, (k, n), dtype=np.uint64), axis=0) for k in (2, 4)]
+    return np.unique(np.concatenate([base, *flips]))
+
+
+def test_bits_move_aside_and_keep_distances():
+    fps, width = hot(50, 1), 64
+    moved = fps
+    for p in (1, 2, 0):
+        moved, width = simhash._aside(moved, simhash._ranges(4, width)[p], width)
+        assert (np.bitwise_count(moved[:, None] ^ moved[None]) == np.bitwise_count(fps[:, None] ^ fps[None])).all()
+    assert width == 64 - 21 - 15 - 9
+
+
+def test_hot_shards_are_dealt_again(spark, monkeypatch):
+    for name, value in (("MOST", 40), ("SHARD", 16), ("DEPTH", 3)):
+        monkeypatch.setattr(simhash, name, value)
+    fps = np.unique(np.concatenate([hot(150, 2), np.random.default_rng(4).integers(0, 1 << 63, 100, dtype=np.uint64)]))
+    found = simhash.links(spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "__fp long"))
+    assert "s2" in str(found._jdf.queryExecution().logical().toString())
+    root = np.arange(len(fps))
+    at = {int(x): i for i, x in enumerate(fps.view(np.int64))}
+    forest = simhash._Forest(len(fps))
+    for r in found.collect():
+        assert ((r.u ^ r.v) & (1 << 64) - 1).bit_count() <= 64
+        forest.add(np.array([at[r.u]]), np.array([at[r.v]]))
+    root = forest.settle().tolist()
+    assert root == plain_components([int(x) for x in fps])
+
+
+def test_equal_ranges_cost_no_square():
+    import time
+
+    fps = hot(20_000, 3)
+    began = time.perf_counter()
+    root = simhash._search(fps, np.ones(len(fps), bool), simhash._ranges(4)[0], 4, 1)
+    assert len(fps) > 59_000 and len(set(root.tolist())) <= 20_000
+    assert time.perf_counter() - began < 20
+
+
 def test_dense_ball_is_one_component():
     draw = np.random.default_rng(3)
     fps = np.unique(np.uint64(12345) ^ (np.uint64(1) << draw.integers(0, 64, 6000, dtype=np.uint64)) ^ (np.uint64(1) << draw.integers(0, 64, 6000, dtype=np.uint64)))
