@@ -1,33 +1,39 @@
-"""Language-model scores: Katz backoff over bigrams and words, learnt from the training documents.
-
-Model. Words are lower-cased (A-Z); a document is its words and one end, each scored given the token before
-(the first given a start, which is never scored). Counts up to 5 are discounted by Good-Turing as Katz has
-it; if the counts of counts don't allow it (small corpora), by a constant n1 / (n1 + 2 n2). Words: what the
-discounts leave goes to one unknown word. Bigrams: P(w|h) = d r / c(h) for a seen pair, else alpha(h) P(w),
-with alpha(h) = (1 - sum of seen P(w|h)) / (1 - sum of their P(w)), so that each context's probabilities add
-up to 1 over the vocabulary and the unknown word. A context none of whose pairs is discounted would leave
-nothing; its denominator is c(h) + 1. A context without training tokens backs off in full.
-
-Execution. Documents are cut into blocks of about two million tokens, kept as packed arrays. Blocks send
-their different words, and then their different pairs, to partitions that add up the training counts, write
-them as the model's tables, and answer each block in the order of its request. So a word or pair costs a
-row of a packed array per block and not per occurrence, answers go back to blocks and not to the driver, and
-no table is broadcast but the statistics of contexts that hold 1/1024 of all tokens each: 1,024 and the
-start at most. Their pairs are dealt by pair and not by context, so no partition holds a frequent context.
-Very long documents span blocks. Words are told apart by a 64-bit hash.
+"""Language-model scores: Katz backoff over n-grams up to `order`, learnt from the training documents.
+
+Model. Words are lower-cased (A-Z); a document is its words and one end, each scored given the order - 1 tokens
+before (the first given starts, which are never scored). At each order, counts up to 5 are discounted by
+Good-Turing as Katz has it; if the counts of counts don't allow it (small corpora), by a constant n1 / (n1 + 2 n2);
+the column `discounting` says which, order by order. Words: what the discounts leave goes to one unknown word.
+Higher orders: P(w|h) = d r / c(h) for a seen n-gram, else alpha(h) P(w|h') with h' one word shorter, and
+alpha(h) = (1 - sum of seen P(w|h)) / (1 - sum of their P(w|h')), so that each context's probabilities add up to 1
+over the vocabulary and the unknown word. A context none of whose n-grams is discounted would leave nothing; its
+denominator is c(h) + 1. A context without training tokens backs off in full.
+
+Execution. Documents are cut into blocks of about two million tokens, kept as packed arrays. Order by order, a
+block asks for the counts of its different n-grams, with their training counts in the block and what it knows of
+their suffixes. Requests go to partitions by a hash of the context, in FAN rows a block. They add up the counts,
+write them as the model's tables, work out the contexts' backoff weights and answer. If FAN partitions would be too
+large, requests are first merged by groups of FAN blocks, which send FAN rows each again, and answers come back the
+same way: so rows are in proportion to blocks, however many partitions there are. A context that one block alone
+holds needs no request: all its n-grams are in the block, which writes them itself. No table is broadcast but the
+statistics of contexts that hold a 1/HOT share of all tokens each: at most HOT of an order, 65,536 at most. Their
+n-grams are dealt by n-gram and not by context, so no partition holds a frequent context. Very long documents span
+blocks. Words and contexts are told apart by 64-bit hashes.
 
 Edge cases. Null and empty texts: the end alone. Null doc_id: a training row. Repeated rows: each counts and
 is scored. No training rows: N and V are 0, every score is 0 (the unknown word has it all). Empty table: no
-rows. Other columns are ignored.
+rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import gc
 import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -39,18 +45,24 @@ from xxhash import xxh64_intdigest
 from .common import Scratch
 from .words import hashes, lower_words
 
-BLOCK, K, HOT = 2_000_000, 5, 1024
-_START, _END = (np.uint64(xxh64_intdigest(s, 0)) for s in (b" start", b" end"))  # no word has a space
+ORDER, BLOCK, K = 3, 2_000_000, 5
+#: Rows that a block sends for one order, and tokens for which there shall be a partition.
+FAN, PARTITION = 64, 4_000_000
+_END = np.uint64(xxh64_intdigest(b" end", 0))  # no word has a space
+_START_ID = np.uint64(1 << 63)
 
-UNIGRAM, ANSWER, BIGRAM, CONTEXT = 1, 2, 3, 4
-_PACKED = "key long, kind int, part long, data binary, stats array<double>"
+ANSWER, TABLE, CONTEXT, SUMS = 1, 2, 3, 4
+_ROWS = "key long, kind int, source long, data binary, stats array<double>"
+_COLUMNS = [c.split()[0] for c in _ROWS.split(", ")]
 
 
 def _pack(**arrays: np.ndarray) -> bytes:
     """Arrays in the narrowest kind, compressed."""
     out = {}
     for name, a in arrays.items():
-        if a.dtype.kind in "iu" and len(a):
+        if a.dtype.kind == "b":
+            a = (len(a), np.packbits(a))
+        elif a.dtype.kind in "iu" and len(a):
             a = a.astype(np.min_scalar_type(int(a.max())))
             if a.itemsize > 1:  # bytes of equal weight side by side
                 a = (a.dtype.str, np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T))
@@ -60,7 +72,10 @@ def _pack(**arrays: np.ndarray) -> bytes:
 
 def _unpack(data: bytes) -> dict[str, np.ndarray]:
     out = pickle.loads(zstandard.ZstdDecompressor().decompress(data))
-    return {k: np.ascontiguousarray(a[1].T).view(a[0]).reshape(-1) if isinstance(a, tuple) else a for k, a in out.items()}
+    for k, a in out.items():
+        if isinstance(a, tuple):
+            out[k] = np.unpackbits(a[1], count=a[0]).astype(bool) if isinstance(a[0], int) else np.ascontiguousarray(a[1].T).view(a[0]).reshape(-1)
+    return out
 
 
 def _rise(a: np.ndarray) -> np.ndarray:
@@ -68,18 +83,53 @@ def _rise(a: np.ndarray) -> np.ndarray:
     return np.diff(a, prepend=a.dtype.type(0))
 
 
-def _row(key: int, kind: int, part: int, data: bytes | None, stats: list | None = None) -> tuple:
-    return key, kind, part, data, stats
+def _row(key: int, kind: int, source: int, data: bytes | None, stats: list | None = None) -> tuple:
+    return key, kind, source, data, stats
 
 
 def _table(rows: list[tuple]) -> pa.Table:
-    schema = pa.schema([("key", pa.int64()), ("kind", pa.int32()), ("part", pa.int64()), ("data", pa.binary()), ("stats", pa.list_(pa.float64()))])
+    schema = pa.schema([("key", pa.int64()), ("kind", pa.int32()), ("source", pa.int64()), ("data", pa.binary()), ("stats", pa.list_(pa.float64()))])
     columns = list(zip(*rows)) or [()] * 5
     return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
-def blocks(rows: DataFrame, block: int = BLOCK) -> DataFrame:
-    """rows(__id, __held, __text) as blocks: key, n (tokens), words (sorted hashes and training counts), body, ids."""
+def _different(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted different codes and each row's place among them."""
+    bits = max(1, len(code) - 1).bit_length()
+    if not len(code) or int(code.max()).bit_length() + bits > 63:
+        return np.unique(code, return_inverse=True)
+    packed = np.sort(code.astype(np.int64) << bits | np.arange(len(code)))  # sorting values is far faster than places
+    code, place = packed >> bits, packed & ((1 << bits) - 1)
+    fresh = np.empty(len(code), bool)
+    fresh[0] = True
+    np.not_equal(code[1:], code[:-1], out=fresh[1:])
+    inverse = np.empty(len(code), np.int64)
+    inverse[place] = np.cumsum(fresh) - 1
+    return code[fresh], inverse
+
+
+def _ordered(code: np.ndarray) -> np.ndarray:
+    """np.argsort, by values where they leave room for the places."""
+    bits = max(1, len(code) - 1).bit_length()
+    if not len(code) or int(code.max()).bit_length() + bits > 63:
+        return np.argsort(code, kind="stable")
+    return np.sort(code << bits | np.arange(len(code))) & ((1 << bits) - 1)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def _part(hashed: np.ndarray, parts: int) -> np.ndarray:
+    """Of `parts` equal ranges of 64-bit hashes the one of each; grows with the hash."""
+    return ((hashed >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+def blocks(rows: DataFrame, order: int = ORDER, block: int = BLOCK) -> DataFrame:
+    """rows(__id, __held, __text) as blocks: key, n (tokens), opens (training documents that begin there), words
+    (sorted hashes and training counts), body, ids."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, made, row = TaskContext.get().partitionId() << 32, 0, 0
@@ -89,18 +139,14 @@ def blocks(rows: DataFrame, block: int = BLOCK) -> DataFrame:
             nonlocal made
             tokens = np.concatenate([p[3] for p in held])
             lens = np.array([len(p[3]) for p in held], np.int64)
-            before = np.array([p[4] for p in held], np.uint64)
+            before = np.concatenate([p[4] for p in held])  # of pieces that go on: the order - 1 tokens before
             words, local = np.unique(np.concatenate([tokens, before]), return_inverse=True)
-            is_held = np.array([p[2] for p in held], bool)
-            train = ~np.repeat(is_held, lens)
-            counts = np.bincount(local[: len(tokens)][train], minlength=len(words))
-            opens = (~is_held) & (before == _START)
-            if opens.any():  # the start's count is that of the training documents
-                counts[np.searchsorted(words, _START)] = opens.sum()
-            body = _pack(tokens=local[: len(tokens)], before=local[len(tokens) :], lens=lens, held=is_held, rows=np.array([p[0] for p in held], np.int64), parts=np.array([p[5] for p in held], bool))
+            is_held, goes_on = np.array([p[2] for p in held], bool), np.array([len(p[4]) > 0 for p in held], bool)
+            counts = np.bincount(local[: len(tokens)][~np.repeat(is_held, lens)], minlength=len(words))
+            body = _pack(tokens=local[: len(tokens)], before=local[len(tokens) :], goes_on=goes_on, lens=lens, held=is_held, rows=np.array([p[0] for p in held], np.int64), parts=np.array([p[5] for p in held], bool))
             ids = pa.array([p[1] for p in held], rows_type)
             made += 1
-            return pa.RecordBatch.from_arrays([pa.array([place + made]), pa.array([len(tokens)]), pa.array([_pack(words=_rise(words), counts=counts)], pa.binary()), pa.array([body], pa.binary()), pa.array([ids.to_pylist()], pa.list_(rows_type))], names=["key", "n", "words", "body", "ids"])
+            return pa.RecordBatch.from_arrays([pa.array([place + made]), pa.array([len(tokens)]), pa.array([int((~is_held & ~goes_on).sum())]), pa.array([_pack(words=_rise(words), counts=counts)], pa.binary()), pa.array([body], pa.binary()), pa.array([ids.to_pylist()], pa.list_(rows_type))], names=["key", "n", "opens", "words", "body", "ids"])
 
         for b in batches:
             rows_type = b.column(0).type
@@ -109,7 +155,7 @@ def blocks(rows: DataFrame, block: int = BLOCK) -> DataFrame:
                 row += 1
                 for i in range(0, len(own), block):
                     part = own[i : i + block]
-                    held.append((place + row, id_, is_held, part, own[i - 1] if i else _START, len(own) > block))
+                    held.append((place + row, id_, is_held, part, own[i - order + 1 : i] if i else own[:0], len(own) > block))
                     size += len(part)
                     if size >= block:
                         yield cut()
@@ -117,12 +163,12 @@ def blocks(rows: DataFrame, block: int = BLOCK) -> DataFrame:
         if held:
             yield cut()
 
-    kinds = [("key", T.LongType()), ("n", T.LongType()), ("words", T.BinaryType()), ("body", T.BinaryType()), ("ids", T.ArrayType(rows.schema["__id"].dataType))]
+    kinds = [("key", T.LongType()), ("n", T.LongType()), ("opens", T.LongType()), ("words", T.BinaryType()), ("body", T.BinaryType()), ("ids", T.ArrayType(rows.schema["__id"].dataType))]
     return rows.mapInArrow(each, T.StructType([T.StructField(*k) for k in kinds]))
 
 
-def discounts(n: np.ndarray) -> np.ndarray:
-    """Factors for counts 0..K (0: unused) from n[r], how many types have count r, for r up to K + 1."""
+def discounts(n: np.ndarray) -> tuple[np.ndarray, str]:
+    """Factors for counts 0..K (0: unused) from n[r], how many types have count r, for r up to K + 1; and their name."""
     d = np.ones(K + 1)
     if all(n[1 : K + 2] > 0):
         common = (K + 1) * n[K + 1] / n[1]
@@ -130,254 +176,505 @@ def discounts(n: np.ndarray) -> np.ndarray:
         good = ((r + 1) * n[2 : K + 2] / n[1 : K + 1] / r - common) / (1 - common) if common != 1 else np.zeros(K)
         if ((good > 0) & (good < 1)).all():
             d[1:] = good
-            return d
+            return d, "good-turing"
     off = n[1] / (n[1] + 2 * n[2]) if n[1] > 0 and n[2] > 0 else 0.5
     d[1:] = 1 - off / np.arange(1, K + 1)
-    return d
+    return d, "absolute"
+
+
+def _discounted(r: np.ndarray, d: np.ndarray) -> np.ndarray:
+    return np.where(r <= K, d[np.minimum(r, K)], 1.0) * r
 
 
 class Words:
     """P(w) by w's training count; count 0 is the unknown word."""
 
     def __init__(self, total: int, types: int, n: np.ndarray):
-        self.total, self.types, self.d = total, types, discounts(n)
+        self.total, self.types = total, types
+        self.d, self.name = discounts(n)
         low = n[1 : K + 1] * np.arange(1, K + 1)
         kept = float((low * self.d[1:]).sum() + total - low.sum())
         self.over = float(total) if kept < total or not total else total + 1.0
         self.unknown = 1.0 - kept / self.over if total else 1.0
 
     def p(self, counts: np.ndarray) -> np.ndarray:
-        low = self.d[np.minimum(counts, K)]
-        return np.where(counts > 0, np.where(counts <= K, low, 1.0) * counts / max(self.over, 1.0), self.unknown)
+        return np.where(counts > 0, _discounted(counts, self.d) / max(self.over, 1.0), self.unknown)
 
     def base(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 0.5) / (self.total + 0.5 * (self.types + 1)))
 
 
-def _count_words(parts: int):
+class Model:
+    """What the driver knows: sizes, discounts and the statistics of hot contexts by order."""
+
+    def __init__(self, order: int, total: int, docs: int, blocks: int, hot: int):
+        self.order, self.total, self.docs, self.blocks, self.share = order, total, docs, blocks, hot
+        self.words: Words | None = None
+        self.d: dict[int, np.ndarray] = {}
+        self.hot: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def is_hot(self, totals: np.ndarray) -> np.ndarray:
+        return totals.astype(np.int64) * self.share >= self.total
+
+    def lower(self, n: int, counts: np.ndarray, over: np.ndarray | None) -> np.ndarray:
+        """P of seen n-grams of order n by their counts and their contexts' denominators."""
+        return self.words.p(counts) if n == 1 else _discounted(counts, self.d[n]) / over
+
+
+def _stats(context: np.ndarray, r: np.ndarray, lower: np.ndarray, n: int) -> np.ndarray:
+    """Of each of n contexts: types with count 1..K, tokens above K, and the sum of their seen words' lower P."""
+    seen, stats = r > 0, np.zeros((n, K + 2))
+    for i in range(1, K + 1):
+        stats[:, i - 1] = np.bincount(context[r == i], minlength=n)
+    stats[:, K] = np.bincount(context[r > K], r[r > K], minlength=n)
+    stats[:, K + 1] = np.bincount(context[seen], lower[seen], minlength=n)
+    return stats
+
+
+def _alpha(stats: np.ndarray, totals: np.ndarray, d: np.ndarray, least: float) -> np.ndarray:
+    over = np.where(stats[:, :K].sum(axis=1) > 0, totals, totals + 1).astype(float)
+    kept = (stats[:, :K] * (d[1:] * np.arange(1, K + 1))).sum(axis=1) + stats[:, K]
+    return (1 - kept / over) / np.maximum(1 - stats[:, K + 1], least)
+
+
+def _sums(r: np.ndarray) -> list[float]:
+    n = np.bincount(np.minimum(r[r > 0], K + 2), minlength=K + 3)
+    return [float(x) for x in (r.sum(), (r > 0).sum(), *n[1 : K + 2])]
+
+
+# Requests and answers. A word request has sorted `words` and `counts`; one of a higher order sorted `contexts` with
+# `totals` (and `overs`, their suffixes' denominators), `runs` of entries, each with a word's `place` among `words`, the
+# suffix's count `low` and the training count `train`. `many`: more than one block asks.
+
+
+def _merge_words(asked: list[dict]) -> tuple[dict, list[np.ndarray]]:
+    sizes = [len(a["words"]) for a in asked]
+    every, inverse = np.unique(np.concatenate([a["words"] for a in asked]), return_inverse=True)
+    times = np.bincount(inverse, np.concatenate([1.0 + a["many"] for a in asked]))
+    counts = np.bincount(inverse, np.concatenate([a["counts"] for a in asked])).astype(np.int64)
+    return {"words": every, "counts": counts, "many": times > 1}, np.split(inverse, np.cumsum(sizes)[:-1])
+
+
+def _merge(asked: list[dict]) -> tuple[dict, list[np.ndarray]]:
+    contexts, c_of = np.unique(np.concatenate([a["contexts"] for a in asked]), return_inverse=True)
+    words, w_of = np.unique(np.concatenate([a["words"] for a in asked]), return_inverse=True)
+    out, codes, c_at, w_at = {"contexts": contexts, "words": words}, [], 0, 0
+    for a in asked:
+        c, w = c_of[c_at : c_at + len(a["contexts"])], w_of[w_at : w_at + len(a["words"])]
+        c_at, w_at = c_at + len(c), w_at + len(w)
+        codes.append(np.repeat(c, a["runs"]) * len(words) + w[a["place"]])
+    every, inverse = _different(np.concatenate(codes))
+    for name in ("totals", "overs"):
+        if name in asked[0]:
+            out[name] = np.zeros(len(contexts), np.int64)
+            out[name][c_of] = np.concatenate([a[name] for a in asked])
+    out["runs"], out["place"] = np.bincount(every // max(1, len(words)), minlength=len(contexts)), every % max(1, len(words))
+    out["low"] = np.zeros(len(every), np.int64)
+    out["low"][inverse] = np.concatenate([a["low"] for a in asked])
+    out["train"] = np.bincount(inverse, np.concatenate([a["train"] for a in asked]), len(every)).astype(np.int64)
+    out["many"] = np.bincount(inverse, np.concatenate([1.0 + a["many"] for a in asked]), len(every)) > 1
+    return out, np.split(inverse, np.cumsum([len(c) for c in codes])[:-1])
+
+
+def _wide(a: dict) -> dict:
+    """A request as it is worked on."""
+    out = {k: x.astype(np.uint64 if k in ("contexts", "words") else np.int64) if x.dtype.kind in "iu" else x for k, x in a.items()}
+    return out | {k: np.cumsum(out[k]) for k in ("contexts", "words") if k in out}
+
+
+def _narrow(a: dict) -> bytes:
+    return _pack(**(a | {k: _rise(a[k]) for k in ("contexts", "words") if k in a}))
+
+
+def _routes(a: dict, model: Model) -> np.ndarray:
+    """Of each entry of a request the hash that decides on its partition."""
+    if "runs" not in a:
+        return a["words"]
+    context = np.repeat(a["contexts"], a["runs"])
+    return np.where(np.repeat(model.is_hot(a["totals"]), a["runs"]), _mix(context + a["words"][a["place"]]), context)
+
+
+def _pick(a: dict, at: np.ndarray) -> dict:
+    """The entries `at` of a request, in order."""
+    if "runs" not in a:
+        return {k: x[at] for k, x in a.items()}
+    context = np.repeat(np.arange(len(a["contexts"])), a["runs"])[at]
+    c, runs = np.unique(context, return_counts=True)
+    w, place = _different(a["place"][at])
+    out = {k: a[k][c] for k in ("contexts", "totals", "overs") if k in a}
+    return out | {"runs": runs, "words": a["words"][w], "place": place} | {k: a[k][at] for k in ("low", "train", "many")}
+
+
+def _split(a: dict, part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(part, its entries in order)."""
+    order = _ordered(part)
+    ends = np.flatnonzero(np.diff(part[order], append=-1)) + 1
+    for i, j in zip([0, *ends[:-1].tolist()], ends.tolist()):
+        yield int(part[order[i]]), order[i:j]
+
+
+def _answer(r: np.ndarray, alone: np.ndarray, whole: np.ndarray, lost_of: np.ndarray, stats: np.ndarray) -> bytes:
+    """lost_of: of each entry the row of `stats` with its context's statistics, or -1."""
+    lost = np.flatnonzero(lost_of >= 0)
+    rows, which = np.unique(lost_of[lost], return_inverse=True)
+    slim = stats[rows]
+    is_lost = lost_of >= 0
+    return _pack(r=r, alone=alone, whole=whole, is_lost=is_lost, which=which, low=slim[:, : K + 1].astype(np.int64).ravel(), seen=slim[:, K + 1])
+
+
+def _answered(data: bytes) -> dict:
+    a = _unpack(data)
+    lost_of = np.full(len(a["r"]), -1, np.int64)
+    lost_of[a["is_lost"]] = a["which"]
+    stats = np.concatenate([a["low"].reshape(-1, K + 1).astype(float), a["seen"].reshape(-1, 1)], axis=1)
+    return {"r": a["r"].astype(np.int64), "alone": a["alone"], "whole": a["whole"], "lost_of": lost_of, "stats": stats}
+
+
+def _count_words(key: int, parts: int, every: dict) -> tuple[list[tuple], dict]:
+    known = every["counts"] > 0
+    uid = np.where(known, (np.cumsum(known) - 1) * parts + key + 1, 0)
+    rows = [_row(key, TABLE, 0, _pack(words=_rise(every["words"][known]), counts=every["counts"][known])), _row(key, SUMS, 0, None, _sums(every["counts"]))]
+    return rows, {"uid": uid, "count": every["counts"], "alone": ~every["many"]}
+
+
+def _count(key: int, n: int, model: Model, every: dict) -> tuple[list[tuple], dict]:
+    context, r, contexts = np.repeat(np.arange(len(every["contexts"])), every["runs"]), every["train"], len(every["contexts"])
+    lower = np.zeros(len(r))
+    seen = r > 0  # the suffixes of seen n-grams are seen
+    lower[seen] = model.lower(n - 1, every["low"][seen], every["overs"][context[seen]] if n > 2 else None)
+    stats, hot = _stats(context, r, lower, contexts), model.is_hot(every["totals"])
+    rows = [_row(key, TABLE, 0, _model_table(every["contexts"][context[seen]], every["words"][every["place"][seen]], r[seen])), _row(key, SUMS, 0, None, _sums(r))]
+    rows += [_row(int(every["contexts"][i].astype(np.int64)), CONTEXT, key, None, stats[i].tolist()) for i in np.flatnonzero(hot)]
+    whole = (stats[:, :K].sum(axis=1) == 0) & ~hot
+    return rows, {"r": r, "alone": ~every["many"], "whole": whole[context], "lost_of": np.where((r == 0) & ~hot[context], context, -1), "stats": stats}
+
+
+def _model_table(contexts: np.ndarray, words: np.ndarray, counts: np.ndarray) -> bytes:
+    """Seen n-grams by context: context hashes, how many n-grams each has, their last words and counts."""
+    opens = np.flatnonzero(np.concatenate([[True], contexts[1:] != contexts[:-1]])) if len(contexts) else np.zeros(0, np.int64)
+    return _pack(contexts=_rise(contexts[opens]), runs=np.diff(opens, append=len(contexts)), words=words, counts=counts)
+
+
+def _sub(answer: dict, at: np.ndarray) -> bytes:
+    if "uid" in answer:
+        return _pack(**{k: x[at] for k, x in answer.items()})
+    return _answer(answer["r"][at], answer["alone"][at], answer["whole"][at], answer["lost_of"][at], answer["stats"])
+
+
+def _requests(table: pa.Table, merge) -> tuple[list[int], dict, list[np.ndarray]]:
+    """Sources in order, their requests merged, and each one's entries among these. (Other rows of the table aside.)"""
+    rows = sorted((s, i) for i, (s, k) in enumerate(zip(table["source"].to_pylist(), table["kind"].to_pylist())) if k == 0)
+    asked = [_wide(_unpack(table["data"][i].as_py())) for _, i in rows]
+    return [s for s, _ in rows], *(merge(asked) if asked else ({}, []))
+
+
+def _reducer(n: int, parts: int, model: Model):
     def reduce(table: pa.Table) -> pa.Table:
-        order = np.argsort(table["part"].to_numpy())
-        asked = [_unpack(table["data"][int(i)].as_py()) for i in order]
-        words = [np.cumsum(a["words"], dtype=np.uint64) for a in asked]
-        every, inverse = np.unique(np.concatenate(words), return_inverse=True)
-        counts = np.bincount(inverse, np.concatenate([a["counts"] for a in asked])).astype(np.int64)
-        known, key = counts > 0, table["key"][0].as_py()
-        uid = np.where(known, (np.cumsum(known) - 1) * parts + key + 1, 0)
-        scored = counts[known & (every != _START)]
-        n = np.bincount(np.minimum(scored, K + 2), minlength=K + 3)
-        rows = [_row(key, UNIGRAM, 0, _pack(words=_rise(every[known]), counts=counts[known]), [float(x) for x in (scored.sum(), len(scored), *n[1 : K + 2])])]
-        at = 0
-        for i, own in zip(order, words):
-            mine = inverse[at : at + len(own)]
-            at += len(own)
-            rows.append(_row(table["part"][int(i)].as_py(), ANSWER, key, _pack(uid=uid[mine], count=counts[mine])))
-        return _table(rows)
+        key = table["key"][0].as_py()
+        sources, every, own = _requests(table, _merge if n > 1 else _merge_words)
+        if not sources:  # a block's own table
+            return table.select(_COLUMNS)
+        rows, answer = _count(key, n, model, every) if n > 1 else _count_words(key, parts, every)
+        return _table(rows + [_row(s, ANSWER, key, _sub(answer, at)) for s, at in zip(sources, own)])
 
     return reduce
 
 
-def _ask_words(parts: int):
+def _combiner(n: int, inner: int, model: Model):
+    """Requests of a group of blocks for one of the outer partitions -> one request for each of its inner ones."""
+
+    def combine(table: pa.Table) -> pa.Table:
+        group = table["group"][0].as_py()
+        _, every, _ = _requests(table, _merge if n > 1 else _merge_words)
+        part = _part(_routes(every, model), inner)
+        return _table([_row(p, 0, group, _narrow(_pick(every, at))) for p, at in _split(every, part)])
+
+    return combine
+
+
+def _expander(n: int, inner: int, model: Model):
+    """The same requests with the answers of the inner partitions -> answers to the group's blocks."""
+
+    def expand(table: pa.Table) -> pa.Table:
+        bucket = table["key"][0].as_py()
+        sources, every, own = _requests(table, _merge if n > 1 else _merge_words)
+        got = {s: d.as_py() for s, k, d in zip(table["source"].to_pylist(), table["kind"].to_pylist(), table["data"]) if k == ANSWER}
+        size, whole, stats, offset = len(every["train" if n > 1 else "words"]), {}, [], 0
+        for p, at in _split(every, _part(_routes(every, model), inner)):
+            a = _answered(got[p]) if n > 1 else {k: x.astype(np.int64) if x.dtype.kind in "iu" else x for k, x in _unpack(got[p]).items()}
+            if n > 1:
+                stats.append(a.pop("stats"))
+                a["lost_of"] = np.where(a["lost_of"] >= 0, a["lost_of"] + offset, -1)
+                offset += len(stats[-1])
+            for k, x in a.items():
+                whole.setdefault(k, np.zeros(size, x.dtype))[at] = x
+        if n > 1:
+            whole["stats"] = np.concatenate(stats)
+        return _table([_row(s, ANSWER, bucket, _sub(whole, at)) for s, at in zip(sources, own)])
+
+    return expand
+
+
+def _levels(tokens: int, partition: int, fan: int) -> list[int]:
+    """How many partitions each level of merging has: the outer ones fan, fan * fan, ..."""
+    out = [fan]
+    while out[-1] * partition < tokens:
+        out.append(min(out[-1] * fan, -(-tokens // partition // out[-1]) * out[-1]))
+    return out
+
+
+def _exchange(asks: DataFrame, n: int, sources: int, levels: list[int], model: Model, scratch: Scratch, name: str, fan: int) -> DataFrame:
+    """asks(key: outer partition, kind 0, source, data) -> answers (key: source, source: outer partition), tables, sums and
+    hot contexts, as a written table by kind. Every row goes to a partition of its own key's."""
+    if len(levels) == 1:
+        dealt = asks.repartition(max(1, levels[0]), "key")
+        return scratch.table(dealt.groupBy("key").applyInArrow(_reducer(n, levels[0], model), _ROWS), name, ["kind"])
+    groups, here = max(1, -(-sources // fan)), levels[0]  # sources: that may ask one partition
+    asks = scratch.table(asks, f"{name}_asks", ["kind"])
+    tables, asks = asks.where("kind <> 0").select(*_COLUMNS), asks.where("kind = 0")
+    in_group = F.pmod(F.xxhash64("source"), F.lit(groups)) * here + F.col("key")
+    grouped = asks.withColumn("group", in_group)
+    merged = grouped.repartition(groups * here, "group").groupBy("group").applyInArrow(_combiner(n, levels[1], model), _ROWS)
+    found = _exchange(merged, n, groups, levels[1:], model, scratch, f"{name}_{len(levels)}", fan)
+    back = found.where(f"kind = {ANSWER}").select((F.col("key") % here).alias("key"), "kind", "source", "data", "stats", F.col("key").alias("group"))
+    both = grouped.select("key", "kind", "source", "data", "stats", "group").unionByName(back)
+    answers = both.repartition(groups * here, "group").groupBy("group").applyInArrow(_expander(n, levels[1], model), _ROWS)
+    return scratch.table(answers.unionByName(found.where(f"kind <> {ANSWER}").select(*_COLUMNS)).unionByName(tables), name, ["kind"])
+
+
+class Level:
+    """A block's different n-grams of one order: their contexts and suffixes (n-grams one order lower), and counts."""
+
+    def __init__(self, of: np.ndarray, context: np.ndarray, word: np.ndarray, suffix: np.ndarray, train: np.ndarray):
+        self.of, self.context, self.word, self.suffix, self.train = of, context, word, suffix, train
+        self.hashed = self.count = self.alone = self.over = self.p = None
+
+
+class Block:
+    """A block's n-grams of all orders that are answered, and the requests of the next."""
+
+    def __init__(self, words: bytes, body: bytes, answers: dict[int, dict[int, bytes]], model: Model, fan: int):
+        own, self.model, self.fan = _unpack(words), model, fan
+        self.__dict__ |= {k: a.astype(np.int64) if a.dtype.kind in "iu" else a for k, a in _unpack(body).items()}
+        hashed, lead = np.cumsum(own["words"], dtype=np.uint64), model.order - 1
+        self.start, self.levels = len(hashed), []
+        ends = np.cumsum(self.lens + lead)
+        self.first = ends - self.lens
+        word = np.full(int(ends[-1]), self.start, np.int64)
+        inside = np.ones(len(word), bool)  # positions of tokens; before each piece stand the order - 1 tokens before it
+        for k in range(lead):
+            inside[ends - self.lens - 1 - k] = False
+            word[(self.first - lead + k)[self.goes_on]] = self.before[k::lead] if lead else 0
+        word[inside] = self.tokens
+        self.inside, self.word = inside, word
+        self.trains = np.zeros(len(word), bool)
+        self.trains[inside] = ~np.repeat(self.held, self.lens)
+        counts = np.append(own["counts"].astype(np.int64), 0)
+        one = Level(word, np.zeros(0, np.int64), np.arange(self.start + 1), np.zeros(0, np.int64), counts)
+        uid, one.count, one.alone = (np.zeros(self.start + 1, k) for k in (np.uint64, np.int64, bool))
+        part = _part(hashed, fan)
+        for q, data in answers.get(1, {}).items():
+            got, at = _unpack(data), np.flatnonzero(part == q)
+            uid[at], one.count[at], one.alone[at] = got["uid"], got["count"], got["alone"]
+        uid[-1], one.count[-1], one.alone[-1] = _START_ID, model.docs, model.blocks == 1
+        self.uid, one.hashed = uid, _mix(uid)
+        one.p = model.words.p(one.count) if model.words else None
+        self.levels.append(one)
+        for n in range(2, max(answers, default=0) + 1):
+            self.settle(n, self.grow(n), answers[n])
+
+    def grow(self, n: int) -> Level:
+        """The block's n-grams of order n, not yet answered."""
+        low, valid = self.levels[-1], np.ones(len(self.word), bool)
+        lead = self.model.order - 1
+        for k in range(n - 1):
+            valid[(self.first - lead + k)] = False
+        at = np.flatnonzero(valid)
+        code, inverse = _different(low.of[at - 1] * (self.start + 1) + self.word[at])
+        of = np.full(len(self.word), -1, np.int64)
+        of[at] = inverse
+        suffix = np.zeros(len(code), np.int64)
+        suffix[inverse] = low.of[at]
+        level = Level(of, code // (self.start + 1), code % (self.start + 1), suffix, np.bincount(inverse[self.trains[at]], minlength=len(code)))
+        level.hashed = _mix(low.hashed[level.context] * np.uint64(0x2545F4914F6CDD1D) + self.uid[level.word])
+        return level
+
+    def request(self, n: int, level: Level) -> tuple[dict, np.ndarray]:
+        """The request for what other blocks may hold too, and its entries' n-grams."""
+        low = self.levels[-1]
+        opens = level.word == self.start  # starts alone: no n-gram, but a context whose count is known
+        asked = np.flatnonzero((low.count[level.context] > 0) & ~low.alone[level.context] & ~opens)
+        rank, word_rank = np.empty(len(low.hashed), np.int64), np.empty(len(self.uid), np.int64)
+        rank[np.argsort(low.hashed)] = np.arange(len(rank))
+        word_rank[by_uid := np.argsort(self.uid, kind="stable")] = np.arange(len(word_rank))
+        asked = asked[_ordered(rank[level.context[asked]] * len(word_rank) + word_rank[level.word[asked]])]
+        context = low.hashed[level.context[asked]]
+        first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(asked) else np.zeros(0, np.int64)
+        words, place = _different(word_rank[level.word[asked]])
+        words = self.uid[by_uid[words]]  # unknown words are all 0
+        out = {"contexts": context[first], "totals": low.count[level.context[asked[first]]], "runs": np.diff(first, append=len(asked)), "words": words, "place": place}
+        out |= {"low": low.count[level.suffix[asked]], "train": level.train[asked], "many": np.zeros(len(asked), bool)}
+        if n > 2:  # all suffixes of a context's n-grams have one context and so one denominator, where they are seen
+            out["overs"] = np.maximum.reduceat(low.over[level.suffix[asked]], first).astype(np.int64) if len(asked) else first
+        return out, asked
+
+    def alone(self, level: Level) -> np.ndarray:
+        """n-grams whose context no other block holds."""
+        low = self.levels[-1]
+        return (low.count[level.context] > 0) & low.alone[level.context] & (level.word != self.start)
+
+    def settle(self, n: int, level: Level, answers: dict[int, bytes]) -> None:
+        low, model, size = self.levels[-1], self.model, len(level.context)
+        request, asked = self.request(n, level)
+        own = self.alone(level)
+        total = low.count[level.context]
+        level.count, level.alone, whole = np.zeros(size, np.int64), np.zeros(size, bool), np.zeros(size, bool)
+        level.count[own], level.alone[own] = level.train[own], True
+        below = low.p[level.suffix]
+        d, alpha = model.d.get(n), np.ones(size)
+        seen_p = np.zeros(size)
+        if own.any():
+            contexts, of = _different(level.context[own])
+            r = level.train[own]
+            stats = _stats(of, r, below[own], len(contexts))
+            whole[own] = (stats[:, :K].sum(axis=1) == 0)[of]
+            if d is not None:
+                alpha[own] = _alpha(stats, low.count[contexts], d, model.words.unknown)[of]
+        for q, at in _split(request, _part(_routes(request, model), self.fan)) if len(asked) else ():
+            got, grams = _answered(answers[q]), asked[at]
+            level.count[grams], level.alone[grams], whole[grams] = got["r"], got["alone"], got["whole"]
+            if d is not None and len(got["stats"]):
+                is_lost = got["lost_of"] >= 0
+                rows = got["lost_of"][is_lost]
+                totals = np.zeros(len(got["stats"]), np.int64)
+                totals[rows] = total[grams[is_lost]]
+                alpha[grams[is_lost]] = _alpha(got["stats"], totals, d, model.words.unknown)[rows]
+        is_hot = np.zeros(size, bool)
+        is_hot[asked] = model.is_hot(total[asked])
+        if is_hot.any() and n in model.hot:
+            ids, stats = model.hot[n]
+            place = np.searchsorted(ids, low.hashed[level.context[is_hot]])
+            whole[is_hot] = stats[place, :K].sum(axis=1) == 0
+            if d is not None:
+                alpha[is_hot] = _alpha(stats[place], total[is_hot], d, model.words.unknown)
+        level.over = total + whole
+        if d is not None:
+            seen = level.count > 0
+            seen_p[seen] = _discounted(level.count[seen], d) / level.over[seen]
+            level.p = np.where(seen, seen_p, np.where(total > 0, alpha, 1.0) * below)
+        opens = level.word == self.start
+        level.count[opens], level.alone[opens] = model.docs, model.blocks == 1
+        self.levels.append(level)
+
+
+def _block_of(table: pa.Table, upto: int, model: Model, fan: int) -> Block:
+    answers: dict[int, dict[int, bytes]] = {n: {} for n in range(1, upto + 1)}
+    body = None
+    for n, kind, source, data, words in zip(table["n"].to_pylist(), table["kind"].to_pylist(), table["source"].to_pylist(), table["data"], table["words"]):
+        if kind == ANSWER:
+            answers[n][source] = data.as_py()
+        else:
+            body = words.as_py(), data.as_py()
+    return Block(*body, answers, model, fan)
+
+
+def _ask_words(fan: int):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for key, packed in zip(b.column(0).to_pylist(), b.column(1)):
                 own = _unpack(packed.as_py())
                 words = np.cumsum(own["words"], dtype=np.uint64)
-                which = (words % np.uint64(parts)).astype(np.int64)
-                rows = [_row(q, 0, key, _pack(words=_rise(words[which == q]), counts=own["counts"][which == q])) for q in np.unique(which).tolist()]
+                a = {"words": words, "counts": own["counts"], "many": np.zeros(len(words), bool)}
+                rows = [_row(q, 0, key, _narrow(_pick(a, at))) for q, at in _split(a, _part(words, fan))]
                 yield from _table(rows).to_batches()
 
     return each
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(20)
-
-
-class Block:
-    """A block with its words' ids and counts, and its different pairs in the order in which they are asked for."""
-
-    def __init__(self, words: bytes, body: bytes, answers: dict[int, bytes], word_parts: int, pair_parts: int, total: int):
-        own = _unpack(words)
-        self.__dict__ |= {k: a.astype(np.int64) if a.dtype.kind in "iu" else a for k, a in _unpack(body).items()}
-        hashed = np.cumsum(own["words"], dtype=np.uint64)
-        which = (hashed % np.uint64(word_parts)).astype(np.int64)
-        self.uid, self.count = np.zeros(len(hashed), np.int64), np.zeros(len(hashed), np.int64)
-        for q, data in answers.items():
-            got = _unpack(data)
-            self.uid[which == q], self.count[which == q] = got["uid"], got["count"]
-        before = np.empty(len(self.tokens), np.int64)
-        before[1:] = self.tokens[:-1]
-        before[np.cumsum(self.lens) - self.lens] = self.before
-        code, self.pair_of = np.unique(before * len(hashed) + self.tokens, return_inverse=True)
-        self.context, self.word = code // len(hashed), code % len(hashed)
-        asked = np.nonzero(self.uid[self.context] > 0)[0]
-        c, w = self.uid[self.context[asked]], self.uid[self.word[asked]]
-        hot = self.count[self.context[asked]] * HOT >= total
-        part = (_mix(np.where(hot, c * 0x1000003 + w, c)) % np.uint64(pair_parts)).astype(np.int64)
-        order = np.lexsort((w, c, part))
-        self.asked, self.part, self.hot = asked[order], part[order], hot[order]
-
-    def train(self) -> np.ndarray:
-        return np.bincount(self.pair_of[~np.repeat(self.held, self.lens)], minlength=len(self.context))
-
-    def slices(self) -> Iterator[tuple[int, np.ndarray]]:
-        """(partition, its stretch of `asked`)."""
-        ends = np.flatnonzero(np.diff(self.part, append=-1)) + 1
-        for a, b in zip([0, *ends[:-1].tolist()], ends.tolist()):
-            yield int(self.part[a]), np.arange(a, b)
-
-
-def _block_of(table: pa.Table, *how) -> Block:
-    body = table.filter(pa.compute.equal(table["kind"], 0))
-    answers = {p: d for k, p, d in zip(table["kind"].to_pylist(), table["part"].to_pylist(), table["data"]) if k == ANSWER and p >= 0}
-    return Block(body["words"][0].as_py(), body["data"][0].as_py(), {p: d.as_py() for p, d in answers.items()}, *how)
-
-
-def _ask_pairs(*how):
+def _asker(n: int, model: Model, fan: int):
     def each(table: pa.Table) -> pa.Table:
-        block, rows = _block_of(table, *how), []
-        train, key = block.train(), table["key"][0].as_py()
-        for part, at in block.slices():
-            pairs = block.asked[at]
-            context, word = block.context[pairs], block.word[pairs]
-            opens = np.flatnonzero(np.diff(context, prepend=-1))
-            known, place = np.unique(block.uid[word], return_inverse=True)
-            count = np.zeros(len(known), np.int64)
-            count[place] = block.count[word]
-            data = _pack(contexts=_rise(block.uid[context[opens]]), totals=block.count[context[opens]], runs=np.diff(opens, append=len(at)), words=_rise(known), counts=count, place=place, train=train[pairs])
-            rows.append(_row(part, 0, key, data))
+        block, key = _block_of(table, n - 1, model, fan), table["key"][0].as_py()
+        level = block.grow(n)
+        request, _ = block.request(n, level)
+        rows = [_row(q, 0, key, _narrow(_pick(request, at))) for q, at in _split(request, _part(_routes(request, model), fan))] if len(request["train"]) else []
+        own = np.flatnonzero(block.alone(level) & (level.train > 0))
+        if len(own):
+            own = own[np.argsort(block.levels[-1].hashed[level.context[own]], kind="stable")]
+            stored = _model_table(block.levels[-1].hashed[level.context[own]], block.uid[level.word[own]], level.train[own])
+            rows.append(_row(-1 - key, TABLE, key, stored, _sums(level.train[own])))  # no partition has such a key
         return _table(rows)
 
     return each
 
 
-def _count_pairs(words: Words, total: int):
-    def reduce(table: pa.Table) -> pa.Table:
-        order, key = np.argsort(table["part"].to_numpy()), table["key"][0].as_py()
-        asked = []
-        for i in order:
-            a = {k: x.astype(np.int64) if x.dtype.kind in "iu" else x for k, x in _unpack(table["data"][int(i)].as_py()).items()}
-            asked.append(a | {k: np.cumsum(a[k]) for k in ("contexts", "words")})
-        contexts, c_first, c_of = np.unique(np.concatenate([a["contexts"] for a in asked]), return_index=True, return_inverse=True)
-        totals = np.concatenate([a["totals"] for a in asked])[c_first]
-        known, w_first, w_of = np.unique(np.concatenate([a["words"] for a in asked]), return_index=True, return_inverse=True)
-        p_word = words.p(np.concatenate([a["counts"] for a in asked])[w_first])
-        codes, c_at, w_at = [], 0, 0
-        for a in asked:
-            c, w = c_of[c_at : c_at + len(a["contexts"])], w_of[w_at : w_at + len(a["words"])]
-            c_at, w_at = c_at + len(c), w_at + len(w)
-            codes.append(np.repeat(c, a["runs"]) * len(known) + w[a["place"]])
-        every, inverse = np.unique(np.concatenate(codes), return_inverse=True)
-        r = np.bincount(inverse, np.concatenate([a["train"] for a in asked])).astype(np.int64)
-        context, word, seen = every // len(known), every % len(known), r > 0
-        stats = np.zeros((len(contexts), K + 2))  # types with count 1..K, tokens above K, P(w) of the seen
-        for i in range(1, K + 1):
-            stats[:, i - 1] = np.bincount(context[r == i], minlength=len(contexts))
-        stats[:, K] = np.bincount(context[r > K], r[r > K], minlength=len(contexts))
-        stats[:, K + 1] = np.bincount(context[seen], p_word[word[seen]], minlength=len(contexts))
-        hot = totals * HOT >= total
-        n = np.bincount(np.minimum(r[seen], K + 2), minlength=K + 3)
-        rows = [_row(key, BIGRAM, 0, _pack(contexts=contexts[context[seen]], words=known[word[seen]], counts=r[seen]), [float(x) for x in n[1 : K + 2]])]
-        rows += [_row(int(contexts[i]), CONTEXT, key, None, stats[i].tolist()) for i in np.flatnonzero(hot)]
-        whole = stats[:, :K].sum(axis=1) == 0  # nothing is discounted
-        at = 0
-        for i, own in zip(order, codes):
-            mine = inverse[at : at + len(own)]
-            at += len(own)
-            cold = ~hot[context[mine]]
-            lost = np.unique(context[mine][(r[mine] == 0) & cold])
-            slim = stats[lost]
-            answer = _pack(r=r[mine], whole=(whole[context[mine]] & cold), lost=np.searchsorted(lost, context[mine][(r[mine] == 0) & cold]), low=slim[:, : K + 1].astype(np.int64).ravel(), seen=slim[:, K + 1])
-            rows.append(_row(table["part"][int(i)].as_py(), ANSWER, -1 - key, answer))
-        return _table(rows)
-
-    return reduce
-
-
-def _backoff(stats: np.ndarray, totals: np.ndarray, d: np.ndarray, unknown: float) -> tuple[np.ndarray, np.ndarray]:
-    """alpha and the denominator of contexts by their statistics."""
-    over = np.where(stats[:, :K].sum(axis=1) > 0, totals, totals + 1).astype(float)
-    kept = (stats[:, :K] * (d[1:] * np.arange(1, K + 1))).sum(axis=1) + stats[:, K]
-    return (1 - kept / over) / np.maximum(1 - stats[:, K + 1], unknown), over
-
-
-def _score(how: tuple, words: Words, d: np.ndarray, hot: dict[int, list[float]], names: list[str], id_type: pa.DataType):
-    hot_ids = np.array(sorted(hot), np.int64)
-    hot_stats = np.array([hot[i] for i in hot_ids.tolist()]).reshape(-1, K + 2)
-
+def _scorer(model: Model, fan: int, names: list[str], id_type: pa.DataType):
     def each(table: pa.Table) -> pa.Table:
-        block = _block_of(table, *how)
-        answers = {-1 - p: d.as_py() for k, p, d in zip(table["kind"].to_pylist(), table["part"].to_pylist(), table["data"]) if k == ANSWER and p < 0}
-        counts = block.count.copy()
-        p_word = words.p(counts)
-        score = np.log10(p_word[block.word])
-        for part, at in block.slices():
-            got, pairs, is_hot = _unpack(answers[part]), block.asked[at], block.hot[at]
-            r = got["r"].astype(np.int64)
-            context = block.context[pairs]
-            over = block.count[context] + got["whole"].astype(float)
-            log_alpha = np.zeros(len(pairs))
-            lost = np.flatnonzero((r == 0) & ~is_hot)
-            if len(lost):
-                slim = np.concatenate([got["low"].reshape(-1, K + 1).astype(float), got["seen"][:, None]], axis=1)
-                which = got["lost"].astype(np.int64)
-                total = np.zeros(len(slim))
-                total[which] = block.count[context[lost]]
-                log_alpha[lost] = np.log10(_backoff(slim, total, d, words.unknown)[0])[which]
-            if is_hot.any():
-                place = np.searchsorted(hot_ids, block.uid[context[is_hot]])
-                alpha, hot_over = _backoff(hot_stats[place], block.count[context[is_hot]], d, words.unknown)
-                over[is_hot], log_alpha[is_hot] = hot_over, np.log10(alpha)
-            seen = r > 0
-            found = np.where(seen, np.log10(np.where(seen, np.where(r <= K, d[np.minimum(r, K)], 1.0) * r, 1.0) / over), log_alpha + score[pairs])
-            score[pairs] = found
-        each_token = score[block.pair_of]
-        count = counts[block.tokens]
+        block = _block_of(table, model.order, model, fan)
         starts = np.cumsum(block.lens) - block.lens
         add = lambda x: np.add.reduceat(x, starts)
-        ids = table.filter(pa.compute.equal(table["kind"], 0))["ids"][0].as_py()
-        columns = [pa.array(block.rows), pa.array(block.parts), pa.array(ids, id_type), pa.array(block.held), pa.array(block.lens), pa.array(add((count > 0).astype(np.int64))), pa.array(add(words.base(count))), pa.array(add(each_token))]
+        top, counts = block.levels[-1], block.levels[0].count[block.tokens]
+        each_token = np.log10(top.p)[top.of[block.inside]]
+        ids = table.filter(pc.equal(table["kind"], 0))["ids"][0].as_py()
+        columns = [pa.array(block.rows), pa.array(block.parts), pa.array(ids, id_type), pa.array(block.held), pa.array(block.lens), pa.array(add((counts > 0).astype(np.int64))), pa.array(add(model.words.base(counts))), pa.array(add(each_token))]
         return pa.table(columns, names=names)
 
     return each
 
 
-def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, fold: int = 1, block: int = BLOCK, partition_tokens: int = 2_000_000) -> DataFrame:
-    """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+def _free(df: DataFrame) -> None:
+    """Lets the driver drop shuffle files of plans that are done (they go when their handles do)."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
+def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, fold: int = 1, order: int = ORDER, block: int = BLOCK, partition_tokens: int = PARTITION, fan: int = FAN) -> DataFrame:
+    """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, discounting.
 
     Rows whose crc32(doc_id as text) mod `folds` is `fold` are held out, the others train the model.
     """
+    if order < 1 or fan < 2 or block < order:
+        raise ValueError("order is at least 1, fan at least 2, a block holds order tokens at least")
     scratch = Scratch(docs.sparkSession)
     held = F.coalesce(F.crc32(F.encode(F.col(id_col).cast("string"), "UTF-8")) % folds == fold, F.lit(False))
     rows = docs.select(F.col(id_col).alias("__id"), held.alias("__held"), F.col(text_col).alias("__text"))
-    own = scratch.table(blocks(rows, block), "blocks")
-    tokens = own.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    parts = max(8, tokens // partition_tokens)
-
-    asked = own.select("key", "words").mapInArrow(_ask_words(parts), _PACKED)
-    counted = scratch.table(asked.groupBy("key").applyInArrow(_count_words(parts), _PACKED), "words", ["kind"])
-    sums = counted.where(f"kind = {UNIGRAM}").agg(*[F.coalesce(F.sum(F.col("stats")[i]), F.lit(0.0)) for i in range(K + 3)]).first()
-    words = Words(int(sums[0]), int(sums[1]), np.array([0, *sums[2:]], float))
-    how = (parts, parts, words.total)
-
-    columns = ["key", "kind", "part", "data", "words", "ids"]
-    body = own.select("key", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("part"), F.col("body").alias("data"), "words", "ids")
+    own = scratch.table(blocks(rows, order, block), "blocks")
+    tokens, opens, many = own.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("opens"), F.lit(0)), F.count(F.lit(1))).first()
+    levels = _levels(tokens, partition_tokens, fan)
+    model = Model(order, 0, opens, many, min(max(1024, levels[-1]), 1 << 16))
+
+    sums = lambda df: [float(x) for x in df.where("stats is not null").where(f"kind <> {CONTEXT}").agg(*[F.coalesce(F.sum(F.col("stats")[i]), F.lit(0.0)) for i in range(K + 3)]).first()]
+    asked = own.select("key", "words").mapInArrow(_ask_words(fan), _ROWS)
+    found = {1: _exchange(asked, 1, many, levels, model, scratch, "words", fan)}
+    told = sums(found[1])
+    model.words, model.total = Words(int(told[0]), int(told[1]), np.array([0, *told[2:]], float)), int(told[0])
+
+    body = own.select("key", F.lit(0).alias("n"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("source"), F.col("body").alias("data"), "words", "ids")
     none = [F.lit(None).cast(body.schema[c].dataType).alias(c) for c in ("words", "ids")]
-    answers = counted.where(f"kind = {ANSWER}").select("key", "kind", "part", "data", *none)
-    joined = body.unionByName(answers).select(*columns)
-    pairs = joined.drop("ids").groupBy("key").applyInArrow(_ask_pairs(*how), _PACKED)
-    counted2 = scratch.table(pairs.groupBy("key").applyInArrow(_count_pairs(words, words.total), _PACKED), "pairs", ["kind"])
-    sums = counted2.where(f"kind = {BIGRAM}").agg(*[F.coalesce(F.sum(F.col("stats")[i]), F.lit(0.0)) for i in range(K + 1)]).first()
-    d = discounts(np.array([0, *sums], float))
-    hot = counted2.where(f"kind = {CONTEXT}").groupBy("key").agg(*[F.sum(F.col("stats")[i]).alias(f"s{i}") for i in range(K + 2)]).collect()  # HOT + 1 rows at most
+
+    def with_answers(*columns: str) -> DataFrame:
+        out = body
+        for n, df in found.items():
+            out = out.unionByName(df.where(f"kind = {ANSWER}").select("key", F.lit(n).alias("n"), F.lit(ANSWER).alias("kind"), "source", "data", *none))
+        return out.select(*columns).repartition(max(1, many), "key").groupBy("key")
+
+    names = [model.words.name]
+    for n in range(2, order + 1):
+        asked = with_answers("key", "n", "kind", "source", "data", "words").applyInArrow(_asker(n, model, fan), _ROWS)
+        found[n] = _exchange(asked, n, many, levels, model, scratch, f"grams{n}", fan)
+        told = sums(found[n])
+        model.d[n], name = discounts(np.array([0, *told[2:]], float))
+        names.append(name)
+        hot = found[n].where(f"kind = {CONTEXT}").groupBy("key").agg(*[F.sum(F.col("stats")[i]).alias(f"s{i}") for i in range(K + 2)]).collect()  # `share` rows at most
+        ids = np.array([r[0] for r in hot], np.int64).view(np.uint64)
+        at = np.argsort(ids)
+        model.hot[n] = ids[at], np.array([list(r[1:]) for r in hot], float).reshape(-1, K + 2)[at]
+        _free(docs)
 
     id_field = T.StructField("doc_id", rows.schema["__id"].dataType)
     kinds = [T.StructField(n, k) for n, k in (("__row", T.LongType()), ("__part", T.BooleanType()))] + [id_field, T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())]
-    answers2 = counted2.where(f"kind = {ANSWER}").select("key", "kind", "part", "data", *none)
-    scorer = _score(how, words, d, {r[0]: list(r[1:]) for r in hot}, [k.name for k in kinds], to_arrow_type(id_field.dataType))
-    scored = joined.unionByName(answers2).select(*columns).groupBy("key").applyInArrow(scorer, T.StructType(kinds))
-    scored = scratch.table(scored, "scores")
+    scorer = _scorer(model, fan, [k.name for k in kinds], to_arrow_type(id_field.dataType))
+    scored = scratch.table(with_answers(*body.columns).applyInArrow(scorer, T.StructType(kinds)), "scores")
     split = scored.where("__part").groupBy("__row").agg(F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
-    out = scored.where("not __part").drop("__part").unionByName(split).withColumn("train_tokens", F.lit(words.total).cast("long"))
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    out = scored.where("not __part").drop("__part").unionByName(split).withColumns({"train_tokens": F.lit(model.total).cast("long"), "discounting": F.lit(",".join(names))})
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "discounting")
+
