@@ -4,25 +4,28 @@ Store. A JPEG block has 64 integer coefficients, and Huffman coding loses none o
 size 8 carries eight free bits (128..255, or -255..-128), so a byte is one coefficient: DC and AC of a block
 take 64 bytes in zigzag order, an MCU of three components 192. The quantisation is 1, every symbol is
 "run 0, size 8", and a restart marker ends each MCU, which resets the DC prediction. The payload's length
-stands in a comment segment; MCUs that only complete the rectangle hold spaces.
+stands in a comment segment; MCUs that only complete the rectangle hold spaces. Payloads are coded in slices of
+SLICE units, so a long one takes a few times its own bytes and not more.
 
 Decoder. Markers are parsed per file; then the restart intervals of many files are decoded in lockstep, one
 symbol of each per step, with table look-ups on 16-bit windows. It takes interleaved and single-component
 scans, sampling factors, several tables and any restart interval; progressive, lossless and arithmetic files
-are refused.
+are refused. Scans with restart markers are decoded in pieces of PIECE bytes; one without is decoded at once.
 """
 
 from __future__ import annotations
 
 import struct
 from collections import defaultdict
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 
 UNIT = 192
 _SIDE = 8191  # MCUs of 8 x 8 in 65,535 pixels
+#: Units coded, and bytes of a scan decoded, in one pass over arrays. SLICE is a multiple of 8, as restart markers count.
+SLICE, PIECE = 1 << 13, 1 << 20
 
 
 def shape(units: int) -> tuple[int, int]:
@@ -44,32 +47,63 @@ _TABLES = _segment(0xC4, bytes([0x00]) + _ONE_CODE) + _segment(0xC4, bytes([0x10
 _SCAN = _segment(0xDA, bytes([3, 1, 0, 2, 0, 3, 0, 0, 63, 0]))
 
 
-def store(payloads: Sequence[bytes]) -> list[bytes]:
-    """Files for payloads, each of a positive multiple of UNIT bytes."""
-    units = [len(p) // UNIT for p in payloads]
-    if any(not n or len(p) % UNIT for n, p in zip(units, payloads)):
-        raise ValueError("a payload is no positive multiple of the unit")
-    shapes = [shape(n) for n in units]
-    whole = np.array([c * r for c, r in shapes], np.int64)
-    x = np.frombuffer(b"".join(p + b" " * (int(n) * UNIT - len(p)) for p, n in zip(payloads, whole)), np.uint8).reshape(-1, UNIT)
+def _coded(x: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Entropy-coded MCUs of rows of UNIT bytes, each with its restart marker, and where each ends. number: in its file."""
     bits = np.zeros((len(x), UNIT, 9), np.uint8)
     bits[:, :, 1:] = np.unpackbits(x).reshape(-1, UNIT, 8)
     coded = np.zeros((len(x), UNIT * 9 // 8 + 2), np.uint8)
     coded[:, :-2] = np.packbits(bits.reshape(len(x), -1), axis=1)
-    first = np.repeat(np.cumsum(whole) - whole, whole)
-    coded[:, -2], coded[:, -1] = 0xFF, 0xD0 + (np.arange(len(x)) - first) % 8
+    coded[:, -2], coded[:, -1] = 0xFF, 0xD0 + number % 8
     stuffed = coded == 0xFF
     stuffed[:, -2] = False
-    ends = np.cumsum(coded.shape[1] + stuffed.sum(axis=1))[np.cumsum(whole) - 1]
+    ends = np.cumsum(coded.shape[1] + stuffed.sum(axis=1))
     flat, stuffed = coded.ravel(), stuffed.ravel()
     out = np.repeat(flat, 1 + stuffed)
     out[np.nonzero(stuffed)[0] + np.arange(1, stuffed.sum() + 1)] = 0
-    files, start = [], 0
-    for (columns, rows), payload, end in zip(shapes, payloads, ends):
+    return out, ends
+
+
+def _units(payload: bytes, start: int, end: int) -> np.ndarray:
+    """Rows start to end of a payload, spaces behind it."""
+    part = payload[start * UNIT : end * UNIT]
+    return np.frombuffer(part + b" " * ((end - start) * UNIT - len(part)), np.uint8).reshape(-1, UNIT)
+
+
+def store(payloads: Sequence[bytes]) -> list[bytes]:
+    """Files for payloads, each of a positive multiple of UNIT bytes."""
+    if any(not p or len(p) % UNIT for p in payloads):
+        raise ValueError("a payload is no positive multiple of the unit")
+    shapes = [shape(len(p) // UNIT) for p in payloads]
+    bodies: list[list[bytes]] = [[] for _ in payloads]
+    together: list[tuple[int, int, int]] = []
+
+    def flush() -> None:
+        if together:
+            x = np.concatenate([_units(payloads[i], a, b) for i, a, b in together])
+            out, ends = _coded(x, np.concatenate([np.arange(a, b) for _, a, b in together]))
+            start, row = 0, 0
+            for i, a, b in together:
+                row += b - a
+                bodies[i].append(out[start : ends[row - 1]].tobytes())
+                start = ends[row - 1]
+            together.clear()
+
+    held = 0
+    for i, (columns, rows) in enumerate(shapes):
+        for a in range(0, columns * rows, SLICE):
+            b = min(a + SLICE, columns * rows)
+            together.append((i, a, b))
+            held += b - a
+            if held >= SLICE:
+                flush()
+                held = 0
+    flush()
+    files = []
+    for (columns, rows), payload, body in zip(shapes, payloads, bodies):
         frame = struct.pack(">BHHB", 8, rows * 8, columns * 8, 3) + bytes([1, 0x11, 0, 2, 0x11, 0, 3, 0x11, 0])
         head = b"\xff\xd8" + _FIXED + _segment(0xFE, b"payload=%d" % len(payload)) + _segment(0xC0, frame) + _TABLES + _SCAN
-        files.append(head + out[start : end - 2].tobytes() + b"\xff\xd9")
-        start = end
+        body[-1] = body[-1][:-2]
+        files.append(b"".join([head, *body, b"\xff\xd9"]))
     return files
 
 
@@ -254,6 +288,59 @@ def _symbols(data: np.ndarray, first: np.ndarray, blocks: np.ndarray, pattern: n
     return out
 
 
+def _pieces(data: bytes) -> Iterator[bytes]:
+    """A scan with restart markers in pieces of whole intervals, each some PIECE bytes long."""
+    start = 0
+    while len(data) - start > PIECE:
+        at = data.find(b"\xff", start + PIECE)
+        while at >= 0 and not (at + 1 < len(data) and 0xD0 <= data[at + 1] <= 0xD7):
+            at = data.find(b"\xff", at + 1)
+        if at < 0:
+            break
+        yield data[start:at]
+        start = at + 2
+    yield data[start:]
+
+
+def _blocks(pattern: tuple, specs: tuple, scans: list[bytes], units: list[int], intervals: list[int]) -> np.ndarray:
+    """Coefficients of all blocks of scans, in order. units: MCUs of each; intervals: their restart intervals (0: none)."""
+    data, first, per_scan = _intervals(scans)
+    blocks = []
+    for n, count, interval in zip(units, per_scan, intervals):
+        each = np.full(int(count), interval or n, np.int64)
+        each[-1] = n - each[:-1].sum()
+        if each[-1] <= 0 or (interval and each[-1] > interval):
+            raise ValueError("restart markers and dimensions don't fit")
+        blocks.append(each * len(pattern))
+    blocks = np.concatenate(blocks)
+    tables = np.stack([_look_up(t) for pair in specs for t in pair])
+    out, kinds = _symbols(data, first, blocks, np.array(pattern), tables), np.array(pattern)
+    starts = np.cumsum(blocks) - blocks
+    if (blocks > len(pattern)).any() or len(pattern) > len(set(pattern)):  # DC differences add up within an interval
+        place = np.arange(len(out)) - np.repeat(starts, blocks)
+        for kind in set(pattern):
+            mine = np.nonzero(kinds[place % len(pattern)] == kind)[0]
+            total = np.cumsum(out[mine, 0].astype(np.int64))
+            opens = np.searchsorted(mine, starts)
+            lead = np.concatenate([[0], total])[opens]
+            out[mine, 0] = total - np.repeat(lead, np.diff(np.concatenate([opens, [len(mine)]])))
+    return out
+
+
+def _place(own: list[Component], columns: int, start: int, out: np.ndarray) -> None:
+    """MCUs from number `start` on, (MCU, block, 64), into their components' coefficients."""
+    row, column = np.divmod(np.arange(start, start + len(out)), columns)
+    if len(own) == 1:
+        own[0].coefficients[row, column] = out[:, 0]
+        return
+    begin = 0
+    for c in own:
+        for k in range(c.across * c.down):
+            dy, dx = divmod(k, c.across)
+            c.coefficients[row * c.down + dy, column * c.across + dx] = out[:, begin + k]
+        begin += c.across * c.down
+
+
 def decode(files: Sequence[bytes]) -> list[Image]:
     """Images with the coefficients of all components. Files with the same tables are decoded together."""
     images, groups = [parse(f) for f in files], defaultdict(list)
@@ -262,49 +349,28 @@ def decode(files: Sequence[bytes]) -> list[Image]:
         for c in image.components:
             c.coefficients = np.zeros((rows * c.down, columns * c.across, 64), np.int16)
         for which, interval, data in image.scans:
-            alone = len(which) == 1
-            pattern = (0,) if alone else tuple(i for i, (c, _, _) in enumerate(which) for _ in range(image.components[c].across * image.components[c].down))
-            groups[pattern, tuple(x[1:] for x in which)].append((image, [image.components[c] for c, _, _ in which], interval, data))
+            own = [image.components[c] for c, _, _ in which]
+            if alone := len(own) == 1:
+                columns, rows = -(-image.width * own[0].across // (8 * h)), -(-image.height * own[0].down // (8 * v))
+            pattern = (0,) if alone else tuple(i for i, c in enumerate(own) for _ in range(c.across * c.down))
+            specs = tuple(x[1:] for x in which)
+            if not interval or len(data) <= 2 * PIECE:
+                groups[pattern, specs].append((own, columns, columns * rows, interval, data))
+                continue
+            done = 0
+            for piece in _pieces(data):
+                n = min(int(_intervals([piece])[2][0]) * interval, columns * rows - done)
+                _place(own, columns, done, _blocks(pattern, specs, [piece], [n], [interval]).reshape(-1, len(pattern), 64))
+                done += n
+            if done != columns * rows:
+                raise ValueError("restart markers and dimensions don't fit")
         image.scans = []
     for (pattern, specs), scans in groups.items():
-        data, first, per_scan = _intervals([s[3] for s in scans])
-        sizes, blocks = [], []
-        for (image, own, interval, _), n in zip(scans, per_scan):
-            h, v, columns, rows = _extent(image)
-            if len(own) == 1:
-                c = own[0]
-                columns, rows = -(-image.width * c.across // (8 * h)), -(-image.height * c.down // (8 * v))
-            units = columns * rows
-            each = np.full(int(n), interval or units, np.int64)
-            each[-1] = units - each[:-1].sum()
-            if each[-1] <= 0 or (interval and each[-1] > interval):
-                raise ValueError("restart markers and dimensions don't fit")
-            sizes.append((columns, rows))
-            blocks.append(each * len(pattern))
-        blocks = np.concatenate(blocks)
-        tables = np.stack([_look_up(t) for pair in specs for t in pair])
-        out, kinds = _symbols(data, first, blocks, np.array(pattern), tables), np.array(pattern)
-        starts = np.cumsum(blocks) - blocks
-        if (blocks > len(pattern)).any() or len(pattern) > len(set(pattern)):  # DC differences add up within an interval
-            place = np.arange(len(out)) - np.repeat(starts, blocks)
-            for kind in set(pattern):
-                mine = np.nonzero(kinds[place % len(pattern)] == kind)[0]
-                total = np.cumsum(out[mine, 0].astype(np.int64))
-                opens = np.searchsorted(mine, starts)
-                lead = np.concatenate([[0], total])[opens]
-                out[mine, 0] = total - np.repeat(lead, np.diff(np.concatenate([opens, [len(mine)]])))
+        out = _blocks(pattern, specs, [s[4] for s in scans], [s[2] for s in scans], [s[3] for s in scans]).reshape(-1, len(pattern), 64)
         at = 0
-        for (image, own, _, _), (columns, rows) in zip(scans, sizes):
-            n = columns * rows * len(pattern)
-            part, at = out[at : at + n].reshape(rows, columns, len(pattern), 64), at + n
-            if len(own) == 1:
-                own[0].coefficients[:rows, :columns] = part[:, :, 0]
-                continue
-            begin = 0
-            for c in own:
-                block = part[:, :, begin : begin + c.across * c.down].reshape(rows, columns, c.down, c.across, 64)
-                c.coefficients = np.ascontiguousarray(block.transpose(0, 2, 1, 3, 4)).reshape(rows * c.down, columns * c.across, 64)
-                begin += c.across * c.down
+        for own, columns, n, _, _ in scans:
+            _place(own, columns, 0, out[at : at + n])
+            at += n
     return images
 
 
@@ -313,20 +379,24 @@ def payload(image: Image) -> bytes:
     size = next((int(c[8:]) for c in image.comments if c.startswith(b"payload=")), None)
     if size is None:
         raise ValueError("no payload comment")
-    x = np.stack([c.coefficients for c in image.components], axis=2)
-    return np.where(x < 0, x + 255, x).astype(np.uint8).tobytes()[:size]
+    parts = [c.coefficients.reshape(-1, 64) for c in image.components]
+    out = np.empty((len(parts[0]), len(parts), 64), np.uint8)
+    for i in range(0, len(out), SLICE):
+        for k, x in enumerate(parts):
+            own = x[i : i + SLICE]
+            out[i : i + SLICE, k] = np.where(own < 0, own + 255, own)
+    return out.tobytes()[:size]
 
 
 def thumbnail_hash(luminance: np.ndarray, side: int = 8) -> str:
     """64 bits: where the mean of a cell of a side x (side + 1) grid exceeds its left neighbour's."""
-    rows = np.arange(side + 1) * luminance.shape[0] / side
-    columns = np.arange(side + 2) * luminance.shape[1] / (side + 1)
-
-    def means(x: np.ndarray, edges: np.ndarray) -> np.ndarray:
-        total = np.concatenate([np.zeros((1, x.shape[1])), np.cumsum(x, axis=0)])
-        lo = np.floor(edges[:-1]).astype(int)
-        hi = np.maximum(np.ceil(edges[1:]).astype(int), lo + 1)
-        return (total[hi] - total[lo]) / (hi - lo)[:, None]
-
-    cells = means(means(luminance.astype(float), rows).T, columns).T
-    return np.packbits(cells[:, 1:] > cells[:, :-1]).tobytes().hex()
+    def sums(x: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of each of `parts` spans of rows (one row at least) the sum, and how many rows it has."""
+        k = np.arange(parts)
+        lo = k * len(x) // parts
+        hi = np.maximum(-(-(k + 1) * len(x) // parts), lo + 1)
+        total = np.concatenate([np.zeros((1, x.shape[1]), np.int64), np.cumsum(x, axis=0, dtype=np.int64)])
+        return total[hi] - total[lo], hi - lo
+
+    cells, wide = sums(sums(luminance, side)[0].T, side + 1)
+    return np.packbits((cells[1:] * wide[:-1, None] > cells[:-1] * wide[1:, None]).T).tobytes().hex()

@@ -5,8 +5,9 @@ that payload into a JPEG file in a binary column. `features` reads such a column
 Huffman-decodes each file, takes the payload back from the coefficients, and describes the image by its
 dimensions and the hash of its DC-only luminance thumbnail.
 
-Edge cases. Null, empty and one-word texts: one MCU at least. Very long texts: one image holds 12 GB; files
-are coded and decoded in blocks of some MB. Null media: null features. Null or repeated doc_id: each row has
+Edge cases. Null, empty and one-word texts: one MCU at least. Very long texts: one image holds 12 GB; each file
+is coded and decoded in slices of about a megabyte, but its bytes, its payload and its coefficients (two bytes each)
+stand in memory at once, some six bytes for each byte of the text. Null media: null features. Null or repeated doc_id: each row has
 its file; equal texts have equal files. Empty table: no rows. Other columns are ignored.
 """
 

@@ -2,10 +2,12 @@
 
 import array
 import hashlib
+import math
 import random
 import re
 import struct
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -106,6 +108,63 @@ def test_media_round_trip(spark):
     assert [tuple(r) for r in media.features(nothing).collect()] == [(1, None, None, None, None, None, None)]
 
 
+def plain_grey(payload):
+    """One sample for each MCU: the DC of its first block, which is the first of its 192 bytes; spaces fill the rectangle."""
+    n = len(payload) // 192
+    columns = math.ceil(math.sqrt(n))
+    rows = -(-n // columns)
+    first = [payload[192 * i] if i < n else 32 for i in range(rows * columns)]
+    grey = [min(255, max(0, ((v if v >= 128 else v - 255) + 4) // 8 + 128)) for v in first]
+    return [grey[r * columns : (r + 1) * columns] for r in range(rows)]
+
+
+def plain_hash(grey):
+    """Whether a cell of an 8 x 9 grid is lighter than its left neighbour."""
+
+    def spans(parts, size):
+        return [(lo := k * size // parts, max(-(-((k + 1) * size) // parts), lo + 1)) for k in range(parts)]
+
+    bits = ""
+    for a, b in spans(8, len(grey)):
+        cells = [Fraction(sum(sum(row[c:d]) for row in grey[a:b]), (b - a) * (d - c)) for c, d in spans(9, len(grey[0]))]
+        bits += "".join("1" if y > x else "0" for x, y in zip(cells, cells[1:]))
+    return f"{int(bits, 2):016x}"
+
+
+def test_thumbnails(spark):
+    texts = [*prose(12, 5), "x" * 5000, "Ä" * 9000, None, "".join(chr(33 + i * i % 90) for i in range(20_000))]
+    for r in media.media_features(documents(spark, texts)).collect():
+        raw = ("null id" if r.doc_id is None else texts[r.doc_id] or "").encode()
+        grey = plain_grey(raw + b" " * (r.payload_bytes - len(raw)))
+        assert r.feature == f"{len(grey[0]) * 8}x{len(grey) * 8} dhash={plain_hash(grey)}"
+
+
+def test_long_files_in_slices_are_the_same(monkeypatch):
+    draw = np.random.default_rng(5)
+    payloads = [draw.integers(0, 256, 192 * n, dtype=np.uint8).tobytes() for n in (1, 7, 300, 1000)]
+    whole = jpeg.store(payloads)
+    monkeypatch.setattr(jpeg, "SLICE", 64)
+    monkeypatch.setattr(jpeg, "PIECE", 5000)
+    assert jpeg.store(payloads) == whole
+    assert [jpeg.payload(i) for i in jpeg.decode(whole)] == payloads
+    with pytest.raises(ValueError):
+        jpeg.decode([whole[3][: len(whole[3]) // 2] + b"\xff\xd9"])
+
+
+def test_memory_of_a_long_text():
+    import tracemalloc
+
+    raw = b"some words and more \xff" * 500_000
+    tracemalloc.start()
+    file = jpeg.store([media.padded(raw)])[0]
+    stored = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    assert jpeg.payload(jpeg.decode([file])[0])[: len(raw)] == raw
+    read = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert stored < 6 * len(raw) + (1 << 26) and read < 9 * len(raw) + (1 << 27)
+
+
 def plain_jpeg(coefficients, interval):
     """A 4:2:0 file of two MCU rows with runs of zeros, by the standard's own words: (bytes, MCUs of six blocks)."""
     dc, ac = {s: (5, s) for s in range(12)}, {}
