@@ -254,7 +254,7 @@ def _searcher(names: list[str], bits: int, radius: int):
 
 def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
     """Distinct fps(__fp) -> (u, v): a set of links within `bits` that connects all that such links connect."""
-    left, largest, scratch = fps.select(F.col("__fp").alias("fp")), fps.count(), None
+    left, largest, scratch = fps.select(F.col("__fp").alias("fp")), fps.count(), Scratch(fps.sparkSession)
     parts, out, names = len(_ranges(bits)), None, []
     radius = bits // parts
     for level in range(LEVELS):
@@ -267,10 +267,9 @@ def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
             own, width = _set_aside(sample[(ways == np.array(path, np.int64)).all(axis=1)], path, bits)
             trees[path] = [_upper(_part(own, at), depth, at[1].bit_length()) for at in _ranges(bits, width)]
         kinds = ", ".join(f"{n} long" for n in ["fp", *names, f"s{level}"])
-        dealt = left.mapInArrow(_dealer(trees, list(names), bits, radius, depth), f"{kinds}, member boolean")
+        dealt = scratch.table(left.mapInArrow(_dealer(trees, list(names), bits, radius, depth), f"{kinds}, member boolean"), f"dealt{level}")
         names, again = [*names, f"s{level}"], None
         if level < LEVELS - 1 and largest > MOST:
-            scratch = scratch or Scratch(fps.sparkSession)
             sizes = dealt.where("member").groupBy(*names).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST)
             sizes = scratch.table(sizes, f"large{level}")
             if largest := sizes.agg(F.max("n")).first()[0]:
@@ -297,11 +296,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("__id").alias("doc_id"), F.col("__text").alias("text_hash"), F.lpad(F.lower(F.hex("__fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = BITS, similarity: bool = False) -> DataFrame:
     """docs without the near copies: of each component, the row with the least doc_id stays (of equal rows, one).
 
-    A component whose ids are all null keeps one row for each of its different texts.
+    similarity: near copies are those of near_copies.py (5-word shingle sets, Jaccard 0.8 or more), not those whose
+    fingerprints differ in few bits. A component whose ids are all null keeps one row for each of its different texts.
     """
+    if similarity:
+        from . import near_copies
+
+        return near_copies.one_of_each(docs, id_col, text_col)
     return one_of_components(docs, near_duplicates(docs, id_col, text_col, shingle, bits), id_col, text_col)
 
 
