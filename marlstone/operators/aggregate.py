@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import blank_to_null
-from .window import average_rank
+from .ranks import average_ranks, join_null_safe, quantiles, running
+from .tables import Scratch
 
 
 def median(c: Column | str) -> Column:
@@ -64,18 +65,38 @@ def equal_source_weights(df: DataFrame, source: str) -> DataFrame:
     return df.join(weights, F.col(source).eqNullSafe(F.col("__s")), "left").drop("__s")
 
 
-def regression(y: Column, guess: Column, w: Column | None = None) -> dict[str, Column]:
-    """Weighted n, MAE, RMSE and R2 (null for fewer than two rows or a constant truth), in one pass."""
-    w = F.lit(1.0) if w is None else w
+def centred(df: DataFrame, by: Sequence[str], columns: Sequence[str], w: str | None = None, ok: Column | None = None) -> DataFrame:
+    """df with `__mean_<column>`, the group's weighted mean over the rows that count."""
+    weight = F.lit(1.0) if w is None else F.col(w)
+    weight = weight if ok is None else F.when(ok, weight)
+    means = df.groupBy(*by).agg(*[F.try_divide(F.sum(weight * F.col(c)), F.sum(F.when(F.col(c).isNotNull(), weight))).alias(f"__mean_{c}") for c in columns])
+    return join_null_safe(df, means, by)
+
+
+def regression_by(df: DataFrame, by: Sequence[str], y: str, guess: str, w: str | None = None) -> DataFrame:
+    """(by, n, mae, rmse, r2): the metrics per group. The truth is centred first, so a large mean costs R2 no digits."""
+    rows = centred(df, by, [y], w, F.col(y).isNotNull() & F.col(guess).isNotNull())
+    found = regression(F.col(y), F.col(guess), None if w is None else F.col(w), F.col(f"__mean_{y}"))
+    return rows.groupBy(*by).agg(*[v.alias(k) for k, v in found.items()])
+
+
+def regression(y: Column, guess: Column, w: Column | None = None, mean_y: Column | None = None) -> dict[str, Column]:
+    """Weighted n, MAE, RMSE and R2 (null for fewer than two rows or a constant truth), in one pass.
+
+    mean_y: the group's mean, by which the spread is centred (regression_by adds it). Without it the spread is the
+    built-in variance, and with weights that of squares less the mean's, which loses digits where means are large."""
+    weighted, w = w is not None, F.lit(1.0) if w is None else w
     ok = y.isNotNull() & guess.isNotNull()
     total = F.sum(F.when(ok, w))
     mean = lambda c: F.try_divide(F.sum(F.when(ok, w * c)), total)
-    mse, spread = mean((y - guess) ** 2), mean(y * y) - mean(y) ** 2
+    mse = mean((y - guess) ** 2)
+    spread = mean((y - mean_y) ** 2) if mean_y is not None else mean(y * y) - mean(y) ** 2 if weighted else F.var_pop(F.when(ok, y))
     n = F.count_if(ok)
     return {"n": n, "mae": mean(F.abs(y - guess)), "rmse": F.sqrt(mse), "r2": F.when((n > 1) & (F.count_distinct(F.when(ok, y)) > 1), 1 - F.try_divide(mse, spread))}
 
 
 def weighted_correlation(x: Column, y: Column, w: Column) -> Column:
+    """Pearson's with weights, of columns whose means are near 0 (centre them first: `centred`)."""
     s = F.sum(w)
     mx, my = F.sum(w * x) / s, F.sum(w * y) / s
     cov = F.sum(w * x * y) / s - mx * my
@@ -88,11 +109,16 @@ def correlation(x: Column | str, y: Column | str) -> Column:
 
 
 def spearman(df: DataFrame, by: Sequence[str], x: str, y: str, w: Column | None = None) -> DataFrame:
-    """Rank correlation per group over complete pairs: average ranks, weighted Pearson of them."""
-    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = pairs.withColumns({"__rx": average_rank(x, by), "__ry": average_rank(y, by), "__w": F.lit(1.0) if w is None else w})
-    varied = (F.count_distinct(x) > 1) & (F.count_distinct(y) > 1)
-    return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.when(varied, weighted_correlation(F.col("__rx"), F.col("__ry"), F.col("__w"))).alias("spearman"))
+    """Rank correlation per group over complete pairs: average ranks, weighted Pearson of them, centred at the middle rank."""
+    scratch = Scratch(df.sparkSession)
+    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).alias("__x"), F.col(y).alias("__y"), (F.lit(1.0) if w is None else w).alias("__w"))
+    pairs = scratch.table(pairs, "pairs")
+    rows = pairs
+    for c in ("__x", "__y"):
+        rows = join_null_safe(rows, average_ranks(pairs, by, c, scratch, f"line{c}", f"{c}r"), [*by, c])
+    middle = lambda c: F.col(f"{c}r") - (F.col(f"{c}r_of") + 1) / 2
+    varied = (F.min("__x") < F.max("__x")) & (F.min("__y") < F.max("__y"))
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.when(varied, weighted_correlation(middle("__x"), middle("__y"), F.col("__w"))).alias("spearman"))
 
 
 def distribution(c: Column) -> dict[str, Column]:
@@ -113,15 +139,14 @@ def nested_median(df: DataFrame, by: Sequence[str], study: str, value: str, exac
 
 def profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Per column: missing rate, distinct values, the most common one and its share, quantiles, spread."""
-    tall = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in columns])).alias("s")).select("s.*")
-    whole = tall.groupBy("feature").agg(
-        F.count(F.lit(1)).alias("n"), F.avg(F.col("v").isNull().cast("double")).alias("missing"), F.count_distinct("v").alias("distinct"),
-        *[F.percentile("v", F.lit(q)).alias(a) for a, q in (("p05", 0.05), ("p50", 0.5), ("p95", 0.95))], F.stddev_samp("v").alias("sd"),
-        (F.percentile("v", F.lit(0.75)) - F.percentile("v", F.lit(0.25))).alias("iqr"),
-    )
+    scratch, marks = Scratch(df.sparkSession), (0.05, 0.5, 0.95, 0.25, 0.75)
+    tall = scratch.table(df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in columns])).alias("s")).select("s.*"), "tall")
+    whole = tall.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("v").isNull().cast("double")).alias("missing"), F.stddev_samp("v").alias("sd"))
     counts = tall.where("v is not null").groupBy("feature", "v").agg(F.count(F.lit(1)).alias("k"))
-    mode = counts.groupBy("feature").agg(F.min_by("v", F.struct(-F.col("k"), F.col("v"))).alias("mode"), F.max("k").alias("top"), F.sum("k").alias("there"))
-    return whole.join(mode, "feature", "left").withColumn("mode_share", F.try_divide("top", "there")).drop("top", "there")
+    mode = counts.groupBy("feature").agg(F.min_by("v", F.struct(-F.col("k"), F.col("v"))).alias("mode"), F.max("k").alias("top"), F.sum("k").alias("there"), F.count(F.lit(1)).alias("distinct"))
+    q = quantiles(tall, ["feature"], "v", marks, scratch).select("feature", *[F.col("q")[i].alias(n) for i, n in enumerate(("p05", "p50", "p95", "__q1", "__q3"))])
+    out = whole.join(mode, "feature", "left").join(q, "feature", "left").withColumns({"mode_share": F.try_divide("top", "there"), "distinct": F.coalesce("distinct", F.lit(0).cast("long")), "iqr": F.col("__q3") - F.col("__q1")})
+    return out.select("feature", "n", "missing", "distinct", "p05", "p50", "p95", "sd", "iqr", "mode", "mode_share")
 
 
 def pair_correlations(df: DataFrame, row: str, columns: Sequence[str], least: int = 3) -> DataFrame:
@@ -130,9 +155,9 @@ def pair_correlations(df: DataFrame, row: str, columns: Sequence[str], least: in
     The pairs are of columns, so their number does not depend on the rows.
     """
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    tall = df.select(row, F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for a, b in pairs])).alias("s")).select(row, "s.*").where("x is not null and y is not null")
+    tall = df.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for a, b in pairs])).alias("s")).select("s.*").where("x is not null and y is not null")
     s = spearman(tall, ["a", "b"], "x", "y").drop("n")
-    varied = (F.count(F.lit(1)) >= least) & (F.count_distinct("x") > 1) & (F.count_distinct("y") > 1)
+    varied = (F.count(F.lit(1)) >= least) & (F.min("x") < F.max("x")) & (F.min("y") < F.max("y"))
     return tall.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.when(varied, correlation("x", "y")).alias("pearson")).join(s, ["a", "b"])
 
 
@@ -182,17 +207,16 @@ def histogram_bins(v: Column, most: int) -> Column:
 
 def cumulative_share(df: DataFrame, value: str, tie: str, by: Sequence[str] = ()) -> DataFrame:
     """Rank by value, share and running share within `by`."""
-    w = Window.partitionBy(*by)
-    down = w.orderBy(F.desc(value), F.asc(tie))
-    total = F.sum(value).over(w)
-    return df.withColumns({"place": F.row_number().over(down).cast("long"), "share": F.col(value) / total, "running": F.sum(value).over(down.rowsBetween(Window.unboundedPreceding, 0)) / total})
+    rows = running(df, by, [F.desc(value), F.asc(tie)], value, Scratch(df.sparkSession), "line")
+    out = rows.withColumns({"place": (F.col("__pos") + 1).cast("long"), "share": F.col(value) / F.col("__sum"), "running": (F.col("__before") + F.col(value)) / F.col("__sum")})
+    return out.select(*df.columns, "place", "share", "running")
 
 
 def metrics_by_availability(df: DataFrame, features: Sequence[str], y: str, guess: str, weight: str | None = None) -> DataFrame:
     """(feature, present, n, mae, rmse, r2): the metrics where each feature is there and where it is not."""
-    w = F.col(weight).alias("__w") if weight else F.lit(1.0).alias("__w")
+    w = (F.col(weight) if weight else F.lit(1.0)).alias("__w")
     tall = df.select(y, guess, w, F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).isNotNull().alias("present")) for f in features])).alias("s")).select(y, guess, "__w", "s.*")
-    return tall.groupBy("feature", "present").agg(*[v.alias(k) for k, v in regression(F.col(y), F.col(guess), F.col("__w")).items()])
+    return regression_by(tall, ["feature", "present"], y, guess, "__w")
 
 
 def stability(df: DataFrame, config: str, run: str, feature: str) -> DataFrame:

@@ -7,9 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import join_null_safe, quantiles
+
 
 def average_rank(c: str, by: Sequence[str] = ()) -> Column:
-    """Ranks from 1; equal values share the mean of theirs."""
+    """Ranks from 1; equal values share the mean of theirs. For small groups: a task sorts a group (see ranks.average_ranks)."""
     return F.rank().over(Window.partitionBy(*by).orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, c)) - 1) / 2
 
 
@@ -81,8 +83,11 @@ def batches(items: Column, budget: int) -> Column:
 
 def quantile_bins(df: DataFrame, value: str, bins: int, by: Sequence[str] = ()) -> DataFrame:
     """Adds `bin` (from 0): edges at linear quantiles, equal ones dropped, right-closed, the lowest value included."""
-    probabilities = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
-    edges = df.groupBy(*by).agg(F.array_distinct(F.percentile(value, probabilities)).alias("__edges"))
-    rows = df.join(edges, list(by)) if by else df.crossJoin(edges)  # edges: one row
+    marks = [i / bins for i in range(bins + 1)]
+    if by:
+        edges = df.groupBy(*by).agg(F.array_distinct(F.percentile(value, F.array(*map(F.lit, marks)))).alias("__edges"))
+    else:  # a whole column's quantiles: no task holds all its values
+        edges = quantiles(df, by, value, marks).select(F.array_distinct("q").alias("__edges"))
+    rows = join_null_safe(df, edges, by)
     above = F.size(F.filter("__edges", lambda e: e < F.col(value)))
     return rows.withColumn("bin", F.when(F.col(value).isNotNull(), F.greatest(above - 1, F.lit(0)))).drop("__edges")

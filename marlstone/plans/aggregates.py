@@ -116,8 +116,7 @@ def _predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
 def weighted_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regression metrics with equal weight per source record."""
     p = A.equal_source_weights(_predicted(spark, sf_dir), "l_orderkey")
-    m = A.regression(F.col("y"), F.col("g"), F.col("weight"))
-    return p.groupBy("l_returnflag").agg(*[(v if k == "n" else _r(v)).alias(k) for k, v in m.items()]).where("n >= 3")
+    return _rounded(A.regression_by(p, ["l_returnflag"], "y", "g", "weight").where("n >= 3"), ["mae", "rmse", "r2"])
 
 
 @query(f"""WITH r AS (SELECT *, rank() OVER (PARTITION BY l_returnflag ORDER BY y) + (count(*) OVER (PARTITION BY l_returnflag, y) - 1) / 2 AS rx, rank() OVER (PARTITION BY l_returnflag ORDER BY g) + (count(*) OVER (PARTITION BY l_returnflag, g) - 1) / 2 AS ry FROM ({_PREDICTED}))
