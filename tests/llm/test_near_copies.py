@@ -3,6 +3,8 @@
 import random
 from itertools import combinations
 
+import pytest
+
 import corpus_pipeline
 from marlstone.llm import near_copies, simhash
 
@@ -41,7 +43,11 @@ def texts():
     return out
 
 
-def test_stage_drops_what_all_pairs_drop(spark):
+@pytest.mark.parametrize("most,block", [(1024, 256), (3, 2)])
+def test_stage_drops_what_all_pairs_drop(spark, monkeypatch, most, block):
+    """Large clusters are compared in blocks: with (3, 2) all clusters of more than three texts are."""
+    monkeypatch.setattr(near_copies, "MOST", most)
+    monkeypatch.setattr(near_copies, "BLOCK", block)
     rows = [(i, t, "c") for i, t in enumerate([*texts(), "", None, " \t", "One", "one", "a b c d", "A B C D"])]
     df = spark.createDataFrame(rows, DOCS).repartition(5)
     kept = corpus_pipeline.drop_copies(spark, df, "")
