@@ -8,8 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: R2 that a fit needs, R2 band within which priority decides, the reference dose and its tolerance, the
 #: change of log10 Kd that a change of removal by STEP may cause, the detection limit of 10 ng/L.
@@ -51,9 +54,12 @@ def ce_from_kd(c0: Column, kd: Column, dose: Column) -> Column:
 
 
 def ce_langmuir(c0: Column, dose: Column, qm: Column, kl: Column) -> Column:
-    """Smallest positive root, C0 at most, of Ce + (D/1000) qm kl Ce / (1 + kl Ce) = C0."""
+    """Smallest positive root, C0 at most, of Ce + (D/1000) qm kl Ce / (1 + kl Ce) = C0.
+
+    Of the two forms of the quadratic's root that is taken which adds numbers of one sign, so no digits cancel."""
     b = 1 + kl * (dose / 1000 * qm - c0)
-    root = (F.sqrt(b * b + 4 * kl * c0) - b) / (2 * kl)
+    s = F.sqrt(b * b + 4 * kl * c0)
+    root = F.when(b > 0, 2 * c0 / (s + b)).otherwise(F.try_divide(s - b, 2 * kl))
     return F.when((c0 > 0) & (dose > 0) & (qm > 0) & (kl > 0) & (root > 0) & (root <= c0 + 1e-9), root)
 
 
@@ -61,21 +67,47 @@ def q_langmuir(ce: Column, qm: Column, kl: Column) -> Column:
     return qm * kl * ce / (1 + kl * ce)
 
 
-def ce_freundlich(c0: Column, dose: Column, kf: Column, exponent: Column, steps: int = 10) -> Column:
-    """Root of Ce + (D/1000) kf Ce^exponent = C0, which lies in (0, C0).
+#: Steps of the Freundlich search at most, and how far the balance may be off, as a share of C0.
+STEPS, BALANCE = 60, 1e-12
+
+
+def freundlich_root(c0: np.ndarray, dose: np.ndarray, kf: np.ndarray, exponent: np.ndarray) -> np.ndarray:
+    """Roots in (0, C0] of Ce + (D/1000) kf Ce^exponent = C0; nan where the input is unusable or the balance isn't met.
+
+    In t = ln Ce, f = ln of the left side less ln C0 is convex with a slope between exponent and 1. The root lies between
+    min(ln C0/2, ln (C0 / 2a) / exponent) and the same without the halves. Newton's steps go from the right end; where
+    one leaves the bracket, it is halved instead. A root counts only if the balance holds."""
+    with np.errstate(all="ignore"):
+        a = dose / 1000 * kf
+        ok = (c0 > 0) & (dose > 0) & (kf > 0) & (exponent > 0) & np.isfinite(c0 * a * exponent)
+        c, a, e = (np.where(ok, x, 1.0) for x in (c0, a, exponent))
+        high = np.minimum(np.log(c), (np.log(c) - np.log(a)) / e)
+        low = np.minimum(np.log(c / 2), (np.log(c / 2) - np.log(a)) / e)
+        t = high.copy()
+        for _ in range(STEPS):
+            x, took = np.exp(t), a * np.exp(t * e)
+            f = np.log((x + took) / c)
+            high, low = np.where(f >= 0, t, high), np.where(f < 0, t, low)
+            step = t - f * (x + took) / (x + e * took)
+            step = np.where((step >= low) & (step <= high), step, (low + high) / 2)
+            if (np.abs(step - t) <= 1e-16 * np.abs(t)).all():
+                break
+            t = step
+        x = np.minimum(np.exp(t), c)
+        off = np.abs(x + a * np.power(x, e) - c)
+    return np.where(ok & (x > 0) & (off <= 1e3 * BALANCE * np.maximum(c, 1e-300)), x, np.nan)
+
 
-    In the logarithm of Ce, the logarithm of the left side is convex with a slope between exponent and 1, so Newton's
-    steps from the right end, min(C0, (C0 / a)^(1 / exponent)), fall to the root without passing it; some six reach it."""
-    a = dose / 1000 * kf
-    start = F.least(c0, F.pow(F.try_divide(c0, a), F.try_divide(F.lit(1.0), exponent)))
-    took = lambda x: a * F.pow(x, exponent)
+@F.pandas_udf(T.DoubleType())
+def _freundlich(c0: pd.Series, dose: pd.Series, kf: pd.Series, exponent: pd.Series) -> pd.Series:
+    root = freundlich_root(*(x.to_numpy(float, na_value=np.nan) for x in (c0, dose, kf, exponent)))
+    return pd.Series(root).astype(object).where(~np.isnan(root), None)
 
-    def step(x: Column, _: Column) -> Column:
-        return x * F.exp(-F.ln((x + took(x)) / c0) * (x + took(x)) / (x + exponent * took(x)))
 
-    ok = (c0 > 0) & (dose > 0) & (kf > 0) & (exponent > 0)
-    root = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.when(ok, start), lambda x, i: F.when(x > 0, step(x, i)))
-    return F.when(ok & (root > 0) & (root < c0), root)
+def ce_freundlich(c0: Column, dose: Column, kf: Column, exponent: Column) -> Column:
+    """Root of Ce + (D/1000) kf Ce^exponent = C0 in (0, C0]; it is C0 itself where what is taken up is below C0's last
+    digit. Null where the balance is not met to a billionth of C0. Over arrays, as the search has no closed form."""
+    return _freundlich(*(x.cast("double") for x in (c0, dose, kf, exponent)))
 
 
 def kd_at(ces: Sequence[float], qm: Column, kl: Column) -> dict[str, Column]:
@@ -147,7 +179,7 @@ def reference_dose(df: DataFrame, c0: str, dose: str, logkd: str, source: str, l
     d, start = F.lit(DOSE), F.col(c0)
     df = df.withColumns({"__ce_l": ce_langmuir(start, d, qm, kl), "__ce_f": ce_freundlich(start, d, kf, ex)})  # each is computed once
     ce_l, ce_f = F.col("__ce_l"), F.col("__ce_f")
-    fit = lambda name, ce, q, r2: F.when((r2 >= FIT_R2) & (ce > 0) & (ce < start), F.struct(F.lit(name).alias("basis"), log10(q / ce).alias("logkd"), r2.alias("r2"), ce.alias("ce")))
+    fit = lambda name, ce, q, r2: F.when((r2 >= FIT_R2) & (ce > 0) & (ce <= start), F.struct(F.lit(name).alias("basis"), log10(q / ce).alias("logkd"), r2.alias("r2"), ce.alias("ce")))
     l, f = fit("Langmuir", ce_l, q_langmuir(ce_l, qm, kl), r2l), fit("Freundlich", ce_f, kf * F.pow(ce_f, ex), r2f)
     df = df.withColumns({"__l": l, "__f": f})
     l, f = F.col("__l"), F.col("__f")

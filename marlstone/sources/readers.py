@@ -11,15 +11,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def _transient(error: BaseException) -> bool:
+    """Whether an error is one of input and output that may pass: the system's, or one that Spark's file system threw. A
+    missing file or folder, and errors of analysis, don't pass."""
+    if isinstance(error, FileNotFoundError) or "PATH_NOT_FOUND" in str(error) or "FileNotFoundException" in str(error):
+        return False
+    return isinstance(error, OSError) or any(x in str(error) for x in ("java.io.IOException", "java.net.Socket", "java.net.ConnectException", "TimeoutException"))
+
+
 def with_retry(read: Callable[[], DataFrame], attempts: int = 4, wait: float = 1.0) -> DataFrame:
-    """Retries transient I/O errors with linear back-off; a missing file is not transient."""
+    """Retries transient errors of listing files and reading their schema, which is when a scan is planned, with linear
+    back-off. What fails while rows are read, Spark's tasks retry themselves."""
     for i in range(1, attempts + 1):
         try:
             return read()
-        except FileNotFoundError:
-            raise
-        except OSError:
-            if i == attempts:
+        except Exception as e:
+            if i == attempts or not _transient(e):
                 raise
             time.sleep(wait * i)
     raise AssertionError

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,19 +18,22 @@ def write_projections(df: DataFrame, path: str, projections: Mapping[str, tuple[
 
 
 def _text(spark: SparkSession, path: str, body: str | None = None) -> str:
-    """Reads or atomically writes (temporary file and rename) a small text file where the tables are."""
+    """Reads a small text file where the tables are, or writes it: to a temporary file that then replaces the target in
+    one step, so that at any time either the old or the new text is there."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if body is None:
         s = fs.open(p)
         return bytes(s.readAllBytes()).decode()
-    t = jvm.org.apache.hadoop.fs.Path(f"{path}.tmp")
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    t = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
     s = fs.create(t, True)
     s.write(bytearray(body.encode()))
     s.close()
-    fs.delete(p, False)
-    fs.rename(t, p)
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    files.rename(t, p, options)
     return body
 
 

@@ -347,3 +347,70 @@ def test_density_counts_every_training_row(spark, bandwidth):
         got = {r["k"]: r["dissimilarity"] for r in S.density_support(training, rows, "k", ["a", "b"], bandwidth).collect()}
         assert [got[i] for i in range(len(points))] == pytest.approx(np.clip(1 - plain(points) / top, 0, 1).tolist(), abs=1e-9)
     assert got and min(got.values()) == 0
+
+
+def test_freundlich_balances_over_many_magnitudes():
+    draw = np.random.default_rng(11)
+    n = 200_000
+    c0, dose, kf = 10 ** draw.uniform(-6, 4, n), 10 ** draw.uniform(-1, 4, n), 10 ** draw.uniform(-4, 3, n)
+    ex = np.concatenate([draw.uniform(0.05, 0.1, n // 2), draw.uniform(0.1, 4, n - n // 2)])
+    x = E.freundlich_root(c0, dose, kf, ex)
+    assert not np.isnan(x).any() and (x > 0).all() and (x <= c0).all()
+    assert (np.abs(x + dose / 1000 * kf * x**ex - c0) <= 1e-9 * c0).all()
+    assert np.isnan(E.freundlich_root(*(np.array([v]) for v in (1.0, 1.0, -1.0, 1.0)))).all()
+    assert np.isnan(E.freundlich_root(*(np.array([v]) for v in (1.0, 1.0, np.nan, 1.0)))).all()
+
+
+def test_langmuir_keeps_its_digits(spark):
+    """qm so large that the plain root of the quadratic is a difference of equal numbers."""
+    df = spark.createDataFrame([(1.0, 25.0, 1e12, 1e3), (2.0, 25.0, 5.0, 0.5)], "c0 double, d double, qm double, kl double")
+    for r in df.withColumn("ce", E.ce_langmuir(F.col("c0"), F.col("d"), F.col("qm"), F.col("kl"))).collect():
+        assert abs(r.ce + r.d / 1000 * r.qm * r.kl * r.ce / (1 + r.kl * r.ce) - r.c0) <= 1e-10 * r.c0
+
+
+def test_metrics_at_large_means(spark):
+    draw = np.random.default_rng(1)
+    y = 1e9 + draw.normal(size=400)
+    g, w = y + draw.normal(size=400) * 0.01, draw.uniform(0.5, 2, 400)
+    rows = [("a", float(a), float(b), float(c)) for a, b, c in zip(y, g, w)] + [(None, 1.0, 2.0, 1.0), (None, 3.0, 3.0, 1.0), ("b", None, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "k string, y double, g double, w double")
+    for weights, column in ((np.ones(400), None), (w, "w")):
+        got = {r["k"]: r for r in A.regression_by(df, ["k"], "y", "g", column).collect()}
+        want = 1 - np.average((y - g) ** 2, weights=weights) / np.average((y - np.average(y, weights=weights)) ** 2, weights=weights)
+        assert got["a"]["r2"] == pytest.approx(want, abs=1e-9)
+        assert got[None]["n"] == 2 and got[None]["r2"] == pytest.approx(0.5) and got["b"]["n"] == 0 and got["b"]["r2"] is None
+
+
+def test_ranks_and_quantiles_by_ranges(spark):
+    from marlstone.operators import ranks
+    from marlstone.operators.tables import Scratch
+
+    draw = np.random.default_rng(3)
+    rows = [(["a", "b", None][i % 3], float(v)) for i, v in enumerate(draw.integers(0, 40, 500))] + [("a", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    for k in ("a", "b", None):
+        own = sorted(v for g, v in rows if g == k and v is not None)
+        got = {r["v"]: r["rank"] for r in ranks.average_ranks(df, ["k"], "v", Scratch(spark), "x").collect() if r["k"] == k}
+        assert got == {v: np.mean([i + 1 for i, x in enumerate(own) if x == v]) for v in own}
+        q = {r["k"]: r["q"] for r in ranks.quantiles(df, ["k"], "v", [0, 0.05, 0.5, 0.77, 1]).collect()}[k]
+        assert q == pytest.approx(np.quantile(own, [0, 0.05, 0.5, 0.77, 1]).tolist())
+    whole = ranks.quantiles(df, [], "v", [0.5]).collect()
+    assert whole[0]["q"] == pytest.approx([np.median([v for _, v in rows if v is not None])])
+    shares = A.cumulative_share(spark.createDataFrame([("x", 3, 1), ("x", 1, 2), ("x", 1, 3), (None, 5, 4)], "k string, n long, i long"), "n", "i", ["k"]).collect()
+    assert sorted((r["i"], r["place"], round(r["running"], 6)) for r in shares) == [(1, 1, 0.6), (2, 2, 0.8), (3, 3, 1.0), (4, 1, 1.0)]
+
+
+def test_retry_takes_what_passes(monkeypatch):
+    from marlstone.sources import readers
+
+    seen = []
+
+    def read():
+        seen.append(1)
+        if len(seen) < 3:
+            raise RuntimeError("java.io.IOException: connection reset")
+        return "rows"
+
+    assert readers.with_retry(read, wait=0) == "rows" and len(seen) == 3
+    with pytest.raises(RuntimeError, match="PATH_NOT_FOUND"):
+        readers.with_retry(lambda: (_ for _ in ()).throw(RuntimeError("[PATH_NOT_FOUND] java.io.IOException")), wait=0)
