@@ -15,7 +15,7 @@ their suffixes. Requests go to partitions by a hash of the context, in FAN rows
 write them as the model's tables, work out the contexts' backoff weights and answer. If FAN partitions would be too
 large, requests are first merged by groups of FAN blocks, which send FAN rows each again, and answers come back the
 same way: so rows are in proportion to blocks, however many partitions there are. A context that one block alone
-holds needs no request: all its n-grams are in the block, which writes them itself. No table is broadcast but the
+holds needs no request: all its n-grams are in the block, which is their table. No table is broadcast but the
 statistics of contexts that hold a 1/HOT share of all tokens each: at most HOT of an order, 65,536 at most. Their
 n-grams are dealt by n-gram and not by context, so no partition holds a frequent context. Very long documents span
 blocks. Words and contexts are told apart by 64-bit hashes.
@@ -51,7 +51,7 @@ FAN, PARTITION = 64, 4_000_000
 _END = np.uint64(xxh64_intdigest(b" end", 0))  # no word has a space
 _START_ID = np.uint64(1 << 63)
 
-ANSWER, TABLE, CONTEXT, SUMS = 1, 2, 3, 4
+BODY, ANSWER, TABLE, CONTEXT, SUMS, WORDS, LOST = range(7)  # LOST: the part of an answer that only scoring needs
 _ROWS = "key long, kind int, source long, data binary, stats array<double>"
 _COLUMNS = [c.split()[0] for c in _ROWS.split(", ")]
 
@@ -127,9 +127,9 @@ def _part(hashed: np.ndarray, parts: int) -> np.ndarray:
     return ((hashed >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
-def blocks(rows: DataFrame, order: int = ORDER, block: int = BLOCK) -> DataFrame:
-    """rows(__id, __held, __text) as blocks: key, n (tokens), opens (training documents that begin there), words
-    (sorted hashes and training counts), body, ids."""
+def blocks(rows: DataFrame, order: int = ORDER, block: int = BLOCK, fan: int = FAN) -> DataFrame:
+    """rows(__id, __held, __text) as blocks, two rows each: key, kind (BODY or WORDS), n (tokens), opens (training
+    documents that begin there), data, ids. WORDS has sorted hashes and training counts; BODY refers to their places."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, made, row = TaskContext.get().partitionId() << 32, 0, 0
@@ -143,10 +143,13 @@ def blocks(rows: DataFrame, order: int = ORDER, block: int = BLOCK) -> DataFrame
             words, local = np.unique(np.concatenate([tokens, before]), return_inverse=True)
             is_held, goes_on = np.array([p[2] for p in held], bool), np.array([len(p[4]) > 0 for p in held], bool)
             counts = np.bincount(local[: len(tokens)][~np.repeat(is_held, lens)], minlength=len(words))
-            body = _pack(tokens=local[: len(tokens)], before=local[len(tokens) :], goes_on=goes_on, lens=lens, held=is_held, rows=np.array([p[0] for p in held], np.int64), parts=np.array([p[5] for p in held], bool))
-            ids = pa.array([p[1] for p in held], rows_type)
+            per_part = np.bincount(_part(words, fan), minlength=fan)  # words are sorted, so each partition's are a stretch
+            body = _pack(tokens=local[: len(tokens)], before=local[len(tokens) :], goes_on=goes_on, lens=lens, held=is_held, rows=np.array([p[0] for p in held], np.int64), parts=np.array([p[5] for p in held], bool), per_part=per_part)
+            ids = pa.array([p[1] for p in held], rows_type).to_pylist()
             made += 1
-            return pa.RecordBatch.from_arrays([pa.array([place + made]), pa.array([len(tokens)]), pa.array([int((~is_held & ~goes_on).sum())]), pa.array([_pack(words=_rise(words), counts=counts)], pa.binary()), pa.array([body], pa.binary()), pa.array([ids.to_pylist()], pa.list_(rows_type))], names=["key", "n", "opens", "words", "body", "ids"])
+            key, n, opens = place + made, len(tokens), int((~is_held & ~goes_on).sum())
+            columns = [pa.array([key] * 2), pa.array([BODY, WORDS], pa.int32()), pa.array([n, 0]), pa.array([opens, 0]), pa.array([body, _pack(words=_rise(words), counts=counts)], pa.binary()), pa.array([ids, None], pa.list_(rows_type))]
+            return pa.RecordBatch.from_arrays(columns, names=["key", "kind", "n", "opens", "data", "ids"])
 
         for b in batches:
             rows_type = b.column(0).type
@@ -163,7 +166,7 @@ def blocks(rows: DataFrame, order: int = ORDER, block: int = BLOCK) -> DataFrame
         if held:
             yield cut()
 
-    kinds = [("key", T.LongType()), ("n", T.LongType()), ("opens", T.LongType()), ("words", T.BinaryType()), ("body", T.BinaryType()), ("ids", T.ArrayType(rows.schema["__id"].dataType))]
+    kinds = [("key", T.LongType()), ("kind", T.IntegerType()), ("n", T.LongType()), ("opens", T.LongType()), ("data", T.BinaryType()), ("ids", T.ArrayType(rows.schema["__id"].dataType))]
     return rows.mapInArrow(each, T.StructType([T.StructField(*k) for k in kinds]))
 
 
@@ -222,8 +225,10 @@ class Model:
 
 
 def _stats(context: np.ndarray, r: np.ndarray, lower: np.ndarray, n: int) -> np.ndarray:
-    """Of each of n contexts: types with count 1..K, tokens above K, and the sum of their seen words' lower P."""
-    seen, stats = r > 0, np.zeros((n, K + 2))
+    """Of each of n contexts: types with count 1..K, tokens above K, and the sum of their seen words' lower P.
+
+    P is rounded to 52 bits behind the point, so that sums up to 1 are exact and the same in every order."""
+    seen, stats, lower = r > 0, np.zeros((n, K + 2)), np.rint(lower * 2.0**52) / 2.0**52
     for i in range(1, K + 1):
         stats[:, i - 1] = np.bincount(context[r == i], minlength=n)
     stats[:, K] = np.bincount(context[r > K], r[r > K], minlength=n)
@@ -242,9 +247,25 @@ def _sums(r: np.ndarray) -> list[float]:
     return [float(x) for x in (r.sum(), (r > 0).sum(), *n[1 : K + 2])]
 
 
-# Requests and answers. A word request has sorted `words` and `counts`; one of a higher order sorted `contexts` with
-# `totals` (and `overs`, their suffixes' denominators), `runs` of entries, each with a word's `place` among `words`, the
-# suffix's count `low` and the training count `train`. `many`: more than one block asks.
+# Requests and answers. A word request has sorted `words` (hashes) and `counts`. One of a higher order has contexts, given
+# by their words' ids u0, u1, ... and sorted by these, with `totals` (and `overs`, their suffixes' denominators) and `runs`
+# of entries; an entry has its word's `place` among `words` (ids), its suffix's count `low` and its training count `train`.
+# `many`: more than one block asks. Frequent words have small ids, so that ids pack well.
+
+
+def _ids(a: dict) -> list[str]:
+    return [k for k in ("u0", "u1", "u2", "u3", "u4", "u5", "u6", "u7") if k in a]
+
+
+def _context_hash(ids: list[np.ndarray]) -> np.ndarray:
+    out = _mix(ids[0])
+    for x in ids[1:]:
+        out = _next_hash(out, x)
+    return out
+
+
+def _next_hash(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return _mix(context * np.uint64(0x2545F4914F6CDD1D) + word.astype(np.uint64))
 
 
 def _merge_words(asked: list[dict]) -> tuple[dict, list[np.ndarray]]:
@@ -256,9 +277,15 @@ def _merge_words(asked: list[dict]) -> tuple[dict, list[np.ndarray]]:
 
 
 def _merge(asked: list[dict]) -> tuple[dict, list[np.ndarray]]:
-    contexts, c_of = np.unique(np.concatenate([a["contexts"] for a in asked]), return_inverse=True)
+    names = _ids(asked[0])
+    contexts, c_first, c_of = np.unique(np.concatenate([a["contexts"] for a in asked]), return_index=True, return_inverse=True)
+    ids = [np.concatenate([a[k] for a in asked])[c_first] for k in names]
+    order = np.lexsort(ids[::-1])
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    contexts, c_of = contexts[order], place[c_of]
     words, w_of = np.unique(np.concatenate([a["words"] for a in asked]), return_inverse=True)
-    out, codes, c_at, w_at = {"contexts": contexts, "words": words}, [], 0, 0
+    out, codes, c_at, w_at = {"contexts": contexts, "words": words} | {k: x[order] for k, x in zip(names, ids)}, [], 0, 0
     for a in asked:
         c, w = c_of[c_at : c_at + len(a["contexts"])], w_of[w_at : w_at + len(a["words"])]
         c_at, w_at = c_at + len(c), w_at + len(w)
@@ -278,12 +305,13 @@ def _merge(asked: list[dict]) -> tuple[dict, list[np.ndarray]]:
 
 def _wide(a: dict) -> dict:
     """A request as it is worked on."""
-    out = {k: x.astype(np.uint64 if k in ("contexts", "words") else np.int64) if x.dtype.kind in "iu" else x for k, x in a.items()}
-    return out | {k: np.cumsum(out[k]) for k in ("contexts", "words") if k in out}
+    out = {k: x.astype(np.uint64 if k == "words" or k in _ids(a) else np.int64) if x.dtype.kind in "iu" else x for k, x in a.items()}
+    out |= {k: np.cumsum(out[k]) for k in ("u0", "words") if k in out}
+    return out | ({"contexts": _context_hash([out[k] for k in _ids(out)])} if "u0" in out else {})
 
 
 def _narrow(a: dict) -> bytes:
-    return _pack(**(a | {k: _rise(a[k]) for k in ("contexts", "words") if k in a}))
+    return _pack(**({k: x for k, x in a.items() if k != "contexts"} | {k: _rise(a[k]) for k in ("u0", "words") if k in a}))
 
 
 def _routes(a: dict, model: Model) -> np.ndarray:
@@ -294,18 +322,7 @@ def _routes(a: dict, model: Model) -> np.ndarray:
     return np.where(np.repeat(model.is_hot(a["totals"]), a["runs"]), _mix(context + a["words"][a["place"]]), context)
 
 
-def _pick(a: dict, at: np.ndarray) -> dict:
-    """The entries `at` of a request, in order."""
-    if "runs" not in a:
-        return {k: x[at] for k, x in a.items()}
-    context = np.repeat(np.arange(len(a["contexts"])), a["runs"])[at]
-    c, runs = np.unique(context, return_counts=True)
-    w, place = _different(a["place"][at])
-    out = {k: a[k][c] for k in ("contexts", "totals", "overs") if k in a}
-    return out | {"runs": runs, "words": a["words"][w], "place": place} | {k: a[k][at] for k in ("low", "train", "many")}
-
-
-def _split(a: dict, part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+def _split(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(part, its entries in order)."""
     order = _ordered(part)
     ends = np.flatnonzero(np.diff(part[order], append=-1)) + 1
@@ -313,26 +330,47 @@ def _split(a: dict, part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(part[order[i]]), order[i:j]
 
 
-def _answer(r: np.ndarray, alone: np.ndarray, whole: np.ndarray, lost_of: np.ndarray, stats: np.ndarray) -> bytes:
+def _sent(a: dict, parts: int, model: Model | None) -> Iterator[tuple[int, bytes]]:
+    """A request as one for each partition that it concerns."""
+    if not len(a["many"]):
+        return
+    context = np.repeat(np.arange(len(a["contexts"])), a["runs"]) if "runs" in a else None
+    for p, at in _split(_part(_routes(a, model), parts)):
+        if context is None:
+            yield p, _narrow({k: x[at] for k, x in a.items()})
+            continue
+        of = context[at]
+        first = np.flatnonzero(np.diff(of, prepend=-1))
+        c = of[first]
+        w, place = _different(a["place"][at])
+        out = {k: a[k][c] for k in ("totals", "overs", *_ids(a)) if k in a} | {"runs": np.diff(first, append=len(at)), "words": a["words"][w], "place": place}
+        yield p, _narrow(out | {k: a[k][at] for k in ("low", "train", "many")})
+
+
+def _answer(r: np.ndarray, alone: np.ndarray, whole: np.ndarray) -> bytes:
+    return _pack(r=r, alone=alone, whole=whole)
+
+
+def _lost(lost_of: np.ndarray, stats: np.ndarray) -> bytes:
     """lost_of: of each entry the row of `stats` with its context's statistics, or -1."""
-    lost = np.flatnonzero(lost_of >= 0)
-    rows, which = np.unique(lost_of[lost], return_inverse=True)
-    slim = stats[rows]
     is_lost = lost_of >= 0
-    return _pack(r=r, alone=alone, whole=whole, is_lost=is_lost, which=which, low=slim[:, : K + 1].astype(np.int64).ravel(), seen=slim[:, K + 1])
+    rows, which = np.unique(lost_of[is_lost], return_inverse=True)
+    slim = stats[rows]
+    return _pack(is_lost=is_lost, which=which, low=slim[:, : K + 1].astype(np.int64).ravel(), seen=slim[:, K + 1])
 
 
-def _answered(data: bytes) -> dict:
+def _lost_read(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     a = _unpack(data)
-    lost_of = np.full(len(a["r"]), -1, np.int64)
+    lost_of = np.full(len(a["is_lost"]), -1, np.int64)
     lost_of[a["is_lost"]] = a["which"]
-    stats = np.concatenate([a["low"].reshape(-1, K + 1).astype(float), a["seen"].reshape(-1, 1)], axis=1)
-    return {"r": a["r"].astype(np.int64), "alone": a["alone"], "whole": a["whole"], "lost_of": lost_of, "stats": stats}
+    return lost_of, np.concatenate([a["low"].reshape(-1, K + 1).astype(float), a["seen"].reshape(-1, 1)], axis=1)
 
 
 def _count_words(key: int, parts: int, every: dict) -> tuple[list[tuple], dict]:
     known = every["counts"] > 0
-    uid = np.where(known, (np.cumsum(known) - 1) * parts + key + 1, 0)
+    rank = np.empty(len(known), np.int64)
+    rank[np.argsort(-every["counts"], kind="stable")] = np.arange(len(known))
+    uid = np.where(known, rank * parts + key + 1, 0)
     rows = [_row(key, TABLE, 0, _pack(words=_rise(every["words"][known]), counts=every["counts"][known])), _row(key, SUMS, 0, None, _sums(every["counts"]))]
     return rows, {"uid": uid, "count": every["counts"], "alone": ~every["many"]}
 
@@ -343,22 +381,31 @@ def _count(key: int, n: int, model: Model, every: dict) -> tuple[list[tuple], di
     seen = r > 0  # the suffixes of seen n-grams are seen
     lower[seen] = model.lower(n - 1, every["low"][seen], every["overs"][context[seen]] if n > 2 else None)
     stats, hot = _stats(context, r, lower, contexts), model.is_hot(every["totals"])
-    rows = [_row(key, TABLE, 0, _model_table(every["contexts"][context[seen]], every["words"][every["place"][seen]], r[seen])), _row(key, SUMS, 0, None, _sums(r))]
+    rows = [_row(key, TABLE, 0, _model_table([every[k][context[seen]] for k in _ids(every)], every["words"][every["place"][seen]], r[seen])), _row(key, SUMS, 0, None, _sums(r))]
     rows += [_row(int(every["contexts"][i].astype(np.int64)), CONTEXT, key, None, stats[i].tolist()) for i in np.flatnonzero(hot)]
     whole = (stats[:, :K].sum(axis=1) == 0) & ~hot
     return rows, {"r": r, "alone": ~every["many"], "whole": whole[context], "lost_of": np.where((r == 0) & ~hot[context], context, -1), "stats": stats}
 
 
-def _model_table(contexts: np.ndarray, words: np.ndarray, counts: np.ndarray) -> bytes:
-    """Seen n-grams by context: context hashes, how many n-grams each has, their last words and counts."""
-    opens = np.flatnonzero(np.concatenate([[True], contexts[1:] != contexts[:-1]])) if len(contexts) else np.zeros(0, np.int64)
-    return _pack(contexts=_rise(contexts[opens]), runs=np.diff(opens, append=len(contexts)), words=words, counts=counts)
+def _model_table(contexts: list[np.ndarray], words: np.ndarray, counts: np.ndarray) -> bytes:
+    """Seen n-grams by context: the contexts' word ids, how many n-grams each has, their last words and counts."""
+    fresh = np.zeros(len(words), bool)
+    fresh[:1] = True
+    for x in contexts:
+        fresh[1:] |= x[1:] != x[:-1]
+    opens = np.flatnonzero(fresh)
+    ids = {f"u{i}": x[opens] for i, x in enumerate(contexts)}
+    return _pack(**(ids | {"u0": _rise(ids["u0"])}), runs=np.diff(opens, append=len(words)), words=words, counts=counts)
 
 
-def _sub(answer: dict, at: np.ndarray) -> bytes:
+def _told(key: int, source: int, answer: dict, at: np.ndarray) -> list[tuple]:
+    """The rows that answer a request's entries."""
     if "uid" in answer:
-        return _pack(**{k: x[at] for k, x in answer.items()})
-    return _answer(answer["r"][at], answer["alone"][at], answer["whole"][at], answer["lost_of"][at], answer["stats"])
+        return [_row(source, ANSWER, key, _pack(**{k: x[at] for k, x in answer.items()}))]
+    rows = [_row(source, ANSWER, key, _answer(answer["r"][at], answer["alone"][at], answer["whole"][at]))]
+    if (answer["lost_of"][at] >= 0).any():
+        rows.append(_row(source, LOST, key, _lost(answer["lost_of"][at], answer["stats"])))
+    return rows
 
 
 def _requests(table: pa.Table, merge) -> tuple[list[int], dict, list[np.ndarray]]:
@@ -372,10 +419,10 @@ def _reducer(n: int, parts: int, model: Model):
     def reduce(table: pa.Table) -> pa.Table:
         key = table["key"][0].as_py()
         sources, every, own = _requests(table, _merge if n > 1 else _merge_words)
-        if not sources:  # a block's own table
+        if not sources:  # a block's own sums
             return table.select(_COLUMNS)
         rows, answer = _count(key, n, model, every) if n > 1 else _count_words(key, parts, every)
-        return _table(rows + [_row(s, ANSWER, key, _sub(answer, at)) for s, at in zip(sources, own)])
+        return _table(rows + [x for s, at in zip(sources, own) for x in _told(key, s, answer, at)])
 
     return reduce
 
@@ -386,8 +433,7 @@ def _combiner(n: int, inner: int, model: Model):
     def combine(table: pa.Table) -> pa.Table:
         group = table["group"][0].as_py()
         _, every, _ = _requests(table, _merge if n > 1 else _merge_words)
-        part = _part(_routes(every, model), inner)
-        return _table([_row(p, 0, group, _narrow(_pick(every, at))) for p, at in _split(every, part)])
+        return _table([_row(p, 0, group, data) for p, data in _sent(every, inner, model)])
 
     return combine
 
@@ -398,19 +444,20 @@ def _expander(n: int, inner: int, model: Model):
     def expand(table: pa.Table) -> pa.Table:
         bucket = table["key"][0].as_py()
         sources, every, own = _requests(table, _merge if n > 1 else _merge_words)
-        got = {s: d.as_py() for s, k, d in zip(table["source"].to_pylist(), table["kind"].to_pylist(), table["data"]) if k == ANSWER}
+        got = {(k, s): d.as_py() for s, k, d in zip(table["source"].to_pylist(), table["kind"].to_pylist(), table["data"]) if k}
         size, whole, stats, offset = len(every["train" if n > 1 else "words"]), {}, [], 0
-        for p, at in _split(every, _part(_routes(every, model), inner)):
-            a = _answered(got[p]) if n > 1 else {k: x.astype(np.int64) if x.dtype.kind in "iu" else x for k, x in _unpack(got[p]).items()}
+        for p, at in _split(_part(_routes(every, model), inner)):
+            a = {k: x.astype(np.int64) if x.dtype.kind in "iu" else x for k, x in _unpack(got[ANSWER, p]).items()}
             if n > 1:
-                stats.append(a.pop("stats"))
+                a["lost_of"], own_stats = _lost_read(got[LOST, p]) if (LOST, p) in got else (np.full(len(at), -1, np.int64), np.zeros((0, K + 2)))
                 a["lost_of"] = np.where(a["lost_of"] >= 0, a["lost_of"] + offset, -1)
-                offset += len(stats[-1])
+                offset += len(own_stats)
+                stats.append(own_stats)
             for k, x in a.items():
                 whole.setdefault(k, np.zeros(size, x.dtype))[at] = x
         if n > 1:
             whole["stats"] = np.concatenate(stats)
-        return _table([_row(s, ANSWER, bucket, _sub(whole, at)) for s, at in zip(sources, own)])
+        return _table([x for s, at in zip(sources, own) for x in _told(bucket, s, whole, at)])
 
     return expand
 
@@ -436,10 +483,10 @@ def _exchange(asks: DataFrame, n: int, sources: int, levels: list[int], model: M
     grouped = asks.withColumn("group", in_group)
     merged = grouped.repartition(groups * here, "group").groupBy("group").applyInArrow(_combiner(n, levels[1], model), _ROWS)
     found = _exchange(merged, n, groups, levels[1:], model, scratch, f"{name}_{len(levels)}", fan)
-    back = found.where(f"kind = {ANSWER}").select((F.col("key") % here).alias("key"), "kind", "source", "data", "stats", F.col("key").alias("group"))
+    back = found.where(f"kind in ({ANSWER}, {LOST})").select((F.col("key") % here).alias("key"), "kind", "source", "data", "stats", F.col("key").alias("group"))
     both = grouped.select("key", "kind", "source", "data", "stats", "group").unionByName(back)
     answers = both.repartition(groups * here, "group").groupBy("group").applyInArrow(_expander(n, levels[1], model), _ROWS)
-    return scratch.table(answers.unionByName(found.where(f"kind <> {ANSWER}").select(*_COLUMNS)).unionByName(tables), name, ["kind"])
+    return scratch.table(answers.unionByName(found.where(f"kind not in ({ANSWER}, {LOST})").select(*_COLUMNS)).unionByName(tables), name, ["kind"])
 
 
 class Level:
@@ -447,20 +494,20 @@ class Level:
 
     def __init__(self, of: np.ndarray, context: np.ndarray, word: np.ndarray, suffix: np.ndarray, train: np.ndarray):
         self.of, self.context, self.word, self.suffix, self.train = of, context, word, suffix, train
-        self.hashed = self.count = self.alone = self.over = self.p = None
+        self.hashed = self.rank = self.count = self.alone = self.over = self.p = None
 
 
 class Block:
     """A block's n-grams of all orders that are answered, and the requests of the next."""
 
-    def __init__(self, words: bytes, body: bytes, answers: dict[int, dict[int, bytes]], model: Model, fan: int):
-        own, self.model, self.fan = _unpack(words), model, fan
+    def __init__(self, body: bytes, answers: dict[int, dict[tuple[int, int], bytes]], model: Model, fan: int):
+        self.model, self.fan = model, fan
         self.__dict__ |= {k: a.astype(np.int64) if a.dtype.kind in "iu" else a for k, a in _unpack(body).items()}
-        hashed, lead = np.cumsum(own["words"], dtype=np.uint64), model.order - 1
-        self.start, self.levels = len(hashed), []
+        lead, stretch = model.order - 1, np.cumsum(self.per_part)
+        self.start, self.levels = int(stretch[-1]), []
         ends = np.cumsum(self.lens + lead)
         self.first = ends - self.lens
-        word = np.full(int(ends[-1]), self.start, np.int64)
+        word = np.full(int(ends[-1]), self.start, np.int32)
         inside = np.ones(len(word), bool)  # positions of tokens; before each piece stand the order - 1 tokens before it
         for k in range(lead):
             inside[ends - self.lens - 1 - k] = False
@@ -469,15 +516,15 @@ class Block:
         self.inside, self.word = inside, word
         self.trains = np.zeros(len(word), bool)
         self.trains[inside] = ~np.repeat(self.held, self.lens)
-        counts = np.append(own["counts"].astype(np.int64), 0)
-        one = Level(word, np.zeros(0, np.int64), np.arange(self.start + 1), np.zeros(0, np.int64), counts)
+        one = Level(word, np.zeros(0, np.int64), np.arange(self.start + 1), np.zeros(0, np.int64), np.zeros(0, np.int64))
         uid, one.count, one.alone = (np.zeros(self.start + 1, k) for k in (np.uint64, np.int64, bool))
-        part = _part(hashed, fan)
-        for q, data in answers.get(1, {}).items():
-            got, at = _unpack(data), np.flatnonzero(part == q)
+        for (_, q), data in answers.get(1, {}).items():
+            got, at = _unpack(data), slice(int(stretch[q] - self.per_part[q]), int(stretch[q]))
             uid[at], one.count[at], one.alone[at] = got["uid"], got["count"], got["alone"]
         uid[-1], one.count[-1], one.alone[-1] = _START_ID, model.docs, model.blocks == 1
-        self.uid, one.hashed = uid, _mix(uid)
+        self.uid, one.hashed, self.by_uid, self.word_rank = uid, _mix(uid), np.argsort(uid, kind="stable"), np.empty(len(uid), np.int32)
+        self.word_rank[self.by_uid] = np.arange(len(uid))
+        one.rank = self.word_rank
         one.p = model.words.p(one.count) if model.words else None
         self.levels.append(one)
         for n in range(2, max(answers, default=0) + 1):
@@ -490,29 +537,36 @@ class Block:
         for k in range(n - 1):
             valid[(self.first - lead + k)] = False
         at = np.flatnonzero(valid)
-        code, inverse = _different(low.of[at - 1] * (self.start + 1) + self.word[at])
-        of = np.full(len(self.word), -1, np.int64)
+        code, inverse = _different(low.of[at - 1].astype(np.int64) * (self.start + 1) + self.word[at])
+        of = np.full(len(self.word), -1, np.int32)
         of[at] = inverse
-        suffix = np.zeros(len(code), np.int64)
+        suffix = np.zeros(len(code), np.int32)
         suffix[inverse] = low.of[at]
-        level = Level(of, code // (self.start + 1), code % (self.start + 1), suffix, np.bincount(inverse[self.trains[at]], minlength=len(code)))
-        level.hashed = _mix(low.hashed[level.context] * np.uint64(0x2545F4914F6CDD1D) + self.uid[level.word])
-        return level
+        context, word = np.divmod(code, self.start + 1)
+        return Level(of, context.astype(np.int32), word.astype(np.int32), suffix, np.bincount(inverse[self.trains[at]], minlength=len(code)).astype(np.int32))
+
+    def ranked(self, level: Level, low: Level) -> None:
+        """Adds the hashes of a level's n-grams and their places by word ids, for the requests of the next."""
+        level.hashed = _next_hash(low.hashed[level.context], self.uid[level.word])
+        level.rank = np.empty(len(level.word), np.int32)
+        level.rank[_ordered(low.rank[level.context].astype(np.int64) * len(self.uid) + self.word_rank[level.word])] = np.arange(len(level.word))
 
     def request(self, n: int, level: Level) -> tuple[dict, np.ndarray]:
         """The request for what other blocks may hold too, and its entries' n-grams."""
         low = self.levels[-1]
         opens = level.word == self.start  # starts alone: no n-gram, but a context whose count is known
         asked = np.flatnonzero((low.count[level.context] > 0) & ~low.alone[level.context] & ~opens)
-        rank, word_rank = np.empty(len(low.hashed), np.int64), np.empty(len(self.uid), np.int64)
-        rank[np.argsort(low.hashed)] = np.arange(len(rank))
-        word_rank[by_uid := np.argsort(self.uid, kind="stable")] = np.arange(len(word_rank))
-        asked = asked[_ordered(rank[level.context[asked]] * len(word_rank) + word_rank[level.word[asked]])]
-        context = low.hashed[level.context[asked]]
+        asked = asked[_ordered(low.rank[level.context[asked]].astype(np.int64) * len(self.uid) + self.word_rank[level.word[asked]])]
+        context = level.context[asked]
         first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(asked) else np.zeros(0, np.int64)
-        words, place = _different(word_rank[level.word[asked]])
-        words = self.uid[by_uid[words]]  # unknown words are all 0
-        out = {"contexts": context[first], "totals": low.count[level.context[asked[first]]], "runs": np.diff(first, append=len(asked)), "words": words, "place": place}
+        words, place = _different(self.word_rank[level.word[asked]])
+        words = self.uid[self.by_uid[words]]  # unknown words are all 0
+        out, of = {"contexts": low.hashed[context[first]]}, context[first]
+        for k in range(n - 2, -1, -1):  # a context's words, from its last to its first
+            step = self.levels[k]
+            out[f"u{k}"] = self.uid[step.word[of]] if k else self.uid[of]
+            of = step.context[of] if k else of
+        out |= {"totals": low.count[context[first]].astype(np.int64), "runs": np.diff(first, append=len(asked)), "words": words, "place": place}
         out |= {"low": low.count[level.suffix[asked]], "train": level.train[asked], "many": np.zeros(len(asked), bool)}
         if n > 2:  # all suffixes of a context's n-grams have one context and so one denominator, where they are seen
             out["overs"] = np.maximum.reduceat(low.over[level.suffix[asked]], first).astype(np.int64) if len(asked) else first
@@ -523,32 +577,35 @@ class Block:
         low = self.levels[-1]
         return (low.count[level.context] > 0) & low.alone[level.context] & (level.word != self.start)
 
-    def settle(self, n: int, level: Level, answers: dict[int, bytes]) -> None:
+    def settle(self, n: int, level: Level, answers: dict[tuple[int, int], bytes]) -> None:
+        """Takes in the answers. Without their LOST part `p` is that of seen n-grams alone."""
         low, model, size = self.levels[-1], self.model, len(level.context)
         request, asked = self.request(n, level)
         own = self.alone(level)
         total = low.count[level.context]
         level.count, level.alone, whole = np.zeros(size, np.int64), np.zeros(size, bool), np.zeros(size, bool)
+        if n < model.order:
+            self.ranked(level, low)
         level.count[own], level.alone[own] = level.train[own], True
         below = low.p[level.suffix]
         d, alpha = model.d.get(n), np.ones(size)
         seen_p = np.zeros(size)
         if own.any():
             contexts, of = _different(level.context[own])
-            r = level.train[own]
-            stats = _stats(of, r, below[own], len(contexts))
+            stats = _stats(of, level.train[own], below[own], len(contexts))
             whole[own] = (stats[:, :K].sum(axis=1) == 0)[of]
             if d is not None:
                 alpha[own] = _alpha(stats, low.count[contexts], d, model.words.unknown)[of]
-        for q, at in _split(request, _part(_routes(request, model), self.fan)) if len(asked) else ():
-            got, grams = _answered(answers[q]), asked[at]
+        for q, at in _split(_part(_routes(request, model), self.fan)) if len(asked) else ():
+            got, grams = _unpack(answers[ANSWER, q]), asked[at]
             level.count[grams], level.alone[grams], whole[grams] = got["r"], got["alone"], got["whole"]
-            if d is not None and len(got["stats"]):
-                is_lost = got["lost_of"] >= 0
-                rows = got["lost_of"][is_lost]
-                totals = np.zeros(len(got["stats"]), np.int64)
+            if (LOST, q) in answers:
+                lost_of, stats = _lost_read(answers[LOST, q])
+                is_lost = lost_of >= 0
+                rows = lost_of[is_lost]
+                totals = np.zeros(len(stats), np.int64)
                 totals[rows] = total[grams[is_lost]]
-                alpha[grams[is_lost]] = _alpha(got["stats"], totals, d, model.words.unknown)[rows]
+                alpha[grams[is_lost]] = _alpha(stats, totals, d, model.words.unknown)[rows]
         is_hot = np.zeros(size, bool)
         is_hot[asked] = model.is_hot(total[asked])
         if is_hot.any() and n in model.hot:
@@ -564,18 +621,19 @@ class Block:
             level.p = np.where(seen, seen_p, np.where(total > 0, alpha, 1.0) * below)
         opens = level.word == self.start
         level.count[opens], level.alone[opens] = model.docs, model.blocks == 1
+        level.train = np.zeros(0, np.int32)
         self.levels.append(level)
 
 
 def _block_of(table: pa.Table, upto: int, model: Model, fan: int) -> Block:
-    answers: dict[int, dict[int, bytes]] = {n: {} for n in range(1, upto + 1)}
+    answers: dict[int, dict[tuple[int, int], bytes]] = {n: {} for n in range(1, upto + 1)}
     body = None
-    for n, kind, source, data, words in zip(table["n"].to_pylist(), table["kind"].to_pylist(), table["source"].to_pylist(), table["data"], table["words"]):
-        if kind == ANSWER:
-            answers[n][source] = data.as_py()
+    for n, kind, source, data in zip(table["n"].to_pylist(), table["kind"].to_pylist(), table["source"].to_pylist(), table["data"]):
+        if kind != BODY:
+            answers[n][kind, source] = data.as_py()
         else:
-            body = words.as_py(), data.as_py()
-    return Block(*body, answers, model, fan)
+            body = data.as_py()
+    return Block(body, answers, model, fan)
 
 
 def _ask_words(fan: int):
@@ -585,7 +643,7 @@ def _ask_words(fan: int):
                 own = _unpack(packed.as_py())
                 words = np.cumsum(own["words"], dtype=np.uint64)
                 a = {"words": words, "counts": own["counts"], "many": np.zeros(len(words), bool)}
-                rows = [_row(q, 0, key, _narrow(_pick(a, at))) for q, at in _split(a, _part(words, fan))]
+                rows = [_row(q, 0, key, data) for q, data in _sent(a, fan, None)]
                 yield from _table(rows).to_batches()
 
     return each
@@ -596,12 +654,9 @@ def _asker(n: int, model: Model, fan: int):
         block, key = _block_of(table, n - 1, model, fan), table["key"][0].as_py()
         level = block.grow(n)
         request, _ = block.request(n, level)
-        rows = [_row(q, 0, key, _narrow(_pick(request, at))) for q, at in _split(request, _part(_routes(request, model), fan))] if len(request["train"]) else []
-        own = np.flatnonzero(block.alone(level) & (level.train > 0))
-        if len(own):
-            own = own[np.argsort(block.levels[-1].hashed[level.context[own]], kind="stable")]
-            stored = _model_table(block.levels[-1].hashed[level.context[own]], block.uid[level.word[own]], level.train[own])
-            rows.append(_row(-1 - key, TABLE, key, stored, _sums(level.train[own])))  # no partition has such a key
+        rows = [_row(q, 0, key, data) for q, data in _sent(request, fan, model)]
+        own = block.alone(level)  # no partition hears of these; keys below 0 are no partition's
+        rows.append(_row(-1 - key, SUMS, key, None, _sums(level.train[own])))
         return _table(rows)
 
     return each
@@ -614,7 +669,7 @@ def _scorer(model: Model, fan: int, names: list[str], id_type: pa.DataType):
         add = lambda x: np.add.reduceat(x, starts)
         top, counts = block.levels[-1], block.levels[0].count[block.tokens]
         each_token = np.log10(top.p)[top.of[block.inside]]
-        ids = table.filter(pc.equal(table["kind"], 0))["ids"][0].as_py()
+        ids = table.filter(pc.equal(table["kind"], BODY))["ids"][0].as_py()
         columns = [pa.array(block.rows), pa.array(block.parts), pa.array(ids, id_type), pa.array(block.held), pa.array(block.lens), pa.array(add((counts > 0).astype(np.int64))), pa.array(add(model.words.base(counts))), pa.array(add(each_token))]
         return pa.table(columns, names=names)
 
@@ -637,29 +692,31 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
     scratch = Scratch(docs.sparkSession)
     held = F.coalesce(F.crc32(F.encode(F.col(id_col).cast("string"), "UTF-8")) % folds == fold, F.lit(False))
     rows = docs.select(F.col(id_col).alias("__id"), held.alias("__held"), F.col(text_col).alias("__text"))
-    own = scratch.table(blocks(rows, order, block), "blocks")
-    tokens, opens, many = own.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("opens"), F.lit(0)), F.count(F.lit(1))).first()
+    own = scratch.table(blocks(rows, order, block, fan), "blocks", ["kind"])
+    tokens, opens, many = own.where(f"kind = {BODY}").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("opens"), F.lit(0)), F.count(F.lit(1))).first()
     levels = _levels(tokens, partition_tokens, fan)
     model = Model(order, 0, opens, many, min(max(1024, levels[-1]), 1 << 16))
 
     sums = lambda df: [float(x) for x in df.where("stats is not null").where(f"kind <> {CONTEXT}").agg(*[F.coalesce(F.sum(F.col("stats")[i]), F.lit(0.0)) for i in range(K + 3)]).first()]
-    asked = own.select("key", "words").mapInArrow(_ask_words(fan), _ROWS)
+    asked = own.where(f"kind = {WORDS}").select("key", "data").mapInArrow(_ask_words(fan), _ROWS)
     found = {1: _exchange(asked, 1, many, levels, model, scratch, "words", fan)}
+    scratch.drop(f"blocks/kind={WORDS}")
     told = sums(found[1])
     model.words, model.total = Words(int(told[0]), int(told[1]), np.array([0, *told[2:]], float)), int(told[0])
 
-    body = own.select("key", F.lit(0).alias("n"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("source"), F.col("body").alias("data"), "words", "ids")
-    none = [F.lit(None).cast(body.schema[c].dataType).alias(c) for c in ("words", "ids")]
+    body = own.where(f"kind = {BODY}").select("key", F.lit(0).alias("n"), F.lit(BODY).alias("kind"), F.lit(0).cast("long").alias("source"), "data", "ids")
+    no_ids = F.lit(None).cast(body.schema["ids"].dataType).alias("ids")
 
     def with_answers(*columns: str) -> DataFrame:
         out = body
         for n, df in found.items():
-            out = out.unionByName(df.where(f"kind = {ANSWER}").select("key", F.lit(n).alias("n"), F.lit(ANSWER).alias("kind"), "source", "data", *none))
+            kinds = (ANSWER, LOST) if "ids" in columns else (ANSWER,)  # ids: for scoring
+            out = out.unionByName(df.where(F.col("kind").isin(*kinds)).select("key", F.lit(n).alias("n"), "kind", "source", "data", no_ids))
         return out.select(*columns).repartition(max(1, many), "key").groupBy("key")
 
     names = [model.words.name]
     for n in range(2, order + 1):
-        asked = with_answers("key", "n", "kind", "source", "data", "words").applyInArrow(_asker(n, model, fan), _ROWS)
+        asked = with_answers("key", "n", "kind", "source", "data").applyInArrow(_asker(n, model, fan), _ROWS)
         found[n] = _exchange(asked, n, many, levels, model, scratch, f"grams{n}", fan)
         told = sums(found[n])
         model.d[n], name = discounts(np.array([0, *told[2:]], float))
