@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 from difflib import SequenceMatcher
 
@@ -10,9 +11,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tables import cut
 from .match import fifo_pairs
+from .ranks import join_null_safe
+from .tables import Scratch, cut
 
+_BAR = re.compile(r"(?<!\\)\|")
 
 
 def in_buckets(df: DataFrame, group: str, f: Callable[[pd.DataFrame], pd.DataFrame], schema, rows: int = 50_000) -> DataFrame:
@@ -66,9 +69,16 @@ def duplicate_content(df: DataFrame, text: str, by: Sequence[str] = ()) -> DataF
 
 
 def token_counts(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, token, n): multiset of a text's table tokens."""
-    rows = df.select(key, F.explode(raw_table_tokens(F.col(text))).alias("t")).select(key, plain_number(F.col("t")).alias("token"))
-    return rows.groupBy(key, "token").agg(F.count(F.lit(1)).alias("n"))
+    """(key, token, n): multiset of a text's table tokens. A text's equal tokens are counted in its row first (sorted, by
+    the places where a value ends); only different ones are put in plain form and exchanged.
+
+    Each step is a column of its own, as an expression inside a lambda would be worked out anew for each element."""
+    rows = df.select(key, F.array_sort(raw_table_tokens(F.col(text))).alias("__a")).where(F.size("__a") > 0)
+    last = F.filter(F.sequence(F.lit(1), F.size("__a")), lambda i: (i == F.size("__a")) | (F.get("__a", i - 1) != F.get("__a", i)))
+    rows = rows.select(key, "__a", last.alias("__e"))
+    rows = rows.select(key, "__a", F.explode(F.arrays_zip(F.col("__e").alias("e"), F.concat(F.array(F.lit(0)), F.slice("__e", 1, F.size("__e") - 1)).alias("b"))).alias("t"))
+    rows = rows.select(key, plain_number(F.get("__a", F.col("t.e") - 1)).alias("token"), (F.col("t.e") - F.col("t.b")).cast("long").alias("n"))
+    return rows.groupBy(key, "token").agg(F.sum("n").alias("n"))
 
 
 def containment(small: DataFrame, large: DataFrame, small_key: str, large_key: str, least: float = 0.95, tokens: int = 40, margin: float = 0.10) -> DataFrame:
@@ -169,19 +179,29 @@ def fuzzy_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
 
 
 def greedy_assignment(scores: DataFrame, group: str, left: str, right: str, score: str, threshold: float) -> DataFrame:
-    """Per group: pairs in order of score (ties by ids), each taken if both sides are free and it reaches the threshold."""
-    columns = [group, left, right, score]
-
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        used, rows = (set(), set()), []
-        for row in pdf[pdf[score] >= threshold].sort_values([score, left, right], ascending=[False, True, True]).itertuples(index=False):
-            if row[1] not in used[0] and row[2] not in used[1]:
-                used[0].add(row[1])
-                used[1].add(row[2])
-                rows.append(row)
-        return pd.DataFrame(rows, columns=columns)
+    """Per group: pairs in order of score (ties by ids), each taken if both sides are free and it reaches the threshold.
 
-    return in_buckets(scores.select(*columns), group, assign, scores.select(*columns).schema)
+    In rounds: a pair that is the first of both its sides is taken in any case, so all such pairs are taken at once and
+    their sides leave. That is the same assignment, and no task holds a group."""
+    scratch, rank = Scratch(scores.sparkSession), F.struct(-F.col(score), F.col(left), F.col(right))
+    rows = scratch.table(scores.select(group, left, right, score).where(F.col(score) >= threshold), "left0")
+    done, i = None, 0
+    while True:
+        ranked = rows.withColumn("__o", rank)
+        first = lambda side: ranked.groupBy(group, side).agg(F.min("__o").alias("__o"))
+        found = join_null_safe(join_null_safe(ranked, first(left), [group, left, "__o"]), first(right), [group, right, "__o"]).select(group, left, right, score)
+        found = scratch.table(found, f"found{i}")
+        if found.isEmpty():
+            return found if done is None else done
+        done = found if done is None else done.unionByName(found)
+        gone = lambda side: found.select(F.col(group).alias("__g"), F.col(side).alias("__s"))
+        for side in (left, right):
+            rows = rows.join(gone(side), F.col(group).eqNullSafe(F.col("__g")) & F.col(side).eqNullSafe(F.col("__s")), "left_anti")
+        i += 1
+        rows = scratch.table(rows, f"left{i}")
+        scratch.drop(f"left{i - 1}")
+        if i % 16 == 0:  # else a long run of rounds is a long plan
+            done = scratch.table(done, f"done{i}")
 
 
 def figure_ids(c: Column) -> Column:
@@ -221,26 +241,40 @@ def width_problems(df: DataFrame, key: str, line: str, row: str) -> DataFrame:
     return w.join(usual, key).where("width <> usual")
 
 
-def split_tables(df: DataFrame, key: str, line: str, row: str, header: int, budget: int) -> DataFrame:
-    """Parts of long tables: (key, part, text). Each part repeats the header lines; a part opens when the characters
-    would pass the budget. One table's lines fit a task."""
+def split_tables(df: DataFrame, key: str, line: str, row: str, header: int, budget: int, cells: int | None = None, whole: tuple[int, int] = (0, 0)) -> DataFrame:
+    """Parts of long tables: (key, part, text). Each part repeats the header lines; a part opens when the characters would
+    pass the budget, or the cells (rows of the table's width, header lines but the first among them) `cells`. A table of
+    at most `whole` characters and cells stays whole, one without rows below its header too. One table's lines fit a task."""
 
     def parts(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = pdf.sort_values(line)[row].tolist()
         head, body, out, held, size = rows[:header], rows[header:], [], [], 0
-        top = sum(map(len, head))
+        wide = max((len(_BAR.split(r.strip().strip("|"))) for r in rows), default=0) if cells else 0
+        top, first = sum(map(len, head)), max(0, header - 1) * wide
+        if sum(map(len, rows)) <= whole[0] and wide * len(rows) <= whole[1]:
+            body, out = [], [body]
         for r in body:
-            if held and top + size + len(r) > budget:
+            if held and (top + size + len(r) > budget or (cells and first + wide * (len(held) + 1) > cells)):
                 out.append(held)
                 held, size = [], 0
             held.append(r)
             size += len(r)
-        out.append(held)
+        if held or not out:
+            out.append(held)
         return pd.DataFrame({key: pdf[key].iloc[0], "part": range(len(out)), "text": ["\n".join([*head, *p]) for p in out]})
 
     return in_buckets(df.select(key, line, row), key, parts, f"`{key}` {df.schema[key].dataType.simpleString()}, part int, text string")
 
 
+def entries_with_news(df: DataFrame, by: Sequence[str], order: str, sources: str) -> DataFrame:
+    """Entries in order, without those all of whose sources stood in an earlier one; an entry without sources stays."""
+    each = df.select(*by, order, F.explode(F.array_distinct(sources)).alias("__s"))
+    first = each.groupBy(*by, "__s").agg(F.min(order).alias(order))
+    news = first.select(*by, order).distinct().withColumn("__news", F.lit(True))
+    out = join_null_safe(df, news, [*by, order], "left")
+    return out.where(F.coalesce("__news", F.lit(False)) | (F.coalesce(F.size(sources), F.lit(0)) <= 0)).drop("__news")
+
+
 def carried_heading(df: DataFrame, key: str, order: str, heading: str) -> DataFrame:
     """Adds `section`: the last heading at or before each block."""
     return df.withColumn("section", F.last(heading, ignorenulls=True).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
@@ -276,6 +310,37 @@ def best_candidate(df: DataFrame, key: str, accepted: str, width: str, penalties
     return pool.join(usual, key).withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("__n = 1").drop("__n", "__best", "__usual")
 
 
+#: Parts of a repair candidate's key, with their caps.
+REPAIR_CAPS = (("contamination", 20), ("reason_penalty", 2000), ("label_penalty", 2000), ("missing_body_tokens", 300), ("fragmentation", 100), ("missing_header_tokens", 100))
+
+
+def best_repair(df: DataFrame, key: str, original: str = "original") -> DataFrame:
+    """One table repair candidate per key: of the accepted ones, else of the reviewable ones (a block, a row and two columns
+    at least), the largest in twelve parts: schema rank (carried headers 3, a projected header 2, else 1), width as in the
+    reference, width as most of the pool have it, the capped penalties of REPAIR_CAPS negated, header quality, distances
+    from both widths negated; then the name. The reference width is that of the candidate `original`, if it has a header
+    of any quality and two columns, else the pool's. The pool's is the most common width above 1 (ties: the widest), if two
+    candidates have it.
+
+    Columns: name, accepted, block, n_rows, n_cols, header_action, header_quality and REPAIR_CAPS' names; missing is 0."""
+    n = lambda c: F.coalesce(F.col(c).cast("int"), F.lit(0))
+    ok = F.coalesce(F.col("accepted"), F.lit(False))
+    reviewable = (F.coalesce(F.trim("block"), F.lit("")) != "") & (n("n_rows") >= 1) & (n("n_cols") >= 2)
+    rows = df.withColumn("__rank", F.when(ok, 2).when(reviewable, 1)).where("__rank is not null")
+    rows = join_null_safe(rows, rows.groupBy(key).agg(F.max("__rank").alias("__best")), [key]).where("__rank = __best")
+    widths = rows.where(n("n_cols") > 1).groupBy(key, n("n_cols").alias("__w")).agg(F.count(F.lit(1)).alias("__n"))
+    common = widths.groupBy(key).agg(F.max_by("__w", F.struct("__n", "__w")).alias("__common"), F.max("__n").alias("__n")).where("__n > 1").drop("__n")
+    reference = rows.where((F.col("name") == original) & (n("n_cols") > 1) & (n("header_quality") > 0)).groupBy(key).agg(F.min(n("n_cols")).alias("__reference"))
+    rows = join_null_safe(join_null_safe(rows, common, [key], "left"), reference, [key], "left").withColumn("__reference", F.coalesce("__reference", "__common"))
+    schema = F.when(F.col("header_action").isin("carried_header", "already_had_carried_header"), 3).when(F.col("header_action") == "projected_header_drop_optional_blank_column", 2).otherwise(1)
+    same = lambda c: F.coalesce((n("n_cols") == F.col(c)).cast("int"), F.lit(0))
+    near = lambda c: F.coalesce(-F.abs(n("n_cols") - F.col(c)), F.lit(0))
+    parts = [schema, same("__reference"), same("__common"), *[-F.least(n(c), F.lit(cap)) for c, cap in REPAIR_CAPS], n("header_quality"), near("__reference"), near("__common"), F.coalesce("name", F.lit(""))]
+    order = F.struct(*[p.alias(f"p{i}") for i, p in enumerate(parts)])
+    others = [c for c in df.columns if c != key]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*others), order).alias("__r")).select(key, *[F.col(f"__r.{c}").alias(c) for c in others])
+
+
 def one_use_each(df: DataFrame, group: str, order: str, left: str, right: str, n_left: str, n_right: str) -> DataFrame:
     """Judged matches in order: in range, and each index of either side used once, the first wins. Adds `status`."""
     columns = df.columns

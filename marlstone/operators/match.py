@@ -105,6 +105,20 @@ def exclusion_reasons(requests: DataFrame, evidence: DataFrame, on: Sequence[str
     return pairs.withColumn("reasons", F.array_compact(F.array(*reasons))).where(F.size("reasons") > 0)
 
 
+def related_pick(requests: DataFrame, evidence: DataFrame, on: Sequence[str], fields: Mapping[str, Tolerance], study: str, tie: Sequence[str], most: int = 10) -> DataFrame:
+    """Evidence that is related but not comparable, at most `most` rows a request: first the best row of each study, then the
+    others. The order is fewest differences, least distance (an unknown one counts a million), `tie`. Adds `reasons`,
+    `differences`, `distance_sum` and `place`. Rows without a study come with the others."""
+    pairs = exclusion_reasons(requests, evidence, on, fields)
+    far = [F.when(F.col(f"want_{f}").isNotNull(), F.coalesce(t.distance(F.col(f), F.col(f"want_{f}")), F.lit(1e6))).otherwise(0.0) for f, t in fields.items()]
+    pairs = pairs.withColumns({"differences": F.size("reasons"), "distance_sum": sum(far, F.lit(0.0))})
+    order = [F.col("differences"), F.col("distance_sum"), *[F.col(c) for c in tie]]
+    known = blank_to_null(F.col(study).cast("string")).isNotNull()
+    first = known & (F.row_number().over(Window.partitionBy(*on, study).orderBy(*order)) == 1)
+    pairs = pairs.withColumn("__late", (~first).cast("int"))
+    return best_matches(pairs, on, [F.col("__late"), *order], most).drop("__late")
+
+
 def best_matches(pairs: DataFrame, request: Sequence[str], order: Sequence[Column], most: int) -> DataFrame:
     """The first `most` pairs of each request, with their place."""
     place = F.row_number().over(Window.partitionBy(*request).orderBy(*order)).cast("long")
@@ -153,15 +167,20 @@ def compare_snapshots(left: DataFrame, right: DataFrame, key: str, value: str, c
     return both.withColumns({"note": note, "delta": F.when(F.col("__l") & F.col("__r") & comparable, F.col("right_value") - F.col("left_value"))}).drop("__l", "__r")
 
 
-def align_level(df: DataFrame, column: str, levels: DataFrame, level: str) -> DataFrame:
-    """Adds `aligned`: the observed level that is the value itself, else in folded case, else as a number, else the value."""
+def align_level(df: DataFrame, column: str, levels: DataFrame, level: str, qualified: bool = False) -> DataFrame:
+    """Adds `aligned`: the observed level that is the value itself, else in folded case, else as a number, else (`qualified`)
+    without what stands in parentheses and by letters and digits alone, else the value."""
     known = levels.select(level).distinct()
+    bare = lambda c: F.nullif(F.regexp_replace(F.lower(c), "[^a-z0-9]+", ""), F.lit(""))
     exact = known.select(F.col(level).alias("__k0"), F.col(level).alias("__v0"))
     folded = known.groupBy(F.lower(F.trim(level)).alias("__k1")).agg(F.min(level).alias("__v1"))
     number = known.where(F.col(level).try_cast("double").isNotNull()).groupBy(F.col(level).try_cast("double").alias("__k2")).agg(F.min(level).alias("__v2"))
-    c = F.col(column)
+    c, steps = F.col(column), ["__v0", "__v1", "__v2"]
     out = df.join(exact, c == F.col("__k0"), "left").join(folded, F.lower(F.trim(c)) == F.col("__k1"), "left").join(number, c.try_cast("double") == F.col("__k2"), "left")
-    return out.withColumn("aligned", F.coalesce("__v0", "__v1", "__v2", c)).drop(*[f"__{x}{i}" for x in "kv" for i in range(3)])
+    if qualified:
+        plain = known.groupBy(bare(F.col(level)).alias("__k3")).agg(F.min(level).alias("__v3")).where("__k3 is not null")
+        out, steps = out.join(plain, bare(F.regexp_replace(c, r"\s*\([^)]*\)", "")) == F.col("__k3"), "left"), [*steps, "__v3"]
+    return out.withColumn("aligned", F.coalesce(*steps, c)).drop(*[f"__{x}{i}" for x in "kv" for i in range(len(steps))])
 
 
 def stable_aliases(pairs: DataFrame, cls: str, alias: str) -> DataFrame:
@@ -175,6 +194,61 @@ def fifo_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], left_id:
     return nth(left.select(left_id, *keys), left_id).join(nth(right.select(right_id, *keys), right_id), [*keys, "__nth"]).select(left_id, right_id, *keys)
 
 
+def refresh_lineage(old: DataFrame, fresh: DataFrame, keys: Sequence[str], content: Sequence[str], old_id: str, fresh_id: str, fuzzy: DataFrame | None = None) -> DataFrame:
+    """(old_id, fresh_id, method): what each fresh row takes over from an old one: the row of the same unique source key,
+    else of equal content, n-th with n-th, else by `fuzzy` pairs (old_id, fresh_id), if given. A repeated source key, or a
+    fresh row that finds none, raises an error with the first eight, as nothing may be taken over unsafely."""
+
+    def refuse(rows: DataFrame, columns: Sequence[str], why: str) -> None:
+        if found := rows.select(*columns).orderBy(*columns).limit(8).collect():
+            raise ValueError(f"{why}: {[tuple(r) for r in found]}")
+
+    for side, name in ((old, "old"), (fresh, "fresh")):
+        refuse(side.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1"), keys, f"repeated source keys among {name} rows")
+    same = old.select(old_id, *keys).join(fresh.select(fresh_id, *keys), list(keys)).select(old_id, fresh_id, F.lit("source_key").alias("method"))
+    rest = lambda d, i, done: d.join(done.select(i), i, "left_anti")
+    equal = fifo_pairs(rest(old, old_id, same), rest(fresh, fresh_id, same), content, old_id, fresh_id).select(old_id, fresh_id, F.lit("content").alias("method"))
+    out = same.unionByName(equal)
+    if fuzzy is not None:
+        near = rest(rest(fuzzy.select(old_id, fresh_id), old_id, out), fresh_id, out)
+        out = out.unionByName(near.select(old_id, fresh_id, F.lit("similar").alias("method")))
+    refuse(rest(fresh, fresh_id, out), [fresh_id, *keys], "fresh rows without an old one")
+    return out
+
+
+def suggestions(missing: DataFrame, key: str, known: DataFrame, name: str, most: int = 5, least: float = 0.45, block: int = 2048) -> DataFrame:
+    """(key, suggestions): for each missing name up to `most` of the known names whose sequence matcher's ratio is `least` or
+    more, best first (ties: the later name). Meant for short lists: blocks of the known names meet every missing name."""
+    from difflib import SequenceMatcher
+    from heapq import nlargest
+
+    import pandas as pd
+
+    n = max(1, -(-known.count() // block))
+    blocks = known.select(F.col(name).alias("__n")).where(F.col(name).isNotNull()).distinct().groupBy(F.pmod(F.xxhash64("__n"), F.lit(n)).alias("__b")).agg(F.collect_list("__n").alias("__names"))
+    kind = missing.schema[key].dataType.simpleString()
+
+    def each(batches):
+        for batch in batches:
+            rows = []
+            for own, names in zip(batch["__k"], batch["__names"]):
+                matcher = SequenceMatcher()
+                matcher.set_seq2(own)
+                scored = []
+                for other in names:
+                    matcher.set_seq1(other)
+                    if matcher.real_quick_ratio() >= least and matcher.quick_ratio() >= least and (r := matcher.ratio()) >= least:
+                        scored.append((r, other))
+                rows += [(own, r, other) for r, other in nlargest(most, scored)]
+            yield pd.DataFrame(rows, columns=["__k", "__r", "__n"])
+
+    names = missing.select(F.col(key).alias("__k")).where(F.col(key).isNotNull()).distinct()
+    pairs = names.crossJoin(blocks).mapInPandas(each, f"__k {kind}, __r double, __n string")  # a row for each name and block
+    best = pairs.withColumn("__i", F.row_number().over(Window.partitionBy("__k").orderBy(F.desc("__r"), F.desc("__n")))).where(F.col("__i") <= most)
+    listed = best.groupBy("__k").agg(F.transform(F.array_sort(F.collect_list(F.struct("__i", "__n"))), lambda x: x["__n"]).alias("suggestions"))
+    return names.join(listed, "__k", "left").select(F.col("__k").alias(key), F.coalesce("suggestions", F.array().cast("array<string>")).alias("suggestions"))
+
+
 def unseen(new: DataFrame, old: DataFrame, keys: Sequence[str]) -> DataFrame:
     return new.join(old.select(*keys).distinct(), list(keys), "left_anti")
 

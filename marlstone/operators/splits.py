@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .aggregate import correlation
-from .tables import cut
+from .ranks import quantiles
+from .tables import Scratch, cut, ranked
 
 #: Groups that a driver-side search takes at most; more raise an error rather than a silent sample.
 MOST_GROUPS = 1_000_000
@@ -26,14 +27,28 @@ def draw(seed: str, group: Column) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), group.cast("string")))
 
 
+def kth_draw(units: DataFrame, unit: str, seed: str, k: int) -> str:
+    """The k-th (from 1) of the units' draws in order: counts by ever longer prefixes say which prefix holds it, 65,536 counts
+    a round at most, until a prefix has so few draws that they fit the driver."""
+    draws, prefix = units.select(draw(seed, F.col(unit)).alias("h")), ""
+    while True:
+        size = len(prefix) + 4
+        counts = sorted(draws.where(F.col("h").startswith(prefix)).groupBy(F.substring("h", 1, size).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
+        for r in counts:
+            if k <= r["n"]:
+                break
+            k -= r["n"]
+        prefix = r["p"]
+        if r["n"] <= 65_536 or size >= 32:
+            return sorted(x["h"] for x in draws.where(F.col("h").startswith(prefix)).limit(65_536).collect())[min(k, 65_536) - 1]
+
+
 def group_holdout(df: DataFrame, unit: str, fraction: float, seed: str = "split") -> DataFrame:
     """Adds `split`: the first ceil(fraction x groups) groups by the seeded draw are `test`, whole groups only."""
     units = df.select(unit).where(F.col(unit).isNotNull()).distinct()
     n = units.count()
     k = int(np.ceil(round(fraction * n, 9)))
-    # The k-th draw as a bound: the range sort keeps the groups distributed.
-    bound = units.select(draw(seed, F.col(unit)).alias("h")).orderBy("h").offset(k - 1).limit(1).first() if k else None
-    test = draw(seed, F.col(unit)) <= bound["h"] if bound else F.lit(False)
+    test = draw(seed, F.col(unit)) <= kth_draw(units, unit, seed, k) if k else F.lit(False)
     return df.withColumn("split", F.when(F.coalesce(test, F.lit(False)), "test").otherwise("training"))
 
 
@@ -73,24 +88,61 @@ def balanced_folds(df: DataFrame, unit: str, folds: int) -> DataFrame:
     return df.join(table, unit, "left")
 
 
-def size_matched_holdout(df: DataFrame, unit: str, fraction: float) -> DataFrame:
+#: Bytes that the subset sums of size_matched_holdout may take in the driver.
+MOST_BYTES = 1 << 31
+
+
+def _subset(classes: list[tuple[int, int]], want: int) -> dict[int, int]:
+    """classes: (size, how many groups have it) -> how many groups of each size to take, so that the total is as close to
+    `want` as any choice gets (ties: the smaller total).
+
+    Sizes with many groups are split into powers of two. Reachable totals are bit sets up to want + the largest size; one
+    in about root-many steps is kept, and the steps between are done again on the way back."""
+    items = []
+    for size, many in sorted(classes, reverse=True):
+        power = 1
+        while many > 0:
+            items.append((size, min(power, many)))
+            many, power = many - min(power, many), power * 2
+    limit = (1 << (want + max((s for s, _ in classes), default=0) + 1)) - 1
+    stride = max(1, int(len(items) ** 0.5))
+    if 2 * (len(items) // stride + stride + 2) * (limit.bit_length() // 8) > MOST_BYTES:
+        raise ValueError(f"{len(items)} size classes up to a total of {want} need more than {MOST_BYTES} bytes")
+    kept, now = {0: 1}, 1
+    for i, (size, n) in enumerate(items, 1):
+        now = (now | now << (size * n)) & limit
+        if i % stride == 0:
+            kept[i] = now
+    total = next(t for d in range(limit.bit_length() + 1) for t in (want - d, want + d) if t >= 0 and now >> t & 1)
+    chosen: dict[int, int] = {}
+    for block in range((len(items) - 1) // stride, -1, -1) if items else ():
+        reach = [kept[block * stride]]
+        for size, n in items[block * stride : (block + 1) * stride]:
+            reach.append((reach[-1] | reach[-1] << (size * n)) & limit)
+        for k in range(min(stride, len(items) - block * stride), 0, -1):
+            size, n = items[block * stride + k - 1]
+            if not reach[k - 1] >> total & 1:
+                chosen[size] = chosen.get(size, 0) + n
+                total -= size * n
+    return chosen
+
+
+def size_matched_holdout(df: DataFrame, unit: str, fraction: float, seed: str = "split") -> DataFrame:
     """Adds `split`: whole groups whose row total is as close to the fraction as any choice of groups gets.
 
-    Subset sums by bit sets; of equally good choices the one that leaves out groups late in the seeded order."""
-    groups = _groups(df, unit)
-    want = round(fraction * sum(n for _, n, _ in groups))
-    reach = [1]
-    for _, n, _ in groups:
-        reach.append(reach[-1] | reach[-1] << n)
-    full = reach[-1]
-    total = next(t for d in range(want + len(bin(full))) for t in (want - d, want + d) if t >= 0 and full >> t & 1)
-    chosen = []
-    for i in range(len(groups), 0, -1):
-        if not reach[i - 1] >> total & 1:
-            chosen.append(groups[i - 1][0])
-            total -= groups[i - 1][1]
-    table = df.sparkSession.createDataFrame([(g,) for g in chosen], f"`{unit}` {df.schema[unit].dataType.simpleString()}").withColumn("split", F.lit("test"))
-    return df.join(table, unit, "left").withColumn("split", F.coalesce("split", F.lit("training")))
+    The search runs on the different sizes and how many groups have each; of a size the first groups by the seeded draw are
+    taken. Memory in the driver: the square root of the number of different sizes, times the wanted rows, in bits."""
+    sizes = df.where(F.col(unit).isNotNull()).groupBy(unit).agg(F.count(F.lit(1)).alias("__n"))
+    scratch = Scratch(df.sparkSession)
+    sizes = scratch.table(sizes, "sizes")
+    classes = [tuple(r) for r in sizes.groupBy("__n").agg(F.count(F.lit(1)).alias("k")).limit(MOST_GROUPS + 1).collect()]
+    if len(classes) > MOST_GROUPS:
+        raise ValueError(f"more than {MOST_GROUPS} different sizes")
+    chosen = _subset(classes, round(fraction * sum(n * k for n, k in classes)))
+    take = df.sparkSession.createDataFrame(list(chosen.items()), "__n long, __take long")
+    placed = ranked(sizes.join(take, "__n"), ["__n"], [draw(seed, F.col(unit)), F.col(unit)], "__pos", "__of", scratch, "drawn")
+    test = placed.where("__pos < __take").select(unit, F.lit("test").alias("split"))
+    return df.join(test, unit, "left").withColumn("split", F.coalesce("split", F.lit("training")))
 
 
 def pair_holdout(df: DataFrame, left: str, right: str, fraction: float) -> DataFrame:
@@ -117,10 +169,12 @@ def pair_holdout(df: DataFrame, left: str, right: str, fraction: float) -> DataF
 
 
 def evidence_balanced_folds(df: DataFrame, unit: str, stratum: str, folds: int, passes: int = 5) -> DataFrame:
-    """balanced_folds, then moves of one group to another fold while they even out the strata over the folds.
+    """balanced_folds, then at most `passes` changes that even out the strata over the folds: each time the best move of a
+    group to another fold, or, where none helps, the best exchange of two groups, eight partners a group at most.
 
-    Loss: (mean, largest) deviation of a stratum's share in a fold from 1 / folds; a move may not make the fold sizes
-    more uneven than they were at first. The search runs on the groups' stratum counts."""
+    Loss: of the folds' mean deviations of a stratum's share from 1 / folds the (mean, largest, standard deviation), compared
+    in this order; a change may not make the fold sizes more uneven than they were at first, nor empty a fold. The search
+    runs on the groups' stratum counts."""
     counts = df.where(F.col(unit).isNotNull()).groupBy(unit, stratum).agg(F.count(F.lit(1)).alias("n")).limit(MOST_GROUPS + 1).collect()
     if len(counts) > MOST_GROUPS:
         raise ValueError(f"more than {MOST_GROUPS} group and stratum counts")
@@ -134,12 +188,16 @@ def evidence_balanced_folds(df: DataFrame, unit: str, stratum: str, folds: int,
     held = np.stack([m[fold == f].sum(axis=0) for f in range(folds)])
     total = np.maximum(m.sum(axis=0), 1)
 
-    def loss(h: np.ndarray) -> tuple[float, float]:
-        off = np.abs(h / total - 1 / folds)
-        return round(float(off.mean()), 12), round(float(off.max()), 12)
+    def loss(h: np.ndarray) -> tuple[float, float, float]:
+        off = np.abs(h / total - 1 / folds).mean(axis=1)
+        return tuple(round(float(x), 12) for x in (off.mean(), off.max(), off.std()))
 
     spread = lambda h: float(np.ptp(h.sum(axis=1)))
-    limit, now = spread(held), loss(held)
+    limit, now, draws = spread(held), loss(held), np.random.default_rng(94711)
+
+    def better(h: np.ndarray, best: tuple | None) -> bool:
+        return spread(h) <= limit and h.sum(axis=1).min() > 0 and loss(h) < (best[0] if best else now)
+
     for _ in range(passes):
         best = None
         for i in range(len(units)):
@@ -149,12 +207,22 @@ def evidence_balanced_folds(df: DataFrame, unit: str, stratum: str, folds: int,
                 h = held.copy()
                 h[fold[i]] -= m[i]
                 h[f] += m[i]
-                if spread(h) <= limit and loss(h) < (best[0] if best else now):
-                    best = loss(h), i, f, h
+                if better(h, best):
+                    best = loss(h), h, {i: f}
+        if best is None:
+            for i in range(len(units)):
+                others = np.flatnonzero(fold != fold[i])
+                for j in draws.permutation(others)[:8]:
+                    h = held.copy()
+                    h[fold[i]] += m[j] - m[i]
+                    h[fold[j]] += m[i] - m[j]
+                    if better(h, best):
+                        best = loss(h), h, {i: fold[j], int(j): fold[i]}
         if best is None:
             break
-        now, i, f, held = best
-        fold[i] = f
+        now, held, change = best
+        for i, f in change.items():
+            fold[i] = f
     table = df.sparkSession.createDataFrame(list(zip(units, fold.tolist())), f"`{unit}` {df.schema[unit].dataType.simpleString()}, fold int")
     return df.join(table, unit, "left")
 
@@ -218,7 +286,9 @@ def eligible(df: DataFrame, features: Sequence[str], least: int) -> DataFrame:
 
 def design_matrix(training: DataFrame, df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], rare: int = 5) -> DataFrame:
     """df with medians of training in place of missing numbers, and levels rarer than `rare` in training as `infrequent`."""
-    medians = training.agg(*[F.percentile(c, F.lit(0.5)).alias(f"__m_{c}") for c in numeric])
+    medians = training.limit(0).agg(F.count(F.lit(1)).alias("__one"))  # one row
+    for c in numeric:  # a whole column's median: no task holds all its values
+        medians = medians.crossJoin(quantiles(training, [], c, [0.5]).agg(F.max(F.col("q")[0]).alias(f"__m_{c}")))
     out = df.crossJoin(medians).withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"__m_{c}")) for c in numeric})  # one row
     for c in categorical:
         common = training.groupBy(F.col(c).alias(f"__k_{c}")).count().where(F.col("count") >= rare).drop("count")

@@ -69,24 +69,28 @@ def cut(df: DataFrame, name: str = "table") -> DataFrame:
     return Scratch(df.sparkSession).table(df, name)
 
 
-def in_order(df: DataFrame, order: Sequence[str | Column], scratch: Scratch, name: str) -> DataFrame:
+def in_order(df: DataFrame, order: Sequence[str | Column], scratch: Scratch, name: str, parts: int = 0) -> DataFrame:
     """df as a written table, dealt by ranges of `order` and sorted within them, with `__slot` (the range's number)
     and `__slot_at` (the row's place in it). Spark draws the ranges from a bounded sample; a key with many rows is
-    split as long as the later columns of `order` differ."""
+    split as long as the later columns of `order` differ. parts: ranges at least (else as many as the session shuffles to)."""
+    if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        ranges = df.repartitionByRange(parts, *order)
+    else:
+        ranges = df.repartitionByRange(*order)
     place = F.monotonically_increasing_id()
-    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__slot_place", place)
+    rows = ranges.sortWithinPartitions(*order).withColumn("__slot_place", place)
     rows = rows.withColumns({"__slot": F.shiftright("__slot_place", 33), "__slot_at": F.col("__slot_place").bitwiseAND(F.lit((1 << 33) - 1))}).drop("__slot_place")
     return scratch.table(rows, name)
 
 
-def ranked(df: DataFrame, group: Sequence[str], order: Sequence[str | Column], pos: str, total: str, scratch: Scratch, name: str, facts: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def ranked(df: DataFrame, group: Sequence[str], order: Sequence[str | Column], pos: str, total: str, scratch: Scratch, name: str, facts: Callable[[DataFrame], DataFrame] | None = None, parts: int = 0) -> DataFrame:
     """Adds each row's position (from 0) and the row count within its group, by `order`.
 
     facts: makes of the ordered rows a table with one row per group, whose columns are added by way of the counts. Rows cross one range
     shuffle; a window sees only (group, range) counts, of which there are as many as ranges and groups together.
     Columns of `group` must not be null.
     """
-    rows, n, start = in_order(df, [*group, *order], scratch, name), "__slot_n", "__slot_start"
+    rows, n, start = in_order(df, [*group, *order], scratch, name, parts), "__slot_n", "__slot_start"
     counts = rows.groupBy("__slot", *group).agg(F.count(F.lit(1)).alias(n), F.min("__slot_at").alias("__slot_first"))
     of = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
     before = F.coalesce(F.sum(n).over(of.orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

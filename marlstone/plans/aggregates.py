@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import aggregate as A
+from ..operators import audit as D
 from ..operators import window as W
 from .registry import Registry, table
 
@@ -139,9 +140,8 @@ def stratified_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT l_suppkey, round(median(m), 6) AS residual, count(*) AS assignments FROM t GROUP BY 1""")
 def two_stage_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C14: mean per source, then per group, then the median over assignments."""
-    p = _predicted(spark, sf_dir).groupBy("l_suppkey", "l_orderkey", "l_returnflag").agg(F.avg(F.col("y") - F.col("g")).alias("m"))
-    t = p.groupBy("l_suppkey", "l_returnflag").agg(F.avg("m").alias("m"))
-    return t.groupBy("l_suppkey").agg(_r(A.median("m")).alias("residual"), F.count(F.lit(1)).alias("assignments"))
+    out = D.two_stage_residuals(_predicted(spark, sf_dir), ["l_suppkey"], "l_orderkey", "l_returnflag", F.col("y") - F.col("g"))
+    return _rounded(out, ["residual"])
 
 
 @query("""WITH h AS (SELECT l_partkey, bool_or(l_quantity > 45) AS has FROM lineitem GROUP BY 1), i AS (SELECT l_partkey, l_suppkey, quantile_cont(l_extendedprice, 0.5) AS m, count(*) AS n FROM lineitem JOIN h USING (l_partkey) WHERE NOT has OR l_quantity > 45 GROUP BY ALL)
@@ -186,10 +186,8 @@ def pair_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT event_type, count(DISTINCT user_id) AS units, round(count(DISTINCT user_id) / (SELECT count(DISTINCT user_id) FROM events), 9) AS coverage, count(DISTINCT user_id) FILTER (value > 50) AS high_units FROM events GROUP BY 1""")
 def entity_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Units that report, and their share of all."""
-    e = table(spark, sf_dir, "events")
-    units = e.agg(F.count_distinct("user_id").alias("all"))
-    out = e.groupBy("event_type").agg(F.count_distinct("user_id").alias("units"), F.count_distinct(F.when(F.col("value") > 50, F.col("user_id"))).alias("high_units"))
-    return out.crossJoin(units).select("event_type", "units", _r(F.col("units") / F.col("all"), 9).alias("coverage"), "high_units")  # units: one row
+    out = D.unit_coverage(table(spark, sf_dir, "events"), ["event_type"], "user_id", {"high_units": F.col("value") > 50})
+    return _rounded(out, ["coverage"], 9)
 
 
 @query("""WITH k AS (SELECT user_id, event_type, count(*) AS k FROM events GROUP BY 1, 2), p AS (SELECT *, k / sum(k) OVER (PARTITION BY user_id) AS p FROM k) SELECT event_type, round(sum(p) / (SELECT count(DISTINCT user_id) FROM events), 9) AS share FROM p GROUP BY 1""")
@@ -218,11 +216,7 @@ def entropy_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reference_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entities, value mass and contrasting entities that a subset keeps of a reference."""
     e = table(spark, sf_dir, "events")
-    per = lambda d, n: d.groupBy("user_id").agg(F.count_distinct("event_type").alias("k")).agg(F.count(F.lit(1)).alias(f"e{n}"), F.count_if(F.col("k") > 1).alias(f"c{n}"))
-    kept = e.where("value <= 40").select("event_type").distinct().withColumn("in", F.lit(True))
-    mass = e.join(kept, "event_type", "left").agg((F.count_if(F.coalesce("in", F.lit(False))) / F.count(F.lit(1))).alias("mass"))
-    both = per(e, 0).crossJoin(per(e.where("value <= 40"), 1)).crossJoin(mass)  # one row each
-    return both.select(_r(F.col("e1") / F.col("e0"), 9).alias("entities"), _r("mass", 9).alias("mass"), _r(F.col("c1") / F.col("c0"), 9).alias("contrast"))
+    return _rounded(D.retention(e, e.where("value <= 40"), "user_id", "event_type"), ["entities", "mass", "contrast"], 9)
 
 
 @query("""WITH g AS (SELECT l_suppkey, count(*) AS n, avg(l_quantity) AS m, coalesce(var_samp(l_quantity), 0) AS v FROM lineitem GROUP BY 1), s AS (SELECT count(*) AS k, sum(n) AS n, sum(v * (n - 1)) / (sum(n) - count(*)) AS w, sum(n * m) / sum(n) AS gm, sum(n * m * m) AS nm, sum(n * n) AS nn FROM g),
@@ -234,23 +228,19 @@ def variance_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH k AS (SELECT p_brand, p_type, count(*) AS k FROM part GROUP BY ALL), c AS (SELECT p_brand, p_type AS consensus FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY k DESC, lower(p_type), p_type) AS r FROM k) WHERE r = 1)
- SELECT p_brand, (min(p_retailprice) + max(p_retailprice)) / 2 AS price, min(p_retailprice)::VARCHAR || '-' || max(p_retailprice)::VARCHAR AS price_range, count(DISTINCT p_retailprice) AS n_values, any_value(consensus) AS kind, (SELECT CASE WHEN count(*) > 1 THEN string_agg(p_type, ' | ' ORDER BY lower(p_type), p_type) END FROM k WHERE k.p_brand = part.p_brand) AS conflict
+ SELECT p_brand, (min(p_retailprice) + max(p_retailprice)) / 2 AS price, CASE WHEN min(p_retailprice) = max(p_retailprice) THEN min(p_retailprice)::VARCHAR ELSE min(p_retailprice)::VARCHAR || '-' || max(p_retailprice)::VARCHAR END AS price_range, count(DISTINCT p_retailprice) AS n_values, any_value(consensus) AS kind, (SELECT CASE WHEN count(*) > 1 THEN string_agg(p_type, ' | ' ORDER BY lower(p_type), p_type) END FROM k WHERE k.p_brand = part.p_brand) AS conflict
  FROM part JOIN c USING (p_brand) GROUP BY p_brand""")
 def entity_consolidation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Midpoint and range of numbers, most common text and its conflicts."""
-    p = table(spark, sf_dir, "part")
-    low, high = F.min("p_retailprice"), F.max("p_retailprice")
-    n = p.groupBy("p_brand").agg(((low + high) / 2).alias("price"), F.concat_ws("-", low.cast("string"), high.cast("string")).alias("price_range"), F.count_distinct("p_retailprice").alias("n_values"))
-    return n.join(A.consensus(p, ["p_brand"], "p_type").withColumnRenamed("consensus", "kind"), "p_brand")
+    c = D.consolidate(table(spark, sf_dir, "part"), "p_brand", ["p_retailprice"], ["p_type"])
+    return c.select("p_brand", F.col("p_retailprice").alias("price"), F.col("p_retailprice_range").alias("price_range"), F.col("p_retailprice_n_values").alias("n_values"), F.col("p_type").alias("kind"), F.col("p_type_conflict").alias("conflict"))
 
 
 @query("""SELECT user_id, max(value) AS top, min(value) AS low, concat_ws('; ', CASE WHEN max(value) > 95 THEN 'high value ' || printf('%.3f', max(value)) END, CASE WHEN min(value) < 5 THEN 'low value ' || printf('%.3f', min(value)) END) AS reason
  FROM events WHERE value > 95 OR value < 5 GROUP BY 1""")
 def outlier_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows beyond the limits, one line per source record with the reason."""
-    e = table(spark, sf_dir, "events").where("value > 95 or value < 5")
-    top, low = F.max("value"), F.min("value")
-    return e.groupBy("user_id").agg(top.alias("top"), low.alias("low"), F.concat_ws("; ", F.when(top > 95, F.format_string("high value %.3f", top)), F.when(low < 5, F.format_string("low value %.3f", low))).alias("reason"))
+    return D.review_queue(table(spark, sf_dir, "events"), "user_id", "value", 5, 95, strict=True)
 
 
 @query(f"""WITH s AS (SELECT l_returnflag AS family, l_suppkey AS study, avg(abs(y - g)) AS e, avg((y - g) ** 2) AS q, avg((y > g)::INT) AS above FROM ({_PREDICTED}) GROUP BY ALL),
@@ -259,46 +249,29 @@ def outlier_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
  FROM s JOIN b USING (family, study)""")
 def residual_group_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each study against the median of the other studies of its family."""
-    d = F.col("y") - F.col("g")
-    s = _predicted(spark, sf_dir).groupBy(F.col("l_returnflag").alias("family"), F.col("l_suppkey").alias("study")).agg(F.avg(F.abs(d)).alias("e"), F.avg(d**2).alias("q"), F.avg((d > 0).cast("double")).alias("above"))
-    # The median without one's own value needs at most four places about the middle of the sorted whole.
-    w, m = Window.partitionBy("family"), F.col("n") - 1
-    s = s.withColumns({"n": F.count(F.lit(1)).over(w), "i": F.row_number().over(w.orderBy("e", "study")), "sq": F.sum("q").over(w)})
-    places = {"a": F.floor((m + 1) / 2), "b": F.floor((m + 1) / 2) + 1, "c": F.floor(m / 2) + 1, "d": F.floor(m / 2) + 2}
-    s = s.join(s.groupBy("family").agg(*[F.max(F.when(F.col("i") == p, F.col("e"))).alias(k) for k, p in places.items()]), "family")
-    at = lambda k, low, high: F.when(F.col("i") <= places[k], F.col(high)).otherwise(F.col(low))
-    be = (at("a", "a", "b") + at("c", "c", "d")) / 2
-    s = s.where("n > 1").withColumns({"be": be, "bq": (F.col("sq") - F.col("q")) / m}).withColumns({"excess": F.col("e") - F.col("be"), "ratio": F.col("q") / F.col("bq"), "same": F.greatest("above", 1 - F.col("above"))})
-    far, worse = F.col("excess") > 2, F.col("ratio") > 1.2
-    verdict = F.when(far & worse & (F.col("same") > 0.7), "systematic").when(far & worse, "noisy").when(far, "shifted").when(F.col("e") < F.col("be"), "better").otherwise("usual")
-    return s.select("family", "study", _r("excess").alias("excess"), _r("ratio").alias("ratio"), _r("same").alias("same_sign"), verdict.alias("verdict"))
+    p = _predicted(spark, sf_dir).withColumnsRenamed({"l_returnflag": "family", "l_suppkey": "study"})
+    return _rounded(D.residual_audit(p, "family", "study", "y", "g").drop("rows"), ["excess", "ratio", "same_sign"])
 
 
 @query("""SELECT o_custkey, o_orderpriority AS method, count(*) AS n FROM orders JOIN (SELECT o_custkey, min(['3-MEDIUM', '1-URGENT', '5-LOW'].list_position(o_orderpriority)) AS best FROM orders GROUP BY 1) USING (o_custkey) WHERE ['3-MEDIUM', '1-URGENT', '5-LOW'].list_position(o_orderpriority) = best GROUP BY ALL""")
 def preferred_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the first method of a preference list that a key has; keys with none are dropped."""
-    place = F.nullif(F.array_position(F.array(*map(F.lit, ("3-MEDIUM", "1-URGENT", "5-LOW"))), F.col("o_orderpriority")), F.lit(0))
-    o = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderpriority").alias("method"), place.alias("rank")).groupBy("o_custkey", "method", "rank").agg(F.count(F.lit(1)).alias("n"))
-    return o.withColumn("best", F.min("rank").over(Window.partitionBy("o_custkey"))).where("rank = best").drop("rank", "best")
+    o = D.preferred_variant(table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderpriority").alias("method")), ["o_custkey"], "method", ["3-MEDIUM", "1-URGENT", "5-LOW"])
+    return o.groupBy("o_custkey", "method").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""WITH m AS (SELECT c_mktsegment, median(c_acctbal) AS m FROM customer GROUP BY 1) SELECT c_mktsegment, c_custkey, c_acctbal FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY abs(c_acctbal - m), c_custkey) AS r FROM customer JOIN m USING (c_mktsegment)) WHERE r = 1""")
 def representative_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The row closest to its group's median, ties by id."""
-    c = table(spark, sf_dir, "customer")
-    m = c.groupBy("c_mktsegment").agg(A.median("c_acctbal").alias("m"))
-    row = F.struct("c_custkey", "c_acctbal")
-    return c.join(m, "c_mktsegment").groupBy("c_mktsegment").agg(F.min_by(row, F.struct(F.abs(F.col("c_acctbal") - F.col("m")), F.col("c_custkey"))).alias("r")).select("c_mktsegment", "r.*")
+    c = table(spark, sf_dir, "customer").select("c_mktsegment", "c_custkey", "c_acctbal")
+    return D.representative(c, ["c_mktsegment"], ["c_acctbal"], ["c_custkey"])
 
 
 @query("""WITH a AS (SELECT * FROM documents WHERE md5(doc_id::VARCHAR) < '4'), b AS (SELECT * FROM documents WHERE md5(doc_id::VARCHAR) >= '4') SELECT (SELECT count(*) FROM a WHERE source IN (SELECT source FROM b)) AS by_name, (SELECT count(*) FROM a WHERE md5(text) IN (SELECT md5(text) FROM b)) AS by_content, (SELECT count(*) FROM a) AS rows""")
 def leak_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of one part whose name or content the other part has too."""
-    d = table(spark, sf_dir, "documents").select("source", F.md5("text").alias("h"), (F.md5(F.col("doc_id").cast("string")) < "4").alias("a"))
-    a, b = d.where("a"), d.where("not a")
-    flag = lambda c, n: b.select(c).distinct().withColumn(n, F.lit(True))
-    j = a.join(flag("source", "n1"), "source", "left").join(flag("h", "n2"), "h", "left")
-    return j.agg(F.count("n1").alias("by_name"), F.count("n2").alias("by_content"), F.count(F.lit(1)).alias("rows"))
+    d, a = table(spark, sf_dir, "documents"), F.md5(F.col("doc_id").cast("string")) < "4"
+    return D.leaks(d.where(a), d.where(~a), {"by_name": F.col("source"), "by_content": F.md5("text")})
 
 
 @query("""SELECT l_partkey, supp AS suppliers, flags FROM (SELECT l_partkey, string_agg(DISTINCT l_suppkey::VARCHAR, '; ' ORDER BY l_suppkey::VARCHAR) AS supp, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS flags FROM lineitem GROUP BY 1)""")
@@ -332,7 +305,8 @@ def study_concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
 def joint_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Joint combinations with fixed bins: rows and different units."""
     s, p = F.col("p_size"), F.col("p_retailprice")
-    return table(spark, sf_dir, "part").groupBy(F.when(s <= 10, "small").when(s <= 30, "middle").otherwise("large").alias("size_bin"), F.when(p < 1000, "low").otherwise("high").alias("price_bin")).agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("p_brand").alias("units"))
+    bins = {"size_bin": F.when(s <= 10, "small").when(s <= 30, "middle").otherwise("large"), "price_bin": F.when(p < 1000, "low").otherwise("high")}
+    return D.joint_coverage(table(spark, sf_dir, "part"), bins, "p_brand")
 
 
 @query(f"""WITH e AS (SELECT list_distinct([quantile_cont(y, 0), quantile_cont(y, 0.25), quantile_cont(y, 0.5), quantile_cont(y, 0.75), quantile_cont(y, 1)]) AS e FROM ({_PREDICTED})), b AS (SELECT p.*, greatest(len(list_filter(e, lambda x: x < y)) - 1, 0) AS bin FROM ({_PREDICTED}) p, e)
@@ -346,8 +320,5 @@ def score_bin_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH v AS (SELECT unnest(['quantity', 'discount', 'tax']) AS feature, unnest([l_quantity / 50, l_discount * 10, l_tax * 10]) AS v, l_extendedprice / 1000 AS w FROM lineitem), i AS (SELECT feature, sum(w * abs(v)) / sum(w) AS importance FROM v GROUP BY 1) SELECT feature, round(importance, 6) AS importance, rank() OVER (ORDER BY round(importance, 6) DESC) AS place FROM i""")
 def importance_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weighted mean absolute value per feature and its minimum rank."""
-    l, w = table(spark, sf_dir, "lineitem"), F.col("l_extendedprice") / 1000
-    parts = (("quantity", F.col("l_quantity") / 50), ("discount", F.col("l_discount") * 10), ("tax", F.col("l_tax") * 10))
-    tall = l.select(w.alias("w"), F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), v.alias("v")) for n, v in parts])).alias("s")).select("w", "s.*")
-    i = tall.groupBy("feature").agg(_r(F.sum(F.col("w") * F.abs("v")) / F.sum("w")).alias("importance"))
-    return i.withColumn("place", F.rank().over(Window.orderBy(F.desc("importance"))).cast("long"))
+    parts = {"quantity": F.col("l_quantity") / 50, "discount": F.col("l_discount") * 10, "tax": F.col("l_tax") * 10}
+    return D.importance(table(spark, sf_dir, "lineitem"), parts, F.col("l_extendedprice") / 1000)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import audit as D
 from ..operators import match as M
 from .registry import Registry, table
 
@@ -210,5 +211,5 @@ def semi_and_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def mixture_maximin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per key the least score, where it comes from (ties by id), and how many."""
-    s = table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.min(F.col("l_extendedprice") / F.col("l_quantity")).alias("price"))
-    return s.groupBy("l_partkey").agg(F.min_by("l_suppkey", F.struct("price", "l_suppkey")).alias("best_supplier"), F.min("price").alias("low"), F.count(F.lit(1)).alias("n"))
+    s = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"))
+    return D.mixture_ranking(s, "l_partkey", "l_suppkey", "price").select("l_partkey", F.col("limiting").alias("best_supplier"), F.col("worst").alias("low"), F.col("members").alias("n"))

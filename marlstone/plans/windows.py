@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import audit as D
 from ..operators import graph, shape
 from ..operators import window as W
 from .registry import Registry, table
@@ -66,9 +67,8 @@ def budget_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH l AS (SELECT DISTINCT p_brand, unnest(string_split(p_type, ' ')) AS w FROM part WHERE p_size > 20) SELECT p_partkey, CASE WHEN p_size > 20 THEN (SELECT string_agg(w, '; ' ORDER BY w) FROM l WHERE l.p_brand = part.p_brand) ELSE p_type END AS labels FROM part""")
 def pool_identity_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token sets pooled over a shared identity and written back to the rows that qualify."""
-    p = table(spark, sf_dir, "part").withColumn("ok", F.col("p_size") > 20)
-    pooled = p.where("ok").groupBy("p_brand").agg(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.split("p_type", " "))))), "; ").alias("all"))
-    return p.join(pooled, "p_brand", "left").select("p_partkey", F.when(F.col("ok"), F.col("all")).otherwise(F.col("p_type")).alias("labels"))
+    p = D.pool_tokens(table(spark, sf_dir, "part"), ["p_brand"], F.split("p_type", " "), F.col("p_size") > 20, "pooled")
+    return p.select("p_partkey", F.coalesce("pooled", "p_type").alias("labels"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, feature, v AS value, place FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY abs(v) DESC, feature) AS place FROM (SELECT rid, l_orderkey, l_linenumber, unnest(['quantity', 'discount', 'tax']) AS feature, unnest([l_quantity - 25, l_discount * 300 - 15, l_tax * 300 - 12]) AS v FROM (SELECT *, row_number() OVER () AS rid FROM lineitem))) WHERE place <= 2""")
