@@ -16,14 +16,20 @@ query = plans.query
 _TOKENS = """SELECT k, token, count(*) AS n FROM (SELECT k, CASE WHEN regexp_matches(t, '[0-9]') THEN (CASE WHEN n IN ('-0', '-', '') THEN '0' ELSE n END) ELSE t END AS token FROM (SELECT k, t, CASE WHEN contains(m, '.') THEN regexp_replace(m, '\\.?0+$', '') ELSE m END AS n FROM (SELECT k, t, regexp_replace(regexp_replace(t, '^\\+', ''), '^(-?)0+([0-9])', '\\1\\2') AS m FROM (SELECT {k} AS k, unnest(regexp_extract_all(lower(text), '[a-z]+|[-+]?[0-9]+(?:\\.[0-9]+)?')) AS t FROM {t})))) GROUP BY ALL"""
 
 
-@query("""WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, '<h1>([^<]*)</h1>', 1)) AS h FROM pages), t AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN '## 2.1 Methods:' WHEN 1 THEN '**Abstract**' WHEN 2 THEN 'III. Results and discussion.' ELSE h END AS h FROM h)
- SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'methods' WHEN 1 THEN 'abstract' WHEN 2 THEN 'results and discussion' ELSE regexp_replace(lower(regexp_replace(trim(h), '[*_]', '', 'g')), '[\\s.:]+$', '') END AS heading, CASE page_id % 4 WHEN 0 THEN 'methods' WHEN 1 THEN 'abstract' WHEN 2 THEN 'results' END AS label FROM t WHERE page_id % 4 <> 3""")
+_HEADINGS = "SELECT page_id, i, h FROM (SELECT page_id, unnest(regexp_extract_all(html, '<h[1-6]>([^<]*)</h[1-6]>', 1)) AS h, generate_subscripts(regexp_extract_all(html, '<h[1-6]>([^<]*)</h[1-6]>', 1), 1) - 1 AS i FROM pages) UNION ALL SELECT page_id, 100, '## 2.' || page_id || ' ' || ['Materials and Methods:', '**Summary**', 'RESULTS.', 'Bibliography', 'Background'][page_id % 5 + 1] FROM pages"
+
+
+@query(f"""WITH n AS (SELECT page_id, i, lower(regexp_replace(regexp_replace(regexp_replace(trim(h), '^#+[ \\t]*|[*_]', '', 'g'), '^(?:[0-9]+(?:\\.[0-9]+)*\\.?|[IVX]+\\.)[ \\t]+', ''), '[ \\t.:]+$', '')) AS heading FROM ({_HEADINGS}))
+ SELECT page_id, i::INT AS i, md5(heading) AS heading, CASE WHEN regexp_matches(heading, '^abstract\\b|^summary\\b') THEN 'abstract' WHEN regexp_matches(heading, '^(materials? and )?methods?\\b|^experimental\\b') THEN 'methods' WHEN regexp_matches(heading, '^results?\\b|^discussion\\b') THEN 'results' WHEN regexp_matches(heading, '^references\\b|^bibliography\\b') THEN 'references' END AS label FROM n""")
 def heading_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K1: headings normalised and classified; pages whose own heading is free text are left out, as their letters fold differently by engine."""
-    p = table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit("<h1>([^<]*)</h1>"), F.lit(1))).alias("h")).where("page_id % 4 <> 3")
-    k = F.col("page_id") % 4
-    h = F.when(k == 0, "## 2.1 Methods:").when(k == 1, "**Abstract**").otherwise("III. Results and discussion.")
-    return p.select("page_id", D.normalize_heading(h).alias("heading"), D.classify_heading(h).alias("label"))
+    """K1: every heading of every page normalised and classified, and one more a page of the kinds that papers have."""
+    p = table(spark, sf_dir, "pages")
+    own = p.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit("<h[1-6]>([^<]*)</h[1-6]>"), F.lit(1))).alias("i", "h"))
+    kinds = F.array(*map(F.lit, ("Materials and Methods:", "**Summary**", "RESULTS.", "Bibliography", "Background")))
+    k = (F.col("page_id") % 5).cast("int")
+    more = p.select("page_id", F.lit(100).alias("i"), F.concat(F.lit("## 2."), F.col("page_id").cast("string"), F.lit(" "), F.get(kinds, k)).alias("h"))
+    h = own.unionByName(more)
+    return h.select("page_id", "i", F.md5(D.normalize_heading(F.col("h"))).alias("heading"), D.classify_heading(F.col("h")).alias("label"))
 
 
 @query("""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\x0B]+'), lambda x: x <> '') AS w FROM documents), c AS (SELECT doc_id, w, unnest(range(0, (len(w) - 1) // 512 + 1))::INT AS chunk FROM w WHERE len(w) > 0)
@@ -110,10 +116,30 @@ def best_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.best_candidate(p, "p_brand", "ok", "width", ["pen"], "p_partkey").select("p_brand", "p_partkey")
 
 
+@query("""WITH s AS (SELECT conv_id, turn, min(turn) OVER (PARTITION BY conv_id, role) AS a, min(turn) OVER (PARTITION BY conv_id, md5(coalesce(text, ''))) AS b FROM conversations) SELECT conv_id, turn FROM s WHERE a = turn OR b = turn""")
+def entry_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K8: entries all of whose sources were seen before are dropped; a turn's role and its text stand for its sources."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array(F.col("role"), F.md5(F.coalesce("text", F.lit("")))).alias("sources"))
+    return D.entries_with_news(c, ["conv_id"], "turn", "sources").select("conv_id", "turn")
+
+
+@query("""WITH c AS (SELECT p_brand, p_partkey AS id, 'c' || lpad(p_partkey::VARCHAR, 7, '0') AS name, p_size > 30 AS ok, p_size % 5 AS w, p_size % 3 AS rank, p_size % 23 AS pen, (p_partkey % 11)::INT AS hq FROM part), b AS (SELECT * FROM (SELECT *, bool_or(ok) OVER (PARTITION BY p_brand) AS any_ok FROM c WHERE ok OR w >= 2) WHERE ok = any_ok),
+ k AS (SELECT p_brand, w, count(*) AS n FROM b WHERE w > 1 GROUP BY ALL), u AS (SELECT p_brand, w AS usual FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, w DESC) AS i FROM k) WHERE i = 1 AND n > 1)
+ SELECT p_brand, id FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY CASE rank WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE 1 END DESC, coalesce((w = usual)::INT, 0) DESC, -least(pen, 20) DESC, hq DESC, coalesce(-abs(w - usual), 0) DESC, name DESC) AS i FROM b LEFT JOIN u USING (p_brand)) WHERE i = 1""")
+def repair_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K9: the best repair candidate by its twelve-part key; sizes and keys of parts stand for the key's parts."""
+    size, k = F.col("p_size"), F.col("p_partkey")
+    action = F.when(size % 3 == 0, "carried_header").when(size % 3 == 1, "projected_header_drop_optional_blank_column").otherwise("none")
+    name = F.concat(F.lit("c"), F.lpad(k.cast("string"), 7, "0"))
+    c = table(spark, sf_dir, "part").select("p_brand", k.alias("id"), name.alias("name"), (size > 30).alias("accepted"), F.lit("|a|").alias("block"), F.lit(1).alias("n_rows"), (size % 5).alias("n_cols"), action.alias("header_action"), (size % 23).alias("contamination"), (k % 11).alias("header_quality"))
+    c = c.withColumns({n: F.lit(0) for n, _ in D.REPAIR_CAPS[1:]})
+    return D.best_repair(c, "p_brand").select("p_brand", "id")
+
+
 @query()
 def table_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as tables, in parts of 2,000 characters with the first line repeated."""
-    return D.split_tables(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text", 1, 2000)
+    """Conversations as tables, in parts of 2,000 characters and 40 cells with the first line repeated."""
+    return D.split_tables(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text", 1, 2000, 40)
 
 
 @query()

@@ -213,3 +213,76 @@ def mixture_maximin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per key the least score, where it comes from (ties by id), and how many."""
     s = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"))
     return D.mixture_ranking(s, "l_partkey", "l_suppkey", "price").select("l_partkey", F.col("limiting").alias("best_supplier"), F.col("worst").alias("low"), F.col("members").alias("n"))
+
+
+_RELATED = f"""SELECT l_partkey, l_suppkey, l_orderkey, l_linenumber, l_returnflag, abs(l_quantity - want_q) / 10 AS dq, abs(log10(l_extendedprice) - log10(want_p)) / 0.3 AS dp FROM lineitem JOIN ({_REQUESTS}) USING (l_partkey, l_suppkey)"""
+
+
+@query(
+    f"""WITH r AS (SELECT *, (dq > 1 + 1e-12)::INT + (dp > 1 + 1e-12)::INT AS differences, round(dq + dp, 9) AS s FROM ({_RELATED}) WHERE dq > 1 + 1e-12 OR dp > 1 + 1e-12),
+ f AS (SELECT *, row_number() OVER (PARTITION BY l_partkey, l_suppkey, l_returnflag ORDER BY differences, dq + dp, l_orderkey, l_linenumber) AS i FROM r)
+ SELECT l_partkey, l_suppkey, l_orderkey, l_linenumber, differences::INT AS differences, s AS distance_sum, place FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY i > 1, differences, dq + dp, l_orderkey, l_linenumber) AS place FROM f) WHERE place <= 3"""
+)
+def related_diverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Related evidence, the best of each study first, then the others; return flags stand for studies."""
+    line = table(spark, sf_dir, "lineitem")
+    wanted, _ = _requests(spark, sf_dir)
+    seen = line.select("l_partkey", "l_suppkey", "l_orderkey", "l_linenumber", "l_returnflag", F.col("l_quantity").alias("q"), F.col("l_extendedprice").alias("p"))
+    found = M.related_pick(wanted, seen, ["l_partkey", "l_suppkey"], FIELDS, "l_returnflag", ["l_orderkey", "l_linenumber"], 3)
+    return found.select("l_partkey", "l_suppkey", "l_orderkey", "l_linenumber", "differences", F.round("distance_sum", 9).alias("distance_sum"), "place")
+
+
+@query(
+    """SELECT p_partkey, CASE WHEN p_partkey % 3 < 2 THEN t ELSE 'other kind (x)' END AS aligned FROM part JOIN (SELECT min(p_type) AS t, lower(regexp_replace(p_type, '[^A-Za-z0-9]+', '', 'g')) AS k FROM part GROUP BY 2) ON k = lower(regexp_replace(p_type, '[^A-Za-z0-9]+', '', 'g'))"""
+)
+def qualified_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Levels found without their qualifier in parentheses, by letters and digits alone."""
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey") % 3
+    v = F.when(k == 0, F.concat(F.lower("p_type"), F.lit(" (Type II)"))).when(k == 1, F.concat(F.regexp_replace("p_type", " ", "-"), F.lit("(A)"))).otherwise("other kind (x)")
+    return M.align_level(p.select("p_partkey", v.alias("v")), "v", p.select("p_type"), "p_type", qualified=True).select("p_partkey", "aligned")
+
+
+@query(
+    """WITH c AS (SELECT o_custkey, max_by(o_totalprice, o_orderkey) AS price, max_by(o_orderstatus, o_orderkey) AS status FROM orders GROUP BY 1)
+ SELECT c_custkey, price AS o_totalprice, status AS o_orderstatus, o_custkey IS NOT NULL AS hit FROM customer LEFT JOIN c ON o_custkey = c_custkey"""
+)
+def cache_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last row per key of a cache, reindexed onto the wanted keys, with a hit mask."""
+    cache = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("key"), "o_orderkey", "o_totalprice", "o_orderstatus")
+    wanted = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_custkey").cast("string").alias("wanted"))
+    return D.align_cache(cache, "key", "o_orderkey", wanted, "wanted").drop("wanted")
+
+
+@query(
+    """SELECT n_nationkey, CASE WHEN n_nationkey % 4 <> 0 THEN 'v' || n_nationkey WHEN n_nationkey % 5 = 0 THEN 'other' END AS kd_value, 'ok' AS unit,
+ concat_ws('; ', CASE WHEN n_nationkey % 3 = 0 THEN 'careful' END, CASE WHEN n_nationkey % 4 <> 0 AND n_nationkey % 5 = 0 THEN 'Conflicting repeated field ''kd_value'' kept first value' END) AS warning_message,
+ CASE WHEN n_nationkey % 2 = 0 THEN 'Yes' END AS require_review, CASE WHEN n_nationkey % 2 = 0 THEN 'Ingest error: Unsupported retired field ''Old Unit''; use ''unit''' ELSE '' END AS review_reason FROM nation"""
+)
+def record_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Field names in folded form, retired fields as errors, the first of conflicting values, hidden names left out."""
+    k = F.col("n_nationkey")
+    item = lambda name, value: F.struct(F.lit(name).alias("name"), value.cast("string").alias("value"))
+    items = F.array(
+        item("KD Value", F.when(k % 4 != 0, F.concat(F.lit("v"), k.cast("string"))).otherwise(F.lit(" "))), item("_hidden", F.lit("hidden")), item("UNIT", F.lit("ok")), item("kd_value", F.when(k % 5 == 0, F.lit("other"))),
+        item("warnings", F.when(k % 3 == 0, F.lit("careful"))), item("unknown", F.lit("x")),
+    )
+    all_items = F.when(k % 2 == 0, F.concat(items, F.array(item("Old Unit", F.lit("mg"))))).otherwise(items)
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", F.posexplode(all_items).alias("place", "s")).select("n_nationkey", "place", "s.*")
+    return D.canonical_record(rows, "n_nationkey", ["kd_value", "unit"], "name", "value", "place", {"old_unit": "unit"})
+
+
+@query(
+    """WITH n AS (SELECT doc_id, md5(text) AS h FROM documents), o AS (SELECT * FROM n WHERE doc_id % 3 <> 1), f AS (SELECT * FROM n WHERE doc_id % 3 <> 2), same AS (SELECT o.doc_id AS old_id, f.doc_id AS new_id FROM o JOIN f USING (doc_id)),
+ a AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id) AS i FROM o WHERE doc_id NOT IN (SELECT old_id FROM same)), b AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id) AS i FROM f WHERE doc_id NOT IN (SELECT new_id FROM same))
+ SELECT old_id, new_id, 'source_key' AS method FROM same UNION ALL SELECT a.doc_id, b.doc_id, 'content' FROM a JOIN b USING (h, i)"""
+)
+def lineage_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fresh rows take over from old ones by source key, then by equal content. Fresh rows that could find none are left
+    out beforehand, as they would stop the run."""
+    n = table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("h"), F.col("doc_id").alias("key"))
+    old = n.where("doc_id % 3 <> 1").withColumnRenamed("doc_id", "old_id")
+    fresh = n.where("doc_id % 3 <> 2").withColumnRenamed("doc_id", "new_id")
+    rest = lambda d: d.where("key % 3 <> 0").withColumn("i", F.row_number().over(Window.partitionBy("h").orderBy("key")))
+    partner = rest(fresh).join(rest(old).select("h", "i"), ["h", "i"]).select("new_id")
+    fresh = fresh.where("key % 3 = 0").unionByName(fresh.join(partner, "new_id", "left_semi"))
+    return M.refresh_lineage(old, fresh, ["key"], ["h"], "old_id", "new_id")

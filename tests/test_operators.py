@@ -414,3 +414,164 @@ def test_retry_takes_what_passes(monkeypatch):
     assert readers.with_retry(read, wait=0) == "rows" and len(seen) == 3
     with pytest.raises(RuntimeError, match="PATH_NOT_FOUND"):
         readers.with_retry(lambda: (_ for _ in ()).throw(RuntimeError("[PATH_NOT_FOUND] java.io.IOException")), wait=0)
+
+
+def plain_greedy(rows, threshold):
+    out = []
+    for g in {r[0] for r in rows}:
+        used = set(), set()
+        for _, a, b, s in sorted((r for r in rows if r[0] == g), key=lambda r: (-r[3], r[1], r[2])):
+            if s >= threshold and a not in used[0] and b not in used[1]:
+                used[0].add(a)
+                used[1].add(b)
+                out.append((g, a, b, s))
+    return sorted(out)
+
+
+def test_assignment_in_rounds_is_the_greedy_one(spark):
+    from marlstone.operators import documents as D
+
+    draw = np.random.default_rng(4)
+    seen = {}
+    for _ in range(900):
+        seen[int(draw.integers(3)), int(draw.integers(25)), int(draw.integers(25))] = float(draw.integers(12))
+    rows = [(*k, v) for k, v in seen.items()]
+    df = spark.createDataFrame(rows, "g int, a int, b int, s double").repartition(4)
+    got = sorted(tuple(r) for r in D.greedy_assignment(df, "g", "a", "b", "s", 3.0).collect())
+    assert got == plain_greedy(rows, 3.0)
+    assert D.greedy_assignment(df.limit(0), "g", "a", "b", "s", 3.0).count() == 0
+
+
+def test_global_assignment_query_is_the_greedy_one(spark):
+    import duckdb
+
+    from marlstone import plans
+
+    sf = "/root/testdata/sf0.001"
+    rows = duckdb.sql(f"SELECT l_returnflag, l_suppkey, l_partkey, round(sum(l_quantity), 2) FROM '{sf}/lineitem.parquet' GROUP BY 1, 2, 3").fetchall()
+    got = sorted(tuple(r) for r in plans.queries()["global_assignment"](spark, sf).collect())
+    assert got == plain_greedy(rows, 20.0) and got
+
+
+def test_subset_sums_are_the_closest():
+    from itertools import product
+
+    draw = np.random.default_rng(5)
+    for _ in range(60):
+        classes = [(int(s), int(n)) for s, n in {int(draw.integers(1, 30)): int(draw.integers(1, 5)) for _ in range(draw.integers(1, 6))}.items()]
+        want = int(draw.integers(0, sum(s * n for s, n in classes) + 1))
+        got = S._subset(classes, want)
+        assert all(0 <= got.get(s, 0) <= n for s, n in classes) and set(got) <= {s for s, _ in classes}
+        total = sum(s * k for s, k in got.items())
+        best = min(abs(sum(s * k for (s, _), k in zip(classes, ks)) - want) for ks in product(*[range(n + 1) for _, n in classes]))
+        assert abs(total - want) == best
+    assert S._subset([], 0) == {}
+
+
+def test_size_matched_holdout_takes_whole_groups(spark):
+    rows = [(g,) for g in range(40) for _ in range(g % 7 + 1)]
+    out = S.size_matched_holdout(spark.createDataFrame(rows, "u int"), "u", 0.3).collect()
+    sides = {}
+    for r in out:
+        sides.setdefault(r["u"], set()).add(r["split"])
+    assert all(len(s) == 1 for s in sides.values()) and len(out) == len(rows)
+    assert sum(r["split"] == "test" for r in out) == round(0.3 * len(rows))
+
+
+def test_holdout_bound_by_prefixes(spark):
+    from hashlib import md5
+
+    units = spark.range(3000).selectExpr("id as u")
+    order = sorted(md5(f"split|{i}".encode()).hexdigest() for i in range(3000))
+    for k in (1, 2, 1500, 3000):
+        assert S.kth_draw(units, "u", "split", k) == order[k - 1]
+
+
+def test_pair_holdout_keeps_every_component(spark):
+    draw = np.random.default_rng(6)
+    pairs = sorted({(int(a), int(b)) for a, b in draw.integers(0, 12, (80, 2))})
+    rows = S.pair_holdout(spark.createDataFrame(pairs * 2, "a int, b int"), "a", "b", 0.25).collect()
+    side = {(r["a"], r["b"]): r["split"] for r in rows}
+    assert len(rows) == 2 * len(pairs) and set(side) == set(pairs)
+    for i in (0, 1):
+        assert {p[i] for p, s in side.items() if s == "training"} == {p[i] for p in pairs}
+    assert sum(s == "test" for s in side.values()) <= np.ceil(0.25 * len(pairs))
+
+
+def test_folds_exchange_groups_of_equal_size(spark):
+    """All groups have the same size, so no single move is allowed, but exchanges even out the strata."""
+    rows = [(u, "x" if u < 6 else "y") for u in range(12) for _ in range(5)]
+    df = spark.createDataFrame(rows, "u int, s string")
+
+    def worst(d):
+        counts = {}
+        for r in d.collect():
+            counts[r["fold"], r["s"]] = counts.get((r["fold"], r["s"]), 0) + 1
+        return sum(abs(counts.get((f, s), 0) / 30 - 0.5) for f in (0, 1) for s in "xy")
+
+    before, after = S.balanced_folds(df, "u", 2), S.evidence_balanced_folds(df, "u", "s", 2)
+    assert worst(after) <= worst(before) and worst(after) < 1e-9 + (0 if worst(before) < 0.7 else 0.4)
+    assert {r["n"] for r in after.groupBy("fold").count().withColumnRenamed("count", "n").collect()} == {30}
+
+
+def test_refresh_stops_where_nothing_is_safe(spark):
+    from marlstone.operators import match as M
+
+    old = spark.createDataFrame([(1, "a", "x"), (2, "b", "y"), (3, "c", "y")], "old int, k string, t string")
+    fresh = spark.createDataFrame([(10, "a", "changed"), (11, "d", "y"), (12, "e", "y")], "new int, k string, t string")
+    got = sorted(tuple(r) for r in M.refresh_lineage(old, fresh, ["k"], ["t"], "old", "new").collect())
+    assert got == [(1, 10, "source_key"), (2, 11, "content"), (3, 12, "content")]
+    with pytest.raises(ValueError, match="without an old one.*13"):
+        M.refresh_lineage(old, fresh.unionAll(spark.createDataFrame([(13, "f", "z")], fresh.schema)), ["k"], ["t"], "old", "new")
+    with pytest.raises(ValueError, match="repeated source keys among old"):
+        M.refresh_lineage(old.unionAll(old.limit(1)), fresh, ["k"], ["t"], "old", "new")
+
+
+def test_suggestions_are_the_close_matches(spark):
+    from difflib import get_close_matches
+
+    from marlstone.operators import match as M
+
+    names = ["Filtrasorb 400", "Filtrasorb 300", "Amberlite IRA910", "Amberlite XAD4", "Purolite A592", "filter sand", "Calgon F400", None]
+    asked = ["Filtrasorb 410", "Amberlite", "nothing alike 99", None]
+    rows = M.suggestions(spark.createDataFrame([(a,) for a in asked], "k string"), "k", spark.createDataFrame([(n,) for n in names], "n string"), "n", block=3).collect()
+    assert {r["k"]: r["suggestions"] for r in rows} == {a: get_close_matches(a, [n for n in names if n], 5, 0.45) for a in asked if a}
+
+
+def test_tables_are_cut_by_cells(spark):
+    from marlstone.operators import documents as D
+
+    lines = ["| a | b |", *[f"| {i} | x |" for i in range(7)]]
+    df = spark.createDataFrame([("t", i, r) for i, r in enumerate(lines)] + [("u", 0, "| only | head |")], "k string, i int, r string")
+    parts = sorted((r["k"], r["part"], r["text"].count("\n")) for r in D.split_tables(df, "k", "i", "r", 1, 10_000, 6).collect())
+    assert parts == [("t", 0, 3), ("t", 1, 3), ("t", 2, 1), ("u", 0, 0)]
+    assert D.split_tables(df, "k", "i", "r", 1, 10_000, 6, (1000, 100)).count() == 2
+
+
+def test_density_query_against_all_rows(spark):
+    from marlstone import plans
+
+    sf = "/root/testdata/sf0.001"
+    p = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", "p_size", "p_retailprice").toPandas()
+    z = p[["p_size", "p_retailprice"]].to_numpy(float)
+    z = z / z.std(axis=0, ddof=1)
+    h = (1 / len(z)) ** (1 / 6) * 2.2
+    v = np.array([np.maximum(1 - ((x - z) ** 2).sum(axis=1) / h**2, 0).sum() for x in z])
+    got = {r["p_partkey"]: r["dissimilarity"] for r in plans.queries()["density_support"](spark, sf).collect()}
+    assert [got[k] for k in p["p_partkey"]] == pytest.approx((1 - v / v.max()).tolist(), abs=1e-8)
+
+
+def test_audits_handle_nulls_and_empty_tables(spark):
+    from marlstone.operators import audit
+
+    df = spark.createDataFrame([("a", 1.0, None, "x", 1), ("a", None, 2.0, " ", 2), (None, 3.0, 3.0, "y", 3), (None, 5.0, 1.0, None, 4)], "k string, v double, w double, t string, i int")
+    for rows in (df, df.limit(0)):
+        c = audit.consolidate(rows, "k", ["v", "w"], ["t"], "i").collect()
+        audit.residual_audit(rows, "k", "i", "v", "w").collect()
+        audit.representative(rows, ["k"], ["v", "w"], ["i"]).collect()
+        audit.review_queue(rows, "k", "v", 1, 4, extra={"w": 2}).collect()
+        audit.mixture_ranking(rows, "k", "i", "v", source="t").collect()
+        audit.pool_tokens(rows, ["k"], F.split("t", " "), F.col("i") > 0, "all").collect()
+        assert len(c) == (2 if rows is df else 0)
+    one = {r["k"]: r for r in audit.consolidate(df, "k", ["v"], ["t"], "i").collect()}
+    assert (one["a"]["v"], one["a"]["v_range"], one["a"]["t"], one[None]["v"], one[None]["v_range"], one[None]["v_n_studies"]) == (1.0, "1.0", "x", 4.0, "3.0-5.0", 2)
