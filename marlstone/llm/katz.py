@@ -500,8 +500,8 @@ class Level:
 class Block:
     """A block's n-grams of all orders that are answered, and the requests of the next."""
 
-    def __init__(self, body: bytes, answers: dict[int, dict[tuple[int, int], bytes]], model: Model, fan: int):
-        self.model, self.fan = model, fan
+    def __init__(self, body: bytes, answers: dict[int, dict[tuple[int, int], bytes]], model: Model, fan: int, scoring: bool):
+        self.model, self.fan, self.scoring = model, fan, scoring
         self.__dict__ |= {k: a.astype(np.int64) if a.dtype.kind in "iu" else a for k, a in _unpack(body).items()}
         lead, stretch = model.order - 1, np.cumsum(self.per_part)
         self.start, self.levels = int(stretch[-1]), []
@@ -525,7 +525,7 @@ class Block:
         self.uid, one.hashed, self.by_uid, self.word_rank = uid, _mix(uid), np.argsort(uid, kind="stable"), np.empty(len(uid), np.int32)
         self.word_rank[self.by_uid] = np.arange(len(uid))
         one.rank = self.word_rank
-        one.p = model.words.p(one.count) if model.words else None
+        one.p = model.words.p(one.count) if scoring else None
         self.levels.append(one)
         for n in range(2, max(answers, default=0) + 1):
             self.settle(n, self.grow(n), answers[n])
@@ -578,54 +578,53 @@ class Block:
         return (low.count[level.context] > 0) & low.alone[level.context] & (level.word != self.start)
 
     def settle(self, n: int, level: Level, answers: dict[tuple[int, int], bytes]) -> None:
-        """Takes in the answers. Without their LOST part `p` is that of seen n-grams alone."""
-        low, model, size = self.levels[-1], self.model, len(level.context)
+        """Takes in the answers; where scores are wanted, with their LOST part, P of each n-gram too."""
+        low, model, size, scoring = self.levels[-1], self.model, len(level.context), self.scoring
         request, asked = self.request(n, level)
         own = self.alone(level)
         total = low.count[level.context]
-        level.count, level.alone, whole = np.zeros(size, np.int64), np.zeros(size, bool), np.zeros(size, bool)
+        level.count, level.alone, whole = np.zeros(size, np.int32), np.zeros(size, bool), np.zeros(size, bool)
         if n < model.order:
             self.ranked(level, low)
         level.count[own], level.alone[own] = level.train[own], True
-        below = low.p[level.suffix]
-        d, alpha = model.d.get(n), np.ones(size)
-        seen_p = np.zeros(size)
+        below, alpha = (low.p[level.suffix], np.ones(size)) if scoring else (None, None)
+        d = model.d.get(n)
         if own.any():
             contexts, of = _different(level.context[own])
-            stats = _stats(of, level.train[own], below[own], len(contexts))
-            whole[own] = (stats[:, :K].sum(axis=1) == 0)[of]
-            if d is not None:
-                alpha[own] = _alpha(stats, low.count[contexts], d, model.words.unknown)[of]
+            r = level.train[own]
+            whole[own] = (np.bincount(of[(r > 0) & (r <= K)], minlength=len(contexts)) == 0)[of]
+            if scoring:
+                alpha[own] = _alpha(_stats(of, r, below[own], len(contexts)), low.count[contexts], d, model.words.unknown)[of]
         for q, at in _split(_part(_routes(request, model), self.fan)) if len(asked) else ():
             got, grams = _unpack(answers[ANSWER, q]), asked[at]
             level.count[grams], level.alone[grams], whole[grams] = got["r"], got["alone"], got["whole"]
-            if (LOST, q) in answers:
+            if scoring and (LOST, q) in answers:
                 lost_of, stats = _lost_read(answers[LOST, q])
                 is_lost = lost_of >= 0
                 rows = lost_of[is_lost]
                 totals = np.zeros(len(stats), np.int64)
                 totals[rows] = total[grams[is_lost]]
                 alpha[grams[is_lost]] = _alpha(stats, totals, d, model.words.unknown)[rows]
-        is_hot = np.zeros(size, bool)
-        is_hot[asked] = model.is_hot(total[asked])
-        if is_hot.any() and n in model.hot:
+        hot = asked[model.is_hot(total[asked])]
+        if len(hot):
             ids, stats = model.hot[n]
-            place = np.searchsorted(ids, low.hashed[level.context[is_hot]])
-            whole[is_hot] = stats[place, :K].sum(axis=1) == 0
-            if d is not None:
-                alpha[is_hot] = _alpha(stats[place], total[is_hot], d, model.words.unknown)
+            place = np.searchsorted(ids, low.hashed[level.context[hot]])
+            whole[hot] = stats[place, :K].sum(axis=1) == 0
+            if scoring:
+                alpha[hot] = _alpha(stats[place], total[hot], d, model.words.unknown)
         level.over = total + whole
-        if d is not None:
+        if scoring:
             seen = level.count > 0
-            seen_p[seen] = _discounted(level.count[seen], d) / level.over[seen]
-            level.p = np.where(seen, seen_p, np.where(total > 0, alpha, 1.0) * below)
+            below *= np.where(total > 0, alpha, 1.0)
+            below[seen] = _discounted(level.count[seen], d) / level.over[seen]
+            level.p = below
         opens = level.word == self.start
         level.count[opens], level.alone[opens] = model.docs, model.blocks == 1
-        level.train = np.zeros(0, np.int32)
+        level.train = low.rank = low.hashed = low.alone = low.over = low.p = None  # not asked for again
         self.levels.append(level)
 
 
-def _block_of(table: pa.Table, upto: int, model: Model, fan: int) -> Block:
+def _block_of(table: pa.Table, upto: int, model: Model, fan: int, scoring: bool) -> Block:
     answers: dict[int, dict[tuple[int, int], bytes]] = {n: {} for n in range(1, upto + 1)}
     body = None
     for n, kind, source, data in zip(table["n"].to_pylist(), table["kind"].to_pylist(), table["source"].to_pylist(), table["data"]):
@@ -633,7 +632,7 @@ def _block_of(table: pa.Table, upto: int, model: Model, fan: int) -> Block:
             answers[n][kind, source] = data.as_py()
         else:
             body = data.as_py()
-    return Block(body, answers, model, fan)
+    return Block(body, answers, model, fan, scoring)
 
 
 def _ask_words(fan: int):
@@ -651,7 +650,7 @@ def _ask_words(fan: int):
 
 def _asker(n: int, model: Model, fan: int):
     def each(table: pa.Table) -> pa.Table:
-        block, key = _block_of(table, n - 1, model, fan), table["key"][0].as_py()
+        block, key = _block_of(table, n - 1, model, fan, False), table["key"][0].as_py()
         level = block.grow(n)
         request, _ = block.request(n, level)
         rows = [_row(q, 0, key, data) for q, data in _sent(request, fan, model)]
@@ -664,7 +663,7 @@ def _asker(n: int, model: Model, fan: int):
 
 def _scorer(model: Model, fan: int, names: list[str], id_type: pa.DataType):
     def each(table: pa.Table) -> pa.Table:
-        block = _block_of(table, model.order, model, fan)
+        block = _block_of(table, model.order, model, fan, True)
         starts = np.cumsum(block.lens) - block.lens
         add = lambda x: np.add.reduceat(x, starts)
         top, counts = block.levels[-1], block.levels[0].count[block.tokens]
