@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch, group_key, hash60, own_columns, ranked
+from .common import WORD, Scratch, group_key, hash60, own_columns, parts_for, ranked
 
 WEIGHTS = (5, 2, 1)
 
@@ -51,10 +51,10 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = 1
     return s.select("__key", "__source_size", target.alias("__target"))
 
 
-def _copies(sized: DataFrame, scratch: Scratch, seed: str, weights: Sequence[int], share: float, cap: int) -> DataFrame:
+def _copies(sized: DataFrame, scratch: Scratch, parts: int, seed: str, weights: Sequence[int], share: float, cap: int) -> DataFrame:
     """sized(__id, __key, __size, __h, ...) with __source_size, __target and __copies."""
     per_source = lambda rows: targets(rows.select("__key", "__size"), weights, share, cap)
-    mixed = ranked(sized, ["__key"], ["__size", "__h", "__id"], "__pos", "__n", scratch, "line", per_source)
+    mixed = ranked(sized, ["__key"], ["__size", "__h", "__id"], "__pos", "__n", scratch, "line", per_source, parts)
     each = F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(F.lit(0.0))
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.col("__key"))), 1, 4), 16, 10).cast("double") / 65536.0
     mixed = mixed.withColumn("__each", each).withColumn("__u", offset)
@@ -68,7 +68,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     scratch = Scratch(docs.sparkSession)
     sized = docs.select(F.col(id_col).alias("__id"), group_key(F.col(source_col)).alias("__key"), words(F.col(text_col)).alias("__size"))
     sized = scratch.table(sized.withColumn("__h", hash60(seed, F.col("__id"))), "sizes")
-    out = _copies(sized, scratch, seed, weights, share, cap)
+    out = _copies(sized, scratch, parts_for(sized.count(), 1 << 18), seed, weights, share, cap)
     return out.select(F.col("__id").alias("doc_id"), F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__copies") * F.col("__size")).alias("taken"))
 
 
@@ -77,5 +77,5 @@ def resample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     scratch = Scratch(docs.sparkSession)
     sized = docs.select(own_columns(docs).alias("__row"), F.col(id_col).alias("__id"), group_key(F.col(source_col)).alias("__key"), words(F.col(text_col)).alias("__size"))
     sized = sized.withColumn("__h", hash60(seed, F.col("__id")))
-    out = _copies(sized, scratch, seed, weights, share, cap).where("__copies > 0")
+    out = _copies(sized, scratch, parts_for(docs.count(), 1 << 13), seed, weights, share, cap).where("__copies > 0")
     return out.select("__row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))).alias("__i")).select("__row.*")

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from .common import Scratch, group_key, ranked
+from .common import Scratch, group_key, parts_for, ranked
 
 LENGTH, END = 2048, 1
 _HELD, _LONG, _RUN = 1 << 19, 64, 1 << 12
@@ -124,7 +124,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how)
     """pieces with sequence_id and offset (0: a piece opens its sequence and fills it)."""
     scratch = Scratch(docs.sparkSession)
     own = scratch.table(pieces(docs, id_col, text_col, **how), "pieces")
+    many, tokens = own.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+    parts = parts_for(tokens, 1 << 22) if "ids" in own.columns else parts_for(many, 1 << 18)
     hashed = F.xxhash64(group_key(F.col("doc_id")), "start")
     rows = own.withColumns({"__short": -F.col("length"), "__h": hashed})
-    rows = ranked(rows, [], ["__short", "__h", "doc_id", "start", "ids_crc32"], "sequence_id", "__n", scratch, "line")
+    rows = ranked(rows, [], ["__short", "__h", "doc_id", "start", "ids_crc32"], "sequence_id", "__n", scratch, "line", parts=parts)
     return rows.select(*own.columns, "sequence_id", F.lit(0).cast("long").alias("offset"))
