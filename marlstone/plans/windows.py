@@ -142,3 +142,12 @@ def greedy_set_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers that cover all parts that any of them has, the largest gain first, ties by key."""
     pairs = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("set"), F.col("l_partkey").alias("element")).distinct()
     return graph.set_cover(pairs)
+
+
+@query("""SELECT column_name AS name, row_number() OVER (ORDER BY CASE WHEN column_name = 'l_shipdate' THEN 0 WHEN starts_with(column_name, 'l_ex') THEN 1 WHEN starts_with(column_name, 'l_q') OR starts_with(column_name, 'l_disc') THEN 2 ELSE 3 END, CASE WHEN starts_with(column_name, 'l_disc') THEN 1 ELSE 0 END, i) - 1 AS place
+ FROM (SELECT unnest(['l_orderkey', 'l_partkey', 'l_quantity', 'l_extendedprice', 'l_discount', 'l_shipdate']) AS column_name, unnest(range(6)) AS i)""")
+def column_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns by families: pinned ones first, then prefixes in order, then the rest as they come."""
+    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_shipdate")
+    names = shape.ordered_columns(l, ["l_ex*", "l_q*", "l_disc*"], ["l_shipdate"]).columns
+    return spark.createDataFrame(list(enumerate(names)), "place long, name string").select("name", "place")

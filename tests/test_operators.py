@@ -575,3 +575,43 @@ def test_audits_handle_nulls_and_empty_tables(spark):
         assert len(c) == (2 if rows is df else 0)
     one = {r["k"]: r for r in audit.consolidate(df, "k", ["v"], ["t"], "i").collect()}
     assert (one["a"]["v"], one["a"]["v_range"], one["a"]["t"], one[None]["v"], one[None]["v_range"], one[None]["v_n_studies"]) == (1.0, "1.0", "x", 4.0, "3.0-5.0", 2)
+
+
+def test_strict_import_of_quoted_headers(spark, tmp_path):
+    from marlstone.sources import readers
+
+    at = tmp_path / "a.csv"
+    at.write_text('"name, full",v,n\n"x, y",1.5,3\nz,nan,4\n"say ""hi""",2,x\nq,1\n')
+    good, bad = readers.checked_csv(spark, str(at), "`name, full` string, v double, n int", ["v"], most_bytes=1000)
+    assert [tuple(r) for r in good.collect()] == [("x, y", 1.5, 3)]
+    assert sorted(r["errors"] for r in bad.collect()) == [["n is no int"], ["v is no double"], ["wrong number of cells"]]
+    with pytest.raises(ValueError, match="bytes"):
+        readers.checked_csv(spark, str(at), "v double", ["v"], most_bytes=5)
+    at.write_text("a,a\n1,2\n")
+    with pytest.raises(ValueError, match="repeated columns: a"):
+        readers.checked_csv(spark, str(at), "a int", [])
+
+
+def test_scenarios(spark, tmp_path):
+    from marlstone.sources import readers
+
+    at = tmp_path / "s.csv"
+    at.write_text("Compound,Dose (mg/L),pH\nPFOA,25,7\nPFOS,,8\n,5,x\n")
+    how = ("compound string, dose double, ph double", ["compound", "dose"], {"dose": ["Dose (mg/L)"]})
+    good, bad = readers.read_scenarios(spark, str(at), *how, checks={"dose is not positive": F.col("dose").try_cast("double") > 0})
+    assert [(r["compound"], r["dose"], r["ph"], r["row"]) for r in good.collect()] == [("PFOA", 25.0, 7.0, 1)]
+    assert sorted((r["row"], r["errors"]) for r in bad.collect()) == [("2", ["dose is blank", "dose is not positive"]), ("3", ["compound is blank", "ph is no double"])]
+    at.write_text("compound,dosage\nx,1\n")
+    with pytest.raises(ValueError, match="unknown columns: dosage"):
+        readers.read_scenarios(spark, str(at), *how)
+
+
+def test_moved_runs_are_found(spark, tmp_path):
+    from marlstone.sources import readers
+
+    for name, text in (("r1", "a,b\n1,2\n"), ("moved/r2", "b,c\n3,4\n"), ("r3", "")):
+        (tmp_path / name).mkdir(parents=True)
+        (tmp_path / name / "m.csv").write_text(text)
+    runs = spark.createDataFrame([("1", f"{tmp_path}/r1", "completed", "x"), ("2", f"{tmp_path}/r2", "completed", "y"), ("3", f"{tmp_path}/r3", "completed", "z"), ("4", f"{tmp_path}/r1", "failed", "w")], "run_id string, folder string, status string, b string")
+    out = readers.collect_runs(spark, runs, "folder", "m.csv", base=f"{tmp_path}/moved").collect()
+    assert sorted((r["run_id"], r["a"], r["b"], r["c"], r["run_b"]) for r in out) == [("1", "1", "2", None, "x"), ("2", None, "3", "4", "y")]
