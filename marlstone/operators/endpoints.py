@@ -58,9 +58,9 @@ def ce_langmuir(c0: Column, dose: Column, qm: Column, kl: Column) -> Column:
 
     Of the two forms of the quadratic's root that is taken which adds numbers of one sign, so no digits cancel."""
     b = 1 + kl * (dose / 1000 * qm - c0)
-    s = F.sqrt(b * b + 4 * kl * c0)
-    root = F.when(b > 0, 2 * c0 / (s + b)).otherwise(F.try_divide(s - b, 2 * kl))
-    return F.when((c0 > 0) & (dose > 0) & (qm > 0) & (kl > 0) & (root > 0) & (root <= c0 + 1e-9), root)
+    t = F.sqrt(b * b + 4 * kl * c0) + F.abs(b)
+    root = F.when(b > 0, 2 * c0 / t).otherwise(t / (2 * kl))
+    return F.when((c0 > 0) & (dose > 0) & (qm > 0) & (kl > 0), positive(F.least(root, c0)))
 
 
 def q_langmuir(ce: Column, qm: Column, kl: Column) -> Column:

@@ -615,3 +615,38 @@ def test_moved_runs_are_found(spark, tmp_path):
     runs = spark.createDataFrame([("1", f"{tmp_path}/r1", "completed", "x"), ("2", f"{tmp_path}/r2", "completed", "y"), ("3", f"{tmp_path}/r3", "completed", "z"), ("4", f"{tmp_path}/r1", "failed", "w")], "run_id string, folder string, status string, b string")
     out = readers.collect_runs(spark, runs, "folder", "m.csv", base=f"{tmp_path}/moved").collect()
     assert sorted((r["run_id"], r["a"], r["b"], r["c"], r["run_b"]) for r in out) == [("1", "1", "2", None, "x"), ("2", None, "3", "4", "y")]
+
+
+def test_reference_dose_query_by_bisection(spark):
+    """Every row of the query again, in plain Python: roots by halving, the choice by the rules."""
+    from marlstone import plans
+    from marlstone.plans import endpoint_plans
+
+    sf = "/root/testdata/sf0.001"
+    c = F.col
+    rows = endpoint_plans._rows(spark, sf).withColumns({"logkd": E.log10(E.kd_from_removal(c("f"), c("d"))), "source": F.when(c("l_linenumber") % 2 == 0, "Freundlich").otherwise("Removal")})
+    got = sorted((r["l_orderkey"], r["l_linenumber"], r["ref_basis"], r["ref_logkd"]) for r in plans.queries()["reference_dose"](spark, sf).collect())
+
+    def halved(took, c0):
+        low, high = 0.0, c0
+        for _ in range(200):
+            middle = (low + high) / 2
+            low, high = (middle, high) if middle + took(middle) < c0 else (low, middle)
+        return (low + high) / 2
+
+    want = []  # order and line number don't tell rows apart
+    for r in rows.collect():
+        fits, key = {}, (r["l_orderkey"], r["l_linenumber"])
+        for name, r2, q in (("Langmuir", r["r2l"], lambda x: r["qm"] * r["kl"] * x / (1 + r["kl"] * x)), ("Freundlich", r["r2f"], lambda x: r["kf"] * x ** r["ex"])):
+            if r2 >= 0.90:
+                ce = halved(lambda x: 0.025 * q(x), r["c0"])
+                if ce > 0:
+                    fits[name] = r2, np.log10(q(ce) / ce)
+        basis = r["source"] if r["source"] in fits else max(fits, key=lambda k: (fits[k][0], k == "Langmuir")) if fits else None
+        if basis:
+            want.append((*key, basis, float(fits[basis][1])))
+        elif abs(r["d"] - 25) <= 5 and r["logkd"] is not None:
+            want.append((*key, "observed_dose_within_tolerance", r["logkd"]))
+    want.sort()
+    assert [g[:3] for g in got] == [w[:3] for w in want] and len(got) > 100
+    assert [g[3] for g in got] == pytest.approx([w[3] for w in want], abs=1e-6)
