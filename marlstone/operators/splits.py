@@ -227,15 +227,16 @@ def evidence_balanced_folds(df: DataFrame, unit: str, stratum: str, folds: int,
     return df.join(table, unit, "left")
 
 
-def screen_features(df: DataFrame, columns: Sequence[str], unit: str, identifiers: Sequence[str] = (), excluded: Sequence[str] = (), least_rows: int = 10, least_units: float = 0.1, least_distinct: int = 3, dominant: float = 0.98, correlated: float = 0.95) -> DataFrame:
+def screen_features(df: DataFrame, columns: Sequence[str], unit: str, identifiers: Sequence[str] = (), excluded: Sequence[str] = (), least_rows: int = 10, least_units: float = 0.1, least_distinct: int = 3, dominant: float = 0.98, correlated: float = 0.95, most_missing: float = 1.0, bucket: Mapping[str, str] | None = None, excluded_buckets: Sequence[str] = ()) -> DataFrame:
     """(feature, verdict, reason): one verdict per candidate, the first failing rule's.
 
-    Order: not in the table, excluded, identifier, too few rows, too few units, too few values, one value dominates,
-    correlated with an earlier candidate that stays. All statistics come from one pass and one correlation pass."""
+    Order: of an excluded bucket, not in the table, excluded, identifier, too many missing, too few rows, too few units, too
+    few values, one value dominates, correlated with an earlier candidate that stays (components: prune_components). All
+    statistics come from one pass and one correlation pass."""
     there = [c for c in columns if c in df.columns]
     v = {c: F.col(c).cast("double") for c in there}
     units = F.count_distinct(unit)
-    stats = df.agg(units.alias("__units"), *[x for c in there for x in (F.count(v[c]).alias(f"{c}|n"), F.count_distinct(F.when(v[c].isNotNull(), F.col(unit))).alias(f"{c}|u"), F.count_distinct(v[c]).alias(f"{c}|d"))]).first()
+    stats = df.agg(units.alias("__units"), F.count(F.lit(1)).alias("__rows"), *[x for c in there for x in (F.count(v[c]).alias(f"{c}|n"), F.count_distinct(F.when(v[c].isNotNull(), F.col(unit))).alias(f"{c}|u"), F.count_distinct(v[c]).alias(f"{c}|d"))]).first()
     tall = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), v[c].alias("v")) for c in there])).alias("s")).select("s.*").where("v is not null")
     top = {r[0]: r[1] for r in tall.groupBy("c", "v").count().groupBy("c").agg(F.max("count")).collect()}
     pairs = [(a, b) for i, a in enumerate(there) for b in there[i + 1 :]]
@@ -243,12 +244,16 @@ def screen_features(df: DataFrame, columns: Sequence[str], unit: str, identifier
     out, kept = [], []
     for c in columns:
         reason = None
-        if c not in there:
+        if (bucket or {}).get(c) in excluded_buckets:
+            reason = "excluded bucket"
+        elif c not in there:
             reason = "missing column"
         elif c in excluded:
             reason = "explicitly excluded"
         elif c in identifiers:
             reason = "identifier or leakage"
+        elif stats["__rows"] - stats[f"{c}|n"] > most_missing * stats["__rows"]:
+            reason = "too many missing"
         elif stats[f"{c}|n"] < least_rows:
             reason = "too few rows"
         elif stats[f"{c}|u"] < least_units * stats["__units"]:
@@ -367,3 +372,53 @@ def nearest(query: DataFrame, base: DataFrame, key: str, vector: str, k: int = 1
     found = pairs.select("qs", "bs").mapInPandas(each, f"key {kind}, neighbour {kind}, similarity double")
     place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc(F.round("similarity", 12)), "neighbour"))
     return found.withColumn("place", place).where(F.col("place") <= k).withColumnRenamed("key", key)
+
+
+def prune_components(df: DataFrame, columns: Sequence[str], families: Mapping[str, str] | None = None, entities: Mapping[str, str] | None = None, order: str | None = None, threshold: float = 0.95, least_pairs: int = 3, decimals: int = 6, priority: Mapping[str, int] | None = None) -> DataFrame:
+    """(feature, family, component, selected, strength, dropped): of the numeric features of a family that correlations of
+    `threshold` or more connect (over rows with both, `least_pairs` at least and both varying) one stays, the one with the
+    lowest missing rate, then the largest interquartile range in steps of 10 ** -decimals, then the lowest `priority`, then
+    the first. A family with an entity (family: column) is judged on one record per entity, the first value in `order`
+    that is there. Features that nothing connects have no component. Only sums and quantiles reach the driver."""
+    family = {c: (families or {}).get(c, "") for c in columns}
+    out = []
+    for name in dict.fromkeys(family.values()):
+        own = [c for c in columns if family[c] == name]
+        v = {c: F.col(c).try_cast("double") for c in own}
+        v = {c: F.when(~F.isnan(x), x) for c, x in v.items()}
+        scope, entity = df.select(*[x.alias(f"f{i}") for i, x in enumerate(v.values())]), (entities or {}).get(name)
+        if entity:
+            first = [F.min_by(x, F.when(x.isNotNull(), F.col(order))).alias(f"f{i}") for i, x in enumerate(v.values())]
+            scope = df.where(F.col(entity).isNotNull()).groupBy(entity).agg(*first).drop(entity)
+        scope = cut(scope, "scope")
+        pairs = [(i, j) for i in range(len(own)) for j in range(i + 1, len(own))]
+        both = {(i, j): F.col(f"f{i}").isNotNull() & F.col(f"f{j}").isNotNull() for i, j in pairs}
+        x = lambda p, k: F.when(both[p], F.col(f"f{k}"))
+        sums = [a for p in pairs for a in (F.count_if(both[p]).alias(f"n{p[0]}_{p[1]}"), correlation(x(p, p[0]), x(p, p[1])).alias(f"r{p[0]}_{p[1]}"))]
+        told = scope.agg(F.count(F.lit(1)).alias("rows"), *[F.count(f"f{i}").alias(f"c{i}") for i in range(len(own))], *sums).first()
+        tall = scope.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"f{i}").alias("v")) for i in range(len(own))])).alias("s")).select("s.*")
+        spread = {r["i"]: (r["q"][1] - r["q"][0]) * 10.0**decimals for r in quantiles(tall, ["i"], "v", [0.25, 0.75]).collect()}
+        near: dict[int, dict[int, float]] = defaultdict(dict)
+        for i, j in pairs:
+            r = told[f"r{i}_{j}"]
+            if told[f"n{i}_{j}"] >= least_pairs and r is not None and abs(r) >= threshold - 1e-12:
+                near[i][j] = near[j][i] = abs(r)
+        seen, number = set(), 0
+        for i, c in enumerate(own):
+            if i in seen:
+                continue
+            component, stack = [], [i]
+            seen.add(i)
+            while stack:
+                k = stack.pop()
+                component.append(k)
+                stack += [m for m in near[k] if m not in seen]
+                seen.update(near[k])
+            if len(component) == 1:
+                out.append((c, name, None, c, None, False))
+                continue
+            number += 1
+            rank = lambda k: (told["rows"] - told[f"c{k}"], -spread.get(k, float("-inf")), (priority or {}).get(own[k], 0), k)
+            best = own[min(component, key=rank)]
+            out += [(own[k], name, f"corr_{name}_{number:03d}", best, max(near[k].values()), own[k] != best) for k in sorted(component)]
+    return df.sparkSession.createDataFrame(out, "feature string, family string, component string, selected string, strength double, dropped boolean")

@@ -117,3 +117,11 @@ def nearest_neighbour(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most similar other vector. Queries are the rows whose id is divisible by 20, against all rows."""
     e = table(spark, sf_dir, "embeddings")
     return S.nearest(e.where("vec_id % 20 = 0"), e, "vec_id", "embedding").select("vec_id", "neighbour", F.round("similarity", 6).alias("similarity"))
+
+
+@query("""SELECT * FROM (VALUES ('price', '', 'corr__001', 'price', 1.0::DOUBLE, false), ('size', '', NULL, 'size', NULL, false), ('half_price', '', 'corr__001', 'price', 1.0::DOUBLE, true), ('some_price', '', 'corr__001', 'price', 1.0::DOUBLE, true)) t(feature, family, component, selected, strength, dropped)""")
+def correlated_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features that correlations connect, and the one that stays: least missing, then widest."""
+    price = F.col("p_retailprice").cast("double")
+    p = table(spark, sf_dir, "part").select(price.alias("price"), F.col("p_size").alias("size"), (price / 2).alias("half_price"), F.when(F.col("p_partkey") % 3 != 0, price * 5).alias("some_price"))
+    return S.prune_components(p, ["price", "size", "half_price", "some_price"]).withColumn("strength", F.round("strength", 9))

@@ -650,3 +650,18 @@ def test_reference_dose_query_by_bisection(spark):
     want.sort()
     assert [g[:3] for g in got] == [w[:3] for w in want] and len(got) > 100
     assert [g[3] for g in got] == pytest.approx([w[3] for w in want], abs=1e-6)
+
+
+def test_components_of_features_by_entity(spark):
+    """One record per entity (its first value that is there); the least missing feature of a component stays."""
+    draw = np.random.default_rng(12)
+    rows = []
+    for e in range(40):
+        a = float(draw.normal())
+        for i in range(3):
+            rows.append((f"e{e}", 3 * e + i, None if i == 0 else a, (2 * a + 1) if e % 4 else None, float(draw.normal()), -a, a if i else float("nan")))
+    df = spark.createDataFrame(rows, "e string, i int, a double, b double, c double, d double, x double").repartition(4)
+    got = {r["feature"]: tuple(r)[1:] for r in S.prune_components(df, ["b", "a", "c", "d", "x"], {"a": "m", "b": "m", "c": "m", "d": "m", "x": "n"}, {"m": "e"}, "i").collect()}
+    assert {k: (v[0], v[1], v[2], v[4]) for k, v in got.items()} == {"b": ("m", "corr_m_001", "a", True), "a": ("m", "corr_m_001", "a", False), "d": ("m", "corr_m_001", "a", True), "c": ("m", None, "c", False), "x": ("n", None, "x", False)}
+    screened = {r["feature"]: r["reason"] for r in S.screen_features(df, ["a", "b", "c", "d", "gone"], "e", most_missing=0.2, bucket={"d": "water"}, excluded_buckets=["water"]).collect()}
+    assert screened == {"a": "too many missing", "b": "too many missing", "c": None, "d": "excluded bucket", "gone": "missing column"}
