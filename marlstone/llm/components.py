@@ -8,8 +8,16 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 
-def _with_least(edges: DataFrame) -> DataFrame:
-    """edges(u, v) with m: the least of u and its v. The join may split a hub's rows."""
+#: Edges of one vertex beyond which they are not dealt by it.
+HUB = 1 << 20
+
+
+def _with_least(edges: DataFrame, hubs: DataFrame | None = None) -> DataFrame:
+    """edges(u, v) with m: the least of u and its v. hubs(u, m): vertices whose edges stay where they are; there is at most
+    one for each HUB edges, so that their table can go to every task."""
+    if hubs is not None:
+        own = edges.join(F.broadcast(hubs), "u")
+        return _with_least(edges.join(F.broadcast(hubs), "u", "left_anti")).unionByName(own)
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
     return edges.join(least.select("u", F.least("u", "m").alias("m")), "u")
 
@@ -31,6 +39,10 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "stars") -> DataF
             return edges.select("u", F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("u"), F.col("v").alias("label")).distinct())
         seen, step = mark, step + 1
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        hubs = None
+        if 2 * mark[0] > HUB:  # else no vertex can have so many
+            hubs = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("n")).where(F.col("n") > HUB).select("u", "m")
+            hubs = scratch.table(hubs, f"{name}_hubs{step}")
+        large = _with_least(both, hubs).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small = _with_least(large)
         edges = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()

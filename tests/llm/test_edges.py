@@ -192,6 +192,29 @@ def test_long_conversations_by_products_of_matrices(spark):
         assert sum(r.cost for r in own) == cheapest(roles) == cost_of(roles, [r.role for r in own])
 
 
+@pytest.mark.parametrize("hub", [1 << 20, 5])
+def test_components_with_hubs(spark, monkeypatch, hub):
+    from marlstone.llm import components as C
+    from marlstone.operators.tables import Scratch
+
+    monkeypatch.setattr(C, "HUB", hub)
+    draw = random.Random(hub)
+    pairs = [(0, i) for i in range(1, 40)] + [(100 + draw.randrange(60), 100 + draw.randrange(60)) for _ in range(50)] + [(200 + i, 201 + i) for i in range(30)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        if a != b:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    found = {r.u: r.label for r in C.components(spark.createDataFrame(pairs, "u long, v long").repartition(3), Scratch(spark)).collect()}
+    assert found == {x: find(x) for x in root}
+
+
 def test_jpeg_of_one_unit_and_of_many():
     for n in (1, 2, 8191, 8192, 8193):
         payload = bytes(range(192)) * n
