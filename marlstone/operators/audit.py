@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import blank_to_null
 from .aggregate import consensus, median, spearman
-from .ranks import average_ranks, join_null_safe, running
+from .ranks import join_null_safe, running
 from .tables import Scratch
 
 
@@ -173,11 +173,6 @@ def rank_association(df: DataFrame, by: Sequence[str], x: str, y: str, least: in
     return spearman(df, by, x, y).where((F.col("n") >= least) & F.col("spearman").isNotNull()).withColumnRenamed("n", "pairs")
 
 
-def folded_ranks(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """df with `rank`, average ranks of a value within groups of any size."""
-    return join_null_safe(df, average_ranks(df, by, value, Scratch(df.sparkSession), "line").drop("rank_of"), [*by, value], "left")
-
-
 def canonical_record(df: DataFrame, key: str, fields: Sequence[str], name: str, value: str, place: str, retired: Mapping[str, str] | None = None, notes: Sequence[str] = ("_warnings", "warnings"), failures: Sequence[str] = ("_errors", "errors", "error_message")) -> DataFrame:
     """Records given as (key, name, value, place) rows -> one row per key with a column for each of `fields`.
 

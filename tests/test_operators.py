@@ -665,3 +665,11 @@ def test_components_of_features_by_entity(spark):
     assert {k: (v[0], v[1], v[2], v[4]) for k, v in got.items()} == {"b": ("m", "corr_m_001", "a", True), "a": ("m", "corr_m_001", "a", False), "d": ("m", "corr_m_001", "a", True), "c": ("m", None, "c", False), "x": ("n", None, "x", False)}
     screened = {r["feature"]: r["reason"] for r in S.screen_features(df, ["a", "b", "c", "d", "gone"], "e", most_missing=0.2, bucket={"d": "water"}, excluded_buckets=["water"]).collect()}
     assert screened == {"a": "too many missing", "b": "too many missing", "c": None, "d": "excluded bucket", "gone": "missing column"}
+
+
+def test_rank_association_needs_pairs_and_variety(spark):
+    from marlstone.operators import audit
+
+    rows = [("a", 1.0, 2.0), ("a", 2.0, 4.0), ("a", 3.0, 3.0), ("a", None, 1.0), ("b", 1.0, 1.0), ("b", 2.0, 2.0), ("c", 1.0, 5.0), ("c", 1.0, 6.0), ("c", 1.0, 7.0)]
+    got = [(r["g"], r["pairs"], round(r["spearman"], 9)) for r in audit.rank_association(spark.createDataFrame(rows, "g string, x double, y double"), ["g"], "x", "y").collect()]
+    assert got == [("a", 3, 0.5)]
