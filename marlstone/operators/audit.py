@@ -173,6 +173,12 @@ def rank_association(df: DataFrame, by: Sequence[str], x: str, y: str, least: in
     return spearman(df, by, x, y).where((F.col("n") >= least) & F.col("spearman").isNotNull()).withColumnRenamed("n", "pairs")
 
 
+#: What a canonical record says of its fields.
+CONFLICT = ("Conflicting repeated field '", "' kept first value")
+RETIRED = ("Unsupported retired field '", "'; use '", "'")
+INGEST = "Ingest error: "
+
+
 def canonical_record(df: DataFrame, key: str, fields: Sequence[str], name: str, value: str, place: str, retired: Mapping[str, str] | None = None, notes: Sequence[str] = ("_warnings", "warnings"), failures: Sequence[str] = ("_errors", "errors", "error_message")) -> DataFrame:
     """Records given as (key, name, value, place) rows -> one row per key with a column for each of `fields`.
 
@@ -194,11 +200,11 @@ def canonical_record(df: DataFrame, key: str, fields: Sequence[str], name: str,
     rows = rows.withColumn("__field", F.when(F.col("__kind") == "field", F.try_element_at(known, F.col("__fold"))))
     first = rows.where("__field is not null and __v is not null").groupBy(key, "__field").agg(F.min_by("__v", "__place").alias("__first"), F.count_distinct("__v").alias("__different"), F.min("__place").alias("__at"))
     said = lambda c, order: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(c.isNotNull(), F.struct(order.alias("o"), c.alias("c"))))), lambda x: x["c"]), "; ")
-    conflict = F.when(F.col("__different") > 1, F.concat(F.lit("Conflicting repeated field '"), F.col("__field"), F.lit("' kept first value")))
+    conflict = F.when(F.col("__different") > 1, F.concat(F.lit(CONFLICT[0]), F.col("__field"), F.lit(CONFLICT[1])))
     values = first.groupBy(key).agg(*[F.max(F.when(F.col("__field") == f, F.col("__first"))).alias(f) for f in fields], said(conflict, F.col("__at")).alias("__conflicts"))
     note = F.when(F.col("__kind") == "note", F.col("__v"))
-    error = F.when(F.col("__kind") == "failure", F.col("__v")).when(F.col("__kind") == "retired", F.concat(F.lit("Unsupported retired field '"), F.col("__name"), F.lit("'; use '"), F.col("__new"), F.lit("'")))
-    told = rows.groupBy(key).agg(said(note, F.col("__place")).alias("__notes"), said(F.when(error.isNotNull(), F.concat(F.lit("Ingest error: "), error)), F.col("__place")).alias("__errors"))
+    error = F.when(F.col("__kind") == "failure", F.col("__v")).when(F.col("__kind") == "retired", F.concat(F.lit(RETIRED[0]), F.col("__name"), F.lit(RETIRED[1]), F.col("__new"), F.lit(RETIRED[2])))
+    told = rows.groupBy(key).agg(said(note, F.col("__place")).alias("__notes"), said(F.when(error.isNotNull(), F.concat(F.lit(INGEST), error)), F.col("__place")).alias("__errors"))
     everyone = df.select(key).distinct()
     out = join_null_safe(join_null_safe(everyone, values, [key], "left"), told, [key], "left")
     blank = lambda c: F.nullif(F.coalesce(F.col(c), F.lit("")), F.lit(""))

@@ -310,7 +310,8 @@ def best_candidate(df: DataFrame, key: str, accepted: str, width: str, penalties
     return pool.join(usual, key).withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("__n = 1").drop("__n", "__best", "__usual")
 
 
-#: Parts of a repair candidate's key, with their caps.
+#: Header actions by schema rank, and the penalties of a repair candidate's key with their caps.
+HEADER_ACTIONS = {3: ("carried_header", "already_had_carried_header"), 2: ("projected_header_drop_optional_blank_column",)}
 REPAIR_CAPS = (("contamination", 20), ("reason_penalty", 2000), ("label_penalty", 2000), ("missing_body_tokens", 300), ("fragmentation", 100), ("missing_header_tokens", 100))
 
 
@@ -332,7 +333,7 @@ def best_repair(df: DataFrame, key: str, original: str = "original") -> DataFram
     common = widths.groupBy(key).agg(F.max_by("__w", F.struct("__n", "__w")).alias("__common"), F.max("__n").alias("__n")).where("__n > 1").drop("__n")
     reference = rows.where((F.col("name") == original) & (n("n_cols") > 1) & (n("header_quality") > 0)).groupBy(key).agg(F.min(n("n_cols")).alias("__reference"))
     rows = join_null_safe(join_null_safe(rows, common, [key], "left"), reference, [key], "left").withColumn("__reference", F.coalesce("__reference", "__common"))
-    schema = F.when(F.col("header_action").isin("carried_header", "already_had_carried_header"), 3).when(F.col("header_action") == "projected_header_drop_optional_blank_column", 2).otherwise(1)
+    schema = F.when(F.col("header_action").isin(*HEADER_ACTIONS[3]), 3).when(F.col("header_action").isin(*HEADER_ACTIONS[2]), 2).otherwise(1)
     same = lambda c: F.coalesce((n("n_cols") == F.col(c)).cast("int"), F.lit(0))
     near = lambda c: F.coalesce(-F.abs(n("n_cols") - F.col(c)), F.lit(0))
     parts = [schema, same("__reference"), same("__common"), *[-F.least(n(c), F.lit(cap)) for c, cap in REPAIR_CAPS], n("header_quality"), near("__reference"), near("__common"), F.coalesce("name", F.lit(""))]

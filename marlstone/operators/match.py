@@ -216,7 +216,11 @@ def refresh_lineage(old: DataFrame, fresh: DataFrame, keys: Sequence[str], conte
     return out
 
 
-def suggestions(missing: DataFrame, key: str, known: DataFrame, name: str, most: int = 5, least: float = 0.45, block: int = 2048) -> DataFrame:
+#: How many close names are suggested, and the ratio that they need.
+SUGGESTED, CLOSE = 5, 0.45
+
+
+def suggestions(missing: DataFrame, key: str, known: DataFrame, name: str, most: int = SUGGESTED, least: float = CLOSE, block: int = 2048) -> DataFrame:
     """(key, suggestions): for each missing name up to `most` of the known names whose sequence matcher's ratio is `least` or
     more, best first (ties: the later name). Meant for short lists: blocks of the known names meet every missing name."""
     from difflib import SequenceMatcher
