@@ -123,10 +123,14 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """pieces with sequence_id and offset (0: a piece opens its sequence and fills it)."""
     scratch = Scratch(docs.sparkSession)
-    own = scratch.table(pieces(docs, id_col, text_col, **how), "pieces")
-    many, tokens = own.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
-    parts = parts_for(tokens, 1 << 22) if "ids" in own.columns else parts_for(many, 1 << 18)
-    hashed = F.xxhash64(group_key(F.col("doc_id")), "start")
-    rows = own.withColumns({"__short": -F.col("length"), "__h": hashed})
-    rows = ranked(rows, [], ["__short", "__h", "doc_id", "start", "ids_crc32"], "sequence_id", "__n", scratch, "line", parts=parts)
-    return rows.select(*own.columns, "sequence_id", F.lit(0).cast("long").alias("offset"))
+    own = pieces(docs, id_col, text_col, **how).withColumn("__at", F.monotonically_increasing_id())
+    own = scratch.table(own, "pieces")
+    columns = [c for c in own.columns if c != "__at"]
+    slim = own.drop("ids").withColumns({"__short": -F.col("length"), "__h": F.xxhash64(group_key(F.col("doc_id")), "start")})
+    placed = ranked(slim, [], ["__short", "__h", "doc_id", "start", "ids_crc32"], "sequence_id", "__n", scratch, "line")
+    offset = F.lit(0).cast("long").alias("offset")
+    if "ids" not in columns:
+        return placed.select(*columns, "sequence_id", offset)
+    tokens = own.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    dealt = lambda df: df.repartition(parts_for(tokens, 1 << 22), "__at")  # noqa: E731  ids cross one shuffle, some 8 MB a task
+    return dealt(own).join(dealt(placed.select("__at", "sequence_id")), "__at").select(*columns, "sequence_id", offset)
