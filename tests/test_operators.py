@@ -673,3 +673,23 @@ def test_rank_association_needs_pairs_and_variety(spark):
     rows = [("a", 1.0, 2.0), ("a", 2.0, 4.0), ("a", 3.0, 3.0), ("a", None, 1.0), ("b", 1.0, 1.0), ("b", 2.0, 2.0), ("c", 1.0, 5.0), ("c", 1.0, 6.0), ("c", 1.0, 7.0)]
     got = [(r["g"], r["pairs"], round(r["spearman"], 9)) for r in audit.rank_association(spark.createDataFrame(rows, "g string, x double, y double"), ["g"], "x", "y").collect()]
     assert got == [("a", 3, 0.5)]
+
+
+@pytest.mark.parametrize("few", [1_000_000, 0])
+def test_set_cover_is_the_greedy_one(spark, monkeypatch, few):
+    from marlstone.operators import graph
+
+    monkeypatch.setattr(graph, "FEW", few)
+    draw = np.random.default_rng(13)
+    pairs = sorted({(int(a), int(b)) for a, b in draw.integers(0, 14, (70, 2))})
+    left, want = {}, []
+    for s, e in pairs:
+        left.setdefault(s, set()).add(e)
+    while any(left.values()):
+        s = min(left, key=lambda k: (-len(left[k]), k))
+        want.append((s, len(want) + 1, len(left[s])))
+        gone = set(left[s])
+        left = {k: v - gone for k, v in left.items()}
+    df = spark.createDataFrame(pairs + pairs[:5] + [(None, 1), (2, None)], "set int, element int")
+    assert [tuple(r) for r in graph.set_cover(df).collect()] == want
+    assert graph.set_cover(df.limit(0)).count() == 0
