@@ -58,9 +58,20 @@ def ce_langmuir(c0: Column, dose: Column, qm: Column, kl: Column) -> Column:
 
     Of the two forms of the quadratic's root that is taken which adds numbers of one sign, so no digits cancel."""
     b = 1 + kl * (dose / 1000 * qm - c0)
-    t = F.sqrt(b * b + 4 * kl * c0) + F.abs(b)
+    return _langmuir_root(c0, dose, qm, kl, b, F.sqrt(b * b + 4 * kl * c0) + F.abs(b))
+
+
+def _langmuir_root(c0: Column, dose: Column, qm: Column, kl: Column, b: Column, t: Column) -> Column:
     root = F.when(b > 0, 2 * c0 / t).otherwise(t / (2 * kl))
-    return F.when((c0 > 0) & (dose > 0) & (qm > 0) & (kl > 0), positive(F.least(root, c0)))
+    return F.when((c0 > 0) & (dose > 0) & (qm > 0) & (kl > 0) & (b < 1e150), F.least(root, c0))  # beyond, squares overflow
+
+
+def with_langmuir(df: DataFrame, name: str, c0: Column, dose: Column, qm: Column, kl: Column) -> DataFrame:
+    """df with ce_langmuir as a column. Its parts are columns first, so that generated code has each once and stays small
+    enough to be compiled; for plans that use the root many times."""
+    rows = df.withColumn("__b", 1 + kl * (dose / 1000 * qm - c0))
+    rows = rows.withColumn("__t", F.sqrt(F.col("__b") * F.col("__b") + 4 * kl * c0) + F.abs("__b"))
+    return rows.withColumn(name, _langmuir_root(c0, dose, qm, kl, F.col("__b"), F.col("__t"))).drop("__b", "__t")
 
 
 def q_langmuir(ce: Column, qm: Column, kl: Column) -> Column:
@@ -177,7 +188,7 @@ def reference_dose(df: DataFrame, c0: str, dose: str, logkd: str, source: str, l
     qm, kl, r2l = (F.col(c) for c in langmuir)
     kf, ex, r2f = (F.col(c) for c in freundlich)
     d, start = F.lit(DOSE), F.col(c0)
-    df = df.withColumns({"__ce_l": ce_langmuir(start, d, qm, kl), "__ce_f": ce_freundlich(start, d, kf, ex)})  # each is computed once
+    df = with_langmuir(df, "__ce_l", start, d, qm, kl).withColumn("__ce_f", ce_freundlich(start, d, kf, ex))  # each is computed once
     ce_l, ce_f = F.col("__ce_l"), F.col("__ce_f")
     fit = lambda name, ce, q, r2: F.when((r2 >= FIT_R2) & (ce > 0) & (ce <= start), F.struct(F.lit(name).alias("basis"), log10(q / ce).alias("logkd"), r2.alias("r2"), ce.alias("ce")))
     l, f = fit("Langmuir", ce_l, q_langmuir(ce_l, qm, kl), r2l), fit("Freundlich", ce_f, kf * F.pow(ce_f, ex), r2f)

@@ -78,7 +78,8 @@ def endpoint_freundlich(spark: SparkSession, sf_dir: str) -> DataFrame:
 def endpoint_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The complete bundle of least risk, direct before fitted, then by rank."""
     c = F.col
-    d = _rows(spark, sf_dir).withColumns({"ce1": E.ce_from_removal(c("f"), c("c0")), "ce2": E.ce_from_uptake(c("c0"), c("q"), c("d")), "ce3": E.ce_langmuir(c("c0"), c("d"), c("qm"), c("kl"))})
+    d = E.with_langmuir(_rows(spark, sf_dir), "ce3", c("c0"), c("d"), c("qm"), c("kl"))
+    d = d.withColumns({"ce1": E.ce_from_removal(c("f"), c("c0")), "ce2": E.ce_from_uptake(c("c0"), c("q"), c("d"))})
     none = F.lit(None).cast("double")
     bundles = [
         E.candidate("removal", 0, False, E.kd_from_removal(c("f"), c("d")), c("ce1"), c("c0"), none, [E.risk(c("ce1"), c("c0")).isNotNull()]),
