@@ -316,7 +316,7 @@ def test_entry_stands_without_the_corpus_folders(tmp_path, on_path):
     told = "import __spark_entry__ as e; print(len(e.queries()), any(k == 'pipeline' or k.startswith('op') and k[2].isdigit() for k in e.queries()))"
     for gone in (None, tmp_path / "r" / "corpus_pipeline.py"):
         if gone:
-            gone.unlink()
+            gone.unlink(missing_ok=True)
         said = subprocess.run([sys.executable, "-c", told], cwd=tmp_path / "r", env=env, capture_output=True, text=True)
         assert said.returncode == 0, said.stderr
         assert said.stdout.split()[-1] == "False" and int(said.stdout.split()[-2]) > 100, said.stderr
@@ -328,8 +328,10 @@ def test_entry_stands_without_a_library_of_the_corpus_operators(tmp_path):
     from pathlib import Path
 
     told = "import sys; sys.modules['ahocorasick'] = None\nimport __spark_entry__ as e; print(len(e.queries()), 'op1_simhash' in e.queries())"
-    said = subprocess.run([sys.executable, "-c", told], cwd=Path(__file__).resolve().parent.parent, capture_output=True, text=True)
-    assert said.returncode == 0 and said.stdout.split()[-1] == "False" and "ahocorasick" in said.stderr, said.stderr
+    here = Path(__file__).resolve().parent.parent
+    said = subprocess.run([sys.executable, "-c", told], cwd=here, capture_output=True, text=True)
+    assert said.returncode == 0 and said.stdout.split()[-1] == "False", said.stderr
+    assert "ahocorasick" in said.stderr or not (here / "marlstone" / "llm").is_dir()
 
 
 @pytest.mark.parametrize("bandwidth", [None, 0.3])
