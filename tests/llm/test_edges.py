@@ -134,6 +134,33 @@ def test_verdicts_are_those_of_a_plain_forest_walk(spark):
     assert seen == {True, False}
 
 
+def test_forest_is_fitted_on_all_labelled_rows(spark, monkeypatch):
+    """6,000 labelled documents: the draws, the box and the threshold see all of them."""
+    from marlstone.llm.common import Scratch
+
+    draw, n = np.random.default_rng(5), 6000
+    s = np.zeros((n, 10), np.int64)
+    s[:, 0], s[:, 1], s[:, 6], s[:, 9] = 100, draw.integers(400, 600, n), 400, draw.integers(900_000, 1_000_000, n)
+    good = np.arange(n) % 3 > 0
+    s[~good, 2] = draw.integers(0, 60, (~good).sum())
+    own = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(s)], "doc_id long, __s array<long>")
+    labels = spark.createDataFrame([(i, int(g)) for i, g in enumerate(good)], "doc_id long, quality int")
+    trees, cuts_of, tree, threshold = [], [], quality._tree, quality._threshold
+    monkeypatch.setattr(quality, "_tree", lambda own, low, high, *more: trees.append((own, low, high)) or tree(own, low, high, *more))
+    monkeypatch.setattr(quality, "_threshold", lambda paths, *more: cuts_of.append((paths.collect(), more)) or threshold(paths, *more))
+    forest = quality._fit(own, labels, "doc_id", "quality", 0.99, Scratch(spark))
+    paths, (n_good, n_bad, *_) = cuts_of[0]
+    x = quality.rates(s)
+    assert (n_good, n_bad, len(paths)) == (good.sum(), (~good).sum(), n)
+    assert all((low == x.min(axis=0)).all() and (high == x.max(axis=0)).all() and len(d) == 256 for d, low, high in trees)
+    assert len(np.unique(np.concatenate([d for d, _, _ in trees]), axis=0)) > 0.97 * good.sum()
+    path, ok = np.array([p[0] for p in paths]), np.array([p[1] == 1 for p in paths])
+    values = np.unique(path)
+    cuts = np.concatenate([[values[0] - 1], (values[1:] + values[:-1]) / 2])
+    lost, caught = ((path[None, k] < cuts[:, None]).mean(axis=1) for k in (ok, ~ok))
+    assert forest.threshold == cuts[np.argmax(np.where(lost <= 0.01, caught - quality.LOSS * lost, -quality.LOSS))]
+
+
 def test_threshold_sees_no_row_through_its_own_trees():
     draw = np.random.default_rng(2)
     x, good = draw.normal(size=(60, 3)), np.arange(60) < 45
