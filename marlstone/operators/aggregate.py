@@ -196,13 +196,18 @@ def variance_components(df: DataFrame, group: str, value: str) -> DataFrame:
     return out.withColumn("icc", F.try_divide("between", F.col("between") + F.col("within")))
 
 
-def histogram_bins(v: Column, most: int) -> Column:
-    """Number of bins by Freedman and Diaconis, at least 4 and at least the root of n where the rule gives fewer than 4."""
-    n, iqr = F.count(v), F.percentile(v, F.lit(0.75)) - F.percentile(v, F.lit(0.25))
-    width = 2 * iqr / F.pow(n, F.lit(1 / 3))
-    raw = F.ceil(F.try_divide(F.max(v) - F.min(v), width))
+def histogram(df: DataFrame, value: str, most: int) -> DataFrame:
+    """(bin, n): evenly spaced bins, the last one closed; their number by Freedman and Diaconis, at least 4 and at least
+    the root of n where the rule gives fewer than 4. Missing values, and those of a column with one value, count in the
+    last bin. The quartiles are taken by ranges, so no task holds the different values of the column."""
+    v, (lo, hi, n, bins) = F.col(value), (F.col(f"__{x}") for x in ("lo", "hi", "n", "bins"))
+    iqr = F.get("q", F.lit(1)) - F.get("q", F.lit(0))
+    raw = F.coalesce(F.ceil(F.try_divide(hi - lo, 2 * iqr / F.pow(n, F.lit(1 / 3)))), F.lit(0))
     small = F.least(F.lit(most), F.greatest(F.lit(4), F.ceil(F.sqrt(n))))
-    return F.when(F.coalesce(raw, F.lit(0)) < 4, small).otherwise(F.least(raw, F.lit(most))).cast("long")
+    facts = df.agg(F.min(v).alias("__lo"), F.max(v).alias("__hi"), F.count(v).alias("__n")).crossJoin(quantiles(df, [], value, [0.25, 0.75]))
+    facts = facts.withColumn("__bins", F.when(raw < 4, small).otherwise(F.least(raw, F.lit(most))).cast("long")).drop("q")
+    at = F.least(F.floor((v - lo) * bins / F.nullif(hi - lo, F.lit(0.0))), bins - 1)
+    return df.select(value).crossJoin(facts).groupBy(at.cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))  # facts: one row
 
 
 def cumulative_share(df: DataFrame, value: str, tie: str, by: Sequence[str] = ()) -> DataFrame:

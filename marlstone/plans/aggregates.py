@@ -285,10 +285,7 @@ def joined_text(spark: SparkSession, sf_dir: str) -> DataFrame:
  c AS (SELECT *, CASE WHEN raw < 4 THEN least(40, greatest(4, ceil(sqrt(n)))) ELSE least(raw, 40) END::BIGINT AS bins FROM b) SELECT least(floor((o_totalprice - lo) * bins / (hi - lo)), bins - 1)::BIGINT AS bin, count(*) AS n FROM orders, c GROUP BY 1""")
 def fd_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evenly spaced bins, their number by Freedman and Diaconis, the last one closed."""
-    o = table(spark, sf_dir, "orders").select("o_totalprice")
-    s = o.agg(F.min("o_totalprice").alias("lo"), F.max("o_totalprice").alias("hi"), A.histogram_bins(F.col("o_totalprice"), 40).alias("bins"))
-    b = F.least(F.floor((F.col("o_totalprice") - F.col("lo")) * F.col("bins") / (F.col("hi") - F.col("lo"))), F.col("bins") - 1)
-    return o.crossJoin(s).groupBy(b.cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))  # s: one row
+    return A.histogram(table(spark, sf_dir, "orders"), "o_totalprice", 40)
 
 
 @query("""SELECT o_custkey, place, round(share, 9) AS share, round(running, 9) AS running FROM (SELECT o_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY n DESC, o_custkey) AS place, n / sum(n) OVER (PARTITION BY c_mktsegment) AS share,
