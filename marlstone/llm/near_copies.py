@@ -4,9 +4,11 @@ Definition. Words as in words.py; a text's set holds the XXH64 (seed 42) of its
 sequence where there are fewer words. Two texts are near copies if their sets' Jaccard similarity is LEAST or more;
 texts without words are copies of each other. A component is all that near copies connect.
 
-Search. Texts at similarity 0.8 differ in 5 bits and more of their SimHash, too far for simhash.py's trees (figures in
-the README). So candidates come from MinHash: BANDS keys of ROWS minima each; a pair at similarity s shares no key with
-probability (1 - s ** ROWS) ** BANDS, 3e-6 at 0.8. Texts that keys connect are a cluster; equal sets enter once.
+Search. Texts have SimHash fingerprints over the same shingles, and what simhash.py's vantage-point trees connect within
+BITS bits shares a key. Most texts at similarity 0.8 differ in more bits, too far for the trees (figures in the README);
+so that none of them is lost, MinHash gives BANDS further keys of ROWS minima each: a pair at similarity s shares none of
+these with probability (1 - s ** ROWS) ** BANDS, 3e-6 at 0.8. All that share a key are compared exactly. Texts that keys
+connect are a cluster; equal sets enter once.
 
 Clusters of up to MOST texts meet in one task each, which compares their sets exactly: what is within reach of a text
 joins it, and only texts that have not joined are compared further, so a group of near copies costs a pass and not its
@@ -32,7 +34,7 @@ from xxhash import xxh64_intdigest
 
 from .common import Scratch, group_key
 from .components import components
-from .simhash import SEED, one_of_components
+from .simhash import BITS, SEED, links, one_of_components, voted
 from .words import lower_words, shingle_hashes
 
 SHINGLE, LEAST, BANDS, ROWS = 5, 0.8, 32, 5
@@ -43,7 +45,10 @@ FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, dtype=n
 
 
 def shingle_set(text: str | None) -> np.ndarray:
-    parts = list(shingle_hashes(lower_words(text), SHINGLE, SEED))
+    return _set_of(list(shingle_hashes(lower_words(text), SHINGLE, SEED)))
+
+
+def _set_of(parts: list[np.ndarray]) -> np.ndarray:
     return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
 
 
@@ -84,22 +89,32 @@ def connected(sets: list[np.ndarray], least: float = LEAST) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """__id, __text (a hash of the text), __fp (a hash of the set), __bands."""
+    """__id, __text (a hash of the text), __fp (a hash of the set), __sim (the SimHash fingerprint), __bands."""
     rows = docs.select(F.col(id_col).alias("__id"), F.xxhash64(F.col(text_col)).alias("__text"), F.col(text_col).cast("string").alias("__own"))
-    schema = T.StructType([*rows.schema.fields[:2], T.StructField("__fp", T.LongType()), T.StructField("__bands", T.ArrayType(T.LongType()))])
+    schema = T.StructType([*rows.schema.fields[:2], T.StructField("__fp", T.LongType()), T.StructField("__sim", T.LongType()), T.StructField("__bands", T.ArrayType(T.LongType()))])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps, bands = np.zeros(b.num_rows, np.uint64), []
+            fps, sims, bands = np.zeros(b.num_rows, np.uint64), np.zeros(b.num_rows, np.uint64), []
             for i, t in enumerate(b.column(2)):
-                own = shingle_set(t.as_py())
-                fps[i] = xxh64_intdigest(own.tobytes(), SEED)
+                parts = list(shingle_hashes(lower_words(t.as_py()), SHINGLE, SEED))
+                own = _set_of(parts)
+                fps[i], sims[i] = xxh64_intdigest(own.tobytes(), SEED), voted(parts)
                 bands.append(band_keys(own))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64)), pa.array(bands, pa.list_(pa.int64()))], names=["__id", "__text", "__fp", "__bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64)), pa.array(sims.view(np.int64)), pa.array(bands, pa.list_(pa.int64()))], names=schema.names)
 
     return rows.mapInArrow(each, schema)
 
 
+def tree_keys(own: DataFrame, scratch: Scratch) -> DataFrame:
+    """own(__fp, __sim, __bands) -> (__fp, __band): a key for all texts with words whose fingerprints simhash.py's trees connect."""
+    worded = scratch.table(own.where(F.size("__bands") > 0).select("__fp", "__sim").distinct(), "fingerprints")
+    found = scratch.table(links(worded.select(F.col("__sim").alias("__fp")).distinct(), BITS), "tree_links")
+    label = components(found, scratch, "tree_stars").select(F.col("u").alias("__sim"), "label")
+    label = worded.join(label, "__sim", "left").select("__fp", F.coalesce("label", "__sim").alias("label"))  # equal ones: no link
+    return label.select("__fp", F.xxhash64(F.lit("tree"), "label").alias("__band"))
+
+
 def _sets(texts: DataFrame) -> DataFrame:
     """(label, __fp, __own) -> (__fp, __set), the set's hashes as bytes."""
 
@@ -181,7 +196,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     one = F.min(F.struct(group_key(F.col("__id")).alias("__key"), "__text")).alias("__one")
     classes = scratch.table(own.groupBy("__fp").agg(F.min("__id").alias("__least"), one), "classes")
 
-    banded = own.select("__fp", F.explode("__bands").alias("__band")).distinct()
+    banded = own.select("__fp", F.explode("__bands").alias("__band")).unionByName(tree_keys(own, scratch)).distinct()
     banded = scratch.table(banded, "bands")
     hubs = banded.groupBy("__band").agg(F.min("__fp").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     edges = banded.join(hubs, "__band").where("__fp <> v").select(F.col("__fp").alias("u"), "v").distinct()

@@ -31,7 +31,7 @@ whatever their names.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import product
 
 import numpy as np
@@ -51,14 +51,19 @@ SAMPLE, SHARD, DEPTH, MOST, LEVELS = 4096, 4096, 14, 1 << 16, 3
 LEAF = 192
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
+def voted(parts: Iterable[np.ndarray]) -> int:
+    """The fingerprint of a text's shingle hashes."""
     votes, n = np.zeros(64, np.int64), 0
-    for h in shingle_hashes(lower_words(text), shingle, seed):
+    for h in parts:
         votes += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         n += len(h)
     return int(np.packbits(2 * votes > n, bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    return voted(shingle_hashes(lower_words(text), shingle, seed))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """__id, __text (a hash of the text), __fp (long, the fingerprint's bits)."""
     rows = docs.select(F.col(id_col).alias("__id"), F.xxhash64(F.col(text_col)).alias("__text"), F.col(text_col).cast("string").alias("__fp"))
@@ -299,8 +304,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = BITS, similarity: bool = False) -> DataFrame:
     """docs without the near copies: of each component, the row with the least doc_id stays (of equal rows, one).
 
-    similarity: near copies are those of near_copies.py (5-word shingle sets, Jaccard 0.8 or more), not those whose
-    fingerprints differ in few bits. A component whose ids are all null keeps one row for each of its different texts.
+    similarity: near copies are those of near_copies.py: candidates from fingerprints that differ in few bits and from
+    MinHash, which must have 5-word shingle sets with Jaccard 0.8 or more. A component whose ids are all null keeps one row for each of its different texts.
     """
     if similarity:
         from . import near_copies

@@ -77,3 +77,21 @@ def test_nulls_and_empty(spark):
     df = spark.createDataFrame(rows, DOCS)
     assert sorted(map(tuple, near_copies.one_of_each(df).collect()), key=str) == sorted([(3, same, "x"), (None, "other words stand here alone", None), (8, "", None)], key=str)
     assert near_copies.one_of_each(df.limit(0)).count() == 0
+
+
+def test_trees_give_keys_to_texts_with_near_fingerprints(spark):
+    """The dedup stage searches by SimHash and vantage-point trees; MinHash keys come on top."""
+    from marlstone.llm import near_copies, simhash
+    from marlstone.llm.common import Scratch
+
+    long = " ".join(f"w{i}" for i in range(3000))
+    changed = lambda k: " ".join(f"w{i}" if i >= k else f"x{i}" for i in range(3000))
+    near = next(t for t in map(changed, range(10, 400, 10)) if simhash.fingerprint(t, 5) != simhash.fingerprint(long, 5))
+    texts = {1: long, 2: near, 3: " ".join(f"v{i}" for i in range(3000)), 4: "", 5: None}
+    sims = {k: simhash.fingerprint(t, near_copies.SHINGLE) for k, t in texts.items()}
+    assert 0 < (sims[1] ^ sims[2]).bit_count() <= simhash.BITS < (sims[1] ^ sims[3]).bit_count()
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    own = Scratch(spark).table(near_copies.signatures(docs, "doc_id", "text"), "own")
+    assert {r["__id"]: r["__sim"] & (2**64 - 1) for r in own.collect()} == sims
+    keys = {r["__id"]: r["__band"] for r in own.join(near_copies.tree_keys(own, Scratch(spark)), "__fp").collect()}
+    assert set(keys) == {1, 2, 3} and keys[1] == keys[2] != keys[3]
