@@ -301,46 +301,63 @@ def design_matrix(training: DataFrame, df: DataFrame, numeric: Sequence[str], ca
     return out.select(*df.columns)
 
 
+#: Features that deal points to cells.
+CELLS = 3
+
+
 def density_support(training: DataFrame, query: DataFrame, key: str, features: Sequence[str], bandwidth: float | None = None, block: int = 2048) -> DataFrame:
     """(key, dissimilarity): 1 - density / largest density, Epanechnikov kernel on standardised features.
 
-    The density is that of all training rows, the largest that of any training row; a denser query row has 0. Blocks of
-    query meet blocks of training, and a row's sums are added up. The bandwidth is Silverman's unless given (a stated
-    difference from mean-shift rules)."""
+    The density is that of all training rows, the largest that of any training row; a denser query row has 0. Equal
+    points are counted once, with their number. The kernel ends at one bandwidth, so a point meets only those of its own
+    and the adjoining cells of that width (over the first CELLS features), in blocks. The bandwidth is Silverman's unless
+    given (a stated difference from mean-shift rules)."""
     stats = training.agg(*[x for c in features for x in (F.avg(c).alias(f"m{c}"), F.stddev_samp(c).alias(f"s{c}"))]).first()
-    scale = {c: (stats[f"m{c}"], stats[f"s{c}"] or 1.0) for c in features}
-    z = lambda d: d.select(key, *[((F.col(c) - scale[c][0]) / scale[c][1]).alias(c) for c in features]).dropna(subset=list(features))
-    base, d = z(training), len(features)
+    scale, names = {c: (stats[f"m{c}"], stats[f"s{c}"] or 1.0) for c in features}, [f"__f{i}" for i in range(len(features))]
+    z = lambda d: d.select(key, *[((F.col(c) - scale[c][0]) / scale[c][1]).cast("double").alias(f) for c, f in zip(features, names)]).dropna(subset=names)
+    base, d = cut(z(training), "training"), len(features)
     n = base.count()
     if not n:
         return z(query).select(key, F.lit(1.0).alias("dissimilarity"))
-    h, kind = bandwidth or (4 / (d + 2) / n) ** (1 / (d + 4)) * 2.2, query.schema[key].dataType.simpleString()
+    h = bandwidth or (4 / (d + 2) / n) ** (1 / (d + 4)) * 2.2
+    cell = [f"__c{i}" for i in range(min(d, CELLS))]
 
-    def blocked(rows: DataFrame, many: int, name: str, first: Sequence[str]) -> DataFrame:
-        """Sorted, so that a row has the same place each time that its block is made."""
-        row = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(first)], F.array(*[F.col(c).cast("double") for c in features]).alias("v"))
-        return rows.groupBy(F.pmod(F.xxhash64(key, *features), F.lit(max(1, -(-many // block)))).alias(f"{name}b")).agg(F.sort_array(F.collect_list(row)).alias(f"{name}s"))
+    def blocked(points: DataFrame, name: str) -> DataFrame:
+        """(cell, <name>s): a cell's points with their weights, in blocks."""
+        points = points.withColumns({c: F.floor(F.col(f) / h) for c, f in zip(cell, names)})
+        many = points.groupBy(*cell).agg(F.count(F.lit(1)).alias("__n"))
+        part = F.pmod(F.xxhash64(*names), F.ceil(F.col("__n") / block).cast("long"))
+        row = F.struct(F.array(*names).alias("v"), F.col("__w").alias("w"))
+        return points.join(many, cell).groupBy(*cell, part.alias("__part")).agg(F.sort_array(F.collect_list(row)).alias(f"{name}s")).drop("__part")
 
     def each(batches):
-        import pandas as pd
+        import pyarrow as pa
 
         for batch in batches:
-            for b, qs, ts in zip(batch["qb"], batch["qs"], batch["ts"]):
-                q, t = (np.array([list(r["v"]) for r in rows], np.float64) / h for rows in (qs, ts))
-                u = np.zeros((len(q), len(t)))
+            for qs, ts in zip(batch.column(0), batch.column(1)):
+                flat = lambda x: x.values.field("v").flatten().to_numpy().reshape(-1, d)
+                own, other, u = flat(qs), flat(ts) / h, 0.0
                 for i in range(d):
-                    u += (q[:, i, None] - t[None, :, i]) ** 2
-                yield pd.DataFrame({"b": b, "place": np.arange(len(q)), "key": [r["k0"] for r in qs], "v": np.maximum(1 - u, 0).sum(axis=1)})
-
-    def density(rows: DataFrame, many: int) -> DataFrame:
-        pairs = blocked(rows, many, "q", [key]).crossJoin(blocked(base, n, "t", []).repartition(max(1, -(-n // block))))  # block by block
-        found = pairs.select("qb", "qs", "ts").mapInPandas(each, f"b long, place long, key {kind}, v double")
-        return found.groupBy("b", "place", "key").agg(F.sum("v").alias("v")).select("key", "v")
-
-    own = cut(density(base, n), "density")
+                    u = u + (own[:, i, None] / h - other[None, :, i]) ** 2
+                found = np.maximum(1 - u, 0) @ ts.values.field("w").to_numpy().astype(np.float64)
+                yield pa.RecordBatch.from_arrays([*[pa.array(own[:, i]) for i in range(d)], pa.array(found)], names=[*names, "v"])
+
+    points = cut(base.groupBy(*names).agg(F.count(F.lit(1)).alias("__w")), "points")
+    held = cut(blocked(points, "t"), "blocks")
+
+    def density(asked: DataFrame) -> DataFrame:
+        near = blocked(asked, "q")
+        for c in cell:
+            near = near.withColumn(c, F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1)))
+        pairs = near.join(held, cell).select("qs", "ts")
+        found = pairs.mapInArrow(each, ", ".join(f"{x} double" for x in [*names, "v"]))
+        return cut(found.groupBy(*names).agg(F.sum("v").alias("v")), "density")
+
+    own = density(points)
     top = own.agg(F.max("v")).first()[0] or 1.0
-    rows = own if query is training else density(z(query), query.count())
-    return rows.select(F.col("key").alias(key), (1 - F.least(F.col("v") / top, F.lit(1.0))).alias("dissimilarity"))
+    rows = base if query is training else cut(z(query), "query")
+    found = own if query is training else density(rows.select(*names).distinct().withColumn("__w", F.lit(1).cast("long")))
+    return rows.join(found, names, "left").select(key, (1 - F.least(F.coalesce("v", F.lit(0.0)) / top, F.lit(1.0))).alias("dissimilarity"))
 
 
 def nearest(query: DataFrame, base: DataFrame, key: str, vector: str, k: int = 1, block: int = 2048) -> DataFrame:

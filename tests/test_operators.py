@@ -736,3 +736,13 @@ def test_alias_pairs_exchange_classes_only(spark):
     got = M.alias_pairs(spark.createDataFrame(a, schema), "k", "a", spark.createDataFrame(b, schema).withColumnRenamed("k", "j"), "j", "a")
     assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
     assert "Aggregate [k" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_density_meets_near_cells_only(spark):
+    """60,000 rows on a line of 3,000 points: by blocks of all rows these were 3.6 thousand million pairs."""
+    df = spark.range(60_000).select("id", (F.col("id") % 3000).cast("double").alias("a"))
+    out = S.density_support(df, df, "id", ["a"], 0.01)
+    x = np.arange(3000) / np.std(np.arange(60_000) % 3000, ddof=1)
+    v = np.array([20 * np.maximum(1 - ((p - x) / 0.01) ** 2, 0).sum() for p in x])
+    got = {r["id"]: r["dissimilarity"] for r in out.collect()}
+    assert len(got) == 60_000 and [got[i] for i in range(3000, 6000)] == pytest.approx((1 - v / v.max()).tolist(), abs=1e-9)
